@@ -25,5 +25,48 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe}
-SQL: dict[str, str] = {}
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathlib import Path
+
+    import public_tokenizers
+
+    from regolith.llm import token_files
+
+    definition = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
+    folder, files = token_files.write(read(spark, sf_dir, "documents"), definition)
+    return token_files.read_files(spark, folder, files)
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regolith.llm import line_dedup
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.drop_lines(docs, line_dedup.keep_bitmaps(docs))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP10_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS pos
+  FROM documents
+), keyed AS (
+  SELECT doc_id, pos, line,
+         translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+), spread AS (
+  SELECT key, count(DISTINCT doc_id) AS docs, max(doc_id) AS top FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+)
+SELECT k.doc_id, count(*)::BIGINT AS n_lines, count(CASE WHEN s.top > k.doc_id THEN 1 END)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(CASE WHEN s.top > k.doc_id THEN NULL ELSE k.line END, chr(10) ORDER BY k.pos), '')) AS kept_sha256
+FROM keyed k LEFT JOIN spread s ON k.key = s.key
+GROUP BY k.doc_id
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op8_token_files": op8_token_files,
+    "op10_line_dedup": op10_line_dedup,
+}
+SQL: dict[str, str] = {"op10_line_dedup": OP10_SQL}
