@@ -25,6 +25,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regolith.llm import near_dedup
+
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), words=2)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pathlib import Path
 
@@ -66,6 +72,7 @@ GROUP BY k.doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_near_dedup": op2_near_dedup,
     "op8_token_files": op8_token_files,
     "op10_line_dedup": op10_line_dedup,
 }
