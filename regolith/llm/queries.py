@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regolith.llm.common import read
@@ -31,6 +31,20 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), words=2)
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regolith.llm import secrets
+
+    def text(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    found = secrets.secret_spans(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s.kind != "entropy")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pathlib import Path
 
@@ -43,6 +57,14 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(spark, folder, files)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regolith.llm import language_id
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs, ~language_id.held_out())
+    return language_id.identify(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regolith.llm import line_dedup
 
@@ -73,7 +95,9 @@ GROUP BY k.doc_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_near_dedup": op2_near_dedup,
+    "op6_secrets": op6_secrets,
     "op8_token_files": op8_token_files,
+    "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
 }
 SQL: dict[str, str] = {"op10_line_dedup": OP10_SQL}

@@ -1,0 +1,65 @@
+"""Secret spans against a plain statement of the patterns and of the entropy."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+from regolith.llm import queries, secrets
+
+
+def plain(text):
+    out = []
+    for m in re.finditer(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 6:
+            out.append((m.start(), 0, "assign", m.end()))
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [(kind, start, end) for start, _, kind, end in sorted(out)]
+
+
+def made_up(seed=3, n=400):
+    own = random.Random(seed)
+    parts = ["password", "Token", "API_KEY", "apikey", "secret", "ſecret", ":", "=", " ", "'", '"', "AKIA", "ABCDEF0123456789", "deadbeef" * 3, "0a" * 12, "x", "é", "\n", "token: token: abcdefgh", "Zk3x+9/Qw_v7T", "-", "."]
+    return ["".join(own.choice(parts) for _ in range(own.randint(0, 25))) for _ in range(n)]
+
+
+def test_base_spans(spark):
+    texts = made_up()
+    docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)] + [(9000, None, "k"), (None, "password=abcdefg", "k")], "doc_id long, text string, spans string")
+    found = {r.doc_id: r.spans for r in secrets.secret_spans(docs).collect()}
+    for i, t in enumerate(texts):
+        assert [(s.kind, s.start, s.end) for s in found[i] if s.kind != "entropy"] == plain(t)
+    assert found[9000] == [] and len(found[None]) == 1 and secrets.secret_spans(docs.limit(0)).count() == 0
+
+
+def test_incremental_entropy():
+    own = random.Random(4)
+    for _ in range(100):
+        text = "".join(own.choice("abcdefgh0123456789") for _ in range(own.randint(0, 60)))
+        hot = set()
+        for i in range(len(text) - 11):
+            n = Counter(text[i : i + 12])
+            if -sum(c / 12 * math.log2(c / 12) for c in n.values()) >= 3 - 1e-9:
+                hot |= set(range(i, i + 12))
+        assert {k for a, b in secrets.high_entropy(text, 12, 3) for k in range(a, b)} == hot
+
+
+def test_entropy_finds_keys_and_leaves_words():
+    assert [s[0] for s in secrets.find("see 9fK2xQ7vLm3Rt8Wz1BpYc5Hd and go")] == ["entropy"]
+    for clean in ("Donaudampfschifffahrtsgesellschaft", "queelleaiierelletion", "onthtionwhonattionnd", "123e4567-e89b-12d3-a456-426614174000", "a-long-name/with-many-short-parts/v12", "1234567890123456789012", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"):
+        assert secrets.find(clean) == [], clean
+
+
+def test_query_op6(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    rows = queries.op6_secrets(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = plain(texts[r.doc_id])
+        n = Counter(k for k, *_ in base)
+        assert (r.n_assign, r.n_access, r.n_hex) == (n["assign"], n["access"], n["hex"])
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert set(f"{k}:{a}:{b}" for k, a, b in base) <= set(r.spans.split(","))
+    assert sum("entropy" in r.spans for r in rows) < 30
