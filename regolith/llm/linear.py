@@ -32,7 +32,7 @@ def ngram_rows(data: np.ndarray, places: np.ndarray, bits: int, orders: tuple[in
             for k in range(order):
                 gram[: len(own) - k] |= own[k:] << np.uint32(8 * k)
             inside = at + order <= ends
-            hashed = (gram * np.uint32(2654435761) + np.uint32(order * 0x85EBCA6B)) * np.uint32(0xC2B2AE35) >> np.uint32(32 - bits)
+            hashed = (gram * np.uint32(2654435761) + np.uint32(order * 0x1EBCA6B)) * np.uint32(0xC2B2AE35) >> np.uint32(32 - bits)
             counts += np.bincount((text[inside] << bits) + hashed[inside].astype(np.int64), minlength=len(counts)).astype(np.float32)
         out = np.sqrt(counts).reshape(last - first, 1 << bits)
         length = np.sqrt((out * out).sum(1, keepdims=True))
