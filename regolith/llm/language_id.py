@@ -16,9 +16,9 @@ from regolith.llm.linear import ngram_rows, sigmoid, squared_hinge
 from regolith.llm.textscan import buffer_of
 
 UNKNOWN = "und"
-BITS = 12
+BITS = 11
 #: Documents of each language that the classifiers are fitted on, on average at most.
-SAMPLE = 600
+SAMPLE = 400
 #: Fixed: families of languages by their codes. A code that is not here is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af lb fy yi",

@@ -39,7 +39,7 @@ def ngram_rows(data: np.ndarray, places: np.ndarray, bits: int, orders: tuple[in
         yield out / np.where(length == 0, 1, length)
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 250) -> np.ndarray:
+def squared_hinge(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 120) -> np.ndarray:
     """A linear SVM with squared hinge loss on rows of length 1, y of -1 and 1, both classes with the same weight; the last
     coefficient is the bias. Accelerated gradient steps, which the loss's curvature bounds."""
     side = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())).astype(np.float32)

@@ -31,6 +31,22 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), words=2)
 
 
+def op3_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The host is the document's source, its path the source's part in one language: documents have no URL."""
+    from regolith.llm import quality_bayes
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    evidence = quality_bayes.train(docs, read(spark, sf_dir, "labels"))
+    return quality_bayes.classify(docs, evidence, F.col("source"), F.col("lang"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regolith.llm import quality_rules
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.judge(docs, quality_rules.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regolith.llm import secrets
 
@@ -95,6 +111,8 @@ GROUP BY k.doc_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_near_dedup": op2_near_dedup,
+    "op3_quality_bayes": op3_quality_bayes,
+    "op4_quality_rules": op4_quality_rules,
     "op6_secrets": op6_secrets,
     "op8_token_files": op8_token_files,
     "op9_language_id": op9_language_id,
