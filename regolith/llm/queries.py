@@ -61,6 +61,15 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regolith.llm import language_id, toxicity
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = language_id.held_out(parts=4, part=2)
+    found = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels"), ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pathlib import Path
 
@@ -114,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_bayes": op3_quality_bayes,
     "op4_quality_rules": op4_quality_rules,
     "op6_secrets": op6_secrets,
+    "op7_toxicity": op7_toxicity,
     "op8_token_files": op8_token_files,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,

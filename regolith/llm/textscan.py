@@ -81,9 +81,15 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
 
 def word_spans(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words `[^\\x20\\x09-\\x0D]+`, and for each text the number of its first word (with the total last)."""
+    return spans_outside(_PARTS_WORDS, data, places)
+
+
+def spans_outside(parts: np.ndarray, data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes for which `parts` is false, and for each text the number of its first run (with the
+    total last)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(places), np.int64)
-    inside = ~_PARTS_WORDS[data]
+    inside = ~parts[data]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
     stop = inside.copy()
