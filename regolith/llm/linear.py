@@ -57,16 +57,27 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int
 
 
 def logistic(x: np.ndarray, p: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-3, steps: int = 30) -> np.ndarray:
-    """Logistic regression on soft labels p by Newton steps; the last coefficient is the bias. For few columns."""
+    """Logistic regression on soft labels p by Newton steps, halved while they do not lower the loss; the last coefficient is
+    the bias. For few columns."""
     x = np.hstack([x, np.ones((len(x), 1))])
     weight = np.ones(len(x)) if weight is None else weight
     w = np.zeros(x.shape[1])
     penalty = np.diag(np.append(np.full(x.shape[1] - 1, ridge * max(1, weight.sum())), 1e-6))
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(weight @ (np.logaddexp(0, z) - p * z) + w @ penalty @ w / 2)
+
     for _ in range(steps):
         q = sigmoid(x @ w)
         curve = (x * (weight * np.maximum(q * (1 - q), 1e-6))[:, None]).T @ x + penalty
         step = np.linalg.solve(curve, x.T @ (weight * (p - q)) - penalty @ w)
-        w += step
+        before = loss(w)
+        for _ in range(20):
+            if loss(w + step) <= before:
+                break
+            step = step / 2
+        w = w + step
         if np.abs(step).max() < 1e-6:
             break
     return w

@@ -30,6 +30,8 @@ LEXICONS = (
     "idiot idiote imbécile connard débile ordure minable crétin salaud",
     "idiota imbécil estúpido estúpida basura asqueroso patético cretino perdedor",
 )
+#: How far an annotation is believed.
+SURE = 0.99
 _LETTERS = np.ones(256, bool)
 _LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _STEP = U64(0x9E3779B97F4A7C15)
@@ -157,28 +159,30 @@ class LabelModel:
         return sigmoid(np.log(self.prior / (1 - self.prior)) + each @ self.weight)
 
 
-def fit_labels(votes: np.ndarray, prior: float, rounds: int = 40) -> LabelModel:
-    """Expectation maximisation on votes alone. After each round the voters' correlations given the label are estimated, and a
-    voter that agrees with others beyond the label counts less: 1 / (1 + the sum of its positive correlations)."""
+def fit_labels(votes: np.ndarray, prior: float, marks: np.ndarray | None = None, rounds: int = 40) -> tuple[LabelModel, np.ndarray]:
+    """Expectation maximisation: the model, and each row's probability of label 1. In each round the voters' correlations within
+    the likelier label are estimated, and a voter that agrees with others beyond the label counts less: 1 / (1 + the sum of its
+    positive correlations). marks: 1 or -1 where an annotator has decided, which is taken as SURE; 0 elsewhere."""
     n, m = votes.shape
-    p = np.clip(0.5 + 0.2 * votes.sum(1), 0.02, 0.98)
-    weight, chance = np.ones(m), np.full((2, 3, m), 1 / 3)
-    for _ in range(rounds):
+    marks = np.zeros(n, int) if marks is None else marks
+    given = np.where(marks > 0, SURE, 1 - SURE)
+    p = np.where(marks != 0, given, np.clip(0.5 + 0.2 * votes.sum(1), 0.02, 0.98))
+    model = LabelModel(prior, np.full((2, 3, m), 1 / 3), np.ones(m))
+    for _ in range(rounds if n else 0):
         for y, q in ((1, p), (0, 1 - p)):
             for v in range(3):
-                chance[y, v] = (q @ (votes == v - 1) + 0.5) / (q.sum() + 1.5)
+                model.chance[y, v] = (q @ (votes == v - 1) + 0.5) / (q.sum() + 1.5)
         shared = np.zeros((m, m))
-        for y, q in ((1, p), (0, 1 - p)):
-            middle = (q @ votes) / max(q.sum(), 1e-9)
-            rest = votes - middle
-            shared += (rest * q[:, None]).T @ rest
-        spread = np.sqrt(np.maximum(np.diag(shared), 1e-9))
+        for own in (votes[p > 0.5], votes[p <= 0.5]):
+            rest = own - own.mean(0) if len(own) else np.zeros((0, m))
+            shared += rest.T @ rest
+        spread = np.sqrt(np.maximum(np.diag(shared), 0.001 * n + 1e-9))
         correlation = shared / spread[:, None] / spread[None, :]
         np.fill_diagonal(correlation, 0)
-        weight = 1 / (1 + np.maximum(correlation, 0).sum(1))
-        prior = float(np.clip(0.5 * prior + 0.5 * p.mean(), 0.01, 0.5)) if n else prior
-        p = LabelModel(prior, chance, weight).posterior(votes)
-    return LabelModel(prior, chance, weight)
+        model.weight = 1 / (1 + np.maximum(correlation, 0).sum(1))
+        model.prior = float(np.clip(0.5 * model.prior + 0.5 * p.mean(), 0.01, 0.5))
+        p = np.where(marks != 0, given, model.posterior(votes))
+    return model, p
 
 
 @dataclass
@@ -190,8 +194,8 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Mines lexicons from labelled rows where `learn` holds; lets the voters vote on about `sample` rows where it holds, with a
-    row's annotation, where it has one, as one more voter; fits the label model on the votes and a logistic classifier on its
-    posteriors. Only votes and features come to the driver."""
+    row's annotation, where it has one, as an anchor; fits the label model on them and a logistic classifier on its posterior
+    labels. Only votes and features come to the driver."""
     lexicon = mine(docs, labels, learn, label_col, id_col, text_col)
     base = docs.where(learn & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     total = base.count()
@@ -205,18 +209,18 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
         voters = Voters(sent.value)
         for batch in slices(batches, "text"):
             votes, x = voters.look(batch.column(2))
-            votes = np.column_stack([votes, batch.column(1).to_numpy()]).astype(np.int8)
+            votes = np.column_stack([batch.column(1).to_numpy(), votes]).astype(np.int8)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in votes], pa.binary()), pa.array([r.astype("<f8").tobytes() for r in x], pa.binary())], names=["id", "votes", "x"])
 
     got = chosen.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, votes binary, x binary").toArrow().sort_by("id")
     empty_votes, empty_x = Voters(lexicon).look(pa.array(["-"]))
-    empty_votes = np.append(empty_votes, np.zeros((1, 1), np.int8), 1)
+    empty_votes = np.append(np.zeros((1, 1), np.int8), empty_votes, 1)
     votes = np.frombuffer(b"".join(got.column("votes").to_pylist()), np.int8).reshape(got.num_rows, empty_votes.shape[1])
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), "<f8").reshape(got.num_rows, empty_x.shape[1])
     if not len(x):
         votes, x = empty_votes, empty_x
-    model = fit_labels(votes, 0.1)
-    return Model(lexicon, model, logistic(x, model.posterior(votes), ridge=1e-4))
+    model, posterior = fit_labels(votes[:, 1:], 0.1, votes[:, 0])
+    return Model(lexicon, model, logistic(x, posterior, ridge=1e-4))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
