@@ -1,20 +1,71 @@
-"""The corpus pipeline: stages that each take what the stage before kept."""
+"""The corpus pipeline: from raw documents to token ids, in stages that each take all that the stage before kept.
+
+Every stage but the last returns the columns of `documents` (doc_id, text, lang, source, n_chars). Rows with a null id pass
+through the stages that compare documents by id; null and empty texts are rejected by the first stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from regolith.llm import bpe, decontaminate, language_id, line_dedup, near_dedup
+from regolith.llm.common import read, staged
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language cannot be told (no text or no letter in it) go; where `lang` is null the prediction fills it."""
+    model = language_id.train(docs, ~language_id.held_out())
+    # Predictions come with the document's row: its other columns travel as the id.
+    rows = docs.select(F.struct(*COLUMNS).alias("row"), "text")
+    found = language_id.identify(rows, model, id_col="row").where(F.col("lang_pred") != language_id.UNKNOWN)
+    return found.select(*[F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"row.{c}").alias(c) for c in COLUMNS])
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Long lines that five documents or more hold stay in the one with the largest id; n_chars follows the text."""
+    found = line_dedup.drop_lines(docs, line_dedup.keep_bitmaps(docs))
+    return found.select("doc_id", "text", "lang", "source", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
 
-STAGES: list = []
-#: The tokenizer's ids, SVM verdicts and MinHash groups are beyond SQL; tests compare every stage with a brute-force version.
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents with similar five-word shingles the one with the smallest id stays, in one row."""
+    kept = near_dedup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, as it is or edited, go."""
+    leaks = decontaminate.leaks(docs, read(spark, sf_dir, "benchmark"))
+    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document, with digests of the ids and of the bytes that they decode to."""
+    import public_tokenizers
+
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    found = bpe.encode(docs, ranks, decoded=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
+
+
+STAGES = [
+    ("language_id", languages),
+    ("line_dedup", lines),
+    ("near_dedup", near_duplicates),
+    ("decontamination", benchmark_leaks),
+    ("bpe", tokens),
+]
+#: SVM verdicts, components, alignments and a tokenizer's ids are beyond SQL; tests hold every stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from regolith.llm.common import read, staged
-
     docs = read(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = staged(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
