@@ -1,4 +1,4 @@
-"""All registered queries and the SQL that gives the same rows."""
+"""All registered queries, each with the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
@@ -6,5 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under a name, with its SQL."""
+
+    def register(function: Query) -> Query:
+        QUERIES[name] = function
+        if sql is not None:
+            SQL[name] = sql
+        return function
+
+    return register
+
+
+from regolith.plans import deformation_queries, knowledge_queries, pixel_queries  # noqa: E402, F401  they register
