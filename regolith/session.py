@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,3 +26,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
         own = df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         context.setCheckpointDir(own)
     return df.checkpoint()
+
+
+_SHIPPED: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """The session, with this package sent to its executors once, so that their Python finds it wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        home = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp()) / "regolith.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for file in sorted(home.rglob("*.py")):
+                out.write(file, file.relative_to(home.parent))
+        context.addPyFile(str(archive))
+        _SHIPPED.add(context.applicationId)
+    return spark
