@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regolith.functions import bands as b
-from regolith.operators import evidence, grid, pca, stats, unmixing
+from regolith.operators import batch, evidence, grid, pca, stats, unmixing
 from regolith.plans import views
 from regolith.plans.catalog import query
 
@@ -343,3 +343,27 @@ def unmix_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["B1", "B2", "B3", "B4"]
     members = np.array([[r[c] for r in rows] for c in names])
     return unmixing.unmix(views.raster(spark, sf_dir), names, members, [r["name"] for r in rows])
+
+
+#: Minerals for the batch queries: two with both methods' worth of formulas, one of low priority that is left out, one that cannot work.
+TARGETS = [
+    batch.Target("iron", 1, ratio="B1/B4"),
+    batch.Target("clay", 2, ratio="(B1+B4)/(B2+B3)"),
+    batch.Target("salt", 3, ratio="B2/B3"),
+    batch.Target("broken", 1, ratio="B1/B9"),
+]
+_BATCH = f"""WITH {views.RASTER}, ix AS (SELECT *, {_safe('B1', 'B4')} AS i, {_safe('B1 + B4', 'B2 + B3')} AS c FROM px), t AS (SELECT avg(i) + 2 * stddev_pop(i) AS ti, avg(c) + 2 * stddev_pop(c) AS tc FROM ix)"""
+
+
+@query("batch_results", f"""{_BATCH}, m AS (SELECT i, c, coalesce(i > ti, FALSE) AS mi, coalesce(c > tc, FALSE) AS mc, ti, tc FROM ix, t)
+SELECT 'iron' AS mineral, 1 AS priority, round(max(ti), 6) AS threshold, count(CASE WHEN mi THEN 1 END) AS n_anomaly, round(count(CASE WHEN mi THEN 1 END) / greatest(count(i), 1)::DOUBLE, 6) AS anomaly_ratio FROM m
+UNION ALL SELECT 'clay', 2, round(max(tc), 6), count(CASE WHEN mc THEN 1 END), round(count(CASE WHEN mc THEN 1 END) / greatest(count(c), 1)::DOUBLE, 6) FROM m
+UNION ALL SELECT 'broken', 1, NULL, 0, 0.0::DOUBLE""")
+def batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = batch.analyze(views.raster(spark, sf_dir), TARGETS, ["ratio"]).results
+    return found.select("mineral", "priority", F.round("threshold", 6).alias("threshold"), "n_anomaly", F.round("anomaly_ratio", 6).alias("anomaly_ratio"))
+
+
+@query("batch_scores", f"""{_BATCH} SELECT y, x, (CASE WHEN i > ti THEN 1.0 ELSE 0 END + CASE WHEN c > tc THEN 0.5 ELSE 0 END)::DOUBLE AS score FROM ix, t WHERE i > ti OR c > tc""")
+def batch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch.analyze(views.raster(spark, sf_dir), TARGETS, ["ratio"]).layers.where("score > 0").select("y", "x", "score")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regolith.functions import bands, text
-from regolith.operators import deformation, evidence, grid, knowledge, pca, runs, stats, unmixing
+from regolith.operators import batch, deformation, evidence, grid, knowledge, pca, runs, spatial, stats, unmixing
 
 
 def image(spark, layers, scene="s"):
@@ -184,3 +184,70 @@ def test_effective_sensor(spark):
     rows = [("ASTER", ["ASTER", "Landsat8"], ["Landsat8", "Sentinel2"]), ("Landsat8", ["Landsat8"], ["Landsat8"]), (None, [], ["ASTER"]), ("ASTER", ["ASTER"], ["Landsat8"])]
     df = spark.createDataFrame(rows, "p string, able array<string>, usable array<string>")
     assert [r[0] for r in df.select(knowledge.effective_sensor(F.col("p"), F.col("able"), F.col("usable"))).collect()] == ["Landsat8", "Landsat8", None, None]
+
+
+def test_batch_isolates_what_fails(spark):
+    own = np.random.default_rng(6)
+    layers = {f"B{k}": own.uniform(0.05, 0.3, (30, 30)) for k in range(1, 6)}
+    layers["B5"][10:14, 10:14] *= 3
+    layers["B2"][0, 0] = np.nan
+    px = image(spark, layers)
+    targets = [
+        batch.Target("clay", 1, ratio="B5/B4", pca=(["B2", "B3", "B4", "B5"], ["B5"], ["B4"])),
+        batch.Target("none", 2),
+        batch.Target("bad", 2, ratio="B5**2", pca=(["B9"], ["B9"], [])),
+        batch.Target("rare", 3, ratio="B1/B2"),
+    ]
+    roi = F.col("y") < 25
+    found = batch.analyze(px, targets, roi=roi)
+    rows = {(r.mineral, r.method): r for r in found.results.collect()}
+    assert set(found.warnings) == {("none", "ratio"), ("none", "pca"), ("bad", "ratio"), ("bad", "pca")} and len(rows) == 6
+    v = (layers["B5"] / layers["B4"])[:25].astype(float)
+    limit = v.mean() + 2 * v.std()
+    assert rows["clay", "ratio"].threshold == pytest.approx(limit) and rows["clay", "ratio"].n_anomaly == (v > limit).sum()
+    assert rows["clay", "ratio"].anomaly_ratio == pytest.approx((v > limit).sum() / 750) and rows["bad", "pca"].n_anomaly == 0
+    top = found.layers.agg(F.max("score"), F.count_if("high")).first()
+    assert top[0] == 1.0 and 0 < top[1] < 40 and found.layers.where("y >= 25 AND score > 0").count() == 0
+    only = batch.analyze(px, targets, ["ratio"], "median_mad", selected=["rare"]).results.collect()
+    assert [r.mineral for r in only] == ["rare"] and batch.supported_minerals("ASTER") == ["aloh", "carbonate", "ferrous", "silica", "propylitic"]
+    double = batch.spectral_composite(px.withColumns({"a": F.col("B1") > 0.1, "b": F.col("B2") > 0.2}), [("a", 1), ("b", 2)])
+    assert {(r.overlap, r.score, r.high) for r in double.where("B2 IS NOT NULL").select("overlap", "score", "high").distinct().collect()} == {(0, 0.0, False), (1, 1.0, False), (1, 0.5, False), (2, 1.5, True)}
+
+
+def test_scaling_needs_whole_bands(spark):
+    px = spark.createDataFrame([(2000.0, 5.0), (30.0, 1.0)], "B1 double, B2 double")
+    assert batch.scaled(px, ["B1", "B2"]).first().B1 == 0.2
+    assert batch.scaled(px.unionByName(spark.createDataFrame([(None, 1.0)], "B1 double, B2 double")), ["B1", "B2"]).first().B1 == 2000
+    assert batch.scaled(px.where("B1 < 1"), ["B1", "B2"]).count() == 0
+
+
+def test_resampling(spark):
+    grid_ = np.arange(20, dtype=float).reshape(4, 5)
+    grid_[0, 4] = np.nan
+    px = image(spark, {"value": grid_})
+    cells = spark.createDataFrame([("s", i, j) for i in range(7) for j in range(9)], "scene string, i int, j int")
+    row, column = spatial.zoom_place(F.col("i"), 4, 7), spatial.zoom_place(F.col("j"), 5, 9)
+    got = {(r.i, r.j): r.value for r in spatial.resample(px, cells, row, column).collect()}
+    assert len(got) == 63 and got[6, 8] == 19 and got[1, 1] == pytest.approx((0 + 1 + 5 + 6) / 4) and got[0, 8] is None and got[0, 7] == 3
+    near = {(r.i, r.j): r.value for r in spatial.resample(px, cells, row, column, method="nearest").collect()}
+    assert near[6, 8] == 19 and near[1, 1] == 6 and near[0, 8] is None
+    x, y = spatial.to_world((30.0, 0.0, 5.0, 0.0, -30.0, 9.0), F.lit(2.0), F.lit(3.0))
+    back = spark.range(1).select(x, y, *spatial.to_pixel((30.0, 0.0, 5.0, 0.0, -30.0, 9.0), x, y)).first()
+    assert tuple(back) == pytest.approx((65, -81, 2, 3))
+
+
+def test_smoothing_mirrors_the_edge(spark):
+    grid_ = np.random.default_rng(4).random((9, 12))
+    w = np.exp(-0.5 * (np.arange(-3, 4) / 0.8) ** 2)
+    w /= w.sum()
+    wide = np.pad(grid_, 3, mode="symmetric")
+    wanted = sum(w[i] * w[j] * wide[i : i + 9, j : j + 12] for i in range(7) for j in range(7))
+    for r in spatial.smoothed(image(spark, {"v": grid_}), "v", 0.8).collect():
+        assert r.v == pytest.approx(wanted[r.y, r.x])
+
+
+def test_boxes(spark):
+    points = spark.createDataFrame([("a", 1.0, 2.0), ("a", 3.0, -1.0), ("b", 9.0, 9.0)], "roi_id string, lon double, lat double")
+    boxes = spatial.bounding_boxes(points)
+    assert {tuple(r) for r in boxes.collect()} == {("a", 1, -1, 3, 2), ("b", 9, 9, 9, 9)}
+    assert {r.roi_id: r.usable for r in spatial.coverage(boxes, 3, 2, 5, 5).collect()} == {"a": True, "b": False}

@@ -6,7 +6,10 @@ import json
 import numpy as np
 import pytest
 
-from regolith.sources import rasters
+from pyspark.sql import functions as F
+
+from regolith.operators import knowledge
+from regolith.sources import projects, rasters
 from regolith.streaming import coherence
 
 
@@ -80,3 +83,34 @@ def test_stream_of_pairs(spark, tmp_path):
     started.stop()
     fit = spark.read.parquet(str(tmp_path / "fit")).first()
     assert fit.samples == 6 and fit.tau_days == pytest.approx(90, rel=0.02)
+
+
+def test_knowledge(spark, tmp_path):
+    own = {"mineral": "clay", "priority": 1, "sensor_ratio": {"ASTER": "B5/B6（low）"}, "crosta_pca": {"sensor": "ASTER", "input_bands": ["B1", "B4"], "landsat8_bands": ["B2"], "pc_criterion": {"positive_bands": ["B4"]}}}
+    base = [{"commodity": "gold", "deposit_types": [{"type_name": "vein", "alterations": [own, {"mineral": "iron", "sensor_ratio": {}}]}]}, {"commodity": "late", "deposit_types": [{"type_name": "vein", "alterations": []}, {"type_name": "skarn", "alterations": [own]}]}]
+    (tmp_path / "kb.json").write_text(json.dumps({"commodities": base}))
+    rows = projects.read_knowledge(spark, str(tmp_path / "kb.json"))
+    assert sorted((r.commodity, r.deposit, r.a_pos, r.mineral) for r in rows.collect()) == [("gold", "vein", 0, "clay"), ("gold", "vein", 1, "iron"), ("late", "skarn", 0, "clay")]
+    found = knowledge.targets(rows.where("deposit = 'vein'"), F.lit("ASTER")).collect()
+    assert [(r.mineral, r.ratio_expr, r.pca_bands) for r in found] == [("clay", "B5/B6", ["B1", "B4"])]
+    assert [r.pca_bands for r in knowledge.targets(rows, F.lit("Landsat8")).collect()] == [["B2"], ["B2"]] and knowledge.targets(rows, F.lit("Sentinel2")).count() == 0
+
+
+def test_pairs_lines_projects(spark, tmp_path):
+    for name, meta in (("p1", {"master_date": "2024-01-01", "slave_date": "2024-01-13", "temporal_baseline_days": 12}), ("p2", {"master_date": "2024-01-01", "slave_date": "2024-02-01"})):
+        (tmp_path / "aoi" / name).mkdir(parents=True)
+        (tmp_path / "aoi" / name / "metadata.json").write_text(json.dumps(meta, indent=1))
+    assert sorted((r.pair_id, r.baseline) for r in projects.read_pairs(spark, str(tmp_path / "aoi")).collect()) == [("p1", 12), ("p2", 31)]
+    assert [tuple(r) for r in projects.list_projects(spark, str(tmp_path / "aoi")).collect()] == [("p1", 1), ("p2", 1)]
+    features = [{"geometry": {"type": "LineString", "coordinates": [[0, 1], [2, 3]]}}, {"geometry": None}, {"geometry": {"type": "MultiLineString", "coordinates": [[[5, 5], [6, 6]], [[7, 7], [8, 8]]]}}, {"geometry": {"type": "Point", "coordinates": [1, 1]}}]
+    (tmp_path / "l.geojson").write_text(json.dumps({"features": features}))
+    rows = projects.read_lines(spark, str(tmp_path / "l.geojson")).collect()
+    assert sorted((r.line_id, r.seq, r.lon) for r in rows) == [("l.geojson/0/0", 0, 0), ("l.geojson/0/0", 1, 2), ("l.geojson/2/0", 0, 5), ("l.geojson/2/0", 1, 6), ("l.geojson/2/1", 0, 7), ("l.geojson/2/1", 1, 8)]
+
+
+def test_calibration_and_synthetic_scene(spark):
+    row = spark.createDataFrame([([1, -9, 3], [2.0, 2.0, 2.0], [0.5, 0.5, 0.5])], "d array<int>, g array<double>, o array<double>")
+    assert row.select(projects.calibrated(row.d, row.g, row.o, -9)).first()[0] == [2.5, None, 6.5]
+    scene = projects.synthetic_scene(spark, 3, 20, 30)
+    assert scene.count() == 600 and scene.agg(F.min("B1"), F.max("B3")).first()[0] >= 100 and scene.where("y = 7 AND x = 10").first().B2 == 2800
+    assert scene.orderBy("y", "x").collect() == projects.synthetic_scene(spark, 3, 20, 30).orderBy("y", "x").collect()
