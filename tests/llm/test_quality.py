@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from regolith.llm import boosting, quality_bayes, quality_rules, queries, statistics
 
@@ -70,6 +71,17 @@ def check_accuracy(spark, rows, least_good, least_bad):
     assert np.mean(good) > least_good and 1 - np.mean(bad) > least_bad, (np.mean(good), np.mean(bad))
 
 
+def test_rules_on_documents_that_they_were_not_fitted_on(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    forest = quality_rules.train(docs, labels.where("doc_id % 2 = 0"))
+    evidence = quality_bayes.train(docs, labels.where("doc_id % 2 = 0"))
+    other = docs.where("doc_id % 2 = 1")
+    check_accuracy(spark, quality_rules.judge(other, forest).collect(), 0.98, 0.95)
+    sources = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 2 = 1")
+    check_accuracy(spark, quality_bayes.classify(sources, evidence, F.col("source"), F.col("lang")).collect(), 0.97, 0.9)
+
+
 def test_query_op4(spark):
     rows = queries.op4_quality_rules(spark, "/root/testdata/sf0.1").collect()
     check_accuracy(spark, rows, 0.98, 0.9)
