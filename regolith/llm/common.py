@@ -35,7 +35,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hot_keys(counts: DataFrame, keys: list[str], n: str = "n", least: int = 5000) -> DataFrame:
+def hot_keys(counts: DataFrame, keys: list[str], n: str = "n", least: int = 500) -> DataFrame:
     """The keys of a counted table with more than `least` rows and more than total / HOT_KEYS; so there are at most HOT_KEYS."""
     total = counts.agg(F.sum(n)).first()[0] or 0
     return counts.where(F.col(n) > max(least, total / HOT_KEYS)).select(*keys)

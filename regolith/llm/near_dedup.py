@@ -117,7 +117,8 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. The rows of a hot a are split by salt."""
-    degree = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > 1000).select("a", F.ceil(F.col("n") / 1000).cast("int").alias("salts"))
+    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    degree = F.broadcast(counts.join(F.broadcast(hot_keys(counts, ["a"])), "a", "left_semi").select("a", F.ceil(F.col("n") / 1000).cast("int").alias("salts")))
     left = pairs.join(degree, "a", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
     with_b = left.join(sets.select(F.col("doc").alias("b"), F.col("own").alias("own_b")), "b")
     centres = sets.select(F.col("doc").alias("a"), F.col("own").alias("own_a")).join(degree, "a", "left")
@@ -163,11 +164,11 @@ def _pairs_in_small(mixed: DataFrame) -> DataFrame:
     return left.join(right, "bucket").where("a < b AND la <> lb").select("a", "b", "na", "nb")
 
 
-def _links_in_large(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links_in_large(mixed: DataFrame, sets: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
     """The links of sets outside their large bucket's main group with that bucket's other groups. A bucket's sets are dealt to
     blocks by hash, about BLOCK_SHINGLES in each; each pair of blocks is a row, and its sets are compared in the task."""
     total = mixed.groupBy("bucket").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    dealt = mixed.join(total, "bucket").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    dealt = join_unique(mixed, total, ["bucket"], hot).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     full = dealt.join(sets, "doc")
     one = F.struct("doc", "label", "own")
     blocks = staged(full.groupBy("bucket", "block").agg(F.collect_list(one).alias("all")), "blocks")
@@ -237,9 +238,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     mixed = staged(join_unique(labelled, mains, ["bucket"], hot_buckets), "mixed")
     fits = f"100 * least(na, nb) >= {int(percent)} * greatest(na, nb)"
     pairs = _pairs_in_small(mixed.where(F.col("size") <= SMALL_BUCKET)).where(fits).select("a", "b").distinct()
-    pairs = pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = _confirmed(pairs, sets, percent).unionByName(_links_in_large(mixed.where(F.col("size") > SMALL_BUCKET), sets, percent))
-    final = components(links.unionByName(staged(more, "more-links")))
+    pairs = staged(pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    more = _confirmed(pairs, sets, percent).unionByName(_links_in_large(mixed.where(F.col("size") > SMALL_BUCKET), sets, hot_buckets, percent))
+    more = staged(more, "more-links")
+    # A component's links are as good as its nodes' links with its smallest one, and need fewer rounds.
+    known = label.where("doc <> component").select(F.col("doc").alias("a"), F.col("component").alias("b"))
+    final = label if more.isEmpty() else components(known.unionByName(more))
 
     named = classes.join(final.withColumnRenamed("doc", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component_id"))
     grouped = join_unique(sound.select("doc", "n", "fp1", "fp2"), named, ["fp1", "fp2"], hot).select("doc", "n", "component_id")
