@@ -22,6 +22,8 @@ CENTRES = 2
 SMALL_BUCKET = 64
 #: Shingles in a block, about.
 BLOCK_SHINGLES = 40_000
+#: Classes, buckets and centres of more rows can be hot; the rows of stars are so short that they may be ten times as many.
+HOT_ROWS = 500
 _STEP = U64(0x9E3779B97F4A7C15)
 
 
@@ -118,7 +120,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. The rows of a hot a are split by salt."""
     counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    degree = F.broadcast(counts.join(F.broadcast(hot_keys(counts, ["a"])), "a", "left_semi").select("a", F.ceil(F.col("n") / 1000).cast("int").alias("salts")))
+    degree = F.broadcast(counts.join(F.broadcast(hot_keys(counts, ["a"], least=HOT_ROWS)), "a", "left_semi").select("a", F.ceil(F.col("n") / 1000).cast("int").alias("salts")))
     left = pairs.join(degree, "a", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
     with_b = left.join(sets.select(F.col("doc").alias("b"), F.col("own").alias("own_b")), "b")
     centres = sets.select(F.col("doc").alias("a"), F.col("own").alias("own_a")).join(degree, "a", "left")
@@ -218,10 +220,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     signed = staged(_signed(texts, words, bands, rows), "signatures")
     sound = signed.where("doc IS NOT NULL AND n > 0")
     classes = staged(sound.groupBy("fp1", "fp2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "classes")
-    hot = staged(hot_keys(classes, ["fp1", "fp2"], "copies"), "hot-classes")
+    hot = staged(hot_keys(classes, ["fp1", "fp2"], "copies", HOT_ROWS), "hot-classes")
     reps = signed.join(classes.select("fp1", "fp2", F.col("rep").alias("doc")), ["fp1", "fp2", "doc"], "left_semi").select("doc", "n", F.explode("bands").alias("bucket"))
     buckets = staged(reps.groupBy("bucket").agg(F.count("*").alias("size"), F.min("doc").alias("centre")).where("size > 1"), "buckets")
-    hot_buckets = staged(hot_keys(buckets.select("bucket", F.col("size").alias("n")), ["bucket"]), "hot-buckets")
+    hot_buckets = staged(hot_keys(buckets.select("bucket", F.col("size").alias("n")), ["bucket"], least=HOT_ROWS), "hot-buckets")
     members = staged(join_unique(reps, buckets, ["bucket"], hot_buckets), "members")
 
     met = members.where("doc <> centre").groupBy(F.col("centre").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("together"))
