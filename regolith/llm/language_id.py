@@ -17,8 +17,8 @@ from regolith.llm.textscan import buffer_of
 
 UNKNOWN = "und"
 BITS = 11
-#: Documents of each language that the classifiers are fitted on, on average at most.
-SAMPLE = 400
+#: Documents of each language, and of all, that the classifiers are fitted on, on average at most.
+SAMPLE, SAMPLE_OF_ALL = 400, 8000
 #: Fixed: families of languages by their codes. A code that is not here is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af lb fy yi",
@@ -101,9 +101,10 @@ def _rows(column: pa.Array) -> Iterator[np.ndarray]:
 
 def train(docs: DataFrame, learn: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model | None:
     """Fits on rows where `learn` holds and the language is known, chosen by a hash of their id, about `sample` of each
-    language. Only their vectors of 2**BITS numbers come to the driver. None if there are no such rows."""
+    language and SAMPLE_OF_ALL in all. Only their vectors of 2**BITS numbers come to the driver. None if there are no such rows."""
     known = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language
+    sample = max(1, min(sample, SAMPLE_OF_ALL // max(1, counts.count())))
     chosen = known.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("id", F.lit(9)), F.greatest("n", F.lit(sample))) < sample)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
