@@ -140,7 +140,9 @@ class Voters:
             np.where((known > 0) & (known / length >= 0.004), 1, 0),
         ]
         votes = np.column_stack([groups * (per_word >= 0.004)[:, None], shards * (per_word >= 0.004)[:, None], *marks]).astype(np.int8)
-        features = np.column_stack([np.log1p(hits), np.minimum(per_word, 0.2) * 20, np.sqrt(np.minimum(per_word, 0.2)) * 5, np.minimum(power / length, 1) * 5, top / 3, np.log1p(known), np.minimum(known / length, 0.2) * 20, np.log1p(words) / 5])
+        # How hits and their odds stand to what a text of that length has by chance: long clean texts have some.
+        excess = [np.log((hits + 0.5) / (0.01 * words + 0.5)), np.log((power + 1) / (0.04 * words + 1)), np.log((known + 0.5) / (0.01 * words + 0.5))]
+        features = np.column_stack([*excess, np.log1p(hits), np.minimum(per_word, 0.2) * 20, np.sqrt(np.minimum(per_word, 0.2)) * 5, np.minimum(power / length, 1) * 5, top / 3, np.log1p(known), np.minimum(known / length, 0.2) * 20, np.log1p(words) / 5])
         return votes, features
 
 
