@@ -161,7 +161,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _pairs_in_small(mixed: DataFrame) -> DataFrame:
     """The pairs of different groups in small buckets, each with one set outside its bucket's main group."""
-    left = mixed.select("bucket", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("label").eqNullSafe(F.col("main")).alias("ma"))
+    left = mixed.select("bucket", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     right = mixed.select("bucket", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     return left.join(right, "bucket").where("a < b AND la <> lb").select("a", "b", "na", "nb")
 

@@ -3,6 +3,7 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -104,4 +105,8 @@ def test_query_op2(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     out = queries.op2_near_dedup(spark, "/root/testdata/sf0.01").collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(rows, 2)
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    wanted = con.execute(f"SELECT doc_id, n_shingles, component_id, kept FROM ({queries.SQL['op2_near_dedup']})").fetchall()
+    assert sorted(wanted) == sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out)
     assert sum(not r.kept for r in out) > 20
