@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -79,7 +81,9 @@ def find(text: str) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    base = [(a, b) for _, a, b in found]
+    # A place lies in a base span if, of the spans that start no later, one ends no earlier.
+    base = sorted((a, b) for _, a, b in found)
+    begins, reach = [a for a, _ in base], list(itertools.accumulate((b for _, b in base), max, initial=-1))
     for m in CANDIDATE.finditer(text):
         own = m[0]
         if any(p.fullmatch(own) for p in ALLOWED):
@@ -87,7 +91,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
         window, least = next((w, bits) for _, p, w, bits in CLASSES if p.fullmatch(own))
         for a, b in high_entropy(own, window, least):
             a, b = a + m.start(), b + m.start()
-            if not any(x <= a and b <= y for x, y in base):
+            if reach[bisect_right(begins, a)] < b:
                 found.append(("entropy", a, b))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
