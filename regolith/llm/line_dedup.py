@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -163,9 +164,11 @@ def kept_bits(keep: bytes | None, n: int) -> np.ndarray:
 
 def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the lines that their bitmaps drop: text_col changes, n_lines and n_dropped (long) come; other columns pass.
-    A null text stays null and counts one line. Columns of docs named like the new ones are replaced."""
-    at = docs.drop("n_lines", "n_dropped").withColumns({"_row": _identity(F.col(text_col)), "_id": F.col(id_col)})
-    marks = bitmaps.select(F.col(id_col).alias("_id"), F.col("row").alias("_row"), F.col("keep").alias("_keep"))
+    A null text stays null and counts one line. Columns of docs named like the new ones are replaced; other names are free."""
+    taken = {c.lower() for c in docs.columns}
+    own_id, own_row, own_keep, own_cut = (next(n for k in itertools.count() if (n := f"_{name}{k}") not in taken) for name in ("id", "row", "keep", "cut"))
+    at = docs.drop("n_lines", "n_dropped").withColumns({own_row: _identity(F.col(text_col)), own_id: F.col(id_col)})
+    marks = bitmaps.select(F.col(id_col).alias(own_id), F.col("row").alias(own_row), F.col("keep").alias(own_keep))
 
     @F.arrow_udf("text string, n_lines long, n_dropped long")
     def cut(texts: pa.Array, keeps: pa.Array) -> pa.Array:
@@ -182,6 +185,6 @@ def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text
                 gone.append(len(lines) - int(bits.sum()))
         return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], ["text", "n_lines", "n_dropped"])
 
-    joined = at.join(marks, ["_id", "_row"], "left").withColumn("_cut", cut(F.col(text_col), F.col("_keep")))
-    names = [F.col("_cut.text").alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return joined.select(*names, F.col("_cut.n_lines").alias("n_lines"), F.col("_cut.n_dropped").alias("n_dropped"))
+    joined = at.join(marks, [own_id, own_row], "left").withColumn(own_cut, cut(F.col(text_col), F.col(own_keep)))
+    names = [F.col(f"{own_cut}.text").alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return joined.select(*names, F.col(f"{own_cut}.n_lines").alias("n_lines"), F.col(f"{own_cut}.n_dropped").alias("n_dropped"))

@@ -49,6 +49,14 @@ def test_against_brute_force(spark):
     assert found(docs.limit(0)) == []
 
 
+def test_columns_of_any_name_pass(spark):
+    line = "A long line that five documents of this table hold"
+    docs = spark.createDataFrame([(i, line, f"a{i}", i, "k", "c", -1) for i in range(6)], "doc_id long, text string, _row string, _id0 int, _keep0 string, _cut string, n_lines long")
+    rows = line_dedup.drop_lines(docs, line_dedup.keep_bitmaps(docs)).orderBy("doc_id").collect()
+    assert [(r._row, r._id0, r._keep0, r._cut, r.n_lines, r.n_dropped) for r in rows] == [(f"a{i}", i, "k", "c", 1, int(i < 5)) for i in range(6)]
+    assert [r.text for r in rows] == [""] * 5 + [line]
+
+
 def test_one_key_over_many_partitions(spark):
     rows = [(i, "The same long line in every document of this table\nown line %d" % i) for i in range(500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
