@@ -84,7 +84,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regolith.llm import token_files
 
     definition = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
-    folder, files = token_files.write(read(spark, sf_dir, "documents"), definition)
+    folder, files = token_files.write(read(spark, sf_dir, "documents"), definition, special=True)
     return token_files.read_files(spark, folder, files)
 
 

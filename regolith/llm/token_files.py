@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -88,18 +89,20 @@ def _byte_letters() -> dict[int, str]:
 
 
 @functools.cache
-def _library(definition: str) -> tuple[object, Remembered | None]:
-    """The library's tokenizer; for a plain byte-level one also an encoder that gives it each distinct pretoken once."""
+def _library(definition: str, special: bool) -> tuple[object, Remembered | None, tuple[str, ...]]:
+    """The library's tokenizer; for a plain byte-level one also an encoder that gives it each distinct pretoken once, for texts
+    that hold none of the strings that come last."""
     import json
 
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(definition)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not special
     parsed = json.loads(definition)
+    added = tuple(t["content"] for t in parsed.get("added_tokens") or [] if special or not t["special"])
     split = parsed["pre_tokenizer"] or {}
     if parsed["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
-        return tokenizer, None
+        return tokenizer, None, added
     tokenize, letters = tokenizer.model.tokenize, _byte_letters()
 
     def fresh(data, starts, lengths, hashes):
@@ -107,17 +110,32 @@ def _library(definition: str) -> tuple[object, Remembered | None]:
         found = [[t.id for t in tokenize(text[s : s + n])] for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
         return np.array([x for ids in found for x in ids], np.int32), np.array([len(ids) for ids in found], np.int64)
 
-    return tokenizer, Remembered(fresh)
+    return tokenizer, Remembered(fresh), added
 
 
-def encode_texts(definition: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts without special tokens, and where those of each text start (with the total last)."""
-    tokenizer, remembered = _library(definition)
-    if remembered is not None:
+def encode_texts(definition: str, texts: pa.Array, special: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts with no special tokens put around them, and where those of each text start (with the total last).
+    special: as in write()."""
+    tokenizer, remembered, added = _library(definition, special)
+
+    def whole(some: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in tokenizer.encode_batch_fast([t or "" for t in some.to_pylist()], add_special_tokens=False)]
+        return np.array([x for own in ids for x in own], np.int32), np.array([len(own) for own in ids], np.int64)
+
+    if remembered is None:
+        ids, counts = whole(texts)
+        return ids, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    holds = np.zeros(len(texts), bool)
+    for content in added:
+        holds |= pc.match_substring(texts, content).fill_null(False).to_numpy(zero_copy_only=False)
+    if not holds.any():
         return remembered.encode(texts)
-    found = tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
-    ids = [e.ids for e in found]
-    return np.array([x for own in ids for x in own], np.int32), np.concatenate([[0], np.cumsum([len(own) for own in ids])]).astype(np.int64)
+    # The library splits a text at its added tokens first: texts that hold one go through it whole.
+    ids, offsets = remembered.encode(pc.if_else(pa.array(holds), pa.scalar(None, texts.type), texts))
+    own, counts = whole(texts.filter(pa.array(holds)))
+    more = np.zeros(len(texts) + 1, np.int64)
+    more[1:][holds] = counts
+    return np.insert(ids, np.repeat(offsets[:-1][holds], counts), own), offsets + np.cumsum(more)
 
 
 def _opened(folder: str):
@@ -129,7 +147,7 @@ def _opened(folder: str):
     return store, top
 
 
-def write(docs: DataFrame, definition: str, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
+def write(docs: DataFrame, definition: str, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> tuple[str, DataFrame]:
     """Encodes every whole text with the tokenizers library, appends end_id, and writes the ids in ascending order of id.
 
     The texts are range-partitioned by id and sorted; each task writes its files (ids-<partition>-<number>.pfor) under `path`,
@@ -137,7 +155,8 @@ def write(docs: DataFrame, definition: str, path: str | None = None, end_id: int
 
     Returns the folder, and the files as a table: file (string), start (long: ids in the files before it), docs, ids (long).
     Null ids come first; null and empty texts have end_id alone; equal ids keep any order; extra columns are not written; an
-    empty table has no files. definition: the tokenizer's JSON, a fixed vocabulary of a few MB.
+    empty table has no files. definition: the tokenizer's JSON, a fixed vocabulary of a few MB. special: whether the strings of its
+    special tokens have their ids where they stand in a text, as in the library unless it is told otherwise, or are plain text.
     """
     spark = docs.sparkSession
     folder = path or f"{shared_dir(spark).rstrip('/')}/token-ids-{uuid.uuid4().hex}"
@@ -164,7 +183,7 @@ def write(docs: DataFrame, definition: str, path: str | None = None, end_id: int
             return pa.RecordBatch.from_pydict({"file": [name], "docs": [len(names)], "ids": [len(joined)]})
 
         for batch in slices(batches, "text"):
-            own, offsets = encode_texts(sent.value, batch.column(1))
+            own, offsets = encode_texts(sent.value, batch.column(1), special)
             own = np.insert(own, offsets[1:], end_id)
             offsets = offsets + np.arange(len(offsets))
             ids.append(own.astype(np.uint32))

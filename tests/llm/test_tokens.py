@@ -110,3 +110,26 @@ def test_query_op8(spark):
         ids = [*library.encode(d.text, add_special_tokens=False).ids, 2]
         assert (found[d.doc_id].start, found[d.doc_id].n_tokens, found[d.doc_id].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def test_query_op8_splits_at_added_tokens(spark, tmp_path):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["end<|endoftext|>next", "plain", "<|endoftext|>", None, "", " <|endoftext|> <|endoftext|>\n x", "<|endoftext|", "more plain text", *odd_texts(100, 5)]
+    assert library.encode(texts[0], add_special_tokens=False).ids == [437, 50256, 19545]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in queries.op8_token_files(spark, str(tmp_path)).collect()}
+    start = 0
+    for i, t in enumerate(texts):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
+        assert (found[i].start, found[i].n_tokens, found[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), t
+        start += len(ids)
+
+
+def test_added_tokens_that_are_not_special():
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.add_tokens(["foo bar"])
+    texts = ["a foo bar b", None, "foo", "foo bar", "x<|endoftext|>foo bar"]
+    for special in (False, True):
+        library.encode_special_tokens = not special
+        ids, offsets = token_files.encode_texts(library.to_str(), pa.array(texts), special)
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
