@@ -30,11 +30,14 @@ CLASSES = (
     ("letters", re.compile(r"[A-Za-z]+"), 20, 3.85),
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 20, 3.7),
 )
-#: What is never a secret though it looks random: UUIDs, alphabets and digits in order, words and paths without digits,
-#: identifiers of short words between dashes or slashes.
+#: Within a candidate of a wider class, runs of hex digits that are not all decimal have their own least entropy.
+HEX_RUN = re.compile(r"(?![0-9]+(?![0-9a-fA-F]))[0-9a-fA-F]{20,}")
+#: Alphabets and digits in order: no window that overlaps one counts.
+SEQUENCE = re.compile(r"(?i:abcdefghijkl|0123456789|qwertyuiop)")
+#: What is never a secret though it looks random: UUIDs, words and paths without digits, identifiers of short words between
+#: dashes or slashes.
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),
-    re.compile(r"(?i).*(?:abcdefghijkl|0123456789|qwertyuiop).*"),
     re.compile(r"[A-Z]?[a-z]+"),
     re.compile(r"[A-Z]+"),
     re.compile(r"(?:[A-Za-z]{1,15}[0-9]{0,4}|[0-9]{1,4})(?:[-_/+=]+(?:[A-Za-z]{1,15}[0-9]{0,4}|[0-9]{1,4}))+"),
@@ -73,6 +76,28 @@ def high_entropy(text: str, window: int, least: float) -> list[tuple[int, int]]:
     return out
 
 
+def entropy_spans(candidate: str) -> list[tuple[int, int]]:
+    """The unions of overlapping windows of a candidate that have the least entropy of its class or, in a run of hex digits, of
+    that class, and overlap no sequence."""
+    name, window, least = next((n, w, bits) for n, p, w, bits in CLASSES if p.fullmatch(candidate))
+    hex_window, hex_least = next((w, bits) for n, _, w, bits in CLASSES if n == "hex")
+    cuts = [0, *itertools.chain.from_iterable(m.span() for m in SEQUENCE.finditer(candidate)), len(candidate)]
+    spans = []
+    for begin, end in zip(cuts[::2], cuts[1::2], strict=True):
+        part = candidate[begin:end]
+        spans += [(begin + a, begin + b) for a, b in high_entropy(part, window, least)]
+        if name == "base64":
+            for m in HEX_RUN.finditer(part):
+                spans += [(begin + m.start() + a, begin + m.start() + b) for a, b in high_entropy(m[0], hex_window, hex_least)]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """The spans (kind, start, end) in code points, end exclusive, by start and then kind."""
     found = []
@@ -88,8 +113,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
         own = m[0]
         if any(p.fullmatch(own) for p in ALLOWED):
             continue
-        window, least = next((w, bits) for _, p, w, bits in CLASSES if p.fullmatch(own))
-        for a, b in high_entropy(own, window, least):
+        for a, b in entropy_spans(own):
             a, b = a + m.start(), b + m.start()
             if reach[bisect_right(begins, a)] < b:
                 found.append(("entropy", a, b))
@@ -101,8 +125,9 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and then kind.
 
     assign, access and hex are the fixed patterns' leftmost matches that do not overlap. entropy: in strings of 20 and more
-    letters, digits and +/_=-, the windows whose Shannon entropy is high for the string's character class, unless the string is
-    on the allow list or a fixed pattern has found the place.
+    letters, digits and +/_=-, the windows whose Shannon entropy is high for the string's character class or for that of the run of
+    hex digits that they lie in, unless the string is on the allow list, the window overlaps an alphabet or digits in order, or a
+    fixed pattern has found the place.
 
     A row for each row of docs; null and empty texts have no spans; null ids stay null; other columns do not pass.
     """

@@ -78,3 +78,24 @@ def test_query_op6(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
         assert set(f"{k}:{a}:{b}" for k, a, b in base) <= set(r.spans.split(","))
     assert sum("entropy" in r.spans for r in rows) < 30
+
+
+def test_hex_keys_behind_a_prefix_are_found():
+    own = random.Random(7)
+    for prefix in ("key_", "id=", "a/b-", "session-id/"):
+        for _ in range(300):
+            key = "".join(own.choice("0123456789ABCDEF") for _ in range(32))
+            if secrets.SEQUENCE.search(key):
+                continue
+            alone, behind = secrets.find(f"see {key} now"), secrets.find(f"see {prefix}{key} now")
+            assert {k - 4 for _, a, b in alone for k in range(a, b)} <= {k - 4 - len(prefix) for _, a, b in behind for k in range(a, b)}, key
+    for clean in ("order_12345678901234567890123", "id=2024010203040506070809", "cafe_" + "0" * 20 + "AB"):
+        assert secrets.find(clean) == [], clean
+
+
+def test_sequences_hide_only_windows_that_overlap_them():
+    key = "9fK2xQ7vLm3Rt8Wz1BpYc5Hd"
+    for sequence in ("0123456789", "qwertyuiop", "ABCDEFGHIJKL"):
+        assert secrets.find(f"{sequence}{key}") == [("entropy", len(sequence), len(sequence) + len(key))]
+        assert secrets.find(f"{key}/{sequence}/{key}")[0][1] == 0 and len(secrets.find(f"{key}/{sequence}/{key}")) == 2
+        assert "entropy" not in [k for k, *_ in secrets.find(f"{sequence}{sequence}{sequence}")]
