@@ -1,4 +1,4 @@
-"""Toxicity by weak supervision: lexicon and pattern voters, a generative model of their votes, a linear classifier."""
+"""Toxicity by weak supervision: lexicon and density voters, a generative model of their votes, a linear classifier."""
 
 from __future__ import annotations
 
@@ -15,7 +15,8 @@ from regolith.llm.common import slices
 from regolith.llm.linear import logistic, sigmoid
 from regolith.llm.textscan import U64, HashTable, buffer_of, mix, span_hashes, spans_outside
 
-#: Labelled rows that lexicons are mined from, and rows that the label model and the classifier see; on average at most.
+#: Labelled rows that lexicons are mined from; labelled rows, and as many unlabelled ones, that the label model and the classifier
+#: see; on average at most.
 MINED_FROM, SAMPLE = 12_000, 6_000
 #: Entries of the mined lexicon, and the voters that share them.
 ENTRIES, SHARDS = 4096, 12
@@ -70,12 +71,30 @@ def fixed_words() -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(data, places[:-1], places[1:], lower=True), np.array(list(group.values()))
 
 
+def annotated(labels: DataFrame, learn: Column, label_col: str, id_col: str) -> DataFrame:
+    """id and label (0 or 1) of the labelled rows where `learn` holds, one for each id; 1 where annotations differ."""
+    known = labels.where(learn & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    return known.where("label IN (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
+
+
+def stratified(known: DataFrame, sample: int, seed: int) -> tuple[DataFrame, int, int]:
+    """About `sample` of the rows that annotated() gives, half of them of each label or, where one has fewer, all of that one and
+    more of the other; and the numbers of clean and of toxic rows that they were drawn from."""
+    sides = known.agg(F.count_if(F.col("label") == 0).alias("clean"), F.count_if(F.col("label") == 1).alias("toxic")).first()
+    toxic = min(sides.toxic, max(sample // 2, sample - sides.clean))
+    clean = min(sides.clean, sample - toxic)
+
+    def by_label(of_toxic: int, of_clean: int) -> Column:
+        return F.when(F.col("label") == 1, F.lit(of_toxic)).otherwise(F.lit(of_clean)).cast("long")
+
+    chosen = F.pmod(F.xxhash64("id", F.lit(seed)), by_label(max(sides.toxic, 1), max(sides.clean, 1))) < by_label(toxic, clean)
+    return known.where(chosen), sides.clean, sides.toxic
+
+
 def mine(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = MINED_FROM) -> Lexicon:
     """The words and word beginnings that labelled toxic documents hold and others don't, of about `sample` labelled rows where
-    `learn` holds. Documents are counted in Spark; the ENTRIES best ones come to the driver."""
-    known = labels.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    total = known.count()
-    chosen = known.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(max(total, sample))) < sample).dropDuplicates(["id"])  # about `sample` rows
+    `learn` holds, stratified by label. Documents are counted in Spark; the ENTRIES best ones come to the driver."""
+    chosen, _, _ = stratified(annotated(labels, learn, label_col, id_col), sample, 7)
     sides = chosen.agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("clean")).first()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("label", "text")
 
@@ -161,10 +180,11 @@ class LabelModel:
         return sigmoid(np.log(self.prior / (1 - self.prior)) + each @ self.weight)
 
 
-def fit_labels(votes: np.ndarray, prior: float, marks: np.ndarray | None = None, rounds: int = 40) -> tuple[LabelModel, np.ndarray]:
+def fit_labels(votes: np.ndarray, prior: float, marks: np.ndarray | None = None, rounds: int = 40, weights: np.ndarray | None = None) -> tuple[LabelModel, np.ndarray]:
     """Expectation maximisation: the model, and each row's probability of label 1. In each round the voters' correlations within
     the likelier label are estimated, and a voter that agrees with others beyond the label counts less: 1 / (1 + the sum of its
-    positive correlations). marks: 1 or -1 where an annotator has decided, which is taken as SURE; 0 elsewhere."""
+    positive correlations). marks: 1 or -1 where an annotator has decided, which is taken as SURE; 0 elsewhere. weights:
+    how many rows each stands for in the prior, where labels were drawn at different rates."""
     n, m = votes.shape
     marks = np.zeros(n, int) if marks is None else marks
     given = np.where(marks > 0, SURE, 1 - SURE)
@@ -182,7 +202,7 @@ def fit_labels(votes: np.ndarray, prior: float, marks: np.ndarray | None = None,
         correlation = shared / spread[:, None] / spread[None, :]
         np.fill_diagonal(correlation, 0)
         model.weight = 1 / (1 + np.maximum(correlation, 0).sum(1))
-        model.prior = float(np.clip(0.5 * model.prior + 0.5 * p.mean(), 0.01, 0.5))
+        model.prior = float(np.clip(0.5 * model.prior + 0.5 * np.average(p, weights=weights), 0.01, 0.5))
         p = np.where(marks != 0, given, model.posterior(votes))
     return model, p
 
@@ -195,16 +215,20 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Mines lexicons from labelled rows where `learn` holds; lets the voters vote on about `sample` rows where it holds, with a
-    row's annotation, where it has one, as an anchor; fits the label model on them and a logistic classifier on its posterior
-    labels. Only votes and features come to the driver."""
+    """Mines lexicons from labelled rows where `learn` holds; lets the voters vote on about `sample` labelled rows where it holds,
+    stratified by label, and on about `sample` documents' rows, of which those without a label are taken; fits the label model on
+    them, with annotations as anchors, and a logistic classifier on its posterior labels. Prior and bias are those of the labels'
+    own shares. Only votes and features come to the driver."""
     lexicon = mine(docs, labels, learn, label_col, id_col, text_col)
     base = docs.where(learn & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     total = base.count()
     among = F.pmod(F.xxhash64("id", F.lit(8)), F.lit(max(total, sample))) < sample
-    given = labels.where(learn & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(among)
-    marks = given.groupBy("id").agg(F.max("label").alias("label"))  # about `sample` rows at most
-    chosen = base.where(among).join(F.broadcast(marks), "id", "left").select("id", F.when(F.col("label") == 1, 1).when(F.col("label") == 0, -1).otherwise(0).alias("mark"), "text")
+    known = annotated(labels, learn, label_col, id_col)
+    picked, n_clean, n_toxic = stratified(known, sample, 9)
+    marks = picked.select("id", F.when(F.col("label") == 1, 1).otherwise(-1).alias("mark"))  # about `sample` rows at most
+    others = known.where(among).select("id", F.lit(True).alias("known"))  # about `sample` rows at most
+    found = base.join(F.broadcast(marks), "id", "left").join(F.broadcast(others), "id", "left").where(F.col("mark").isNotNull() | (among & F.col("known").isNull()))
+    chosen = found.select("id", F.coalesce("mark", F.lit(0)).alias("mark"), "text")
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +245,16 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), "<f8").reshape(got.num_rows, empty_x.shape[1])
     if not len(x):
         votes, x = empty_votes, empty_x
-    model, posterior = fit_labels(votes[:, 1:], 0.1, votes[:, 0])
-    return Model(lexicon, model, logistic(x, posterior, ridge=1e-4))
+    weights = np.ones(len(votes))
+    drawn = {mark: votes[:, 0] == mark for mark in (-1, 1)}
+    if all(d.any() for d in drawn.values()):
+        for mark, n in ((-1, n_clean), (1, n_toxic)):
+            weights[drawn[mark]] = n / (n_clean + n_toxic) * (votes[:, 0] != 0).sum() / drawn[mark].sum()
+    model, posterior = fit_labels(votes[:, 1:], 0.1, votes[:, 0], weights=weights)
+    fitted = logistic(x, posterior, ridge=1e-4)
+    whole, seen = (np.clip(np.average(posterior, weights=w), 1e-6, 1 - 1e-6) for w in (weights, None))
+    fitted[-1] += np.log(whole / (1 - whole)) - np.log(seen / (1 - seen))
+    return Model(lexicon, model, fitted)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -50,3 +50,23 @@ def test_odd_rows(spark):
     assert min(score[i] for i in range(0, 60, 3)) > 0.3 > max(score[i] for i in [*range(1, 60, 3), 900, 901, 902])
     none = toxicity.train(docs.limit(0), labels.limit(0), learn)
     assert toxicity.score(docs.limit(0), none).count() == 0
+
+
+def test_few_labels_in_many_documents_all_anchor_the_label_model(spark, monkeypatch):
+    rows = [(i, "you are a worthless idiot and a moron" if i % 50 == 0 else "the weather is nice and the sea is calm") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 50 == 0)) for i in range(0, 6000, 10)], "doc_id long, toxic int")
+    learn = ~language_id.held_out(parts=4, part=2)
+    known = [r.toxic for r in labels.where(learn).collect()]
+    seen = {}
+
+    def fit(votes, prior, marks=None, *args, _fit=toxicity.fit_labels, **named):
+        seen["toxic"], seen["clean"], seen["none"] = (int((marks == m).sum()) for m in (1, -1, 0))
+        return _fit(votes, prior, marks, *args, **named)
+
+    monkeypatch.setattr(toxicity, "fit_labels", fit)
+    model = toxicity.train(docs, labels, learn, sample=300)
+    assert seen["toxic"] == sum(known) and 120 < seen["clean"] < 280 and 200 < seen["none"] < 340
+    assert model.labels.prior < 0.15
+    score = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert min(score[i] for i in range(0, 6000, 50)) > 0.3 > max(score[i] for i in range(6000) if i % 50)
