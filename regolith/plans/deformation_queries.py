@@ -131,6 +131,24 @@ def segment_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select((F.col("seg_a.line") * 1000000 + F.col("seg_a.seq")).alias("seg_a"), (F.col("seg_b.line") * 1000000 + F.col("seg_b.seq")).alias("seg_b"), F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
+#: Sites stand in rows of this many, one unit apart.
+SITES = 100
+
+
+@query("segment_intersections_all")
+def segment_intersections_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All crossings of a line for each customer through all of their orders, each vertex within 1.2 of the customer's site, so that
+    only neighbours' lines meet and the rows grow with the table. No SQL: comparing all pairs is too slow."""
+    site, key = F.col("o_custkey"), F.col("o_orderkey")
+    points = views.read(spark, sf_dir, "orders").select(
+        site.alias("line_id"), key.alias("seq"), (site % SITES + F.pmod(F.col("o_totalprice") * 100, F.lit(997)) * 1.2 / 997).alias("lon"), (F.floor(site / SITES) + key * 37 % 1009 * 1.2 / 1009).alias("lat")
+    )
+    found = grid.crossings(grid.segments(points), cell=1.0)
+    return found.select(
+        F.col("seg_a.line").alias("line_a"), F.col("seg_a.seq").alias("seq_a"), F.col("seg_b.line").alias("line_b"), F.col("seg_b.seq").alias("seq_b"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y")
+    )
+
+
 @query("coherence_lineaments")
 def coherence_lineaments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Low coherence along lines, between its 2nd and 98th percentile, with a mask of the top tenth."""

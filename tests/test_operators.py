@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from regolith.functions import bands, text
 from regolith.operators import batch, deformation, evidence, grid, knowledge, pca, runs, spatial, stats, unmixing
+from regolith.plans import catalog
 
 
 def image(spark, layers, scene="s"):
@@ -251,3 +252,25 @@ def test_boxes(spark):
     boxes = spatial.bounding_boxes(points)
     assert {tuple(r) for r in boxes.collect()} == {("a", 1, -1, 3, 2), ("b", 9, 9, 9, 9)}
     assert {r.roi_id: r.usable for r in spatial.coverage(boxes, 3, 2, 5, 5).collect()} == {"a": True, "b": False}
+
+
+def test_crossings_of_all_orders_by_brute_force(spark):
+    path = "/root/testdata/sf0.001"
+    lines = {}
+    orders = spark.read.parquet(f"{path}/orders.parquet").collect()
+    for o in sorted(orders, key=lambda o: o.o_orderkey):
+        lon = o.o_custkey % 100 + o.o_totalprice * 100 % 997 * 1.2 / 997
+        lines.setdefault(o.o_custkey, []).append((o.o_orderkey, lon, o.o_custkey // 100 + o.o_orderkey * 37 % 1009 * 1.2 / 1009))
+    segs = sorted(((line, p[0]), *p[1:], *q[1:]) for line, points in lines.items() for p, q in zip(points, points[1:], strict=False))
+    x1, y1, x2, y2 = np.array([s[1:] for s in segs]).T
+    wanted = set()
+    for i in range(len(segs)):
+        with np.errstate(all="ignore"):
+            d = (x2[i] - x1[i]) * (y2 - y1) - (y2[i] - y1[i]) * (x2 - x1)
+            t = ((x1 - x1[i]) * (y2 - y1) - (y1 - y1[i]) * (x2 - x1)) / d
+            u = ((x1 - x1[i]) * (y2[i] - y1[i]) - (y1 - y1[i]) * (x2[i] - x1[i])) / d
+        met = (abs(d) >= 1e-12) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1) & (np.arange(len(segs)) > i)
+        wanted |= {(*segs[i][0], *segs[j][0]) for j in np.flatnonzero(met)}
+    found = catalog.QUERIES["segment_intersections_all"](spark, path).collect()
+    assert len(found) == len(wanted) and {(r.line_a, r.seq_a, r.line_b, r.seq_b) for r in found} == wanted
+    assert any(r.line_a != r.line_b for r in found) and max(r.seq_b for r in found) > 900
