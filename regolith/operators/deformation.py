@@ -28,7 +28,7 @@ def velocity(rated: DataFrame) -> DataFrame:
 
 def velocity_summary(pixels: DataFrame) -> DataFrame:
     v = F.col("velocity")
-    return pixels.agg(F.avg(v).alias("mean_velocity"), F.median(v).alias("median_velocity"), F.min(v).alias("subsidence_max"), F.max(v).alias("uplift_max"))
+    return pixels.agg(F.avg(v).alias("mean_velocity"), F.lit(quantiles(pixels, v, [0.5])[0]).cast("double").alias("median_velocity"), F.min(v).alias("subsidence_max"), F.max(v).alias("uplift_max"))
 
 
 def strict_median_coherence(observations: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def strict_median_coherence(observations: DataFrame) -> DataFrame:
 def stability(pixels: DataFrame, coherence: str = "coherence", limit: float = COHERENCE_MID) -> DataFrame:
     """Mean and median of the coherence as a score of 0 to 1, and the share of all pixels below the limit."""
     c = clip(F.col(coherence))
-    return pixels.agg(F.avg(c).alias("mean"), F.median(c).alias("median"), (F.count_if(c < limit) / F.count("*")).alias("low_coherence_ratio"))
+    return pixels.agg(F.avg(c).alias("mean"), F.lit(quantiles(pixels, c, [0.5])[0]).cast("double").alias("median"), (F.count_if(c < limit) / F.count("*")).alias("low_coherence_ratio"))
 
 
 def decay(pairs: DataFrame) -> DataFrame:

@@ -33,8 +33,9 @@ def structural_weight(anomaly: Column, near: Column, weight: float = 0.15) -> Co
 def association(df: DataFrame, mask: Column, distance: Column, buffer: float = 300.0) -> DataFrame:
     """Anomalies, their median distance to a structure, and the share within the buffer; nulls where there is none."""
     hits = df.where(mask)
+    median = F.lit(quantiles(hits, distance, [0.5])[0]).cast("double")
     return hits.agg(
-        F.count("*").alias("n_anomaly"), F.median(distance).alias("median_dist_m"), F.avg((distance <= buffer).cast("double")).alias("frac_within_buffer")
+        F.count("*").alias("n_anomaly"), median.alias("median_dist_m"), F.avg((distance <= buffer).cast("double")).alias("frac_within_buffer")
     )
 
 

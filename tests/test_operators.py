@@ -274,3 +274,18 @@ def test_crossings_of_all_orders_by_brute_force(spark):
     found = catalog.QUERIES["segment_intersections_all"](spark, path).collect()
     assert len(found) == len(wanted) and {(r.line_a, r.seq_a, r.line_b, r.seq_b) for r in found} == wanted
     assert any(r.line_a != r.line_b for r in found) and max(r.seq_b for r in found) > 900
+
+
+def test_global_medians_do_not_gather_all_values(spark, monkeypatch):
+    def gathered(*_):
+        raise AssertionError("a median of the whole table in one task")
+
+    monkeypatch.setattr(stats, "DIRECT_ROWS", 100)
+    monkeypatch.setattr(F, "median", gathered)
+    values = np.random.default_rng(9).random(1000)
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "velocity double")
+    wanted = pytest.approx(np.median(values), rel=1e-12)
+    assert deformation.velocity_summary(df).first().median_velocity == wanted
+    assert deformation.stability(df, "velocity").first()["median"] == wanted
+    assert evidence.association(df, F.lit(True), F.col("velocity")).first().median_dist_m == wanted
+    assert deformation.velocity_summary(df.limit(0)).first().median_velocity is None
