@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regolith.llm.common import slices
-from regolith.llm.textscan import U64, HashTable, buffer_of, pretoken_starts, ragged, span_hashes
+from regolith.llm.textscan import U64, HashTable, buffer_of, pretoken_starts, ragged, same_bytes, span_hashes
 
 #: Pretokens whose ids a worker remembers; beyond that it starts anew, which changes no result.
 REMEMBERED = 300_000
@@ -51,8 +51,10 @@ class Merger:
         made = np.array(parts or [(0, 0, 0)], np.int64)[: len(parts)]
         self.pairs = HashTable(len(made))
         self.pairs.put(self._key(made[:, 0], made[:, 1]), made[:, 2].astype(np.int32))
+        self.ranks = ranks
         self.whole = HashTable(len(tokens))
-        self.whole.put(span_hashes(self.bytes, self.starts, self.starts + self.lengths), np.arange(len(tokens), dtype=np.int32))
+        keys, first = np.unique(span_hashes(self.bytes, self.starts, self.starts + self.lengths), return_index=True)
+        self.whole.put(keys, first.astype(np.int32))
 
     @staticmethod
     def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -68,7 +70,7 @@ class Merger:
 
     def encode(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all spans, one after another, and the number of ids of each span."""
-        whole = self.whole.get(hashes)
+        whole = self._tokens(data, starts, lengths, hashes)
         counts = np.ones(len(starts), np.int64)
         pieces: list[tuple[np.ndarray, np.ndarray]] = [(np.flatnonzero(whole >= 0), whole[whole >= 0])]
         open_ = np.flatnonzero(whole < 0)
@@ -90,6 +92,17 @@ class Merger:
             out[ragged((ends - counts)[rows], counts[rows])] = ids
         return out, counts
 
+    def _tokens(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The rank of each span that is a token, -1 for the others. A token found by its hash counts only if the bytes agree."""
+        found = self.whole.get(hashes)
+        hit = np.flatnonzero(found >= 0)
+        of = found[hit]
+        short = np.minimum(lengths[hit], self.lengths[of])
+        same = (self.lengths[of] == lengths[hit]) & same_bytes(data, starts[hit], self.bytes, self.starts[of], short)
+        for k in hit[~same].tolist():
+            found[k] = self.ranks.get(data[starts[k] : starts[k] + lengths[k]].tobytes(), -1)
+        return found
+
     def _matrix(self, data, starts, lengths, rows, counts) -> list[tuple[np.ndarray, np.ndarray]]:
         """One bucket: a row for each span, padded with -1. Each round merges the leftmost pair of least rank in every row, so
         each row loses one column; rows without such a pair leave the matrix."""
@@ -179,32 +192,25 @@ def merger(tokens: tuple[bytes, ...]) -> Merger:
 
 
 class Remembered:
-    """Encodes texts, each distinct pretoken once: `fresh(data, starts, lengths, hashes)` gives the ids of those not met before."""
+    """Encodes texts, each distinct pretoken once: `fresh(data, starts, lengths, hashes)` gives the ids of those not met before.
+
+    Pretokens are looked up by hash; one whose bytes are not those that the hash was met with first is encoded by itself.
+    """
 
     def __init__(self, fresh: Callable, spans: Callable = pretoken_starts):
         self.fresh, self.spans = fresh, spans
         self._forget()
 
     def _forget(self) -> None:
-        self.table, self.ids = HashTable(1 << 16), np.zeros(1 << 16, np.int32)
-        self.starts, self.counts, self.n, self.filled = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0, 0
-
-    def _add(self, ids: np.ndarray, counts: np.ndarray) -> None:
-        def roomy(x, more, used):
-            return x if used + more <= len(x) else np.concatenate([x, np.zeros(max(more, len(x)), x.dtype)])
-
-        self.ids = roomy(self.ids, len(ids), self.filled)
-        self.starts, self.counts = roomy(self.starts, len(counts), self.n), roomy(self.counts, len(counts), self.n)
-        self.ids[self.filled : self.filled + len(ids)] = ids
-        self.starts[self.n : self.n + len(counts)] = self.filled + np.cumsum(counts) - counts
-        self.counts[self.n : self.n + len(counts)] = counts
-        self.n, self.filled = self.n + len(counts), self.filled + len(ids)
+        self.table, self.n = HashTable(1 << 16), 0
+        self.ids, self.bytes = _Arena(np.int32), _Arena(np.uint8)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and where those of each text start (with the total last)."""
         data, places = buffer_of(texts)
         starts, first = self.spans(data, places)
         ends = np.append(starts[1:], len(data))
+        lengths = ends - starts
         hashes = span_hashes(data, starts, ends)
         if self.n > REMEMBERED:
             self._forget()
@@ -213,13 +219,44 @@ class Remembered:
         if len(new):
             keys, one, back = np.unique(hashes[new], return_index=True, return_inverse=True)
             at = new[one]
-            ids, counts = self.fresh(data, starts[at], (ends - starts)[at], keys)
+            self.ids.add(*self.fresh(data, starts[at], lengths[at], keys))
+            self.bytes.add(data[ragged(starts[at], lengths[at])], lengths[at])
             self.table.put(keys, np.arange(self.n, self.n + len(keys), dtype=np.int32))
             which[new] = self.n + back
-            self._add(ids, counts)
-        counts = self.counts[which]
+            self.n += len(keys)
+        known = self.bytes.counts[which]
+        same = (known == lengths) & same_bytes(data, starts, self.bytes.values, self.bytes.starts[which], np.minimum(known, lengths))
+        counts = self.ids.counts[which]
+        other = np.flatnonzero(~same)
+        if not len(other):
+            total = np.concatenate([[0], np.cumsum(counts)])
+            return self.ids.values[ragged(self.ids.starts[which], counts)], total[first]
+        own, counts[other] = self.fresh(data, starts[other], lengths[other], hashes[other])
         total = np.concatenate([[0], np.cumsum(counts)])
-        return self.ids[ragged(self.starts[which], counts)], total[first]
+        out = np.empty(int(total[-1]), np.int32)
+        out[ragged(total[:-1][other], counts[other])] = own
+        met = np.flatnonzero(same)
+        out[ragged(total[:-1][met], counts[met])] = self.ids.values[ragged(self.ids.starts[which[met]], counts[met])]
+        return out, total[first]
+
+
+class _Arena:
+    """Lists of values, one after another in an array that grows."""
+
+    def __init__(self, kind: type):
+        self.values, self.filled = np.zeros(1 << 16, kind), 0
+        self.starts, self.counts, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, values: np.ndarray, counts: np.ndarray) -> None:
+        def roomy(x: np.ndarray, more: int, used: int) -> np.ndarray:
+            return x if used + more <= len(x) else np.concatenate([x, np.zeros(max(more, len(x)), x.dtype)])
+
+        self.values = roomy(self.values, len(values), self.filled)
+        self.starts, self.counts = roomy(self.starts, len(counts), self.n), roomy(self.counts, len(counts), self.n)
+        self.values[self.filled : self.filled + len(values)] = values
+        self.starts[self.n : self.n + len(counts)] = self.filled + np.cumsum(counts) - counts
+        self.counts[self.n : self.n + len(counts)] = counts
+        self.n, self.filled = self.n + len(counts), self.filled + len(values)
 
 
 @functools.cache

@@ -15,26 +15,32 @@ _LETTERS[65:91] = _LOWER[65:91]
 _LETTERS[128:] = np.arange(128, 256)
 
 
+#: Bytes that n-grams are counted from at a time.
+PIECE = 1 << 18
+
+
 def ngram_rows(data: np.ndarray, places: np.ndarray, bits: int, orders: tuple[int, ...] = (1, 2, 3), rows: int = 256) -> Iterator[np.ndarray]:
     """Matrices of at most `rows` texts by 2**bits hashed n-grams of bytes: square roots of their counts, at length 1."""
     n = len(places) - 1
-    values = _LETTERS[data]
     for first in range(0, n, rows):
         last = min(n, first + rows)
-        a, b = int(places[first]), int(places[last])
-        own, cut = values[a:b], places[first : last + 1] - a
-        text = np.repeat(np.arange(last - first), np.diff(cut))
-        ends = cut[1:][text]
-        at = np.arange(len(own))
-        counts = np.zeros((last - first) << bits, np.float32)
-        for order in orders:
-            gram = np.zeros(len(own), np.uint32)
-            for k in range(order):
-                gram[: len(own) - k] |= own[k:] << np.uint32(8 * k)
-            inside = at + order <= ends
-            hashed = (gram * np.uint32(2654435761) + np.uint32(order * 0x1EBCA6B)) * np.uint32(0xC2B2AE35) >> np.uint32(32 - bits)
-            counts += np.bincount((text[inside] << bits) + hashed[inside].astype(np.int64), minlength=len(counts)).astype(np.float32)
-        out = np.sqrt(counts).reshape(last - first, 1 << bits)
+        cut = places[first : last + 1]
+        counts = np.zeros((last - first) << bits, np.float64)
+        for a in range(int(cut[0]), int(cut[-1]), PIECE):
+            b = min(int(cut[-1]), a + PIECE)
+            own = _LETTERS[data[a : min(int(cut[-1]), b + max(orders) - 1)]]
+            at = np.arange(a, b)
+            text = np.searchsorted(cut, at, "right") - 1
+            ends = cut[text + 1]
+            for order in orders:
+                gram = np.zeros(b - a, np.uint32)
+                for k in range(order):
+                    part = own[k : k + b - a]
+                    gram[: len(part)] |= part << np.uint32(8 * k)
+                inside = at + order <= ends
+                hashed = (gram * np.uint32(2654435761) + np.uint32(order * 0x1EBCA6B)) * np.uint32(0xC2B2AE35) >> np.uint32(32 - bits)
+                counts += np.bincount((text[inside] << bits) + hashed[inside].astype(np.int64), minlength=len(counts))
+        out = np.sqrt(counts.astype(np.float32)).reshape(last - first, 1 << bits)
         length = np.sqrt((out * out).sum(1, keepdims=True))
         yield out / np.where(length == 0, 1, length)
 

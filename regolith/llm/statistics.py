@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from regolith.llm.textscan import U64, buffer_of, mix, span_hashes, word_spans
+from regolith.llm.textscan import U64, buffer_of, gram_hashes, mix, span_hashes, word_spans
 
 #: Words in a window that counts as a repeat when found again.
 WINDOW = 8
@@ -60,12 +60,9 @@ def count(texts: pa.Array) -> dict[str, np.ndarray]:
     out["n_distinct_words"] = np.bincount(text[np.unique(own, return_index=True)[1]], minlength=n)
     covered = np.zeros(len(words) + 1, np.int64)
     if len(words) >= WINDOW:
-        last = len(words) - WINDOW + 1
-        rolled = np.zeros(last, U64)
-        for k in range(WINDOW):
-            rolled = rolled * _STEP + words[k : last + k]
-        whole = np.flatnonzero(text[:last] == text[WINDOW - 1 :])
-        _, back, times = np.unique(mix(rolled[whole] + text[whole].astype(U64) * _STEP), return_inverse=True, return_counts=True)
+        grams = gram_hashes(words, tuple(range(WINDOW)))
+        whole = np.flatnonzero(text[: len(grams)] == text[WINDOW - 1 :])
+        _, back, times = np.unique(mix(grams[whole] + text[whole].astype(U64) * _STEP), return_inverse=True, return_counts=True)
         twice = whole[times[back] > 1]
         np.add.at(covered, twice, 1)
         np.add.at(covered, twice + WINDOW, -1)

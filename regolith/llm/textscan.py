@@ -7,13 +7,12 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from regolith.llm.common import offsets_of
 
 U64 = np.uint64
 _ODD = U64(0x9E3779B97F4A7C15)
-_BASE = 0xD6E8FEB86659FD93
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 #: Fixed: bytes that part words, U+0020 and U+0009 to U+000D.
 _PARTS_WORDS = np.zeros(256, bool)
@@ -44,39 +43,72 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @functools.cache
-def _byte_values(lower: bool) -> np.ndarray:
-    """A random 64-bit value for each byte; with lower, A-Z have the values of a-z."""
-    values = mix(np.arange(1, 257, dtype=U64) * _ODD)
-    if lower:
-        values[65:91] = values[97:123]
-    return values
+def _lowered() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint8)
+    table[65:91] += 32
+    return table
 
 
-_powers: list[np.ndarray] = []
+#: Bits of the first k bytes of eight.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
+#: Spans of more bytes are hashed one by one by xxhash, shorter ones together in steps of eight bytes.
+_LONG = 256
 
 
-def _power_arrays(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, n + 1 of each at least; kept while short."""
-    if _powers and len(_powers[0]) > n:
-        return _powers[0], _powers[1]
-    size = max(n + 1, 1 << 16)
-    found = []
-    for base in (_BASE, _INVERSE):
-        out = np.full(size, base, U64)
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-        found.append(out)
-    if size <= 1 << 22:
-        _powers[:] = found
-    return found[0], found[1]
+def eights(data: np.ndarray) -> np.ndarray:
+    """For each place of the buffer the eight bytes from there as one number, zeros beyond the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash for each byte span, from one prefix sum over the buffer."""
-    up, down = _power_arrays(len(data))
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(_byte_values(lower)[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * _ODD)
+    """A 64-bit hash for each byte span; with lower, A-Z count as a-z.
+
+    Each step takes eight bytes of all spans that have some left and mixes them in, so that no two spans of the same eight
+    bytes or fewer collide, and of longer ones none but by chance. Sums of powers, which cost one pass, would give different
+    spans of some self-similar patterns one hash.
+    """
+    if lower:
+        data = _lowered()[data]
+    lengths = ends - starts
+    out = mix(lengths.astype(U64) + _ODD)
+    words = eights(data)
+    long = np.flatnonzero(lengths > _LONG)
+    for k in long.tolist():
+        out[k] = xxhash.xxh3_64_intdigest(np.ascontiguousarray(data[starts[k] : ends[k]]))
+    open_ = np.flatnonzero((lengths > 0) & (lengths <= _LONG)) if len(long) else np.flatnonzero(lengths > 0)
+    at, left = starts[open_], lengths[open_]
+    while len(open_):
+        out[open_] = mix((out[open_] * _ODD) ^ (words[at] & _FIRST[np.minimum(left, 8)]))
+        more = left > 8
+        open_, at, left = open_[more], at[more] + 8, left[more] - 8
+    return out
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, other: np.ndarray, others: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether each span of data has the bytes of the span of the same length in `other`."""
+    out = np.ones(len(starts), bool)
+    mine, its = eights(data), eights(other)
+    for k in np.flatnonzero(lengths > _LONG).tolist():
+        out[k] = np.array_equal(data[starts[k] : starts[k] + lengths[k]], other[others[k] : others[k] + lengths[k]])
+    open_ = np.flatnonzero((lengths > 0) & (lengths <= _LONG))
+    at, to, left = starts[open_], others[open_], lengths[open_]
+    while len(open_):
+        same = (mine[at] ^ its[to]) & _FIRST[np.minimum(left, 8)] == 0
+        out[open_[~same]] = False
+        more = same & (left > 8)
+        open_, at, to, left = open_[more], at[more] + 8, to[more] + 8, left[more] - 8
+    return out
+
+
+def gram_hashes(hashes: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
+    """A hash for each gram of hashed words, that of the words `offsets` places behind each word; as many as there are whole ones."""
+    size = max(0, len(hashes) - offsets[-1])
+    out = np.full(size, len(offsets), U64)
+    for k in offsets:
+        out = mix(out * _ODD + hashes[k : size + k])
+    return out
 
 
 def word_spans(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,9 +143,42 @@ def _classes() -> np.ndarray:
     return table
 
 
-def _byte_classes(data: np.ndarray) -> np.ndarray:
-    """The class of the character that each byte belongs to."""
-    table = _classes()
+#: Fixed: first and last code points of scripts that put no blank between words: Thai and Lao, Burmese, Khmer, kana, ideographs.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9D), (0x20000, 0x3FFFF))
+PART, JOINED, SINGLE = 0, 1, 2
+
+
+@functools.cache
+def _letter_classes() -> np.ndarray:
+    """For each code point: JOINED for letters, numbers and marks, SINGLE for those of scripts without blanks, PART for others."""
+    table = np.fromiter((JOINED if unicodedata.category(chr(c))[0] in "LNM" else PART for c in range(0x110000)), np.uint8, 0x110000)
+    for first, last in _UNSPACED:
+        table[first : last + 1] *= SINGLE
+    return table
+
+
+def letter_spans(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of letters, numbers and marks, each character of a script without blanks being a run of its own;
+    and for each text the number of its first run (with the total last)."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(places), np.int64)
+    kind = _byte_classes(data, _letter_classes())
+    inside = kind != PART
+    begin = inside.copy()
+    begin[1:] &= kind[1:] != kind[:-1]
+    begin |= (kind == SINGLE) & ((data & 0xC0) != 0x80)
+    bounds = places[1:-1]
+    bounds = bounds[(bounds > 0) & (bounds < len(data))]
+    begin[bounds] = inside[bounds]
+    stop = inside.copy()
+    stop[:-1] &= begin[1:] | ~inside[1:]
+    stop[bounds - 1] = inside[bounds - 1]
+    starts = np.flatnonzero(begin)
+    return starts, np.flatnonzero(stop) + 1, np.searchsorted(starts, places)
+
+
+def _byte_classes(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class of the character that each byte belongs to, by a table of code points."""
     kind = table[:256][data]
     lead = np.flatnonzero(data >= 0xC0)
     if len(lead):
@@ -143,7 +208,7 @@ def pretoken_starts(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, n
     size = len(data)
     if not size:
         return np.zeros(0, np.int64), np.zeros(len(places), np.int64)
-    kind = _byte_classes(data)
+    kind = _byte_classes(data, _classes())
     first = np.zeros(size + 1, bool)
     first[places[:-1]] = True
     first = first[:size]

@@ -133,3 +133,33 @@ def test_added_tokens_that_are_not_special():
         library.encode_special_tokens = not special
         ids, offsets = token_files.encode_texts(library.to_str(), pa.array(texts), special)
         assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def thue_morse(n):
+    """Two words of n letters that sums of powers modulo 2 ** 64 cannot tell apart."""
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_similar_patterns_have_their_own_ids(spark, tokens, public):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [w for n in (8, 64, 256, 512, 1024, 2048, 8192) for w in thue_morse(n)]
+    texts += [f"{a} {b}" for a, b in map(thue_morse, (128, 1024, 4096))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = {r.doc_id: r for r in bpe.encode(docs, tokens, decoded=True).collect()}
+    assert [(found[i].ids, bytes(found[i].decoded).decode()) for i in range(len(texts))] == [(public.encode_ordinary(t), t) for t in texts]
+    ids, offsets = token_files.encode_texts(library.to_str(), pa.array(texts), True)
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_equal_hashes_of_different_bytes_change_nothing(monkeypatch, tokens, public):
+    few = textscan.span_hashes
+    monkeypatch.setattr(bpe, "span_hashes", lambda *args: few(*args) & textscan.U64(63))
+    own = bpe.Merger(tokens)
+    encoder = bpe.Remembered(own.encode)
+    texts = odd_texts(300, 9) + ["the house of the thing and the other thing"] * 3
+    for _ in range(2):
+        ids, offsets = encoder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == [public.encode_ordinary(t) for t in texts]
