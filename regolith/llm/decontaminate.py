@@ -13,49 +13,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regolith.llm.common import slices
-from regolith.llm.textscan import U64, HashTable, buffer_of, mix, span_hashes, spans_outside
+from regolith.llm.textscan import U64, HashTable, buffer_of, gram_hashes, letter_spans, span_hashes
 
-#: Words in a seed.
-SEED_WORDS = 3
+#: Places of a seed's words behind its first one: three in a row, or one left out, which an edit of every third word leaves whole.
+SEEDS = ((0, 1, 2), (0, 1, 3))
+#: Seeds of items of one and of two words: the whole item.
+SHORT_SEEDS = ((0,), (0, 1))
 #: Least information of a seed by its words' frequencies in the corpus, in bits; below that it is too common to look up.
 LEAST_BITS = 22.0
-#: Of an item's seeds the rarest share that is looked up in any case.
+#: Of an item's seeds of each form the rarest share that is looked up in any case.
 KEPT_SEEDS = 0.25
+#: Seeds of more items do not tell items apart: an item that has others is not looked up by them.
+MOST_ITEMS = 16
 #: Alignment scores; an item aligned word for word has MATCH for each of its words.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least alignment score of a leak, as a share of the item's highest.
 LEAST_SCORE = 0.45
 #: Benchmark words that go out to the tasks at once; a larger benchmark is searched in so many parts.
 WORDS_AT_ONCE = 4_000_000
-_STEP = U64(0x9E3779B97F4A7C15)
-#: Words are runs of letters and digits: bytes of these in ASCII, and all others beyond.
-_PARTS = np.ones(256, bool)
-_PARTS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in lower case, and for each text the number of its first word (with the total last)."""
     data, places = buffer_of(pc.utf8_lower(texts))
-    starts, ends, first = spans_outside(_PARTS, data, places)
+    starts, ends, first = letter_spans(data, places)
     return span_hashes(data, starts, ends), first
 
 
-def _grams(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams within one text, and the place of each one's first word."""
-    size = len(words) - n + 1
-    if size <= 0:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    rolled = np.zeros(size, U64)
-    for k in range(n):
-        rolled = rolled * _STEP + words[k : size + k]
+def _grams(words: np.ndarray, first: np.ndarray, offsets: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the grams within one text, and the place of each one's first word."""
+    hashes = gram_hashes(words, offsets)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    at = np.flatnonzero(text[:size] == text[n - 1 :])
-    return mix(rolled[at]), at
+    at = np.flatnonzero(text[: len(hashes)] == text[offsets[-1] :])
+    return hashes[at], at
 
 
 @dataclass(eq=False)
 class Items:
-    """Benchmark items: ids, words with where each item's start, and the seeds: gram hash, item, place in the item."""
+    """Benchmark items: ids, words with where each item's start, and the seeds: gram hash, item, place in the item. forms: which
+    grams of a document can be seeds."""
 
     ids: np.ndarray
     words: np.ndarray
@@ -63,44 +59,67 @@ class Items:
     seeds: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    forms: tuple[tuple[int, ...], ...]
 
 
-def _vocabulary_counts(docs: DataFrame, vocabulary: np.ndarray, text_col: str) -> tuple[np.ndarray, int]:
-    """How often the corpus has each word of the vocabulary (distinct hashes), and the number of all its words."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def vocabulary_counts(docs: DataFrame, vocabulary: np.ndarray, text_col: str = "text") -> tuple[np.ndarray, int]:
+    """How often the corpus has each word of the vocabulary (distinct hashes, in order), and the number of all its words. One scan
+    for each WORDS_AT_ONCE words of the vocabulary."""
+    out, total = np.zeros(len(vocabulary), np.int64), 0
+    for start in range(0, len(vocabulary), WORDS_AT_ONCE):
+        sent = docs.sparkSession.sparkContext.broadcast(vocabulary[start : start + WORDS_AT_ONCE])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = HashTable(len(sent.value))
-        table.put(sent.value, np.arange(len(sent.value), dtype=np.int32))
-        counts = np.zeros(len(sent.value) + 1, np.int64)
-        for batch in slices(batches, "text"):
-            words, _ = word_hashes(batch.column(0))
-            counts += np.bincount(table.get(words) + 1, minlength=len(counts))
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some - 1), pa.array(counts[some])], names=["word", "n"])
+        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            table = HashTable(len(sent.value))
+            table.put(sent.value, np.arange(len(sent.value), dtype=np.int32))
+            counts = np.zeros(len(sent.value) + 1, np.int64)
+            for batch in slices(batches, "text"):
+                words, _ = word_hashes(batch.column(0))
+                counts += np.bincount(table.get(words) + 1, minlength=len(counts))
+            some = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(some - 1), pa.array(counts[some])], names=["word", "n"])
 
-    got = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(len(vocabulary) + 1, np.int64)
-    out[np.array(got.column("word").to_pylist(), np.int64) + 1] = np.array(got.column("n").to_pylist(), np.int64)
-    return out[1:], int(out.sum())
+        got = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+        word, n = (np.array(got.column(c).to_pylist(), np.int64) for c in ("word", "n"))
+        out[start + word[word >= 0]] = n[word >= 0]
+        total = int(n.sum())
+    return out, total
 
 
-def prepare(docs: DataFrame, items: pa.Table, text_col: str = "text") -> Items:
-    """The seeds of benchmark items (item_id, text), chosen by how rare their words are in all of docs."""
+def prepare(items: pa.Table, vocabulary: np.ndarray, counts: np.ndarray, total: int) -> Items:
+    """The seeds of benchmark items (item_id, text, in order of item_id), chosen by how rare their words are in the corpus, by the
+    counts of a vocabulary that holds them, and by how few items have them. Of items of the same words the first one counts."""
     words, first = word_hashes(items.column("text").combine_chunks())
-    grams, at = _grams(words, first, SEED_WORDS)
-    vocabulary, which = np.unique(words, return_inverse=True)
-    counts, total = _vocabulary_counts(docs, vocabulary, text_col)
-    bits = -np.log2((counts + 1) / (total + len(counts) + 1))[which]
-    worth = sum((bits[at + k] for k in range(SEED_WORDS)), np.zeros(len(at)))
+    size = np.diff(first)
+    seen: dict[bytes, int] = {}
+    alone = [seen.setdefault(words[a:b].tobytes(), i) == i for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))]
+    bits = -np.log2((counts[np.searchsorted(vocabulary, words)] + 1) / (total + len(vocabulary) + 1))
+    forms = [f for n, f in enumerate(SHORT_SEEDS, 1) if (size == n).any()] + list(SEEDS)
+    grams, places, worth = [], [], []
+    for form in forms:
+        hashes, at = _grams(words, first, form)
+        of = np.searchsorted(first, at, "right") - 1
+        use = np.array(alone, bool)[of] & ((size[of] == len(form)) | (form in SEEDS))
+        grams.append(hashes[use])
+        places.append(at[use])
+        worth.append(sum(bits[at[use] + k] for k in form))
+    form = np.repeat(np.arange(len(forms)), [len(g) for g in grams])
+    gram, at, worth = np.concatenate(grams), np.concatenate(places), np.concatenate(worth)
     item = np.searchsorted(first, at, "right") - 1
-    keep = worth >= LEAST_BITS
-    for i in np.unique(item):
-        own = np.flatnonzero(item == i) if len(at) < 5000 else np.arange(*np.searchsorted(item, [i, i + 1]))
-        keep[own[np.argsort(-worth[own], kind="stable")[: int(np.ceil(KEPT_SEEDS * len(own)))]]] = True
-    order = np.argsort(grams[keep], kind="stable")
-    kept = np.flatnonzero(keep)[order]
-    return Items(np.array(items.column("item_id").to_pylist(), np.int64), words, first, grams[kept], item[kept], at[kept] - first[item[kept]])
+    _, back = np.unique(gram, return_inverse=True)
+    one = np.unique(np.column_stack([back, item]), axis=0)[:, 0] if len(item) else back
+    shared = np.bincount(one, minlength=1)[back]
+    common = shared > MOST_ITEMS
+    distinct = np.bincount(item[~common], minlength=len(size)) > 0
+    useless = common & distinct[item]
+    own = item * len(forms) + form
+    order = np.lexsort((-worth, np.where(common, shared, 0), useless, own))
+    rank = np.empty(len(item), np.int64)
+    rank[order] = np.arange(len(item)) - np.searchsorted(own[order], own[order])
+    quota = np.ceil(KEPT_SEEDS * np.bincount(own))
+    keep = np.flatnonzero(~useless & ((rank < quota[own]) | ((worth >= LEAST_BITS) & ~common)))
+    keep = keep[np.argsort(gram[keep], kind="stable")]
+    return Items(np.array(items.column("item_id").to_pylist(), np.int64), words, first, gram[keep], item[keep], at[keep] - first[item[keep]], tuple(forms))
 
 
 def align(window: np.ndarray, length: np.ndarray, item: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -129,10 +148,13 @@ def search(texts: pa.Array, items: Items, table: HashTable) -> tuple[np.ndarray,
     """The texts' number, the item's number, the best score as a share of the highest, and the number of seeds found, for each
     text and item that share a seed. table: each seed's first row among the seeds, which are in order."""
     words, first = word_hashes(texts)
-    grams, at = _grams(words, first, SEED_WORDS)
-    row = table.get(grams)
-    hit = row >= 0
-    row, at = row[hit].astype(np.int64), at[hit]
+    rows, places = [], []
+    for form in items.forms:
+        grams, at = _grams(words, first, form)
+        found = table.get(grams)
+        rows.append(found[found >= 0].astype(np.int64))
+        places.append(at[found >= 0])
+    row, at = np.concatenate(rows), np.concatenate(places)
     if not len(at):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
     copies = np.searchsorted(items.seeds, items.seeds[row], "right") - row
@@ -183,24 +205,38 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCOR
     """Which documents hold which benchmark items, as they are or edited: id_col, item_col, score (share of the highest alignment
     score) and n_seeds, a row for each document and item with a score of at least `least_score`.
 
-    Seeds are n-grams of SEED_WORDS words (letters and digits, in lower case) that are rare by their words' frequencies in all
-    documents; a leak does not make its own words common enough to lose its seeds, and the rarest share of every item's seeds
-    is kept in any case. Where a document has an item's seed, the words around it are aligned with the whole item
-    (Smith-Waterman). The benchmark goes out to the tasks in parts of WORDS_AT_ONCE words, so no document is shuffled.
-
-    Null texts and items, and items of fewer than SEED_WORDS words, have no leak; null ids are reported as null; of repeated rows
-    the best score counts; an empty table gives no rows; other columns do not pass.
+    Words are runs of letters and digits, in lower case; in scripts without blanks between words each character is one. Seeds are
+    grams of three words (SEEDS) that are rare by their words' frequencies in all documents and that few items have; a leak does
+    not make its own words common enough to lose its seeds, and the rarest share of every item's seeds is kept in any case. An
+    item of one or two words is its own seed, so it is found word for word. Where a document has an item's seed, the words around
+    it are aligned with the whole item (Smith-Waterman). The benchmark goes out to the tasks in parts of WORDS_AT_ONCE words, so no
+    document is shuffled.
+
+    Items of a template, which share most seeds, are looked up by those that tell them apart. Items of the same words are one: it
+    has the smallest of their ids. Null texts and items, and items without words, have no leak; null ids are reported as null; of
+    repeated rows the best score counts; an empty table gives no rows; other columns do not pass. A text is held whole in its
+    task, with about 20 times its bytes beside it.
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     known = benchmark.where(F.col("text").isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), "text")
     size = known.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = int(size // (5 * WORDS_AT_ONCE)) + 1
+    # Items of the same words are in one part.
+    bare = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\p{M}]+", " "))
+
+    def part(number: int) -> pa.Table:
+        return known.where(F.pmod(F.xxhash64(bare), F.lit(parts)) == number).toArrow().sort_by("item_id")
+
+    vocabulary = np.zeros(0, U64)
+    for number in range(parts):
+        vocabulary = np.union1d(vocabulary, word_hashes(part(number).column("text").combine_chunks())[0])
+    counts, total = vocabulary_counts(docs, vocabulary, text_col)
     found = []
-    for part in range(parts):
-        own = known.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).toArrow()
+    for number in range(parts):
+        own = part(number)
         if not own.num_rows:
             continue
-        sent = spark.sparkContext.broadcast(prepare(docs, own.sort_by("item_id"), text_col))
+        sent = spark.sparkContext.broadcast(prepare(own, vocabulary, counts, total))
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = sent.value

@@ -2,12 +2,20 @@
 
 import random
 import re
+import unicodedata
 
 import numpy as np
+import pyarrow as pa
 
 from regolith.llm import decontaminate, queries
 
 
+def plain_words(text):
+    """Runs of letters, numbers and marks in lower case; ideographs and kana one by one."""
+    apart = "".join(f" {c} " if "\u3040" <= c <= "\u30ff" or "\u4e00" <= c <= "\u9fff" else c for c in (text or "").lower())
+    return "".join(c if unicodedata.category(c)[0] in "LNM" else " " for c in apart).split(" ")
+
+
 def textbook(window, item):
     h = np.zeros((len(item) + 1, len(window) + 1), int)
     for i, x in enumerate(item, 1):
@@ -50,7 +58,7 @@ def test_planted_leaks(spark):
     rows += [(1000, None, 1.0), (1001, "", 1.0), (1002, items[4][1] * 1, 1.0), (1002, items[4][1], 1.0), (None, items[5][1], 1.0)]
     expected |= {(1002, 4), (None, 5)}
     docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
-    bench = spark.createDataFrame([*items, (90, None), (None, "x y z"), (91, "one two"), (92, "")], "item_id long, text string")
+    bench = spark.createDataFrame([*items, (90, None), (None, "x y z"), (91, "one two"), (92, ""), (93, "?!")], "item_id long, text string")
     found = decontaminate.leaks(docs, bench)
     assert {(r.doc_id, r.item_id) for r in found.collect()} == expected and found.count() == len(expected)
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), bench).count() == 0
@@ -65,17 +73,45 @@ def test_a_large_benchmark_goes_in_parts(spark, monkeypatch):
 
 def test_query_op5(spark):
     path = "/root/testdata/sf0.01"
-    words = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower())
+    words = lambda t: [w for w in plain_words(t) if w]
     items = {r.item_id: words(r.text) for r in spark.read.parquet(path + "/benchmark.parquet").collect()}
     whole = set()
     aligned = {}
     for d in spark.read.parquet(path + "/documents.parquet").collect():
         own = " " + " ".join(words(d.text)) + " "
         aligned[d.doc_id] = own
-        whole |= {(d.doc_id, i) for i, w in items.items() if len(w) >= 3 and f" {' '.join(w)} " in own}
+        whole |= {(d.doc_id, i) for i, w in items.items() if w and f" {' '.join(w)} " in own}
     found = {(r.doc_id, r.item_id): r.score for r in queries.op5_decontamination(spark, path).collect()}
     assert whole and whole <= set(found)
     for (d, i), score in found.items():
         if (d, i) not in whole:
             assert abs(textbook(aligned[d].split(), items[i]) / (2 * len(items[i])) - score) < 1e-9 and score >= decontaminate.LEAST_SCORE
     assert len({d for d, _ in found}) < 100
+
+
+def test_words_of_every_script():
+    texts = ["Ein Fuß, zwei Füße!", "今日は良い天気ですね。明日は?", "ab中文cd 中", None, "", "naïve “quoted” e\u0301 x_y", "\xa0non\xa0breaking", "हिन्दी में", "a1b2"]
+    for one in ([t] for t in texts), [texts]:
+        for own in one:
+            words, first = decontaminate.word_hashes(pa.array(own, pa.string()))
+            flat = [[w for w in plain_words(t) if w] for t in own]
+            every = sorted({w for ws in flat for w in ws})
+            names = dict(zip(every, decontaminate.word_hashes(pa.array(every, pa.string()))[0].tolist(), strict=True))
+            assert [words[a:b].tolist() for a, b in zip(first, first[1:], strict=False)] == [[names[w] for w in ws] for ws in flat]
+
+
+def test_short_and_unspaced_items_and_every_third_word_replaced(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma"
+    edited = " ".join("changed%d" % k if k % 3 == 2 else w for k, w in enumerate(item.split()))
+    bench = spark.createDataFrame([(1, "Xyzzy"), (2, "plugh, plover"), (3, "今日は良い天気ですね。明日は雨でしょうか?"), (4, item), (5, "XYZZY!")], "item_id long, text string")
+    filler = "this is a plain text about nothing much and it goes on "
+    docs = spark.createDataFrame([(10, filler + "xyzzy " + filler), (11, filler + "Plugh plover"), (12, "彼は「今日は良い天気ですね。明日は雨でしょうか」と言った"), (13, filler + edited), (14, filler * 300), (15, "plover plugh"), (16, "今日は仕事です")], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(docs, bench).collect()}
+    assert set(found) == {(10, 1), (11, 2), (12, 3), (13, 4)} and found[10, 1] == found[11, 2] == found[12, 3] == 1
+
+
+def test_a_sentence_of_a_template_is_no_leak_of_all_its_items(spark):
+    items = [(k, f"What is the capital of land{k} and who rules there today") for k in range(3000)]
+    bench = spark.createDataFrame([*items, (9000, items[5][1])], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so " + items[7][1] + " they asked"), (2, items[5][1]), (3, "what is the capital of elsewhere and who rules there today")] + [(100 + k, "other words entirely %d" % k) for k in range(50)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == {(1, 7), (2, 5)}
