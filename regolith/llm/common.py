@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that an Arrow function works on at a time; a longer text is a slice of its own.
@@ -20,19 +21,41 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one in the warehouse where that is unset."""
-    own = spark.conf.get("spark.checkpoint.dir", None)
-    if not own:
-        own = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    return own
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and reread: its lineage ends there, and losing an executor loses none of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local session has one in its warehouse, and
+    any other is told to name one."""
+    own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if own:
+        return own.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+
+
+class Workspace:
+    """The tables that one run writes, in a folder of its own in the shared one. What it needs no more it removes itself; the rest
+    its result reads, until the caller removes it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables: dict[str, list[str]] = {}
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        """df written as Parquet and reread: its lineage ends there, and losing an executor loses none of it."""
+        path = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.tables.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self, *names: str, but: int = 0) -> None:
+        """Removes the tables of these names, but for the last few; without names the whole folder."""
+        gone = [self.path] if not names else []
+        for name in names:
+            own = self.tables.get(name, [])
+            gone += own[: len(own) - but]
+            self.tables[name] = own[len(own) - but :]
+        for path in gone:
+            place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def hot_keys(counts: DataFrame, keys: list[str], n: str = "n", least: int = 5000) -> DataFrame:
@@ -78,7 +101,3 @@ def offsets_of(column: pa.Array):
     if buffer is None or buffer.size == 0:
         return np.zeros(len(column) + 1, np.int64)
     return np.frombuffer(buffer, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-
-
-def is_letterless(text: Column) -> Column:
-    return text.isNull() | ~text.rlike(r"\p{L}")

@@ -120,12 +120,12 @@ def train(docs: DataFrame, learn: Column, lang_col: str = "lang", id_col: str =
     return fit(x, got.column("lang").to_pylist())
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The language of every whole text: id_col, lang_pred and score (0 to 1).
+def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """The language of every whole text: id_col, with with_text also text_col, then lang_pred and score (0 to 1).
 
     Hashed n-grams of bytes of the text alone decide on the family by one-versus-one linear SVMs, then on the language among
     that family's by others. `und` with score 0 if the text is null or has no letter, or if there is no model. A row for each
-    row of docs; null ids stay null; other columns do not pass.
+    row of docs; null ids stay null; other columns do not pass. A text is read in pieces, so a long one needs little beside it.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -139,10 +139,11 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 found = [predict(sent.value, x) for x in _rows(batch.column(1))]
                 langs, score = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
             langs[mute], score[mute] = UNKNOWN, 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + with_text], pa.array(langs, pa.string()), pa.array(score)], names=["id", *["text"] * with_text, "lang_pred", "score"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    schema = f"id {kind}, " + "text string, " * with_text + "lang_pred string, score double"
+    return texts.mapInArrow(run, schema).withColumnsRenamed({"id": id_col, "text": text_col})
 
 
 def held_out(id_col: str = "doc_id", parts: int = 5, part: int = 0) -> Column:

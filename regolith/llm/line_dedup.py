@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regolith.llm.common import slices, staged
+from regolith.llm.common import Workspace, slices
 
 #: Fixed: what is stripped from a line's ends, U+0020 and U+0009 to U+000D.
 BLANK = " \t\n\x0b\x0c\r"
@@ -119,7 +119,7 @@ def _stream(batches: Iterable[pa.RecordBatch], least_docs: int) -> Iterator[pa.R
         yield from closed(run, True)
 
 
-def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 40, least_docs: int = 5) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 40, least_docs: int = 5, workspace: Workspace | None = None) -> DataFrame:
     """A bitmap for each document that loses lines.
 
     A text's lines are what newlines part. A line's key is the line without blanks at its ends, A-Z in lower case. Keys of
@@ -130,13 +130,16 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Returns id_col, row (the hash of the text, which tells rows of one id apart) and keep (binary: zlib of bits by line, least
     bit first; lines behind its end stay). Rows of one id count as one document. Null ids neither count nor lose lines; null
-    and empty texts have one empty line; ties cannot be, as ids differ; other columns do not pass.
+    and empty texts have one empty line; ties cannot be, as ids differ; other columns do not pass. A text is held whole in its
+    task, with a few times its bytes beside it. The result reads a table in `workspace` (a folder of its own by default).
     """
-    lines = staged(_long_lines(docs, id_col, text_col, least_chars), "lines")
+    work = workspace or Workspace(docs.sparkSession, "line-dedup")
+    lines = work.staged(_long_lines(docs, id_col, text_col, least_chars), "lines")
     order = ["h1", "h2", F.desc("doc")]
     ranged = lines.repartitionByRange(*order).sortWithinPartitions(*order, "row", "pos")
     kind = docs.schema[id_col].dataType.simpleString()
-    found = staged(ranged.mapInArrow(lambda batches: _stream(batches, least_docs), f"kind string, h1 long, h2 long, doc {kind}, row long, pos int, docs long"), "line-drops")
+    found = work.staged(ranged.mapInArrow(lambda batches: _stream(batches, least_docs), f"kind string, h1 long, h2 long, doc {kind}, row long, pos int, docs long"), "line-drops")
+    work.remove("lines")
     ends = found.where("kind = 'S'").groupBy("h1", "h2").agg(F.sum("docs").alias("total"), F.max("doc").alias("top"))
     late = found.where("kind = 'U'").join(F.broadcast(ends), ["h1", "h2"]).where((F.col("total") >= least_docs) & (F.col("doc") < F.col("top")))
     drops = found.where("kind = 'D'").select("doc", "row", "pos").unionByName(late.select("doc", "row", "pos"))

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regolith.llm.bpe import as_lists
-from regolith.llm.common import hot_keys, join_unique, slices, staged
-from regolith.llm.textscan import U64, buffer_of, mix, span_hashes, word_spans
+from regolith.llm.common import Workspace, hot_keys, join_unique, slices
+from regolith.llm.textscan import U64, buffer_of, gram_hashes, mix, span_hashes, word_spans
 
 #: Bands and rows of a band: two sets of similarity 0.8 share no bucket with probability (1 - 0.8 ** 5) ** 32, about 3e-6.
 BANDS, ROWS = 32, 5
@@ -33,20 +33,12 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     data, places = buffer_of(texts)
     starts, ends, first = word_spans(data, places)
     hashes = span_hashes(data, starts, ends, lower=True)
-    n = len(hashes)
-    rolled = np.zeros(max(0, n - words + 1), U64)
-    for k in range(words):
-        rolled = rolled * _STEP + hashes[k : n - words + 1 + k] if len(rolled) else rolled
-    rolled = mix(rolled + U64(words))
+    grams = gram_hashes(hashes, tuple(range(words)))
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= words:
-            yield np.unique(rolled[a : b - words + 1])
+            yield np.unique(grams[a : b - words + 1])
         elif b > a:
-            one = U64(0)
-            with np.errstate(over="ignore"):
-                for x in hashes[a:b]:
-                    one = one * _STEP + x
-                yield mix(np.array([one + U64(b - a)]))
+            yield gram_hashes(hashes[a:b], tuple(range(b - a)))
         else:
             yield np.zeros(0, U64)
 
@@ -129,25 +121,28 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_b.join(centres, ["a", "salt"]).where(shared * 100 >= percent * (F.size("own_a") + F.size("own_b") - shared)).select("a", "b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, work: Workspace, name: str = "star") -> DataFrame:
     """doc and component (the smallest id reachable) of each node of the edges (a, b). Alternates large stars and small stars,
-    each written to the shared folder, until nothing changes."""
+    each written to the shared folder under `name`, until nothing changes."""
 
     def star(now: DataFrame, large: bool) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else now
-        least = staged(both.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n")), "star-least")
+        least = work.staged(both.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n")), f"{name}-least")
         hot = hot_keys(least, ["a"])
         met = both.join(least, "a") if hot.isEmpty() else join_unique(both, least, ["a"], hot)
         if large:
             out = met.where("b > a").select(F.col("b").alias("a"), F.least("least", "a").alias("b"))
         else:
             out = met.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(least.select("a", F.col("least").alias("b")))
-        return staged(out.where("a <> b").distinct(), "star")
+        new = work.staged(out.where("a <> b").distinct(), name)
+        work.remove(name, but=1)
+        work.remove(f"{name}-least")
+        return new
 
     def digest(now: DataFrame):
         return now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
 
-    now = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    now = work.staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
     before = digest(now)
     while before[0]:
         now = star(star(now, True), False)
@@ -166,16 +161,18 @@ def _pairs_in_small(mixed: DataFrame) -> DataFrame:
     return left.join(right, "bucket").where("a < b AND la <> lb").select("a", "b", "na", "nb")
 
 
-def _links_in_large(mixed: DataFrame, sets: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
+def _links_in_large(mixed: DataFrame, sets: DataFrame, hot: DataFrame, percent: int, work: Workspace) -> DataFrame:
     """The links of sets outside their large bucket's main group with that bucket's other groups. A bucket's sets are dealt to
-    blocks by hash, about BLOCK_SHINGLES in each; each pair of blocks is a row, and its sets are compared in the task."""
+    blocks by hash, about BLOCK_SHINGLES in each; each pair of blocks is a row, and its sets are compared in the task. The sets
+    outside the main group go to every block of their bucket, so the pairs of one bucket are spread over as many keys."""
     total = mixed.groupBy("bucket").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     dealt = join_unique(mixed, total, ["bucket"], hot).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     full = dealt.join(sets, "doc")
     one = F.struct("doc", "label", "own")
-    blocks = staged(full.groupBy("bucket", "block").agg(F.collect_list(one).alias("all")), "blocks")
-    main = mixed.select("bucket", "main").distinct()
-    rest = blocks.join(main, "bucket").withColumn("some", F.expr("filter(all, x -> x.label <> main)")).where(F.size("some") > 0).select("bucket", "some")
+    blocks = work.staged(full.groupBy("bucket", "block").agg(F.collect_list(one).alias("all")), "blocks")
+    main = mixed.select("bucket", "main").distinct().join(total, "bucket")
+    some = blocks.join(main, "bucket").withColumn("some", F.expr("filter(all, x -> x.label <> main)")).where(F.size("some") > 0)
+    rest = some.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "some")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,10 +193,10 @@ def _links_in_large(mixed: DataFrame, sets: DataFrame, hot: DataFrame, percent:
                     b += docs[linked].tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rest.join(blocks, "bucket").select("some", "all").mapInArrow(run, "a long, b long").distinct()
+    return rest.join(blocks, ["bucket", "block"]).select("some", "all").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, workspace: Workspace | None = None) -> DataFrame:
     """Groups of documents linked by similar sets of shingles.
 
     A document's set: its distinct shingles of so many words (runs of other than U+0020 and U+0009-U+000D, A-Z in lower case);
@@ -214,39 +211,42 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     Returns id_col, n_shingles, component_id (the smallest id reachable, itself included) and kept (id = component_id), a row
     for each row of docs. Rows of one id are one document, linked by any of its texts. A null id is in no group: component_id
-    is null and it is kept. Other columns do not pass.
+    is null and it is kept. Other columns do not pass. A text is held whole in its task, with about 20 times its bytes beside
+    it. The result reads tables in `workspace` (a folder of its own by default), which its caller may remove afterwards.
     """
+    work = workspace or Workspace(docs.sparkSession, "near-dedup")
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    signed = staged(_signed(texts, words, bands, rows), "signatures")
+    signed = work.staged(_signed(texts, words, bands, rows), "signatures")
     sound = signed.where("doc IS NOT NULL AND n > 0")
-    classes = staged(sound.groupBy("fp1", "fp2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "classes")
-    hot = staged(hot_keys(classes, ["fp1", "fp2"], "copies", HOT_ROWS), "hot-classes")
+    classes = work.staged(sound.groupBy("fp1", "fp2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "classes")
+    hot = work.staged(hot_keys(classes, ["fp1", "fp2"], "copies", HOT_ROWS), "hot-classes")
     reps = signed.join(classes.select("fp1", "fp2", F.col("rep").alias("doc")), ["fp1", "fp2", "doc"], "left_semi").select("doc", "n", F.explode("bands").alias("bucket"))
-    buckets = staged(reps.groupBy("bucket").agg(F.count("*").alias("size"), F.min("doc").alias("centre")).where("size > 1"), "buckets")
-    hot_buckets = staged(hot_keys(buckets.select("bucket", F.col("size").alias("n")), ["bucket"], least=HOT_ROWS), "hot-buckets")
-    members = staged(join_unique(reps, buckets, ["bucket"], hot_buckets), "members")
+    buckets = work.staged(reps.groupBy("bucket").agg(F.count("*").alias("size"), F.min("doc").alias("centre")).where("size > 1"), "buckets")
+    hot_buckets = work.staged(hot_keys(buckets.select("bucket", F.col("size").alias("n")), ["bucket"], least=HOT_ROWS), "hot-buckets")
+    members = work.staged(join_unique(reps, buckets, ["bucket"], hot_buckets), "members")
 
     met = members.where("doc <> centre").groupBy(F.col("centre").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("together"))
     best = Window.partitionBy("b").orderBy(F.desc("together"), "a")
-    stars = staged(met.withColumn("k", F.row_number().over(best)).where(F.col("k") <= CENTRES).select("a", "b"), "stars")
+    stars = work.staged(met.withColumn("k", F.row_number().over(best)).where(F.col("k") <= CENTRES).select("a", "b"), "stars")
     needed = members.select("doc").distinct()
-    sets = staged(_sets(texts.join(needed, "doc", "left_semi"), words), "sets")
-    links = staged(_confirmed(stars, sets, percent), "links")
+    sets = work.staged(_sets(texts.join(needed, "doc", "left_semi"), words), "sets")
+    links = work.staged(_confirmed(stars, sets, percent), "links")
 
-    label = components(links)
+    label = components(links, work)
     labelled = members.join(label, "doc", "left").select("bucket", "size", "doc", "n", F.coalesce("component", "doc").alias("label"))
     groups = labelled.groupBy("bucket", "label").agg(F.count("*").alias("own"))
     mains = groups.groupBy("bucket").agg(F.max(F.struct("own", "label")).alias("top"), F.count("*").alias("groups")).where("groups > 1").select("bucket", F.col("top.label").alias("main"))
-    mixed = staged(join_unique(labelled, mains, ["bucket"], hot_buckets), "mixed")
+    mixed = work.staged(join_unique(labelled, mains, ["bucket"], hot_buckets), "mixed")
     fits = f"100 * least(na, nb) >= {int(percent)} * greatest(na, nb)"
     pairs = _pairs_in_small(mixed.where(F.col("size") <= SMALL_BUCKET)).where(fits).select("a", "b").distinct()
-    pairs = staged(pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    more = _confirmed(pairs, sets, percent).unionByName(_links_in_large(mixed.where(F.col("size") > SMALL_BUCKET), sets, hot_buckets, percent))
-    more = staged(more, "more-links")
+    pairs = work.staged(pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    more = _confirmed(pairs, sets, percent).unionByName(_links_in_large(mixed.where(F.col("size") > SMALL_BUCKET), sets, hot_buckets, percent, work))
+    more = work.staged(more, "more-links")
     # A component's links are as good as its nodes' links with its smallest one, and need fewer rounds.
     known = label.where("doc <> component").select(F.col("doc").alias("a"), F.col("component").alias("b"))
-    final = label if more.isEmpty() else components(known.unionByName(more))
+    final = label if more.isEmpty() else components(known.unionByName(more), work, "last-star")
 
+    work.remove("buckets", "hot-buckets", "members", "stars", "sets", "links", "mixed", "pairs", "blocks", "more-links")
     named = classes.join(final.withColumnRenamed("doc", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component_id"))
     grouped = join_unique(sound.select("doc", "n", "fp1", "fp2"), named, ["fp1", "fp2"], hot).select("doc", "n", "component_id")
     alone = signed.where("doc IS NULL OR n = 0").select("doc", "n", F.col("doc").alias("component_id"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regolith.llm import statistics
-from regolith.llm.common import hot_keys, join_unique, slices, staged
+from regolith.llm.common import Workspace, hot_keys, join_unique, slices
 from regolith.llm.linear import logistic
 from regolith.llm.quality_rules import labelled_features
 
@@ -62,12 +62,13 @@ def _strength(between: float, within: float, mean: float) -> float:
     return float(np.clip(mean * (1 - mean) / spread - 1, *STRENGTH))
 
 
-def posteriors(scored: DataFrame, host: str = "host", path: str = "path", p: str = "p") -> tuple[DataFrame, float, float, float]:
+def posteriors(scored: DataFrame, work: Workspace, host: str = "host", path: str = "path", p: str = "p") -> tuple[DataFrame, float, float, float]:
     """Sums by path and by its host, from grouped aggregates alone: columns host, path, n, total, host_n, host_total; then the
     global mean and the strengths of the host's and the path's prior."""
-    paths = staged(scored.groupBy(host, path).agg(F.count("*").alias("n"), F.sum(p).alias("total"), F.sum(F.col(p) * (1 - F.col(p))).alias("noise")), "paths")
-    hosts = paths.groupBy(host).agg(F.sum("n").alias("host_n"), F.sum("total").alias("host_total"), F.sum("noise").alias("host_noise"))
-    both = staged(paths.join(hosts, host), "sites")
+    paths = work.staged(scored.groupBy(host, path).agg(F.count("*").alias("n"), F.sum(p).alias("total"), F.sum(F.col(p) * (1 - F.col(p))).alias("noise")), "paths")
+    hosts = work.staged(paths.groupBy(host).agg(F.sum("n").alias("host_n"), F.sum("total").alias("host_total"), F.sum("noise").alias("host_noise"), F.count("*").alias("paths")), "hosts")
+    # A host with very many paths meets its sums by broadcast.
+    both = work.staged(join_unique(paths, hosts, [host], hot_keys(hosts, [host], "paths")).drop("paths"), "sites")
     one = hosts.agg(F.sum("host_total").alias("total"), F.sum("host_n").alias("n")).first()
     if not one.n:
         return both, 0.5, 1.0, 1.0
@@ -78,7 +79,7 @@ def posteriors(scored: DataFrame, host: str = "host", path: str = "path", p: str
     return both, mean, _strength(h.between, h.within, mean), _strength(q.between, q.within, mean)
 
 
-def classify(docs: DataFrame, evidence: Evidence, host: Column, path: Column, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, evidence: Evidence, host: Column, path: Column, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", workspace: Workspace | None = None) -> DataFrame:
     """Quality by hierarchical empirical Bayes: id_col, host, path, evidence (the document classifier's probability),
     path_posterior, quality (double, 0 to 1) and kept (quality at least `least`).
 
@@ -88,8 +89,10 @@ def classify(docs: DataFrame, evidence: Evidence, host: Column, path: Column, le
 
     A row for each row of docs. Null hosts or paths are a site like any other; null and empty texts are judged by their
     statistics, which are zeros; null ids stay null; other columns do not pass. Hosts of any size: sums are combined before the
-    shuffle, and the rows of large sites meet them by broadcast.
+    shuffle, and the rows of large sites meet them by broadcast. A text is held whole in its task, with about 20 times its bytes
+    beside it. The result reads tables in `workspace` (a folder of its own by default).
     """
+    work = workspace or Workspace(docs.sparkSession, "quality")
     sent = docs.sparkSession.sparkContext.broadcast(evidence)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -99,9 +102,9 @@ def classify(docs: DataFrame, evidence: Evidence, host: Column, path: Column, le
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sent.value.logits(x))], names=["id", "host", "path", "logit"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.col(text_col).alias("text"))
-    scored = staged(texts.mapInArrow(run, f"id {kind}, host string, path string, logit double").withColumn("p", 1 / (1 + F.exp(-F.col("logit")))), "evidence")
-    sites, mean, host_strength, path_strength = posteriors(scored)
-    met = join_unique(scored, sites, ["host", "path"], staged(hot_keys(sites, ["host", "path"]), "hot-sites"))
+    scored = work.staged(texts.mapInArrow(run, f"id {kind}, host string, path string, logit double").withColumn("p", 1 / (1 + F.exp(-F.col("logit")))), "evidence")
+    sites, mean, host_strength, path_strength = posteriors(scored, work)
+    met = join_unique(scored, sites, ["host", "path"], work.staged(hot_keys(sites, ["host", "path"]), "hot-sites"))
     host_rate = (F.lit(host_strength * mean) + F.col("host_total") - F.col("p")) / (host_strength + F.col("host_n") - 1)
     path_rate = (path_strength * host_rate + F.col("total") - F.col("p")) / (path_strength + F.col("n") - 1)
     judged = met.withColumn("path_posterior", path_rate).withColumn("quality", 1 / (1 + F.exp(-(F.col("logit") + _logit(F.col("path_posterior")) - _logit(F.lit(mean))))))

@@ -23,10 +23,10 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def labelled_features(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of about `sample` labelled documents, chosen by a hash of their id; only these numbers come to the
-    driver. Null labels and labels without a document are left out."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    driver. Null labels and labels without a document are left out; of differing labels of one id the largest counts."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     n = known.count()
-    chosen = known.where(F.pmod(F.xxhash64("id", F.lit(4)), F.lit(max(n, sample))) < sample).dropDuplicates(["id"])  # about `sample` rows
+    chosen = known.where(F.pmod(F.xxhash64("id", F.lit(4)), F.lit(max(n, sample))) < sample)  # about `sample` rows
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

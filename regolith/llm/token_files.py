@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from regolith.llm.bpe import Remembered
-from regolith.llm.common import shared_dir, slices, staged
+from regolith.llm.common import Workspace, slices
 
 MAGIC = b"PFORIDS1"
 BLOCK = 4096
@@ -147,19 +147,21 @@ def _opened(folder: str):
     return store, top
 
 
-def write(docs: DataFrame, definition: str, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> tuple[str, DataFrame]:
+def write(docs: DataFrame, definition: str, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", special: bool = False, workspace: Workspace | None = None) -> tuple[str, DataFrame]:
     """Encodes every whole text with the tokenizers library, appends end_id, and writes the ids in ascending order of id.
 
     The texts are range-partitioned by id and sorted; each task writes its files (ids-<partition>-<number>.pfor) under `path`,
-    a new folder in the shared one if None. A file is complete before it gets its name, so a task may run again.
+    a new folder in the workspace's if None. A file is complete before it gets its name, so a task may run again.
 
     Returns the folder, and the files as a table: file (string), start (long: ids in the files before it), docs, ids (long).
-    Null ids come first; null and empty texts have end_id alone; equal ids keep any order; extra columns are not written; an
-    empty table has no files. definition: the tokenizer's JSON, a fixed vocabulary of a few MB. special: whether the strings of its
+    Null ids come first; null and empty texts have end_id alone; rows of one id are in the order of a hash of their texts, so that a
+    task that runs again writes the same file; extra columns are not written; an empty table has no files. A text is held whole in
+    its task, with about 20 times its bytes beside it. definition: the tokenizer's JSON, a fixed vocabulary of a few MB. special: whether the strings of its
     special tokens have their ids where they stand in a text, as in the library unless it is told otherwise, or are plain text.
     """
     spark = docs.sparkSession
-    folder = path or f"{shared_dir(spark).rstrip('/')}/token-ids-{uuid.uuid4().hex}"
+    work = workspace or Workspace(spark, "token-files")
+    folder = path or f"{work.path}/ids"
     sent = spark.sparkContext.broadcast(definition)
 
     _opened(folder)
@@ -196,9 +198,9 @@ def write(docs: DataFrame, definition: str, path: str | None = None, end_id: int
         if names:
             yield close()
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = texts.repartitionByRange("id").sortWithinPartitions("id")
-    files = staged(ordered.mapInArrow(run, "file string, docs long, ids long"), "token-files")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("hash"))
+    ordered = texts.repartitionByRange("id", "hash").sortWithinPartitions("id", "hash").drop("hash")
+    files = work.staged(ordered.mapInArrow(run, "file string, docs long, ids long"), "token-files")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file of FILE_IDS ids
     return folder, files.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"), "docs", "ids")
 

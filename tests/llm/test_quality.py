@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from regolith.llm import boosting, quality_bayes, quality_rules, queries, statistics
+from regolith.llm.common import Workspace
 
 
 def plain(text):
@@ -95,7 +96,7 @@ def test_query_op3(spark):
 def test_posteriors_against_plain_sums(spark):
     own = random.Random(3)
     rows = [(f"h{min(own.randint(0, 30), own.randint(0, 30))}", f"p{own.randint(0, 2)}", own.random()) for _ in range(800)] + [("", "", 0.5)]
-    sites, mean, host_strength, path_strength = quality_bayes.posteriors(spark.createDataFrame(rows, "host string, path string, p double"))
+    sites, mean, host_strength, path_strength = quality_bayes.posteriors(spark.createDataFrame(rows, "host string, path string, p double"), Workspace(spark, "test"))
     ps = np.array([p for *_, p in rows])
     assert abs(mean - ps.mean()) < 1e-9
 
