@@ -20,8 +20,19 @@ def _flags(chars: bytes) -> np.ndarray:
 
 _SYMBOLS = _flags(b"#*$%&|<>")
 _UPPER, _LOWER, _DIGIT, _LOUD, _STOP = _flags(bytes(range(65, 91))), _flags(bytes(range(97, 123))), _flags(b"0123456789"), _flags(b"!?"), _flags(b".")
-#: Fixed: bytes that continue a character in UTF-8.
-_CONTINUES = _flags(bytes(range(0x80, 0xC0)))
+#: Fixed: bytes that start a character of a word: not blanks, nor those that continue a character in UTF-8.
+_WORD_POINTS = ~_flags(bytes([0x20, *range(0x09, 0x0E), *range(0x80, 0xC0)]))
+
+
+def _repeated(windows: np.ndarray) -> int:
+    """The words in windows (hashes, one for each first word) that are found twice or more."""
+    own = np.sort(windows)
+    again = own[1:][own[1:] == own[:-1]]
+    if not len(again):
+        return 0
+    at = np.flatnonzero(again[np.minimum(np.searchsorted(again, windows), len(again) - 1)] == windows)
+    edges = np.bincount(at, minlength=len(windows) + WINDOW) - np.bincount(at + WINDOW, minlength=len(windows) + WINDOW + 1)[: len(windows) + WINDOW]
+    return int(np.count_nonzero(np.cumsum(edges)))
 
 
 def count(texts: pa.Array) -> dict[str, np.ndarray]:
@@ -35,15 +46,17 @@ def count(texts: pa.Array) -> dict[str, np.ndarray]:
     data, places = buffer_of(texts)
     n = len(places) - 1
 
+    some = np.flatnonzero(np.diff(places))
+
     def summed(flags: np.ndarray) -> np.ndarray:
-        return np.diff(np.concatenate([[0], np.cumsum(flags)])[places])
+        sums = np.zeros(n, np.int64)
+        if len(some):
+            sums[some] = np.add.reduceat(flags, places[some], dtype=np.int64)
+        return sums
 
     starts, ends, first = word_spans(data, places)
     n_words = np.diff(first)
-    text = np.repeat(np.arange(n), n_words)
-    points = np.concatenate([[0], np.cumsum(~_CONTINUES[data])])
-    in_words = np.concatenate([[0], np.cumsum(points[ends] - points[starts])])
-    out = {"n_words": n_words, "word_chars": np.diff(in_words[first]), "n_symbols": summed(_SYMBOLS[data])}
+    out = {"n_words": n_words, "word_chars": summed(_WORD_POINTS[data]), "n_symbols": summed(_SYMBOLS[data])}
 
     breaks = np.flatnonzero(data == 10)
     n_lines = np.diff(np.searchsorted(breaks, places)) + 1
@@ -56,17 +69,14 @@ def count(texts: pa.Array) -> dict[str, np.ndarray]:
     out |= {"n_lines": n_lines, "n_dup_lines": np.bincount(of[again & worded], minlength=n)}
 
     words = span_hashes(data, starts, ends)
-    own = mix(words + text.astype(U64) * _STEP)
-    out["n_distinct_words"] = np.bincount(text[np.unique(own, return_index=True)[1]], minlength=n)
-    covered = np.zeros(len(words) + 1, np.int64)
-    if len(words) >= WINDOW:
-        grams = gram_hashes(words, tuple(range(WINDOW)))
-        whole = np.flatnonzero(text[: len(grams)] == text[WINDOW - 1 :])
-        _, back, times = np.unique(mix(grams[whole] + text[whole].astype(U64) * _STEP), return_inverse=True, return_counts=True)
-        twice = whole[times[back] > 1]
-        np.add.at(covered, twice, 1)
-        np.add.at(covered, twice + WINDOW, -1)
-    out["n_repeat_words"] = np.bincount(text[np.cumsum(covered)[:-1] > 0], minlength=n)
+    grams = gram_hashes(words, tuple(range(WINDOW)))
+    out |= {"n_distinct_words": np.zeros(n, np.int64), "n_repeat_words": np.zeros(n, np.int64)}
+    for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        if b > a:
+            own = np.sort(words[a:b])
+            out["n_distinct_words"][i] = 1 + np.count_nonzero(own[1:] != own[:-1])
+        if b > a + WINDOW:
+            out["n_repeat_words"][i] = _repeated(grams[a : b - WINDOW + 1])
     for name, flags in (("n_upper", _UPPER), ("n_lower", _LOWER), ("n_digits", _DIGIT), ("n_loud", _LOUD), ("n_stops", _STOP)):
         out[name] = summed(flags[data])
     return out

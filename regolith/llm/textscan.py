@@ -53,6 +53,8 @@ def _lowered() -> np.ndarray:
 _FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
 #: Spans of more bytes are hashed one by one by xxhash, shorter ones together in steps of eight bytes.
 _LONG = 256
+#: Spans that arrays are made for at a time, so that one long text needs little memory beside its own arrays.
+_AT_ONCE = 1 << 18
 
 
 def eights(data: np.ndarray) -> np.ndarray:
@@ -71,18 +73,20 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     """
     if lower:
         data = _lowered()[data]
-    lengths = ends - starts
-    out = mix(lengths.astype(U64) + _ODD)
     words = eights(data)
-    long = np.flatnonzero(lengths > _LONG)
-    for k in long.tolist():
-        out[k] = xxhash.xxh3_64_intdigest(np.ascontiguousarray(data[starts[k] : ends[k]]))
-    open_ = np.flatnonzero((lengths > 0) & (lengths <= _LONG)) if len(long) else np.flatnonzero(lengths > 0)
-    at, left = starts[open_], lengths[open_]
-    while len(open_):
-        out[open_] = mix((out[open_] * _ODD) ^ (words[at] & _FIRST[np.minimum(left, 8)]))
-        more = left > 8
-        open_, at, left = open_[more], at[more] + 8, left[more] - 8
+    out = np.empty(len(starts), U64)
+    for first in range(0, len(starts), _AT_ONCE):
+        begins, stops, own = starts[first : first + _AT_ONCE], ends[first : first + _AT_ONCE], out[first : first + _AT_ONCE]
+        lengths = stops - begins
+        own[:] = mix(lengths.astype(U64) + _ODD)
+        for k in np.flatnonzero(lengths > _LONG).tolist():
+            own[k] = xxhash.xxh3_64_intdigest(np.ascontiguousarray(data[begins[k] : stops[k]]))
+        open_ = np.flatnonzero((lengths > 0) & (lengths <= _LONG))
+        at, left = begins[open_], lengths[open_]
+        while len(open_):
+            own[open_] = mix((own[open_] * _ODD) ^ (words[at] & _FIRST[np.minimum(left, 8)]))
+            more = left > 8
+            open_, at, left = open_[more], at[more] + 8, left[more] - 8
     return out
 
 
@@ -104,10 +108,11 @@ def same_bytes(data: np.ndarray, starts: np.ndarray, other: np.ndarray, others:
 
 def gram_hashes(hashes: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
     """A hash for each gram of hashed words, that of the words `offsets` places behind each word; as many as there are whole ones."""
-    size = max(0, len(hashes) - offsets[-1])
-    out = np.full(size, len(offsets), U64)
-    for k in offsets:
-        out = mix(out * _ODD + hashes[k : size + k])
+    out = np.full(max(0, len(hashes) - offsets[-1]), len(offsets), U64)
+    for first in range(0, len(out), _AT_ONCE):
+        own = out[first : first + _AT_ONCE]
+        for k in offsets:
+            own[:] = mix(own * _ODD + hashes[first + k : first + k + len(own)])
     return out
 
 

@@ -1,7 +1,8 @@
-"""Toxicity by weak supervision: lexicon and density voters, a generative model of their votes, a linear classifier."""
+"""Toxicity by weak supervision: lexicon, pattern and density voters, a generative model of their votes, a linear classifier."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from regolith.llm.common import slices
 from regolith.llm.linear import logistic, sigmoid
-from regolith.llm.textscan import U64, HashTable, buffer_of, mix, span_hashes, spans_outside
+from regolith.llm.textscan import U64, HashTable, buffer_of, gram_hashes, mix, span_hashes, spans_outside
 
 #: Labelled rows that lexicons are mined from; labelled rows, and as many unlabelled ones, that the label model and the classifier
 #: see; on average at most.
@@ -31,6 +32,16 @@ LEXICONS = (
     "idiot idiote imbécile connard débile ordure minable crétin salaud",
     "idiota imbécil estúpido estúpida basura asqueroso patético cretino perdedor",
 )
+#: Fixed: phrases of two and three words, by theme, in lower case.
+PHRASES = (
+    "shut up, get lost, go away, halt die klappe, hau ab, ta gueule, ferme la, cállate ya, vete de aquí",
+    "kill you, kill yourself, hurt you, hate you, go die, drop dead, stirb endlich, crève donc, ojalá mueras",
+    "piece of trash, piece of garbage, waste of space, so stupid, such an idiot, so dumm, si stupide, tan estúpido",
+)
+#: Fixed: words that address somebody, in lower case.
+ADDRESS = "you your du dich dein ihr tu te toi vous tú usted eres sois"
+#: Words of address stand at most so far before a hit; two hits make a pair and three a run within so many words.
+BEFORE, PAIR, RUN = 3, 3, 8
 #: How far an annotation is believed.
 SURE = 0.99
 _LETTERS = np.ones(256, bool)
@@ -41,7 +52,10 @@ _STEP = U64(0x9E3779B97F4A7C15)
 def _entry_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each text its words (letters in a row, A-Z in lower case) as rows of hashes: the whole word, then its beginnings, 0
     where the word is no longer than that; the words' texts; and the number of words of each text."""
-    data, places = buffer_of(pc.utf8_lower(texts))
+    return _entries(*buffer_of(pc.utf8_lower(texts)))
+
+
+def _entries(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, first = spans_outside(_LETTERS, data, places)
     chars = np.flatnonzero((data & 0xC0) != 0x80)
     begin, stop = np.searchsorted(chars, starts), np.searchsorted(chars, ends)
@@ -54,6 +68,24 @@ def _entry_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(len(counts)), counts), counts
 
 
+#: Bytes of a long text that are looked at together; it is cut between words.
+PIECE = 1 << 20
+
+
+def _cuts(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The texts' places, with cuts about PIECE bytes apart within those of over twice as many."""
+    inner = []
+    for k in np.flatnonzero(np.diff(places) > 2 * PIECE).tolist():
+        at, stop = int(places[k]) + PIECE, int(places[k + 1])
+        while at < stop:
+            gaps = np.flatnonzero(_LETTERS[data[at : min(stop, at + PIECE)]])
+            if len(gaps):
+                inner.append(at + int(gaps[0]))
+                at += int(gaps[0])
+            at += PIECE
+    return np.sort(np.concatenate([places, np.array(inner, np.int64)]))
+
+
 @dataclass
 class Lexicon:
     """Mined entries' hashes with their log odds, and hashes of the fixed lexicons' words with the lexicon's number."""
@@ -119,6 +151,41 @@ def mine(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "to
     return Lexicon(np.array(got.column("entry").to_pylist(), np.int64).view(U64), np.array(got.column("odds").to_pylist(), float), fixed, group)
 
 
+@functools.cache
+def _phrases() -> tuple[HashTable, HashTable]:
+    """Hashes of the phrases with their theme, and of the words of address."""
+    themes: dict[int, int] = {}
+    for theme, line in enumerate(PHRASES):
+        for phrase in line.split(", "):
+            words = _entry_hashes(pa.array([phrase]))[0][:, 0]
+            themes[int(gram_hashes(words, tuple(range(len(words))))[0])] = theme
+    found, address = HashTable(len(themes)), HashTable(16)
+    found.put(np.array(list(themes), U64), np.array(list(themes.values()), np.int32))
+    words = np.unique(_entry_hashes(pa.array([ADDRESS]))[0][:, 0])
+    address.put(words, np.zeros(len(words), np.int32))
+    return found, address
+
+
+@dataclass
+class Sums:
+    """What the votes and features of texts are made from: words, hits, hits in the fixed lexicons, the hits' odds and the highest of
+    them, and which shards, lexicons and patterns a text has."""
+
+    words: np.ndarray
+    hits: np.ndarray
+    known: np.ndarray
+    power: np.ndarray
+    top: np.ndarray
+    shards: np.ndarray
+    groups: np.ndarray
+    patterns: np.ndarray
+
+    def at(self, texts: np.ndarray) -> Sums:
+        """The sums of texts from those of their pieces; texts: where each one's first piece is."""
+        parts = [np.add.reduceat(x, texts) for x in (self.words, self.hits, self.known, self.power)]
+        return Sums(*parts, *[np.maximum.reduceat(x, texts) for x in (self.top, self.shards, self.groups, self.patterns)])
+
+
 class Voters:
     """Votes and features of texts by a lexicon."""
 
@@ -130,9 +197,28 @@ class Voters:
         self.odds = np.append(lexicon.odds, 0.0)
         self.shard = np.append((lexicon.mined % U64(SHARDS)).astype(int), 0)
 
-    def look(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """votes (1 toxic, -1 clean, 0 none) and features of each text."""
-        entries, text, words = _entry_hashes(texts)
+    def _patterns(self, words: np.ndarray, text: np.ndarray, hit: np.ndarray, n: int) -> np.ndarray:
+        """For each text: the themes of phrases, whether a word of address stands before a hit, and pairs and runs of hits."""
+        out = np.zeros((n, len(PHRASES) + 3), bool)
+        phrases, address = _phrases()
+        for size in (2, 3):
+            theme = phrases.get(gram_hashes(words, tuple(range(size))))
+            at = np.flatnonzero(theme >= 0)
+            at = at[text[at] == text[at + size - 1]]
+            out[text[at], theme[at]] = True
+        place = np.flatnonzero(hit)
+        addressed = address.get(words) >= 0
+        for k in range(1, BEFORE + 1):
+            own = place[place >= k]
+            own = own[addressed[own - k] & (text[own - k] == text[own])]
+            out[text[own], len(PHRASES)] = True
+        for column, more, reach in ((1, 1, PAIR), (2, 2, RUN)):
+            first, last = place[: max(0, len(place) - more)], place[more:]
+            out[text[first[(last - first <= reach) & (text[first] == text[last])]], len(PHRASES) + column] = True
+        return out
+
+    def _sums(self, data: np.ndarray, places: np.ndarray) -> Sums:
+        entries, text, words = _entries(data, places)
         n = len(words)
         found = self.mined.get(entries.ravel()).reshape(entries.shape)
         found[entries == 0] = -1
@@ -142,26 +228,38 @@ class Voters:
         which = found[np.arange(len(odds)), best] if len(odds) else np.zeros(0, np.int32)
         group = self.fixed.get(entries[:, 0])
         hit = (strength > 0) | (group >= 0)
-        hits, known = np.bincount(text[hit], minlength=n), np.bincount(text[group >= 0], minlength=n)
-        power = np.bincount(text, strength, minlength=n)
         top = np.zeros(n)
         np.maximum.at(top, text, strength)
-        length = np.maximum(words, 1)
         shards, groups = np.zeros((n, SHARDS), bool), np.zeros((n, len(LEXICONS)), bool)
         mined = which >= 0
         shards[text[mined], self.shard[which[mined]]] = True
         groups[text[group >= 0], group[group >= 0]] = True
+        patterns = self._patterns(entries[:, 0], text, hit, n)
+        return Sums(words, np.bincount(text[hit], minlength=n), np.bincount(text[group >= 0], minlength=n), np.bincount(text, strength, minlength=n), top, shards, groups, patterns)
+
+    def look(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """votes (1 toxic, -1 clean, 0 none) and features of each text."""
+        data, places = buffer_of(pc.utf8_lower(texts))
+        cuts = _cuts(data, places)
+        if len(cuts) == len(places):
+            return self._judged(self._sums(data, places))
+        parts = [self._sums(data[a:b], np.array([0, b - a])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        joined = Sums(*(np.concatenate(x) for x in zip(*(vars(p).values() for p in parts), strict=True)))
+        return self._judged(joined.at(np.searchsorted(cuts, places[:-1], "right") - 1))
+
+    def _judged(self, s: Sums) -> tuple[np.ndarray, np.ndarray]:
+        words, hits, known, power, length = s.words, s.hits, s.known, s.power, np.maximum(s.words, 1)
         per_word = hits / length
         marks = [
             np.where(hits == 0, -1, np.where(per_word >= 0.01, 1, 0)),
             np.where(power / length < 0.005, -1, np.where(power / length > 0.04, 1, 0)),
-            np.where(shards.sum(1) >= 3, 1, 0) * (per_word >= 0.005),
+            np.where(s.shards.sum(1) >= 3, 1, 0) * (per_word >= 0.005),
             np.where((known > 0) & (known / length >= 0.004), 1, 0),
         ]
-        votes = np.column_stack([groups * (per_word >= 0.004)[:, None], shards * (per_word >= 0.004)[:, None], *marks]).astype(np.int8)
+        votes = np.column_stack([s.groups * (per_word >= 0.004)[:, None], s.shards * (per_word >= 0.004)[:, None], *marks, s.patterns * (per_word >= 0.004)[:, None]]).astype(np.int8)
         # How hits and their odds stand to what a text of that length has by chance: long clean texts have some.
         excess = [np.log((hits + 0.5) / (0.01 * words + 0.5)), np.log((power + 1) / (0.04 * words + 1)), np.log((known + 0.5) / (0.01 * words + 0.5))]
-        features = np.column_stack([*excess, np.log1p(hits), np.minimum(per_word, 0.2) * 20, np.sqrt(np.minimum(per_word, 0.2)) * 5, np.minimum(power / length, 1) * 5, top / 3, np.log1p(known), np.minimum(known / length, 0.2) * 20, np.log1p(words) / 5])
+        features = np.column_stack([*excess, np.log1p(hits), np.minimum(per_word, 0.2) * 20, np.sqrt(np.minimum(per_word, 0.2)) * 5, np.minimum(power / length, 1) * 5, s.top / 3, np.log1p(known), np.minimum(known / length, 0.2) * 20, np.log1p(words) / 5])
         return votes, features
 
 
@@ -259,7 +357,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The toxicity of every whole text: id_col and score (double, 0 to 1), by the text alone. Null and empty texts have the
-    score of a text without words. A row for each row of docs; null ids stay null; other columns do not pass."""
+    score of a text without words. A row for each row of docs; null ids stay null; other columns do not pass. A long text is looked
+    at in pieces, cut between words; a pattern over a cut does not count."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
