@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import heapq
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -11,7 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regolith.llm.common import slices
@@ -331,6 +332,23 @@ def encode(docs: DataFrame, tokens: tuple[bytes, ...], id_col: str = "doc_id", t
     return out.withColumnRenamed("id", id_col)
 
 
+def ids_sha256(ids: Column) -> Column:
+    """The digest (lowercase hex) of each list of ids as decimals joined by commas, made in pieces; that of nothing for a null list."""
+
+    @F.arrow_udf("string")
+    def digest(lists: pa.Array) -> pa.Array:
+        out = []
+        for own in lists:
+            values = own.values.to_numpy() if own.is_valid else np.zeros(0, np.int32)
+            sha = hashlib.sha256()
+            for k in range(0, len(values), 1 << 16):
+                sha.update((("," if k else "") + ",".join(map(str, values[k : k + (1 << 16)].tolist()))).encode())
+            out.append(sha.hexdigest())
+        return pa.array(out, pa.string())
+
+    return digest(ids)
+
+
 def decode(rows: DataFrame, tokens: tuple[bytes, ...], ids_col: str = "ids", into: str = "decoded") -> DataFrame:
     """rows with the bytes of each list of ids in column `into`; a null list gives no bytes. Ids must be those of the vocabulary."""
     sent = rows.sparkSession.sparkContext.broadcast(tokens)

@@ -20,7 +20,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        bpe.ids_sha256(F.col("ids")).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
@@ -40,6 +40,17 @@ def op3_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bayes.classify(docs, evidence, F.col("source"), F.col("lang"))
 
 
+def quality_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages by the hosts and directories of their URLs, most of which have few pages: text without tags, evidence learned from the
+    labelled documents."""
+    from regolith.llm import quality_bayes
+
+    evidence = quality_bayes.train(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+    bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"<[^>]*>", " ")
+    pages = read(spark, sf_dir, "pages").select("page_id", bare.alias("text"), "url")
+    return quality_bayes.classify(pages, evidence, *quality_bayes.site_of(F.col("url")), id_col="page_id")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regolith.llm import quality_rules
 
@@ -147,6 +158,46 @@ FROM keyed k LEFT JOIN spread s ON k.key = s.key
 GROUP BY k.doc_id
 """
 
+#: The columns of op4_quality_rules that are counts and fixed limits; the verdict is beyond SQL.
+OP4_BASE_SQL = """
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 7], ' ')) AS times
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)
+), repeated AS (
+  SELECT doc_id, count(DISTINCT i + d) AS n FROM windows, range(8) r(d) WHERE times > 1 GROUP BY doc_id
+), counted AS (
+  SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN repeated r ON w.doc_id = r.doc_id
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted
+"""
+
+_ASSIGN = """([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+#: The columns of op6_secrets that are the fixed patterns' spans; spans of high entropy are beyond SQL.
+OP6_BASE_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents
+), m AS (
+  SELECT doc_id, 'assign' AS kind, 1 AS rank, regexp_extract_all(text, '{_ASSIGN}') AS found, string_split_regex(text, '{_ASSIGN}') AS parts FROM t
+  UNION ALL SELECT doc_id, 'access', 2, regexp_extract_all(text, 'AKIA[A-Z0-9]+'), string_split_regex(text, 'AKIA[A-Z0-9]+') FROM t
+  UNION ALL SELECT doc_id, 'hex', 3, regexp_extract_all(text, '[0-9a-f]+'), string_split_regex(text, '[0-9a-f]+') FROM t
+), each AS (
+  SELECT doc_id, kind, rank, unnest(found) AS hit, unnest(list_transform(range(1, len(found) + 1), lambda i: length(array_to_string(parts[1:i], '')) + length(array_to_string(found[1:i - 1], '')))) AS start FROM m
+), spans AS (
+  SELECT *, start + length(hit) AS stop FROM each
+  WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(hit, '{_ASSIGN}', 2)) >= 6 WHEN 'access' THEN length(hit) >= 20 ELSE length(hit) >= 24 END
+)
+SELECT t.doc_id, count(CASE WHEN kind = 'assign' THEN 1 END)::BIGINT AS n_assign, count(CASE WHEN kind = 'access' THEN 1 END)::BIGINT AS n_access, count(CASE WHEN kind = 'hex' THEN 1 END)::BIGINT AS n_hex,
+       sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank), '')) AS base_sha256
+FROM t LEFT JOIN spans s ON t.doc_id = s.doc_id GROUP BY t.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_near_dedup": op2_near_dedup,
@@ -158,5 +209,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
+    "quality_of_pages": quality_of_pages,
 }
 SQL: dict[str, str] = {"op2_near_dedup": OP2_SQL, "op10_line_dedup": OP10_SQL}

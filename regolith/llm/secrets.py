@@ -129,7 +129,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hex digits that they lie in, unless the string is on the allow list, the window overlaps an alphabet or digits in order, or a
     fixed pattern has found the place.
 
-    A row for each row of docs; null and empty texts have no spans; null ids stay null; other columns do not pass.
+    A row for each row of docs, repeated rows too; null and empty texts have no spans; null ids stay null; other columns do not pass.
+    Long texts are searched whole, in time that grows with their length, with their spans beside them.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

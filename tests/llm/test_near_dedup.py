@@ -2,12 +2,14 @@
 
 import random
 import re
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
 
 from regolith.llm import near_dedup, queries
+from regolith.llm.common import Workspace, shared_dir
 
 
 def brute(rows, words, percent=80):
@@ -110,3 +112,27 @@ def test_query_op2(spark):
     wanted = con.execute(f"SELECT doc_id, n_shingles, component_id, kept FROM ({queries.SQL['op2_near_dedup']})").fetchall()
     assert sorted(wanted) == sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out)
     assert sum(not r.kept for r in out) > 20
+
+
+def test_hash_patterns_are_no_equal_sets(spark):
+    a, b = "a", "b"
+    while len(a) < 2048:
+        a, b = a + b, b + a
+    rows = [(1, a), (2, b), (3, f"x {a} y"), (4, f"x {b} y"), (5, a)]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string"), 2) == [(1, 1, 1), (2, 1, 2), (3, 2, 3), (4, 2, 4), (5, 1, 1)]
+
+
+def test_a_run_removes_its_tables_and_names_a_shared_folder(spark):
+    work = Workspace(spark, "test")
+    near_dedup.near_duplicates(spark.createDataFrame([(i, f"a b c d e f g {i % 3}") for i in range(30)], "doc_id long, text string"), 2, workspace=work).count()
+    folder = Path(work.path.removeprefix("file://"))
+    assert not any(p.name.startswith(("sets", "blocks", "mixed", "pairs", "links")) for p in folder.iterdir())
+    work.remove()
+    assert not folder.exists()
+
+    class Elsewhere:
+        conf = type("", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("", (), {"master": "spark://host:7077", "getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Elsewhere)

@@ -1,9 +1,11 @@
 """Statistics, boosted trees and site posteriors against plain versions, and held-out accuracy."""
 
+import math
 import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -125,3 +127,83 @@ def test_sites_shift_their_documents(spark):
     assert quality_bayes.classify(docs.limit(0), quality_bayes.train(docs.limit(0), labels), docs.host, docs.path).count() == 0
     urls = spark.createDataFrame([("https://A.example/x/y?z",), ("http://b.example",), ("no url",), (None,)], "url string")
     assert [tuple(r) for r in urls.select(*quality_bayes.site_of(urls.url)).collect()] == [("a.example", "/x"), ("b.example", None), (None, None), (None, None)]
+
+
+def test_the_fixed_columns_of_op4_are_its_sql(spark, tmp_path):
+    odd = [*made_up(9, 200), None, "", "\n", "one two three four five six seven eight " * 3]
+    spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for path, files in ((str(tmp_path), "/*.parquet"), ("/root/testdata/sf0.01", "")):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet{files}'")
+        names = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed"
+        wanted = con.execute(f"SELECT {names} FROM ({queries.OP4_BASE_SQL})").fetchall()
+        assert sorted(wanted) == sorted(map(tuple, queries.op4_quality_rules(spark, path).select(*names.split(", ")).collect()))
+
+
+def test_hash_patterns_are_no_equal_lines(spark):
+    a, b = "a", "b"
+    while len(a) < 4096:
+        a, b = a + b, b + a
+    found = statistics.count(pa.array([f"{a}\n{b}", f"{a}\n{a}"]))
+    assert found["n_dup_lines"].tolist() == [0, 1] and found["n_distinct_words"].tolist() == [2, 1]
+
+
+def test_repeated_labels_count_by_their_largest(spark):
+    docs = spark.createDataFrame([(i, "a text of so many words") for i in range(4)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (0, 1), (1, 0), (1, 0), (2, None), (2, 0), (3, 1)], "doc_id long, quality int")
+    assert quality_rules.labelled_features(docs, labels, "quality")[1].tolist() == [1, 0, 0, 1]
+
+
+def plain_posteriors(rows):
+    """path posterior and quality of (host, path, logit) rows by loops over them."""
+    p = [1 / (1 + math.exp(-z)) for *_, z in rows]
+    hosts, paths = {}, {}
+    for (h, q, _), own in zip(rows, p, strict=True):
+        hosts.setdefault(h, []).append(own)
+        paths.setdefault((h, q), []).append(own)
+    mean = min(max(sum(p) / len(p), 1e-6), 1 - 1e-6)
+
+    def strength(groups):
+        between = sum((sum(g) / len(g) - m) ** 2 for g, m in groups) / len(groups)
+        within = sum(sum(x * (1 - x) for x in g) / len(g) ** 2 for g, _ in groups) / len(groups)
+        return min(max(mean * (1 - mean) / max(between - within, 1e-9) - 1, quality_bayes.STRENGTH[0]), quality_bayes.STRENGTH[1])
+
+    of_host = strength([(g, mean) for g in hosts.values()])
+    of_path = strength([(g, sum(hosts[h]) / len(hosts[h])) for (h, _), g in paths.items()])
+    logit = lambda x: math.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6)))
+    out = []
+    for (h, q, z), own in zip(rows, p, strict=True):
+        host = (of_host * mean + sum(hosts[h]) - own) / (of_host + len(hosts[h]) - 1)
+        path = (of_path * host + sum(paths[h, q]) - own) / (of_path + len(paths[h, q]) - 1)
+        out.append((path, 1 / (1 + math.exp(-(z + logit(path) - logit(mean))))))
+    return out
+
+
+def test_verdicts_against_plain_loops(spark):
+    own = random.Random(11)
+    texts = made_up(12, 400)
+    sites = [(f"h{min(own.randint(0, 40), own.randint(0, 40))}.example", own.choice(["/a", "/b", None])) for _ in texts]
+    docs = spark.createDataFrame([(i, t, *s) for i, (t, s) in enumerate(zip(texts, sites, strict=True))], "doc_id long, text string, host string, path string")
+    labels = spark.createDataFrame([(i, int(len(texts[i]) % 3 > 0)) for i in range(0, 400, 2)], "doc_id long, quality int")
+    evidence = quality_bayes.train(docs, labels)
+    logits = evidence.logits(statistics.features(statistics.count(pa.array(texts))))
+    wanted = plain_posteriors([(h, q or "", float(z)) for (h, q), z in zip(sites, logits, strict=True)])
+    for r in quality_bayes.classify(docs, evidence, docs.host, docs.path).collect():
+        assert abs(r.path_posterior - wanted[r.doc_id][0]) < 1e-9 and abs(r.quality - wanted[r.doc_id][1]) < 1e-9
+        assert r.kept == (r.quality >= quality_bayes.LEAST)
+
+
+def test_a_host_of_many_paths_meets_its_sums_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(quality_bayes, "hot_keys", lambda counts, keys, n="n", least=0: counts.where(F.col(n) > 20).select(*keys))
+    rows = [("big", f"p{i}", (i % 10) / 10) for i in range(200)] + [("small", "p", 0.5)]
+    sites, *_ = quality_bayes.posteriors(spark.createDataFrame(rows, "host string, path string, p double"), Workspace(spark, "test"))
+    assert {(r.host, r.host_n) for r in sites.collect()} == {("big", 200), ("small", 1)} and sites.count() == 201
+
+
+def test_pages_are_judged_by_their_sites(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = queries.quality_of_pages(spark, "/root/testdata/sf0.01").collect()
+    assert sorted(r.page_id for r in rows) == sorted(r.page_id for r in pages.select("page_id").collect())
+    sizes = Counter((r.host, r.path) for r in rows)
+    assert all(r.host for r in rows) and sum(n <= 2 for n in sizes.values()) > 10 and all(0 <= r.quality <= 1 for r in rows)

@@ -7,6 +7,8 @@ import re
 import time
 from collections import Counter
 
+import duckdb
+
 from regolith.llm import queries, secrets
 
 
@@ -99,3 +101,18 @@ def test_sequences_hide_only_windows_that_overlap_them():
         assert secrets.find(f"{sequence}{key}") == [("entropy", len(sequence), len(sequence) + len(key))]
         assert secrets.find(f"{key}/{sequence}/{key}")[0][1] == 0 and len(secrets.find(f"{key}/{sequence}/{key}")) == 2
         assert "entropy" not in [k for k, *_ in secrets.find(f"{sequence}{sequence}{sequence}")]
+
+
+def test_the_base_spans_of_op6_are_its_sql(spark, tmp_path):
+    spark.createDataFrame(list(enumerate([*made_up(5, 300), None, "", "token=abcdef" * 3])), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for path, files in ((str(tmp_path), "/*.parquet"), ("/root/testdata/sf0.01", "")):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet{files}'")
+        names = "doc_id, n_assign, n_access, n_hex, base_sha256"
+        wanted = con.execute(f"SELECT {names} FROM ({queries.OP6_BASE_SQL})").fetchall()
+        assert sorted(wanted) == sorted(map(tuple, queries.op6_secrets(spark, path).select(*names.split(", ")).collect()))
+
+
+def test_repeated_rows_have_their_spans_each(spark):
+    docs = spark.createDataFrame([(1, "password=abcdefg")] * 3 + [(1, "other"), (None, "password=abcdefg")] * 2, "doc_id long, text string")
+    assert sorted(len(r.spans) for r in secrets.secret_spans(docs).collect()) == [0, 0, 1, 1, 1, 1, 1]
