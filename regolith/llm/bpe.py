@@ -12,7 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regolith.llm.common import slices
@@ -304,14 +304,26 @@ def as_binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def encode(docs: DataFrame, tokens: tuple[bytes, ...], id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+def digests(ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+    """The sha256 (lowercase hex) of each row's ids as decimals joined by commas, made in pieces."""
+    out = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        sha = hashlib.sha256()
+        for k in range(a, b, PIECE):
+            sha.update(("," * (k > a) + ",".join(map(str, ids[k : min(b, k + PIECE)].tolist()))).encode())
+        out.append(sha.hexdigest())
+    return out
+
+
+def encode(docs: DataFrame, tokens: tuple[bytes, ...], id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, digest: bool = False) -> DataFrame:
     """The BPE ids of every whole text.
 
     Texts are split at the byte-level tokenizers' usual pattern; within a match, each round merges the leftmost pair of least
     rank. A match that is a token itself is that token. No special tokens: their strings are ordinary text.
 
     tokens: as load_ranks() gives them, a fixed vocabulary of about 1 MB that goes out with the tasks.
-    Returns id_col and ids (array<int>), with decoded also the ids' bytes (binary); other columns do not pass. One row for each
+    Returns id_col and ids (array<int>), with decoded also the ids' bytes (binary), with digest also ids_sha256 (as digests() gives it);
+    other columns do not pass. One row for each
     row of docs, repeated rows too; a null or empty text has no ids; a null id stays null; long texts are encoded whole, with about 15
     times their bytes beside them (a text of 50 MB within 1 GB), one without blanks with 35 times.
     """
@@ -322,33 +334,18 @@ def encode(docs: DataFrame, tokens: tuple[bytes, ...], id_col: str = "doc_id", t
         encoder, own = _encoder(sent.value), merger(sent.value)
         for batch in slices(batches, "text"):
             ids, offsets = encoder.encode(batch.column(1))
-            columns = [batch.column(0), as_lists(ids, offsets)]
+            columns = {"id": batch.column(0), "ids": as_lists(ids, offsets)}
             if decoded:
-                columns.append(as_binary(*own.decode(ids, offsets)))
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "decoded"][: len(columns)])
+                columns["decoded"] = as_binary(*own.decode(ids, offsets))
+            if digest:
+                columns["ids_sha256"] = pa.array(digests(ids, offsets), pa.string())
+            yield pa.RecordBatch.from_pydict(columns)
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = texts.mapInArrow(run, f"id {kind.simpleString()}, ids array<int>" + ", decoded binary" * decoded)
+    out = texts.mapInArrow(run, f"id {kind.simpleString()}, ids array<int>" + ", decoded binary" * decoded + ", ids_sha256 string" * digest)
     return out.withColumnRenamed("id", id_col)
 
 
-def ids_sha256(ids: Column) -> Column:
-    """The digest (lowercase hex) of each list of ids as decimals joined by commas, made in pieces; that of nothing for a null list."""
-
-    @F.arrow_udf("string")
-    def digest(lists: pa.Array) -> pa.Array:
-        out = []
-        for own in lists:
-            values = own.values.to_numpy() if own.is_valid else np.zeros(0, np.int32)
-            sha = hashlib.sha256()
-            for k in range(0, len(values), 1 << 16):
-                sha.update((("," if k else "") + ",".join(map(str, values[k : k + (1 << 16)].tolist()))).encode())
-            out.append(sha.hexdigest())
-        return pa.array(out, pa.string())
-
-    return digest(ids)
-
-
 def decode(rows: DataFrame, tokens: tuple[bytes, ...], ids_col: str = "ids", into: str = "decoded") -> DataFrame:
     """rows with the bytes of each list of ids in column `into`; a null list gives no bytes. Ids must be those of the vocabulary."""
     sent = rows.sparkSession.sparkContext.broadcast(tokens)

@@ -16,11 +16,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regolith.llm import bpe
 
     tokens = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    found = bpe.encode(read(spark, sf_dir, "documents"), tokens, decoded=True)
+    found = bpe.encode(read(spark, sf_dir, "documents"), tokens, decoded=True, digest=True)
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        bpe.ids_sha256(F.col("ids")).alias("ids_sha256"),
+        "ids_sha256",
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
