@@ -52,8 +52,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str, work: Workspace |
     import public_tokenizers
 
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    found = bpe.encode(docs, ranks, decoded=True)
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_sha256(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
+    found = bpe.encode(docs, ranks, decoded=True, digest=True)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
 
 
 STAGES = [
