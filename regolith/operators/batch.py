@@ -37,15 +37,19 @@ class Target:
     depth: tuple[float, tuple[float, float], int] | None = None  # feature, shoulders, sign
     stress: Sequence[str] | None = None
 
+    def applies(self, method: str) -> bool:
+        return bool({"ratio": self.ratio, "pca": self.pca, "band_depth": self.depth, "veg_stress": self.stress}.get(method))
+
 
 @dataclass
 class Batch:
     """layers: the pixels with an index and a mask for each result and the score; results: a row for each result; warnings: what
-    could not be computed, by mineral and method."""
+    could not be computed, by mineral and method; masks: the mask's column by mineral and method."""
 
     layers: DataFrame
     results: DataFrame
     warnings: dict[tuple[str, str], str] = field(default_factory=dict)
+    masks: dict[tuple[str, str], str] = field(default_factory=dict)
 
 
 def scaled(pixels: DataFrame, bands: Sequence[str]) -> DataFrame:
@@ -81,20 +85,27 @@ def analyze(
     wavelengths: Sequence[float] | None = None,
     mode: str = "route",
     selected: Sequence[str] | None = None,
+    near: Column | None = None,
+    prior_weight: float = 0.15,
 ) -> Batch:
-    """All targets that are selected (without a selection those of priority 1 and 2) by all methods.
+    """All targets that are selected by all methods. Without a selection the mode `library` takes all, the others those of priority 1
+    and 2.
 
-    A target that a method cannot find is a warning and an empty layer, found when the plan is made, so it cannot stop the job.
+    A method that a target has nothing for does not apply: no result. One that fails (a band is missing, say) is a warning and a
+    result without anomalies, found when the plan is made, so it cannot stop the job. near: proximity to structures (0 to 1),
+    which weights the score (evidence.structural_weight).
     With mean_std all thresholds come from one aggregate; the masks' counts from another. score: the sum over minerals of the
     weighted share of methods that see an anomaly (mode as in evidence.mineral_score; veg_stress does not count); high: all
     methods of some mineral see one.
     """
-    chosen = [t for t in targets if (t.mineral in selected if selected is not None else t.priority <= 2)]
+    chosen = [t for t in targets if (t.mineral in selected if selected is not None else mode == "library" or t.priority <= 2)]
     bands = {c: F.col(c) for c in pixels.columns if b.BAND_NAME.fullmatch(c)}
     found: dict[tuple[int, str], Column] = {}
     warnings: dict[tuple[str, str], str] = {}
     for i, target in enumerate(chosen):
         for method in methods:
+            if not target.applies(method):
+                continue
             try:
                 index = _index(pixels, target, method, bands, roi, wavelengths)
             except (ValueError, KeyError) as wrong:
@@ -115,7 +126,9 @@ def analyze(
         scores.append(evidence.mineral_score(own, F.lit(target.priority), mode))
         if len(seen := [m for m in own.values() if m is not None]) > 1:
             every.append(evidence.all_of(seen))
-    layers = layers.withColumns({"score": sum(scores[1:], scores[0]), "high": evidence.any_of(every), **{f"mask_{key[0]}_{key[1]}": mask for key, mask in masks.items()}})
+    score = sum(scores[1:], scores[0])
+    score = score if near is None else evidence.structural_weight(score, near, prior_weight)
+    layers = layers.withColumns({"score": score, "high": evidence.any_of(every), **{f"mask_{key[0]}_{key[1]}": mask for key, mask in masks.items()}})
     inside = F.lit(True) if roi is None else roi
     counts = [F.count_if(inside).alias("pixels")]
     for key in found:
@@ -129,10 +142,41 @@ def analyze(
                 base = one["pixels"] if roi is not None else one[f"n{name[key]}"]
                 hits = one[f"a{name[key]}"]
                 rows.append((target.mineral, method, target.priority, limits[key], hits, hits / max(1, base)))
-            else:
+            elif target.applies(method):
                 rows.append((target.mineral, method, target.priority, None, 0, 0.0))
     results = pixels.sparkSession.createDataFrame(rows, "mineral string, method string, priority int, threshold double, n_anomaly long, anomaly_ratio double")
-    return Batch(layers, results, warnings)
+    columns = {(chosen[i].mineral, method): f"mask_{i}_{method}" for i, method in found}
+    return Batch(layers, results, warnings, columns)
+
+
+def alteration(pixels: DataFrame, sensor: str, mineral: str, threshold: str = "mean_std", k: float = 1.5) -> Batch:
+    """One mineral of the small catalogue by its formula for a sensor, without a region. ValueError for what the catalogue lacks."""
+    formulas = MINERALS.get(mineral)
+    if formulas is None:
+        raise ValueError(f"unknown mineral: {mineral}")
+    formula = formulas.get(sensor.replace("_L2", "").replace("Landsat8/9", "Landsat8"))
+    if formula is None:
+        raise ValueError(f"{sensor} does not show {mineral}")
+    return analyze(pixels, [Target(mineral, 1, ratio=formula)], ["ratio"], threshold, k)
+
+
+def associations(found: Batch, distance: Column, buffer: float = 300.0) -> DataFrame:
+    """The batch's results with n_near (anomalies of a known distance), median_dist_m and frac_within_buffer: how each one's anomalies
+    lie to structures. The medians of all are found together."""
+    own = {key: F.when(F.col(column), distance) for key, column in found.masks.items()}
+    medians = stats.quantiles_of(found.layers, {"/".join(key): (c, [0.5]) for key, c in own.items()})
+    if own:
+        counts = found.layers.agg(*[x for k, c in enumerate(own.values()) for x in (F.count(c).alias(f"n{k}"), F.avg((c <= buffer).cast("double")).alias(f"f{k}"))]).first()
+        rows = [(*key, counts[f"n{k}"], medians["/".join(key)][0], counts[f"f{k}"]) for k, key in enumerate(own)]
+    else:
+        rows = []
+    near = found.layers.sparkSession.createDataFrame(rows, "mineral string, method string, n_near long, median_dist_m double, frac_within_buffer double")
+    return found.results.join(F.broadcast(near), ["mineral", "method"], "left")  # a row for each target and method
+
+
+def sensor_totals(summaries: DataFrame) -> DataFrame:
+    """roi_pixels (the largest region of the sensors) and high_pixels (of all together) of rows (sensor, roi_pixels, high_pixels)."""
+    return summaries.agg(F.max("roi_pixels").alias("roi_pixels"), F.sum("high_pixels").alias("high_pixels"))
 
 
 def spectral_composite(layers: DataFrame, masks: Sequence[tuple[str, int]]) -> DataFrame:

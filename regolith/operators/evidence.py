@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regolith.functions.bands import clip
-from regolith.operators.stats import normalized, quantiles
+from regolith.operators.stats import normalized, quantiles, quantiles_of
 
 #: Fixed: default weights of evidence layers, and that of a layer without one.
 WEIGHTS = {"alteration": 0.30, "veg_stress": 0.25, "structure": 0.20, "deformation": 0.15, "terrain": 0.10}
@@ -46,21 +46,14 @@ def renormalized(names, weights: Mapping[str, float] | None = None) -> dict[str,
     return {n: w / total for n, w in own.items()}
 
 
-def informative(df: DataFrame, layers: Mapping[str, Column]) -> list[str]:
-    """The layers with a value and more than one; one aggregate for all."""
-    if not layers:
-        return []
-    row = df.agg(*[(F.max(c) - F.min(c)).alias(n) for n, c in layers.items()]).first()
-    return [n for n in layers if row[n] is not None and row[n] > 1e-9]
-
-
 def fuse(df: DataFrame, layers: Mapping[str, Column], method: str = "weighted_sum", weights: Mapping[str, float] | None = None, gamma: float = 0.9) -> tuple[Column, dict[str, float]]:
     """The fused score of the informative layers, each between its 2nd and 98th percentile as 0 to 1 and null as 0; and the
-    weights that count. fuzzy_gamma takes no weights but reports them."""
-    names = informative(df, layers)
+    weights that count. A layer without two values says nothing. fuzzy_gamma takes no weights but reports them."""
+    found = quantiles_of(df, {n: (c, [0.0, 0.02, 0.98, 1.0]) for n, c in layers.items()})
+    names = [n for n, (least, _, _, most) in found.items() if least is not None and most - least > 1e-9]
     if not names:
         return F.lit(0.0), {}
-    own = {n: normalized(layers[n], *quantiles(df, layers[n], [0.02, 0.98]), null_as=0.0) for n in names}
+    own = {n: normalized(layers[n], *found[n][1:3], null_as=0.0) for n in names}
     share = renormalized(names, weights)
     if method == "fuzzy_gamma":
         either = 1 - reduce(lambda a, b: a * b, [1 - c for c in own.values()])

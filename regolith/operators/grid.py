@@ -64,13 +64,24 @@ def components(cells: DataFrame, most_rounds: int = 60) -> DataFrame:
     return spans.select("scene", "y", "x", "label")
 
 
+#: Fixed: codes of the kinds of clusters.
+KINDS = {"active_fault": 1, "landslide": 2, "subsidence": 3, "uplift_other": 4}
+
+
 def attribute(clusters: DataFrame, velocity: str, distance: str | None = None, slope: str | None = None, fault: float = 300.0, steep: float = 15.0) -> DataFrame:
-    """scene, label, pixels, means and kind of each cluster: landslide on steep ground, active_fault near a fault, else
+    """scene, label, pixels, means, kind and code of each cluster: landslide on steep ground, active_fault near a fault, else
     subsidence or uplift_other by the sign of the mean velocity."""
     means = {"mean_velocity": velocity, "mean_distance": distance, "mean_slope": slope}
     out = clusters.groupBy("scene", "label").agg(F.count("*").alias("pixels"), *[(F.avg(c) if c else F.lit(None).cast("double")).alias(n) for n, c in means.items()])
     kind = F.when(F.col("mean_slope") >= steep, "landslide").when(F.col("mean_distance") <= fault, "active_fault").when(F.col("mean_velocity") < 0, "subsidence").otherwise("uplift_other")
-    return out.withColumn("kind", kind)
+    return out.withColumn("kind", kind).withColumn("code", F.element_at(F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair]), F.col("kind")))
+
+
+def kind_counts(attributed: DataFrame) -> DataFrame:
+    """kind, code and clusters of every kind, 0 for those that no cluster has."""
+    return attributed.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in KINDS]).select(
+        F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(code).alias("code"), F.col(k).alias("clusters")) for k, code in KINDS.items()]))
+    )
 
 
 def inside(x: Column, y: Column, rings: Sequence[Sequence[tuple[float, float]]]) -> Column:
@@ -85,6 +96,22 @@ def inside(x: Column, y: Column, rings: Sequence[Sequence[tuple[float, float]]])
     return sum((c.cast("int") for c in crossings), F.lit(0)) % 2 == 1
 
 
+def on_outline(x: Column, y: Column, rings: Sequence[Sequence[tuple[float, float]]]) -> Column:
+    """Whether a cell is on the drawn outline of a polygon of cells: along the longer axis of an edge, at most half a cell off it."""
+    out = F.lit(False)
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]], strict=True):
+            along, across, a1, b1, a2, b2 = (x, y, x1, y1, x2, y2) if abs(x2 - x1) >= abs(y2 - y1) else (y, x, y1, x1, y2, x2)
+            slope = (b2 - b1) / (a2 - a1) if a2 != a1 else 0.0
+            out |= along.between(min(a1, a2), max(a1, a2)) & (F.abs(across - (b1 + (along - a1) * slope)) <= 0.5)
+    return out
+
+
+def inside_cells(x: Column, y: Column, rings: Sequence[Sequence[tuple[float, float]]]) -> Column:
+    """Whether a cell is in a polygon given in cells, its outline included."""
+    return inside(x, y, rings) | on_outline(x, y, rings)
+
+
 def overlap_area(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """The area that two boxes (west, south, east, north) share; 0 where they only touch."""
     wide = F.least(a["east"], b["east"]) - F.greatest(a["west"], b["west"])
@@ -112,3 +139,28 @@ def crossings(lines: DataFrame, cell: float) -> DataFrame:
     u = F.expr("((b_x1 - a_x1) * (a_y2 - a_y1) - (b_y1 - a_y1) * (a_x2 - a_x1)) / d")
     met = both.withColumn("d", d).where("abs(d) >= 1e-12").withColumn("t", t).withColumn("u", u).where("t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1")
     return met.select(F.col("a_seg").alias("seg_a"), F.col("b_seg").alias("seg_b"), F.expr("a_x1 + t * (a_x2 - a_x1)").alias("x"), F.expr("a_y1 + t * (a_y2 - a_y1)").alias("y")).distinct()
+
+
+def crossing_points(found: DataFrame, digits: int = 9) -> DataFrame:
+    """x, y and crossings (how many pairs of segments) of the distinct points of crossings(); points that agree to so many digits are
+    one."""
+    near = found.groupBy(F.round("x", digits).alias("x"), F.round("y", digits).alias("y"))
+    return near.agg(F.count("*").alias("crossings"))
+
+
+def overlaps(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
+    """a joined to b where their boxes (west, south, east, north) touch. Boxes meet in the cells of a grid, and each pair counts only
+    in the cell of the corner where both begin, so no pair comes twice and far boxes are never compared. Columns of a and b must
+    differ but for the sides, of which a's and b's come as a_west, b_west, ...; cell: about the size of a box."""
+    sides = ("west", "south", "east", "north")
+
+    def placed(boxes: DataFrame, prefix: str) -> DataFrame:
+        own = boxes.withColumnsRenamed({s: f"{prefix}_{s}" for s in sides})
+        for side, low, high in (("cx", "west", "east"), ("cy", "south", "north")):
+            own = own.withColumn(side, F.explode(F.sequence(F.floor(F.col(f"{prefix}_{low}") / cell), F.floor(F.col(f"{prefix}_{high}") / cell))))
+        return own
+
+    met = placed(a, "a").join(placed(b, "b"), ["cx", "cy"])
+    touch = "a_east >= b_west AND a_west <= b_east AND a_north >= b_south AND a_south <= b_north"
+    first = (F.floor(F.greatest("a_west", "b_west") / cell) == F.col("cx")) & (F.floor(F.greatest("a_south", "b_south") / cell) == F.col("cy"))
+    return met.where(touch).where(first).drop("cx", "cy")

@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regolith.functions.text import clean_ratio
+from regolith.functions.text import clean_ratio, normalized_sensor
+from regolith.operators.batch import Target
 from regolith.operators.unmixing import first_of
 
-#: Fixed: multispectral sensors, in the order in which equals are preferred.
+#: Fixed: multispectral sensors, in the order in which equals are preferred; and hyperspectral ones, which share absorption features.
 SENSORS = ("ASTER", "Landsat8", "Sentinel2")
+HYPERSPECTRAL = ("EnMAP", "PRISMA")
+#: Fixed: bands of the sensors with red-edge bands that vegetation stress takes (red, three red-edge, near infrared), as wavelengths in
+#: micrometres for the hyperspectral ones; and the stress target's specification.
+RED_EDGE = {"Sentinel2": ("B4", "B5", "B6", "B7", "B8"), "EnMAP": (0.665, 0.705, 0.740, 0.783, 0.842), "PRISMA": (0.665, 0.705, 0.740, 0.783, 0.842)}
+STRESS = {"priority": 1, "index": "ndre", "floor": 0.30}
 #: Fixed: fallback order when the preferred sensor is not usable.
 FALLBACK = ("ASTER", "Sentinel2", "Landsat8")
 CONFIDENCE_BAND, NEARBY_BONUS = 0.12, 0.1
@@ -23,20 +29,71 @@ def pca_inputs(sensor: Column, declared: Column, inputs: Column, landsat: Column
 
 def targets(alterations: DataFrame, sensor: Column) -> DataFrame:
     """alterations (deposit, mineral, priority, sensor_ratio, pca_sensor, input_bands, landsat_bands, has_criterion) with
-    ratio_expr and pca_bands for a sensor; what neither method can find is left out."""
+    ratio_expr and pca_bands for a sensor, by priority and mineral; what neither method can find is left out."""
     ratio = clean_ratio(F.try_element_at(F.col("sensor_ratio"), sensor))
     pca = pca_inputs(sensor, F.col("pca_sensor"), F.col("input_bands"), F.col("landsat_bands"), F.col("has_criterion"))
     out = alterations.withColumns({"sensor": sensor, "priority": F.coalesce("priority", F.lit(2)), "ratio_expr": ratio, "pca_bands": pca})
-    return out.where("ratio_expr IS NOT NULL OR pca_bands IS NOT NULL")
+    return out.where("ratio_expr IS NOT NULL OR pca_bands IS NOT NULL").orderBy("deposit", "priority", "mineral")
 
 
 def by_sensor(alterations: DataFrame) -> DataFrame:
-    """The methods of each mineral for every multispectral sensor: a row for each of the fixed sensors (rank, ratio_ok, pca_ok)."""
-    named = F.posexplode(F.array(*[F.lit(s) for s in SENSORS])).alias("rank", "sensor")
+    """The methods of each mineral for every sensor: a row for each of the fixed sensors (rank, ratio_ok, pca_ok, depth_ok). The
+    hyperspectral ones have the absorption feature (enmap_feature) alone."""
+    named = F.posexplode(F.array(*[F.lit(s) for s in (*SENSORS, *HYPERSPECTRAL)])).alias("rank", "sensor")
     rows = alterations.select("*", named)
+    many = F.col("sensor").isin(*HYPERSPECTRAL)
     ratio = clean_ratio(F.try_element_at(F.col("sensor_ratio"), F.col("sensor"))).isNotNull()
     pca = pca_inputs(F.col("sensor"), F.col("pca_sensor"), F.col("input_bands"), F.col("landsat_bands"), F.col("has_criterion")).isNotNull()
-    return rows.withColumns({"ratio_ok": ratio, "pca_ok": pca})
+    depth = F.col("enmap_feature").isNotNull() if "enmap_feature" in alterations.columns else F.lit(False)
+    return rows.withColumns({"ratio_ok": ratio & ~many, "pca_ok": pca & ~many, "depth_ok": depth & many})
+
+
+def multi_sensor(alterations: DataFrame, key: list[str]) -> DataFrame:
+    """key, deposit, mineral, priority, sensors (map of sensor to its methods) and preferred of each mineral that some sensor shows, by
+    deposit, priority and mineral."""
+    rows = by_sensor(alterations)
+    methods = F.struct(F.col("sensor").alias("sensor"), F.struct("ratio_ok", "pca_ok", "depth_ok").alias("methods"))
+    own = rows.groupBy(*key, "deposit", "mineral", F.coalesce("priority", F.lit(2)).alias("priority")).agg(F.map_from_entries(F.collect_list(methods)).alias("sensors"), F.bool_or(F.col("ratio_ok") | F.col("pca_ok") | F.col("depth_ok")).alias("any"))
+    return own.where("any").drop("any").join(preferred_sensor(rows, key), key).orderBy("deposit", "priority", "mineral")
+
+
+def present(sensors: Column, found: Column) -> Column:
+    """data_present of each sensor that has a method: map of sensor to whether its data were found (found: array of sensors)."""
+    return F.transform_values(F.map_filter(sensors, lambda k, v: v.ratio_ok | v.pca_ok | v.depth_ok), lambda k, v: F.array_contains(found, k))
+
+
+def vegetation_target(sensor: str) -> Target | None:
+    """The target of vegetation stress for jungle, which is the same for all deposits; None for sensors without red-edge bands. Its
+    index and floor are STRESS."""
+    name = sensor.replace("_L2", "").replace("Landsat8/9", "Landsat8")
+    return Target("vegetation stress", STRESS["priority"], stress=RED_EDGE[name]) if name in RED_EDGE else None
+
+
+def vegetation_targets(sensors: DataFrame) -> DataFrame:
+    """sensors (a column sensor, with wire names) that have a vegetation target, with priority, stress_index and veg_floor."""
+    own = sensors.where(normalized_sensor(F.col("sensor")).isin(*RED_EDGE))
+    return own.withColumns({"priority": F.lit(STRESS["priority"]), "stress_index": F.lit(STRESS["index"]), "veg_floor": F.lit(STRESS["floor"])})
+
+
+def commodities(types: DataFrame) -> DataFrame:
+    """c_pos, commodity, commodity_en and category of all commodities in order (types: as sources.projects.read_types gives them)."""
+    return types.select("c_pos", "commodity", F.coalesce("commodity_en", F.lit("")).alias("commodity_en"), F.coalesce("category", F.lit("")).alias("category")).distinct().orderBy("c_pos")
+
+
+def deposit_types(types: DataFrame, commodity: str) -> DataFrame:
+    """The deposit types of a commodity in order, of its first entry if there are several; none for an unknown one."""
+    own = types.where(F.col("commodity") == commodity)
+    first = own.agg(F.min("c_pos").alias("c_pos"))
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("type_en", "tectonic_setting", "alteration_zoning")]
+    return own.join(F.broadcast(first), "c_pos").where("type_name IS NOT NULL").select("t_pos", "type_name", *texts).orderBy("t_pos")
+
+
+def deposit_meta(types: DataFrame) -> DataFrame:
+    """What is known of each deposit type by its first entry: commodity, texts, ore elements and host rocks."""
+    first = first_of(types.where("type_name IS NOT NULL"), ["type_name"], ["c_pos", "t_pos"])
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("type_en", "commodity", "commodity_en", "category", "tectonic_setting", "alteration_zoning")]
+    lists = [F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("ore_elements", "host_rocks")]
+    return first.select("type_name", *texts, *lists)
 
 
 def preferred_sensor(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -44,7 +101,7 @@ def preferred_sensor(rows: DataFrame, key: list[str]) -> DataFrame:
     first), null without any."""
     methods = F.col("ratio_ok").cast("int") + F.col("pca_ok").cast("int")
     best = F.max_by(F.when(methods > 0, F.col("sensor")), F.struct(methods, -F.col("rank")))
-    declared = F.max(F.when((F.col("sensor") == F.col("pca_sensor")) & F.col("pca_ok"), F.col("sensor")))
+    declared = F.max(F.when((F.col("sensor") == F.col("pca_sensor")) & F.col("pca_ok"), F.col("sensor")))  # hyperspectral ones have none
     return rows.groupBy(*key).agg(F.coalesce(declared, best).alias("preferred"))
 
 
@@ -64,24 +121,61 @@ def best_by_overlap(areas: DataFrame, key: str, item: str) -> DataFrame:
     return areas.where("area > 0").groupBy(key).agg(F.max_by(item, F.struct("area", -F.col(item))).alias(item), F.max("area").alias("area"))
 
 
+def evidence_text(evidence: Column, control: Column, fallback: Column) -> Column:
+    """The evidence of a candidate (array of texts) as one text, with its control model; the fallback if there is neither."""
+    joined = F.coalesce(F.array_join(evidence, "；"), F.lit(""))
+    model = F.concat(F.lit("控矿模式:"), F.nullif(control, F.lit("")))
+    both = F.when(model.isNull(), joined).when(joined == "", model).otherwise(F.concat(joined, F.lit("｜"), model))
+    return F.coalesce(F.nullif(both, F.lit("")), fallback, F.lit(""))
+
+
 def structural_candidates(candidates: DataFrame, mapping: DataFrame, known: DataFrame, region: str = "region", top: int = 3) -> DataFrame:
     """Deposit types of the knowledge base for the structural candidates of each region: candidates (region, pos,
-    structure_type, confidence) close to the first one's confidence, mapped (structure_type, deposit), kept if known, the best
-    confidence of each, at most `top`. None for a region whose first candidate maps to nothing known."""
-    named = mapping.join(F.broadcast(known.select("deposit").distinct()), "deposit", "left_semi")
+    structure_type, confidence) close to the first one's confidence, mapped (structure_type, map_pos, deposit), kept if known, the
+    best confidence of each to three places, at most `top`; of equals those that come first by pos and map_pos. An evidence column
+    of the candidates comes along. None for a region whose first candidate maps to nothing known."""
+    names = known.select("deposit").distinct()
+    named = mapping.join(names, "deposit", "left_semi")
     first = first_of(candidates, [region], ["pos"]).select(region, F.col("structure_type").alias("first_type"), F.col("confidence").alias("first_confidence"))
     sound = first.join(named.select(F.col("structure_type").alias("first_type")).distinct(), "first_type", "left_semi")
     near = candidates.join(sound, region).where(F.col("first_confidence") - F.col("confidence") <= CONFIDENCE_BAND)
-    best = near.join(named, "structure_type").groupBy(region, "deposit").agg(F.max("confidence").alias("confidence"))
-    w = Window.partitionBy(region).orderBy(F.desc("confidence"), "deposit")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    place = F.struct("pos", "map_pos")
+    rounded = F.round("confidence", 3)
+    more = [F.max_by("evidence", F.struct(rounded, -F.col("pos"), -F.col("map_pos"))).alias("evidence")] if "evidence" in candidates.columns else []
+    best = near.join(named, "structure_type").groupBy(region, "deposit").agg(F.max(rounded).alias("confidence"), F.min(place).alias("_place"), *more)
+    w = Window.partitionBy(region).orderBy(F.desc("confidence"), "_place")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).drop("_place")
+
+
+def structural_states(regions: DataFrame, candidates: DataFrame, mapping: DataFrame, known: DataFrame, region: str = "region") -> DataFrame:
+    """region, status, primary_model and primary_confidence (to three places) of every region: no_product without candidates,
+    non_alteration where the first one maps to nothing known, else ok."""
+    named = mapping.join(known.select("deposit").distinct(), "deposit", "left_semi").select(F.col("structure_type").alias("primary_model"), F.lit(True).alias("_known")).distinct()
+    first = first_of(candidates, [region], ["pos"]).select(region, F.col("structure_type").alias("primary_model"), F.round("confidence", 3).alias("primary_confidence"))
+    met = regions.select(region).distinct().join(first, region, "left").join(named, "primary_model", "left")
+    status = F.when(F.col("primary_model").isNull(), "no_product").when(F.col("_known").isNull(), "non_alteration").otherwise("ok")
+    return met.select(region, status.alias("status"), "primary_model", "primary_confidence")
+
+
+def nearby_context(sites: DataFrame, codes: DataFrame, most: int = 8) -> DataFrame:
+    """region, commodities (the distinct ones of its sites' codes, in order) and sample_sites (the first distinct names): sites
+    (region, pos, name, codes) and codes (code, commodity)."""
+    found = sites.select("region", F.explode("codes").alias("code")).distinct().join(codes.select("code", "commodity").distinct(), "code")
+    sets = found.groupBy("region").agg(F.sort_array(F.collect_set("commodity")).alias("commodities"))
+    named = sites.where("name <> ''").groupBy("region", "name").agg(F.min("pos").alias("pos"))
+    ranked = named.withColumn("k", F.row_number().over(Window.partitionBy("region").orderBy("pos"))).where(F.col("k") <= most)
+    samples = ranked.groupBy("region").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "name"))), lambda x: x["name"]).alias("sample_sites"))
+    nothing = F.array().cast("array<string>")
+    every = sites.select("region").distinct().join(sets, "region", "left").join(samples, "region", "left")
+    return every.select("region", F.coalesce("commodities", nothing).alias("commodities"), F.coalesce("sample_sites", nothing).alias("sample_sites"))
 
 
 def corroborated(candidates: DataFrame, nearby: DataFrame, top: int = 3) -> DataFrame:
     """candidates (region, pos, deposit, commodity, confidence) with the bonus where the region's nearby sites have the
-    commodity; bounded by 1, the best `top` of each region."""
+    commodity; bounded by 1, to three places, the best `top` of each region, of equals the first by pos."""
     near = nearby.select("region", "commodity").distinct().withColumn("near", F.lit(True))
     bounded = F.greatest(F.least("confidence", F.lit(1.0)), F.lit(0.0))
-    rows = candidates.join(near, ["region", "commodity"], "left").withColumn("confidence", F.least(bounded + F.when(F.col("near"), NEARBY_BONUS).otherwise(0.0), F.lit(1.0)))
+    raised = F.round(F.least(bounded + F.when(F.col("near"), NEARBY_BONUS).otherwise(0.0), F.lit(1.0)), 3)
+    rows = candidates.join(near, ["region", "commodity"], "left").withColumn("confidence", raised)
     w = Window.partitionBy("region").orderBy(F.desc("confidence"), "pos")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)

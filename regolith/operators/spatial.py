@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+import functools
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,23 +57,73 @@ def zoom_place(index: Column, size_in: int, size_out: int) -> Column:
     return index * ((size_in - 1) / (size_out - 1)) if size_out > 1 else F.lit(0.0)
 
 
+#: Rows and columns of a tile.
+TILE = 256
+
+
+def tiled(pixels: DataFrame, value: Column, halo: int, function: Callable[[np.ndarray], np.ndarray], name: str = "value", tile: int = TILE) -> DataFrame:
+    """scene, y, x and `name`: what `function` makes of each pixel's surroundings, up to `halo` cells away.
+
+    Each pixel goes to its own tile and, near a side, to the tiles beyond it; a task holds one tile with its halo as an array, nan
+    where the value is null. pixels: a row for every cell of each scene's grid, so that a tile's array ends where the scene does,
+    and the function itself says how to go on beyond.
+    """
+    kinds = {c: pixels.schema[c].dataType for c in ("scene", "y", "x")}
+    near = [F.explode(F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile))).alias(f"_t{c}") for c in ("y", "x")]
+    placed = pixels.select("scene", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), value.cast("double").alias("v"))
+    placed = placed.select("*", near[0]).select("*", near[1])
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        row, column = key[1].as_py(), key[2].as_py()
+        y, x, v = (table.column(c).to_numpy() for c in ("y", "x", "v"))
+        own = (y // tile == row) & (x // tile == column)
+        if own.any():
+            whole = np.full((y.max() - y.min() + 1, x.max() - x.min() + 1), np.nan)
+            whole[y - y.min(), x - x.min()] = v
+            made = function(whole)[(y - y.min())[own], (x - x.min())[own]]
+        else:
+            made = np.zeros(0)
+        return pa.table({"scene": table.column("scene").filter(pa.array(own)), "y": y[own], "x": x[own], name: pa.array(made, mask=np.isnan(made))})
+
+    out = placed.groupBy("scene", "_ty", "_tx").applyInArrow(run, f"scene {kinds['scene'].simpleString()}, y long, x long, {name} double")
+    return out.select(*[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()], name)
+
+
+def gaussian(values: np.ndarray, sigma: float) -> np.ndarray:
+    """Smoothed by a Gaussian of 4 sigma reach, the edge mirrored (d c b a | a b c d | d c b a); nan counts as 0."""
+    reach = gaussian_reach(sigma)
+    weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    out = np.nan_to_num(values)
+    for axis in (0, 1):
+        wide = np.pad(out, [(reach, reach) if k == axis else (0, 0) for k in (0, 1)], mode="symmetric")
+        size = out.shape[axis]
+        out = sum(w * wide.take(range(k, k + size), axis) for k, w in enumerate(weights / weights.sum()))
+    return out
+
+
+def gaussian_reach(sigma: float) -> int:
+    return int(4 * sigma + 0.5)
+
+
+def line_offsets(length: int = 9, directions: int = 6) -> list[list[tuple[int, int]]]:
+    """For each direction the cells (down, right) of a line of an odd length through the middle."""
+    reach = max(3, length | 1) // 2
+    angles = [np.pi * k / directions for k in range(directions)]
+    return [sorted({(int(round(reach + t * np.sin(a))) - reach, int(round(reach + t * np.cos(a))) - reach) for t in range(-reach, reach + 1)}) for a in angles]
+
+
+def line_means(values: np.ndarray, length: int = 9, directions: int = 6) -> np.ndarray:
+    """The largest mean along lines of several directions through each cell, edges repeated; nan counts as 0."""
+    reach = max(3, length | 1) // 2
+    height, width = values.shape
+    wide = np.pad(np.nan_to_num(values), reach, mode="edge")
+    means = [sum(wide[reach + dy : reach + dy + height, reach + dx : reach + dx + width] for dy, dx in own) / len(own) for own in line_offsets(length, directions)]
+    return np.max(means, axis=0)
+
+
 def smoothed(pixels: DataFrame, value: str, sigma: float) -> DataFrame:
-    """scene, y, x, value: a Gaussian of 4 sigma reach, the edge mirrored (d c b a | a b c d | d c b a). Two separable passes; each sends a cell's value
-    to the cells that weigh it and sums there, with map-side combining."""
-    reach = int(4 * sigma + 0.5)
-    weights = [math.exp(-0.5 * (d / sigma) ** 2) for d in range(-reach, reach + 1)]
-    table = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(w / sum(weights)).alias("w")) for d, w in zip(range(-reach, reach + 1), weights, strict=True)])
-    sizes = pixels.groupBy("scene").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
-    out = pixels.select("scene", "y", "x", F.col(value).alias("v")).join(F.broadcast(sizes), "scene")
-    for axis, size in (("x", "width"), ("y", "height")):
-        other = "y" if axis == "x" else "x"
-        spread = out.select("scene", other, F.col(axis).alias("at"), "height", "width", F.explode(table).alias("k"))
-        beyond = F.pmod(F.col("at") + F.col("k.d"), 2 * F.col(size))
-        mirrored = F.when(beyond < F.col(size), beyond).otherwise(2 * F.col(size) - 1 - beyond)
-        wanted = spread.select("scene", other, "at", "height", "width", mirrored.alias(axis), F.col("k.w").alias("w"))
-        met = wanted.join(out.select("scene", "y", "x", "v"), ["scene", "y", "x"])
-        out = met.groupBy("scene", other, F.col("at").alias(axis), "height", "width").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-    return out.select("scene", "y", "x", F.col("v").alias(value))
+    """scene, y, x, value: smoothed by a Gaussian, see gaussian(), in tiles."""
+    return tiled(pixels, F.col(value), gaussian_reach(sigma), functools.partial(gaussian, sigma=sigma), value)
 
 
 def bounding_boxes(vertices: DataFrame, key: str = "roi_id") -> DataFrame:

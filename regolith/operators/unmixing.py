@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -10,32 +11,43 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regolith.operators.stats import normalized, quantiles
+from regolith.operators.stats import between_quantiles, quantiles_of
 
 
-def endmembers(pixels: DataFrame, bands: Sequence[str], scores: dict[str, Column], share: float = 0.02, least: int = 5) -> DataFrame:
-    """name and mean band values of the pixels with the highest scores: a share of those with a score, `least` at least.
+#: Pixels with all scores below which the last score's pixels are taken instead.
+LEAST_VALID = 30
 
-    The threshold of each score is its exact quantile, so pixels are filtered, not sorted in one task; of pixels that tie at the
-    threshold those with the smallest (y, x) count.
+
+def endmembers(pixels: DataFrame, bands: Sequence[str], scores: dict[str, Column], share: float = 0.02, least: int = 5, roi: Column | None = None) -> DataFrame:
+    """name and mean band values of the pixels with the highest scores: a share of the valid ones with that score, `least` at least.
+
+    Valid are pixels (in the region) with all scores; where they are fewer than LEAST_VALID, all pixels with the last score, which
+    is the brightness. A score that no valid pixel has gives the mean of all valid ones. The threshold of each score is its exact
+    quantile, all found together, so pixels are filtered, not sorted in one task; of pixels that tie at the threshold those with
+    the smallest (y, x) count.
     """
+    scored = pixels.withColumns({f"s_{name}": score for name, score in scores.items()})
+    inside = F.lit(True) if roi is None else F.coalesce(roi, F.lit(False))
+    every = functools.reduce(lambda a, b: a & b, [F.col(f"s_{name}").isNotNull() for name in scores], inside)
+    last = F.col(f"s_{list(scores)[-1]}").isNotNull()
+    valid = scored.where(every)
+    counted = scored.agg(F.count_if(every).alias("valid"), *[F.count_if(last & F.col(f"s_{name}").isNotNull()).alias(name) for name in scores]).first()
+    numbers = dict.fromkeys(scores, counted.valid)
+    if counted.valid < LEAST_VALID:
+        valid, numbers = scored.where(last), {name: counted[name] for name in scores}
+    take = {name: min(n, max(least, int(n * share))) for name, n in numbers.items()}
+    limits = quantiles_of(valid, {name: (F.col(f"s_{name}"), [(n - take[name]) / max(1, n - 1)]) for name, n in numbers.items() if n})
     out = []
-    for name, score in scores.items():
-        known = pixels.withColumn("s", score).where("s IS NOT NULL")
-        n = known.count()
-        take = min(n, max(least, int(n * share)))
-        if not take:
-            continue
-        limit = quantiles(known, F.col("s"), [(n - take) / max(1, n - 1)])[0]
-        sure = known.where(F.col("s") > limit + abs(limit) * 1e-12)
-        edge = known.where(F.abs(F.col("s") - limit) <= abs(limit) * 1e-12).orderBy("y", "x").limit(take - sure.count())
-        out.append(sure.unionByName(edge).agg(*[F.avg(b).alias(b) for b in bands]).select(F.lit(name).alias("name"), *bands))
-    if not out:
-        return pixels.limit(0).select(F.lit("").alias("name"), *[F.col(b).cast("double").alias(b) for b in bands])
-    whole = out[0]
-    for part in out[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    for name in scores:
+        picked = valid
+        if take[name]:
+            s, limit = F.col(f"s_{name}"), limits[name][0]
+            sure, near = s > limit + abs(limit) * 1e-12, F.abs(s - limit) <= abs(limit) * 1e-12
+            known = valid.where(sure | near)
+            over = known.agg(F.count_if(sure)).first()[0]
+            picked = known.where(sure).unionByName(known.where(near).orderBy("y", "x").limit(take[name] - over))
+        out.append(picked.agg(*[F.avg(b).alias(b) for b in bands]).select(F.lit(name).alias("name"), *bands))
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def solve(spectra: np.ndarray, members: np.ndarray) -> np.ndarray:
@@ -79,30 +91,8 @@ def exposure(ndvi: Column, bsi: Column, ndvi_max: float = 0.25, bsi_min: float =
 
 
 def exposure_score(df: DataFrame, ndvi: Column, bsi: Column) -> Column:
-    return normalized(bsi, *quantiles(df, bsi, [0.02, 0.98])) * (1 - normalized(ndvi, *quantiles(df, ndvi, [0.02, 0.98])))
-
-
-def line_responses(pixels: DataFrame, value: Column, length: int = 9, directions: int = 6) -> DataFrame:
-    """scene, y, x, strength: the largest mean of the value along lines of several directions through each pixel, edges repeated.
-
-    Each pixel is sent to the pixels whose lines it is on, which a grouped sum collects with map-side combining; edges repeat by
-    clamping the wanted cell into the scene.
-    """
-    reach = max(3, length | 1) // 2
-    offsets = []
-    for k in range(directions):
-        angle = np.pi * k / directions
-        own = sorted({(int(round(reach + t * np.sin(angle))) - reach, int(round(reach + t * np.cos(angle))) - reach) for t in range(-reach, reach + 1)})
-        offsets += [(k, dy, dx, 1 / len(own)) for dy, dx in own]
-    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(w).alias("w")) for k, dy, dx, w in offsets])
-    bounds = pixels.groupBy("scene").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
-    wanted = pixels.select("scene", "y", "x").join(F.broadcast(bounds), "scene").select("scene", "y", "x", "y0", "y1", "x0", "x1", F.explode(table).alias("o"))
-    source = wanted.select(
-        "scene", F.col("y").alias("cy"), F.col("x").alias("cx"), F.col("o.k").alias("k"), F.col("o.w").alias("w"),
-        F.greatest("y0", F.least("y1", F.col("y") + F.col("o.dy"))).alias("y"), F.greatest("x0", F.least("x1", F.col("x") + F.col("o.dx"))).alias("x"),
-    )
-    summed = source.join(pixels.select("scene", "y", "x", value.alias("v")), ["scene", "y", "x"]).groupBy("scene", "cy", "cx", "k").agg(F.sum(F.col("v") * F.col("w")).alias("r"))
-    return summed.groupBy("scene", F.col("cy").alias("y"), F.col("cx").alias("x")).agg(F.max("r").alias("strength"))
+    parts = between_quantiles(df, {"bsi": bsi, "ndvi": ndvi})
+    return parts["bsi"] * (1 - parts["ndvi"])
 
 
 def first_of(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from regolith.functions import text
 from regolith.operators import knowledge, runs
-from regolith.operators.grid import overlap_area
+from regolith.operators.grid import overlap_area, overlaps
 from regolith.plans import views
 from regolith.plans.catalog import query
 from regolith.sources.rasters import dominant_resolution as dominant
@@ -27,11 +27,11 @@ def _by_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.by_sensor(views.alterations(spark, sf_dir))
 
 
-@query("targets_multi_sensor", f"""WITH {views.ALTERATIONS} SELECT deposit, s.sensor, count(CASE WHEN r THEN 1 END) AS n_ratio, count(CASE WHEN p THEN 1 END) AS n_pca FROM (
- SELECT deposit, 'ASTER' AS sensor, aster_ratio IS NOT NULL AS r, aster_pca AS p FROM alt UNION ALL SELECT deposit, 'Landsat8', landsat_ratio IS NOT NULL, landsat_pca FROM alt
- UNION ALL SELECT deposit, 'Sentinel2', FALSE, sentinel_pca FROM alt) s GROUP BY deposit, s.sensor""")
+@query("targets_multi_sensor", f"""WITH {views.ALTERATIONS} SELECT deposit, s.sensor, count(CASE WHEN r THEN 1 END) AS n_ratio, count(CASE WHEN p THEN 1 END) AS n_pca, count(CASE WHEN b THEN 1 END) AS n_depth FROM (
+ SELECT deposit, 'ASTER' AS sensor, aster_ratio IS NOT NULL AS r, aster_pca AS p, FALSE AS b FROM alt UNION ALL SELECT deposit, 'Landsat8', landsat_ratio IS NOT NULL, landsat_pca, FALSE FROM alt
+ UNION ALL SELECT deposit, 'Sentinel2', FALSE, sentinel_pca, FALSE FROM alt UNION ALL SELECT deposit, h.sensor, FALSE, FALSE, depth FROM alt, (VALUES ('EnMAP'), ('PRISMA')) h(sensor)) s GROUP BY deposit, s.sensor""")
 def targets_multi_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_sensor(spark, sf_dir).groupBy("deposit", "sensor").agg(F.count_if("ratio_ok").alias("n_ratio"), F.count_if("pca_ok").alias("n_pca"))
+    return _by_sensor(spark, sf_dir).groupBy("deposit", "sensor").agg(*[F.count_if(f"{m}_ok").alias(f"n_{m}") for m in ("ratio", "pca", "depth")])
 
 
 _PREFERRED = """CASE WHEN pca_sensor = 'ASTER' AND aster_pca THEN 'ASTER' WHEN pca_sensor = 'Sentinel2' AND sentinel_pca THEN 'Sentinel2'
@@ -49,11 +49,61 @@ SELECT pos, CASE WHEN pref IN ('Landsat8', 'Sentinel2') THEN pref WHEN t > 0 THE
 def effective_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where ASTER is not usable."""
     rows = _by_sensor(spark, sf_dir)
-    able = rows.groupBy("pos").agg(F.collect_set(F.when(F.col("ratio_ok") | F.col("pca_ok"), F.col("sensor"))).alias("able"))
+    able = rows.groupBy("pos").agg(F.collect_set(F.when(F.col("ratio_ok") | F.col("pca_ok"), F.col("sensor"))).alias("able"))  # multispectral
     usable = F.array(F.lit("Landsat8"), F.lit("Sentinel2"))
     return knowledge.preferred_sensor(rows, ["pos"]).join(able, "pos").select("pos", knowledge.effective_sensor(F.col("preferred"), F.col("able"), usable).alias("effective"))
 
 
+@query("targets_catalogue", f"""{_COUNTED} SELECT pos, deposit, mineral, priority, {_PREFERRED} AS preferred, a > 0 AS aster, l > 0 AS landsat, t > 0 AS sentinel, depth AS enmap,
+ (CASE WHEN t > 0 THEN 'Sentinel2:true' ELSE '' END || CASE WHEN depth THEN ' PRISMA:false' ELSE '' END) AS data_present FROM c WHERE a + l + t > 0 OR depth""")
+def targets_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What shows each mineral on every sensor, where data of Sentinel2 alone are there."""
+    found = knowledge.multi_sensor(views.alterations(spark, sf_dir), ["pos"])
+    there = knowledge.present(F.col("sensors"), F.array(F.lit("Sentinel2")))
+    some = [F.coalesce(F.concat(F.lit(f"{' ' * k}{s}:"), F.try_element_at(there, F.lit(s)).cast("string")), F.lit("")) for k, s in enumerate(("Sentinel2", "PRISMA"))]
+    shown = {"aster": "ASTER", "landsat": "Landsat8", "sentinel": "Sentinel2", "enmap": "EnMAP"}
+    able = [(F.col("sensors")[s].ratio_ok | F.col("sensors")[s].pca_ok | F.col("sensors")[s].depth_ok).alias(n) for n, s in shown.items()]
+    return found.select("pos", "deposit", "mineral", "priority", "preferred", *able, F.concat(*some).alias("data_present"))
+
+
+def _types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as deposit types: the container's size as commodity, which comes again, and the brand as type."""
+    size = F.col("p_size")
+    return views.read(spark, sf_dir, "part").select(
+        F.col("p_size").cast("int").alias("c_pos"), F.concat(F.lit("c"), size % 20).alias("commodity"), F.when(size % 3 > 0, F.concat(F.lit("C"), size % 20)).alias("commodity_en"), F.lit(None).cast("string").alias("category"),
+        F.col("p_partkey").alias("t_pos"), F.col("p_brand").alias("type_name"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).alias("type_en"), F.lit(None).cast("string").alias("tectonic_setting"), F.col("p_type").alias("alteration_zoning"),
+        F.when(F.col("p_partkey") % 5 > 0, F.array(F.lit("Au"), F.col("p_brand"))).alias("ore_elements"), F.lit(None).cast("array<string>").alias("host_rocks"),
+    )
+
+
+_TYPES = """WITH t AS (SELECT p_size AS c_pos, 'c' || (p_size % 20) AS commodity, CASE WHEN p_size % 3 > 0 THEN 'C' || (p_size % 20) END AS commodity_en, p_partkey AS t_pos, p_brand AS type_name,
+ CASE WHEN p_partkey % 2 = 0 THEN p_type END AS type_en, p_type AS zoning, CASE WHEN p_partkey % 5 > 0 THEN 'Au,' || p_brand ELSE '' END AS ores FROM part)"""
+
+
+@query("commodities", f"{_TYPES} SELECT DISTINCT c_pos::INT AS c_pos, commodity, coalesce(commodity_en, '') AS commodity_en, '' AS category FROM t")
+def commodities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.commodities(_types(spark, sf_dir))
+
+
+@query("deposit_types_of", f"{_TYPES} SELECT t_pos, type_name, coalesce(type_en, '') AS type_en, '' AS tectonic_setting, zoning AS alteration_zoning FROM t WHERE commodity = 'c7' AND c_pos = (SELECT min(c_pos) FROM t WHERE commodity = 'c7')")
+def deposit_types_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.deposit_types(_types(spark, sf_dir), "c7")
+
+
+@query("deposit_meta", f"""{_TYPES} SELECT type_name, coalesce(type_en, '') AS type_en, commodity, coalesce(commodity_en, '') AS commodity_en, '' AS category, zoning AS alteration_zoning, ores AS ore_elements, 0 AS n_hosts
+FROM (SELECT *, row_number() OVER (PARTITION BY type_name ORDER BY c_pos, t_pos) AS k FROM t) WHERE k = 1""")
+def deposit_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = knowledge.deposit_meta(_types(spark, sf_dir))
+    return found.select("type_name", "type_en", "commodity", "commodity_en", "category", "alteration_zoning", F.array_join("ore_elements", ",").alias("ore_elements"), F.size("host_rocks").alias("n_hosts"))
+
+
+@query("vegetation_targets", "SELECT p_partkey, sensor, 1 AS priority, 'ndre' AS stress_index, 0.3::DOUBLE AS veg_floor FROM (SELECT p_partkey, ['Sentinel2_L2', 'Landsat8/9', 'EnMAP', 'ASTER', 'PRISMA_L2', 'other'][p_size % 6 + 1] AS sensor FROM part) WHERE sensor IN ('Sentinel2_L2', 'EnMAP', 'PRISMA_L2')")
+def vegetation_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*[F.lit(s) for s in ("Sentinel2_L2", "Landsat8/9", "EnMAP", "ASTER", "PRISMA_L2", "other")])
+    sensors = views.read(spark, sf_dir, "part").select("p_partkey", F.element_at(names, (F.col("p_size") % 6 + 1).cast("int")).alias("sensor"))
+    return knowledge.vegetation_targets(sensors)
+
+
 @query("deposit_index_first", "SELECT p_brand AS type_name, min(p_partkey) AS pos, arg_min(p_type, p_partkey) AS type_en FROM part GROUP BY p_brand")
 def deposit_index_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = views.read(spark, sf_dir, "part").select(F.col("p_brand").alias("type_name"), F.col("p_partkey").alias("pos"), F.col("p_type").alias("type_en"))
@@ -68,31 +118,61 @@ def distinct_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CAND = """WITH cand AS (SELECT s_nationkey AS region, s_suppkey AS pos, 'T' || (s_suppkey % 8) AS structure_type, 0.5 + (s_suppkey * 7 % 50) / 100.0 AS confidence FROM supplier),
- map AS (SELECT DISTINCT 'T' || (p_size % 6) AS structure_type, p_brand AS deposit FROM part WHERE p_size < 12), known AS (SELECT DISTINCT p_brand AS deposit FROM part WHERE p_size % 5 <> 0 AND p_size < 8)"""
+ map AS (SELECT 'T' || (p_size % 6) AS structure_type, min(p_partkey) AS map_pos, p_brand AS deposit FROM part WHERE p_size < 12 GROUP BY ALL), known AS (SELECT DISTINCT p_brand AS deposit FROM part WHERE p_size % 5 <> 0 AND p_size < 8)"""
 
 
 @query("structural_candidates", f"""{_CAND}, named AS (SELECT * FROM map WHERE deposit IN (SELECT deposit FROM known)),
  first AS (SELECT region, arg_min(structure_type, pos) AS ft, arg_min(confidence, pos) AS fc FROM cand GROUP BY region),
- best AS (SELECT c.region, n.deposit, max(c.confidence) AS confidence FROM cand c JOIN first f ON c.region = f.region JOIN named n ON n.structure_type = c.structure_type
+ best AS (SELECT c.region, n.deposit, max(round(c.confidence, 3)) AS confidence, min((c.pos, n.map_pos)) AS place FROM cand c JOIN first f ON c.region = f.region JOIN named n ON n.structure_type = c.structure_type
           WHERE f.ft IN (SELECT structure_type FROM named) AND f.fc - c.confidence <= 0.12 GROUP BY c.region, n.deposit)
-SELECT region, deposit, round(confidence, 3)::DOUBLE AS confidence, rank FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY confidence DESC, deposit)::INT AS rank FROM best) WHERE rank <= 3""")
+SELECT region, deposit, confidence::DOUBLE AS confidence, rank FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY confidence DESC, place)::INT AS rank FROM best) WHERE rank <= 3""")
 def structural_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.structural_candidates(*_structures(spark, sf_dir)).select("region", "deposit", "confidence", "rank")
+
+
+@query("structural_states", f"""{_CAND}, first AS (SELECT region, arg_min(structure_type, pos) AS model, arg_min(confidence, pos) AS c FROM cand GROUP BY region)
+SELECT n_nationkey AS region, CASE WHEN model IS NULL THEN 'no_product' WHEN model IN (SELECT structure_type FROM map WHERE deposit IN (SELECT deposit FROM known)) THEN 'ok' ELSE 'non_alteration' END AS status,
+ model AS primary_model, round(c, 3)::DOUBLE AS primary_confidence FROM nation LEFT JOIN first ON n_nationkey = region""")
+def structural_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions = views.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("region"))
+    return knowledge.structural_states(regions, *_structures(spark, sf_dir))
+
+
+@query("evidence_text", """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_brand || '；' || p_type || '｜控矿模式:' || p_size WHEN 1 THEN p_brand || '；' || p_type WHEN 2 THEN '控矿模式:' || p_size ELSE 'summary' END AS evidence FROM part""")
+def evidence_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size") % 4
+    parts, model = F.when(size < 2, F.array("p_brand", "p_type")), F.when(size % 2 == 0, F.col("p_size").cast("string")).otherwise(F.lit(""))
+    return views.read(spark, sf_dir, "part").select("p_partkey", knowledge.evidence_text(parts, model, F.lit("summary")).alias("evidence"))
+
+
+@query("nearby_context", """WITH s AS (SELECT c_nationkey AS region, c_custkey AS pos, 'site' || (c_custkey % 40) AS name, 'K' || (c_custkey % 30) AS code FROM customer WHERE c_acctbal > 9000),
+ k AS (SELECT DISTINCT 'K' || p_size AS code, 'metal' || (p_size % 5) AS commodity FROM part WHERE p_size < 20), c AS (SELECT region, string_agg(DISTINCT commodity, ',' ORDER BY commodity) AS commodities FROM s JOIN k ON s.code = k.code GROUP BY region),
+ n AS (SELECT region, name, min(pos) AS pos FROM s GROUP BY region, name), r AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY pos) AS i FROM n), g AS (SELECT region, string_agg(name, ',' ORDER BY i) AS sample_sites FROM r WHERE i <= 8 GROUP BY region)
+SELECT g.region, coalesce(commodities, '') AS commodities, sample_sites FROM g LEFT JOIN c ON g.region = c.region""")
+def nearby_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    sites = views.read(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("region"), key.alias("pos"), F.concat(F.lit("site"), key % 40).alias("name"), F.array(F.concat(F.lit("K"), key % 30)).alias("codes"))
+    codes = views.read(spark, sf_dir, "part").where("p_size < 20").select(F.concat(F.lit("K"), F.col("p_size")).alias("code"), F.concat(F.lit("metal"), F.col("p_size") % 5).alias("commodity"))
+    found = knowledge.nearby_context(sites, codes)
+    return found.select("region", *[F.array_join(c, ",").alias(c) for c in ("commodities", "sample_sites")])
+
+
+def _structures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     candidates = views.read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("region"), F.col("s_suppkey").alias("pos"), F.concat(F.lit("T"), F.col("s_suppkey") % 8).alias("structure_type"), (0.5 + F.col("s_suppkey") * 7 % 50 / 100.0).alias("confidence"))
     part = views.read(spark, sf_dir, "part")
-    mapping = part.where("p_size < 12").select(F.concat(F.lit("T"), F.col("p_size") % 6).alias("structure_type"), F.col("p_brand").alias("deposit")).distinct()
+    mapping = part.where("p_size < 12").groupBy(F.concat(F.lit("T"), F.col("p_size") % 6).alias("structure_type"), F.col("p_brand").alias("deposit")).agg(F.min("p_partkey").alias("map_pos"))
     known = part.where("p_size % 5 <> 0 AND p_size < 8").select(F.col("p_brand").alias("deposit"))
-    found = knowledge.structural_candidates(candidates, mapping, known)
-    return found.select("region", "deposit", F.round("confidence", 3).alias("confidence"), "rank")
+    return candidates, mapping, known
 
 
 @query("corroboration_bonus", """WITH cand AS (SELECT s_nationkey AS region, s_suppkey AS pos, s_name AS deposit, s_suppkey % 9 AS commodity, s_acctbal / 9000 AS confidence FROM supplier),
- near AS (SELECT DISTINCT c_nationkey AS region, c_custkey % 9 AS commodity FROM customer WHERE c_custkey % 11 = 0),
- r AS (SELECT c.region, pos, deposit, least(greatest(least(confidence, 1.0), 0.0) + CASE WHEN n.region IS NULL THEN 0.0 ELSE 0.1 END, 1.0) AS confidence FROM cand c LEFT JOIN near n ON c.region = n.region AND c.commodity = n.commodity)
-SELECT region, deposit, round(confidence, 6)::DOUBLE AS confidence, rank FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY confidence DESC, pos)::INT AS rank FROM r) WHERE rank <= 3""")
+ near AS (SELECT DISTINCT c_nationkey AS region, c_custkey % 9 AS commodity FROM customer WHERE c_acctbal > 9000),
+ r AS (SELECT c.region, pos, deposit, round(least(greatest(least(confidence, 1.0), 0.0) + CASE WHEN n.region IS NULL THEN 0.0 ELSE 0.1 END, 1.0), 3) AS confidence FROM cand c LEFT JOIN near n ON c.region = n.region AND c.commodity = n.commodity)
+SELECT region, deposit, confidence::DOUBLE AS confidence, rank FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY confidence DESC, pos)::INT AS rank FROM r) WHERE rank <= 3""")
 def corroboration_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates = views.read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("region"), F.col("s_suppkey").alias("pos"), F.col("s_name").alias("deposit"), (F.col("s_suppkey") % 9).alias("commodity"), (F.col("s_acctbal") / 9000).alias("confidence"))
-    nearby = views.read(spark, sf_dir, "customer").where("c_custkey % 11 = 0").select(F.col("c_nationkey").alias("region"), (F.col("c_custkey") % 9).alias("commodity"))
-    return knowledge.corroborated(candidates, nearby).select("region", "deposit", F.round("confidence", 6).alias("confidence"), "rank")
+    nearby = views.read(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("region"), (F.col("c_custkey") % 9).alias("commodity"))
+    return knowledge.corroborated(candidates, nearby).select("region", "deposit", "confidence", "rank")
 
 
 _BOXES = "WITH roi AS (SELECT s_suppkey AS roi, s_suppkey % 50 AS west, s_suppkey % 50 + 6.5 AS east, s_nationkey AS south, s_nationkey + 5.25 AS north FROM supplier), prod AS (SELECT n_nationkey AS product, n_nationkey * 2 AS west, n_nationkey * 2 + 9 AS east, n_nationkey AS south, n_nationkey + 7 AS north FROM nation)"
@@ -102,11 +182,10 @@ _BOXES = "WITH roi AS (SELECT s_suppkey AS roi, s_suppkey % 50 AS west, s_suppke
 SELECT roi, product, round(area, 4)::DOUBLE AS area FROM (SELECT *, row_number() OVER (PARTITION BY roi ORDER BY area DESC, product) AS k FROM a WHERE area > 0) WHERE k = 1""")
 def overlap_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n = F.col("s_suppkey"), F.col("n_nationkey")
-    rois = views.read(spark, sf_dir, "supplier").select(s.alias("roi"), (s % 50).alias("west"), (s % 50 + 6.5).alias("east"), F.col("s_nationkey").alias("south"), (F.col("s_nationkey") + 5.25).alias("north")).alias("r")
-    products = views.read(spark, sf_dir, "nation").select(n.alias("product"), (n * 2).alias("west"), (n * 2 + 9).alias("east"), n.alias("south"), (n + 7).alias("north")).alias("p")
-    area = overlap_area(*({k: F.col(f"{t}.{k}").cast("double") for k in ("west", "south", "east", "north")} for t in ("r", "p")))
-    touch = F.expr("r.east > p.west AND r.west < p.east AND r.north > p.south AND r.south < p.north")
-    return knowledge.best_by_overlap(rois.join(products, touch).select("roi", "product", area.alias("area")), "roi", "product").select("roi", "product", F.round("area", 4).alias("area"))
+    rois = views.read(spark, sf_dir, "supplier").select(s.alias("roi"), (s % 50).alias("west"), (s % 50 + 6.5).alias("east"), F.col("s_nationkey").alias("south"), (F.col("s_nationkey") + 5.25).alias("north"))
+    products = views.read(spark, sf_dir, "nation").select(n.alias("product"), (n * 2).alias("west"), (n * 2 + 9).alias("east"), n.alias("south"), (n + 7).alias("north"))
+    area = overlap_area(*({k: F.col(f"{t}_{k}").cast("double") for k in ("west", "south", "east", "north")} for t in ("a", "b")))
+    return knowledge.best_by_overlap(overlaps(rois, products, cell=8.0).select("roi", "product", area.alias("area")), "roi", "product").select("roi", "product", F.round("area", 4).alias("area"))
 
 
 @query("kb_semi", "SELECT p_partkey, p_brand FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size > 48)")
@@ -115,10 +194,10 @@ def kb_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", "p_brand").join(part.where("p_size > 48").select("p_brand").distinct(), "p_brand", "left_semi").select("p_partkey", "p_brand")
 
 
-@query("kb_anti", "SELECT p_partkey, p_type FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_partkey <= 4)")
+@query("kb_anti", "SELECT p_partkey, p_type FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_size > 48 AND p_retailprice > 1100)")
 def kb_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = views.read(spark, sf_dir, "part")
-    return part.select("p_partkey", "p_type").join(part.where("p_partkey <= 4").select("p_type").distinct(), "p_type", "left_anti").select("p_partkey", "p_type")
+    return part.select("p_partkey", "p_type").join(part.where("p_size > 48 AND p_retailprice > 1100").select("p_type").distinct(), "p_type", "left_anti").select("p_partkey", "p_type")
 
 
 _NOTE = "'（' || p_brand || '） B' || p_size || ' / (B' || (p_size % 9) || ' + B2)'"
@@ -173,6 +252,26 @@ def list_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.summaries(views.runs(spark, sf_dir), 7).select("run_id", "deposit", "created_at")
 
 
+@query("run_manifests", f"""WITH {views.RUNS}, r AS (SELECT l_orderkey AS run_id, count(*) AS n, string_agg(l_returnflag || l_linenumber, ',' ORDER BY l_returnflag, l_linenumber, l_quantity) AS found, sum(CASE WHEN l_quantity > 40 THEN 1 ELSE 0 END)::BIGINT AS high FROM lineitem GROUP BY l_orderkey)
+SELECT runs.run_id, coalesce(n, 0) AS n_results, coalesce(found, '') AS found, coalesce(high, 0) AS high_pixels, created_at FROM runs LEFT JOIN r ON runs.run_id = r.run_id""")
+def run_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = views.read(spark, sf_dir, "lineitem")
+    results = lines.select(F.col("l_orderkey").alias("run_id"), F.col("l_returnflag").alias("sensor"), F.col("l_linenumber").cast("string").alias("mineral"), F.lpad(F.col("l_quantity").cast("int").cast("string"), 3, "0").alias("method"))
+    composites = lines.groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_returnflag").alias("sensor")).agg(F.count_if(F.col("l_quantity") > 40).alias("high_pixels"))
+    found = runs.manifests(views.runs(spark, sf_dir), results, composites)
+    names = F.array_join(F.transform("results", lambda r: F.concat(r.sensor, r.mineral)), ",")
+    return found.select("run_id", "n_results", names.alias("found"), "high_pixels", "created_at")
+
+
+@query("run_structural_block", "SELECT o_orderkey, 'line:' || o_custkey || ' rose_diagram_present:' || CASE WHEN o_custkey % 3 = 0 THEN 'true' ELSE 'false' END AS block FROM orders WHERE o_custkey % 4 <> 0")
+def run_structural_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("o_custkey")
+    entries = F.when(c % 3 == 0, F.create_map(F.lit("line"), c.cast("string"), F.lit("rose_diagram"), F.lit("iVBOR"))).otherwise(F.create_map(F.lit("line"), c.cast("string")))
+    block = runs.structural_block(F.when(c % 4 != 0, entries))
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("block")), lambda e: F.concat_ws(":", e.key, e.value)), " ")
+    return views.read(spark, sf_dir, "orders").select("o_orderkey", block.alias("block")).where("block IS NOT NULL").select("o_orderkey", text.alias("block"))
+
+
 _LON, _LAT = "(c_custkey % 340 - 170.5)", "(c_nationkey * 5 - 60.25)"
 _TY = f"((1 - ln(tan(radians({_LAT})) + 1 / cos(radians({_LAT}))) / {math.pi}) / 2 * pow(2, 9))"
 

@@ -129,10 +129,8 @@ def bbox_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = [F.max("x").alias("east"), F.min("x").alias("west"), F.max("y").alias("north"), F.min("y").alias("south")]
     rois = px.groupBy(F.col("B3").alias("roi")).agg(*sides)
     products = px.groupBy(F.floor(F.col("y") / 7).alias("product")).agg(*sides)
-    a, c = rois.alias("a"), products.alias("c")
-    touch = F.expr("a.east >= c.west AND a.west <= c.east AND a.north >= c.south AND a.south <= c.north")
-    area = grid.overlap_area(*({k: F.col(f"{t}.{k}").cast("double") for k in ("west", "south", "east", "north")} for t in ("a", "c")))
-    return a.join(c, touch).groupBy("roi").agg(F.count("*").alias("n_products"), F.round(F.max(area), 4).alias("best_area"))
+    area = grid.overlap_area(*({k: F.col(f"{t}_{k}").cast("double") for k in ("west", "south", "east", "north")} for t in ("a", "b")))
+    return grid.overlaps(rois, products, cell=50.0).groupBy("roi").agg(F.count("*").alias("n_products"), F.round(F.max(area), 4).alias("best_area"))
 
 
 @query("pca_cov_matrix", f"""WITH {views.RASTER} SELECT round(covar_samp(B1, B1), 4) AS c11, round(covar_samp(B1, B2), 4) AS c12, round(covar_samp(B1, B3), 4) AS c13,
@@ -254,7 +252,7 @@ _Q = f"WITH {views.RASTER}, q AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.02
 @query("normalize_p2_p98", f"{_Q} SELECT y, x, round({_norm('B1')}, 6)::DOUBLE AS n1, round({_norm('B4')}, 6)::DOUBLE AS n4 FROM px, q")
 def normalize_p2_p98(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = views.raster(spark, sf_dir)
-    own = {c: stats.normalized(F.col(c), *stats.quantiles(px, F.col(c), [0.02, 0.98])) for c in ("B1", "B4")}
+    own = stats.between_quantiles(px, {c: F.col(c) for c in ("B1", "B4")})
     return px.select("y", "x", F.round(own["B1"], 6).alias("n1"), F.round(own["B4"], 6).alias("n4"))
 
 
@@ -367,3 +365,78 @@ def batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("batch_scores", f"""{_BATCH} SELECT y, x, (CASE WHEN i > ti THEN 1.0 ELSE 0 END + CASE WHEN c > tc THEN 0.5 ELSE 0 END)::DOUBLE AS score FROM ix, t WHERE i > ti OR c > tc""")
 def batch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.analyze(views.raster(spark, sf_dir), TARGETS, ["ratio"]).layers.where("score > 0").select("y", "x", "score")
+
+
+@query("batch_library", f"""WITH {views.RASTER}, ix AS (SELECT *, {_safe('B1', 'B4')} AS i, {_safe('B1 + B4', 'B2 + B3')} AS c, {_safe('B2', 'B3')} AS s FROM px),
+ t AS (SELECT avg(i) + 2 * stddev_pop(i) AS ti, avg(c) + 2 * stddev_pop(c) AS tc, avg(s) + 2 * stddev_pop(s) AS ts FROM ix)
+SELECT y, x, round((CASE WHEN i > ti THEN 1.0 ELSE 0 END + CASE WHEN c > tc THEN 0.5 ELSE 0 END + CASE WHEN s > ts THEN 0.25 ELSE 0 END) / 2, 6)::DOUBLE AS score FROM ix, t""")
+def batch_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All targets, also of low priority, over the number of methods asked for."""
+    return batch.analyze(views.raster(spark, sf_dir), TARGETS, ["ratio", "pca"], mode="library").layers.select("y", "x", F.round("score", 6).alias("score"))
+
+
+@query("batch_with_prior", f"""{_BATCH}, m AS (SELECT median(B4) AS s FROM px)
+SELECT y, x, round((CASE WHEN i > ti THEN 1.0 ELSE 0 END + CASE WHEN c > tc THEN 0.5 ELSE 0 END) * (1 - 0.15 + 0.15 * exp(-B4 / (s + 1e-9))), 6)::DOUBLE AS score FROM ix, t, m""")
+def batch_with_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = views.raster(spark, sf_dir)
+    near = evidence.proximity(F.col("B4"), stats.quantiles(px, F.col("B4"), [0.5])[0])
+    return batch.analyze(px, TARGETS, ["ratio"], near=near).layers.select("y", "x", F.round("score", 6).alias("score"))
+
+
+@query("batch_associations", f"""{_BATCH}, a AS (SELECT 'iron' AS mineral, B4 AS d FROM ix, t WHERE i > ti UNION ALL SELECT 'clay', B4 FROM ix, t WHERE c > tc)
+SELECT mineral, count(d) AS n_near, round(median(d), 6) AS median_dist_m, round(avg((d <= 30)::INT), 6) AS frac_within_buffer FROM a GROUP BY mineral UNION ALL SELECT 'broken', NULL, NULL, NULL""")
+def batch_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = batch.associations(batch.analyze(views.raster(spark, sf_dir), TARGETS, ["ratio"]), F.col("B4"), 30.0)
+    return found.select("mineral", "n_near", F.round("median_dist_m", 6).alias("median_dist_m"), F.round("frac_within_buffer", 6).alias("frac_within_buffer"))
+
+
+@query("alteration_single", f"""WITH {views.RASTER}, ix AS (SELECT {_safe('B4', 'B2')} AS v FROM px), t AS (SELECT avg(v) + 1.5 * stddev_pop(v) AS thr FROM ix)
+SELECT 'iron_oxide' AS mineral, round(max(thr), 6) AS threshold, count(CASE WHEN v > thr THEN 1 END) AS n_anomaly, round(count(CASE WHEN v > thr THEN 1 END) / greatest(count(v), 1)::DOUBLE, 6) AS anomaly_ratio FROM ix, t""")
+def alteration_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = batch.alteration(views.raster(spark, sf_dir), "Sentinel2_L2", "iron_oxide").results
+    return found.select("mineral", F.round("threshold", 6).alias("threshold"), "n_anomaly", F.round("anomaly_ratio", 6).alias("anomaly_ratio"))
+
+
+@query("sensor_totals", f"WITH {views.SAMPLES}, s AS (SELECT l_returnflag, count(*) AS roi, count(CASE WHEN B1 > 40 THEN 1 END) AS high FROM px GROUP BY l_returnflag) SELECT max(roi) AS roi_pixels, sum(high)::BIGINT AS high_pixels FROM s")
+def sensor_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = views.samples(spark, sf_dir).groupBy(F.col("l_returnflag").alias("sensor")).agg(F.count("*").alias("roi_pixels"), F.count_if(F.col("B1") > 40).alias("high_pixels"))
+    return batch.sensor_totals(by)
+
+
+@query("stretch_positive", f"""WITH {views.RASTER}, s AS (SELECT y, x, B1 - 40 AS a, B4 AS b FROM px), q AS (SELECT quantile_cont(CASE WHEN a > 0 THEN a END, 0.02) al, quantile_cont(CASE WHEN a > 0 THEN a END, 0.98) ah, quantile_cont(b, 0.02) bl, quantile_cont(b, 0.98) bh FROM s)
+SELECT y, x, round(greatest(least((a - al) / greatest(ah - al, 1e-6), 1.0), 0.0), 6)::DOUBLE AS red, round(greatest(least((b - bl) / greatest(bh - bl, 1e-6), 1.0), 0.0), 6)::DOUBLE AS green FROM s, q""")
+def stretch_positive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = views.raster(spark, sf_dir).select("y", "x", (F.col("B1") - 40).alias("a"), "B4")
+    own = stats.stretched(px, {"red": F.col("a"), "green": F.col("B4")})
+    return px.select("y", "x", *[F.round(c, 6).alias(n) for n, c in own.items()])
+
+
+@query("soft_over_threshold", f"""{_V}, t AS (SELECT avg(v) + 2 * stddev_pop(v) AS thr FROM ix), m AS (SELECT quantile_cont(CASE WHEN v > thr THEN v END, 0.95) AS top, max(v) AS most FROM ix, t)
+SELECT y, x, round(coalesce(greatest(least((v - thr) / greatest(coalesce(top, most) - thr, 1e-6), 1.0), 0.0), 0.0), 6)::DOUBLE AS soft FROM ix, t, m""")
+def soft_over_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ix = _index(spark, sf_dir)
+    return ix.select("y", "x", F.round(stats.soft_over(ix, F.col("v"), stats.threshold(ix, F.col("v"))), 6).alias("soft"))
+
+
+#: A polygon of cells.
+CELLS = [[(10, 0), (80, 4), (60, 9), (10, 8)]]
+
+
+def _cells_sql() -> str:
+    ring = CELLS[0]
+    edges = list(zip(ring, [*ring[1:], ring[0]], strict=True))
+    crossed = [f"CASE WHEN ({y1} > y) <> ({y2} > y) AND x < {x2 - x1} * (y - {y1})::DOUBLE / ({y2 - y1}) + {x1} THEN 1 ELSE 0 END" for (x1, y1), (x2, y2) in edges if y1 != y2]
+    drawn = []
+    for (x1, y1), (x2, y2) in edges:
+        if abs(x2 - x1) >= abs(y2 - y1):
+            drawn.append(f"x BETWEEN {min(x1, x2)} AND {max(x1, x2)} AND abs(y - ({y1} + (x - {x1}) * ({(y2 - y1) / (x2 - x1)!r}::DOUBLE))) <= 0.5")
+        else:
+            drawn.append(f"y BETWEEN {min(y1, y2)} AND {max(y1, y2)} AND abs(x - ({x1} + (y - {y1}) * ({(x2 - x1) / (y2 - y1)!r}::DOUBLE))) <= 0.5")
+    return f"(({' + '.join(crossed)}) % 2 = 1 OR {' OR '.join(f'({d})' for d in drawn)})"
+
+
+@query("roi_cells_outline", f"WITH {views.RASTER} SELECT y, count(*) AS n_inside, min(x) AS first_x, max(x) AS last_x FROM px WHERE {_cells_sql()} GROUP BY y")
+def roi_cells_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A polygon of cells whose outline is inside."""
+    cells = views.raster(spark, sf_dir).where(grid.inside_cells(F.col("x").cast("double"), F.col("y").cast("double"), CELLS))
+    return cells.groupBy("y").agg(F.count("*").alias("n_inside"), F.min("x").alias("first_x"), F.max("x").alias("last_x"))

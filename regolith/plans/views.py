@@ -85,6 +85,7 @@ def alterations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("pos"), F.col("p_brand").alias("deposit"), F.col("p_type").alias("mineral"), F.when(size % 4 > 0, (size % 4).cast("int")).alias("priority"),
         ratios.alias("sensor_ratio"), F.when(size % 4 == 0, "ASTER").when(size % 7 == 0, "Sentinel2").alias("pca_sensor"), F.when((size % 4 == 0) | (size % 7 == 0), bands).alias("input_bands"),
         F.when(size % 8 == 0, landsat).alias("landsat_bands"), (size % 16 != 0).alias("has_criterion"),
+        F.when(size % 6 == 1, F.struct(F.lit(2.2).alias("feature_um"), F.array(F.lit(2.1), F.lit(2.3)).alias("shoulder_um"), F.lit(1).alias("sign"))).alias("enmap_feature"),
     )
 
 
@@ -95,7 +96,7 @@ ALTERATIONS = """alt AS (
          CASE WHEN p_size % 4 = 0 THEN 'ASTER' WHEN p_size % 7 = 0 THEN 'Sentinel2' END AS pca_sensor,
          p_size % 16 <> 0 AND (p_size % 4 = 0 OR p_size % 7 = 0) AS aster_pca,
          p_size % 16 <> 0 AND p_size % 8 = 0 AS landsat_pca,
-         p_size % 16 <> 0 AND p_size % 4 <> 0 AND p_size % 7 = 0 AS sentinel_pca
+         p_size % 16 <> 0 AND p_size % 4 <> 0 AND p_size % 7 = 0 AS sentinel_pca, p_size % 6 = 1 AS depth
   FROM part)"""
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -20,11 +21,14 @@ def session(name: str = "regolith", master: str | None = None, shuffle_partition
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, its lineage cut at a checkpoint in the folder that spark.checkpoint.dir names; in one in the warehouse if that is unset."""
+    """df, its lineage cut at a checkpoint in the folder that spark.checkpoint.dir names. Where that is unset, a local session has one in
+    its warehouse, and any other is told to name one."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        own = df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        context.setCheckpointDir(own)
+        own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not own and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(own or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint()
 
 

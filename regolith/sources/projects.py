@@ -7,6 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regolith.functions.text import band_name, directory_name
+from regolith.operators.grid import overlaps
+
 ALTERATION = (
     "struct<mineral:string,zone:string,priority:int,anomaly_type:string,sensor_ratio:map<string,string>,"
     "crosta_pca:struct<sensor:string,input_bands:array<string>,landsat8_bands:array<string>,pc_criterion:struct<positive_bands:array<string>,negative_bands:array<string>>>,"
@@ -14,15 +17,39 @@ ALTERATION = (
 )
 
 
-def read_knowledge(spark: SparkSession, path: str) -> DataFrame:
+TYPE = (
+    "struct<type_name:string,type_en:string,tectonic_setting:string,alteration_zoning:string,ore_elements:array<string>,host_rocks:array<string>,"
+    f"alterations:array<{ALTERATION}>>"
+)
+
+
+def _entries(spark: SparkSession, path: str, extra: str | None) -> DataFrame:
+    """c_pos and entry of each commodity of a knowledge base, then of those of an extra one, if there is any."""
+    commodity = f"array<struct<commodity:string,commodity_en:string,category:string,deposit_types:array<{TYPE}>>>"
+
+    def read(place: str, first: int) -> DataFrame:
+        whole = spark.read.option("wholetext", "true").text(place)
+        found = whole.select(F.from_json(F.coalesce(F.get_json_object("value", "$.commodities"), F.col("value")), commodity).alias("all"))
+        return found.select(F.posexplode("all").alias("c_pos", "c")).withColumn("c_pos", F.col("c_pos") + first)
+
+    own = read(path, 0)
+    return own if extra is None else own.unionByName(read(extra, 100_000))
+
+
+def read_types(spark: SparkSession, path: str, extra: str | None = None) -> DataFrame:
+    """c_pos, commodity, commodity_en, category and t_pos, type_name, type_en, tectonic_setting, alteration_zoning, ore_elements,
+    host_rocks of each deposit type; a commodity without types has a row with null ones."""
+    own = _entries(spark, path, extra).select("c_pos", "c.commodity", "c.commodity_en", "c.category", F.posexplode_outer("c.deposit_types").alias("t_pos", "t"))
+    return own.select(*[c for c in own.columns if c != "t"], "t.type_name", "t.type_en", "t.tectonic_setting", "t.alteration_zoning", "t.ore_elements", "t.host_rocks")
+
+
+def read_knowledge(spark: SparkSession, path: str, extra: str | None = None) -> DataFrame:
     """pos, commodity, deposit, alteration position and fields of a JSON knowledge base: an array or a `commodities` list of
-    commodities, each with deposit_types, each with alterations. The first entry of a deposit type counts."""
-    commodity = f"array<struct<commodity:string,commodity_en:string,deposit_types:array<struct<type_name:string,type_en:string,alterations:array<{ALTERATION}>>>>>"
-    whole = spark.read.option("wholetext", "true").text(path)
-    entries = whole.select(F.from_json(F.coalesce(F.get_json_object("value", "$.commodities"), F.col("value")), commodity).alias("all"))
-    types = entries.select(F.posexplode("all").alias("c_pos", "c")).select("c_pos", F.col("c.commodity").alias("commodity"), F.posexplode("c.deposit_types").alias("t_pos", "t"))
+    commodities, each with deposit_types, each with alterations. The first entry of a deposit type counts. extra: a second file whose
+    commodities (oil and gas, say) come behind those of the first."""
+    types = _entries(spark, path, extra).select("c_pos", F.col("c.commodity").alias("commodity"), F.posexplode("c.deposit_types").alias("t_pos", "t"))
     first = types.groupBy(F.col("t.type_name").alias("deposit")).agg(F.min_by(F.struct("commodity", "t", "c_pos", "t_pos"), F.struct("c_pos", "t_pos")).alias("x"))
-    rows = first.select("deposit", "x.commodity", (F.col("x.c_pos") * 10000 + F.col("x.t_pos")).alias("pos"), F.posexplode("x.t.alterations").alias("a_pos", "a"))
+    rows = first.select("deposit", "x.commodity", (F.col("x.c_pos").cast("long") * 10000 + F.col("x.t_pos")).alias("pos"), F.posexplode("x.t.alterations").alias("a_pos", "a"))
     criterion = F.coalesce(F.size("a.crosta_pca.pc_criterion.positive_bands"), F.lit(0)) + F.coalesce(F.size("a.crosta_pca.pc_criterion.negative_bands"), F.lit(0))
     return rows.select(
         "pos", "a_pos", "commodity", "deposit", "a.*", F.col("a.crosta_pca.sensor").alias("pca_sensor"), F.col("a.crosta_pca.input_bands").alias("input_bands"),
@@ -66,3 +93,43 @@ def synthetic_scene(spark: SparkSession, bands: int = 7, height: int = 256, widt
     inside = F.col("y").between(height // 4, height // 2) & F.col("x").between(width // 4, width // 2)
     noise = [(100 + F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(2900))).cast("double") for k in range(1, bands + 1)]
     return cells.select("scene", "y", "x", *[F.when(inside & F.lit(k % 2 == 0), 2800.0).otherwise(v).alias(f"B{k}") for k, v in enumerate(noise, 1)])
+
+
+def sensor_folders(spark: SparkSession, path: str, prefixes: dict[str, list[str]]) -> DataFrame:
+    """project, sensor, folder and bands of each sensor that a project has a folder for: one whose name begins with one of the sensor's
+    prefixes (normalised names). Of several the folder with most single-band files counts, of equals the first by name."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    top = re.escape(path.rstrip("/").rpartition("/")[2])
+    parts = files.select(F.regexp_extract("path", f"/{top}/([^/]+)/([^/]+)/", 1).alias("project"), F.regexp_extract("path", f"/{top}/([^/]+)/([^/]+)/", 2).alias("folder"), F.regexp_extract("path", r"(?i)([^/]+)\.tiff?$", 1).alias("stem"))
+    counted = parts.where("project <> '' AND folder <> ''").groupBy("project", "folder").agg(F.count(band_name(F.col("stem"))).alias("bands"))
+    named = counted.withColumn("sensor", F.explode(F.array(*[F.lit(s) for s in prefixes])))
+    own = directory_name(F.col("folder"))
+    fits = F.lit(False)
+    for sensor, starts in prefixes.items():
+        for start in starts:
+            fits |= (F.col("sensor") == sensor) & own.startswith(start)
+    best = named.where(fits).groupBy("project", "sensor").agg(F.min_by(F.struct("folder", "bands"), F.struct(-F.col("bands"), "folder")).alias("b"))
+    return best.select("project", "sensor", "b.folder", "b.bands")
+
+
+def areas_with_stacks(spark: SparkSession, path: str) -> DataFrame:
+    """area and pairs of each area's folder under path that has radar pairs (folders with a metadata.json), by name."""
+    meta = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "metadata.json").load(path).select("path")
+    area = F.regexp_extract("path", r"/([^/]+)/sentinel1_insar/[^/]+/metadata\.json$", 1)
+    return meta.select(area.alias("area")).where("area <> ''").groupBy("area").agg(F.count("*").alias("pairs")).orderBy("area")
+
+
+def resolve_projects(wanted: DataFrame, projects: DataFrame, cell: float = 1.0) -> DataFrame:
+    """wanted (name, and west, south, east, north or nulls) with the project that it means and how that was found: the same id, the
+    same name, the same normalised name, else the one whose box it overlaps most; null and none where there is none. projects
+    (id, project, and a box or nulls); of equals the first by id. cell: as in grid.overlaps."""
+    own = projects.select("id", "project")
+    by = {"id": F.col("id").cast("string"), "exact": F.col("project"), "normalized": directory_name(F.col("project"))}
+    keyed = own.select("id", "project", F.explode(F.array(*[F.struct(F.lit(r).alias("rank"), F.lit(k).alias("how"), c.alias("key")) for r, (k, c) in enumerate(by.items())])).alias("k")).select("id", "project", "k.*")
+    names = wanted.select("name").distinct().select("name", F.explode(F.array(*[F.struct(F.lit(r).alias("rank"), (directory_name(F.col("name")) if k == "normalized" else F.col("name")).alias("key")) for r, k in enumerate(by)])).alias("n")).select("name", "n.*")
+    named = names.join(keyed, ["rank", "key"]).groupBy("name").agg(F.min_by(F.struct("project", "how"), F.struct("rank", "id")).alias("n"))
+    sides = ["west", "south", "east", "north"]
+    rest = overlaps(wanted.join(named, "name", "left_anti").where("west IS NOT NULL").select("name", *sides), projects.where("west IS NOT NULL").select("id", "project", *sides), cell)
+    area = (F.least("a_east", "b_east") - F.greatest("a_west", "b_west")) * (F.least("a_north", "b_north") - F.greatest("a_south", "b_south"))
+    near = rest.where(area > 0).groupBy("name").agg(F.min_by(F.struct(F.col("project"), F.lit("spatial").alias("how")), F.struct(-area, F.col("id"))).alias("n"))
+    return wanted.join(named.unionByName(near), "name", "left").select(*wanted.columns, F.col("n.project").alias("project"), F.coalesce("n.how", F.lit("none")).alias("how"))

@@ -143,13 +143,6 @@ def test_principal_components(spark):
         pca.crosta(df.limit(4), names, ["B1"], [])
 
 
-def test_line_responses(spark):
-    low = np.zeros((20, 20))
-    low[10, 3:17] = 1
-    found = {(r.y, r.x): r.strength for r in unmixing.line_responses(image(spark, {"v": low}), F.col("v")).collect()}
-    assert found[10, 10] == pytest.approx(1) and found[2, 2] == 0 and found[10, 10] > found[8, 10]
-
-
 def test_scores_differ_by_mode(spark):
     row = spark.createDataFrame([(True, False, 1)], "ratio boolean, pca boolean, priority int")
     masks = {"ratio": F.col("ratio"), "pca": F.col("pca"), "band_depth": None}
@@ -202,7 +195,7 @@ def test_batch_isolates_what_fails(spark):
     roi = F.col("y") < 25
     found = batch.analyze(px, targets, roi=roi)
     rows = {(r.mineral, r.method): r for r in found.results.collect()}
-    assert set(found.warnings) == {("none", "ratio"), ("none", "pca"), ("bad", "ratio"), ("bad", "pca")} and len(rows) == 6
+    assert set(found.warnings) == {("bad", "ratio"), ("bad", "pca")} and len(rows) == 4
     v = (layers["B5"] / layers["B4"])[:25].astype(float)
     limit = v.mean() + 2 * v.std()
     assert rows["clay", "ratio"].threshold == pytest.approx(limit) and rows["clay", "ratio"].n_anomaly == (v > limit).sum()
@@ -289,3 +282,180 @@ def test_global_medians_do_not_gather_all_values(spark, monkeypatch):
     assert deformation.stability(df, "velocity").first()["median"] == wanted
     assert evidence.association(df, F.lit(True), F.col("velocity")).first().median_dist_m == wanted
     assert deformation.velocity_summary(df.limit(0)).first().median_velocity is None
+
+
+def test_quantiles_of_many_layers_take_three_scans(spark, monkeypatch):
+    own = np.random.default_rng(12)
+    layers = {"even": own.random(3000), "steps": np.round(own.random(3000) * 4), "flat": np.full(3000, 2.5), "few": np.where(np.arange(3000) < 40, own.random(3000), np.nan)}
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in row) for row in zip(*layers.values(), strict=True)] + [(None,) * 4], ", ".join(f"{n} double" for n in layers))
+    wanted = {n: (F.col(n), [0.0, 0.02, 0.371, 0.5, 0.98, 1.0]) for n in layers} | {"none": (F.lit(None).cast("double"), [0.5])}
+    scans = []
+
+    def counted(frame, *columns, _agg=type(df).agg):
+        scans.append(len(columns))
+        return _agg(frame, *columns)
+
+    monkeypatch.setattr(type(df), "agg", counted)
+    for direct, most in ((10_000, 2), (60, 4)):
+        scans.clear()
+        found = stats.quantiles_of(df, wanted, direct)
+        assert found["none"] == [None]
+        for n, v in layers.items():
+            assert np.allclose(found[n], np.percentile(v[~np.isnan(v)], [0, 2, 37.1, 50, 98, 100])), n
+        assert len(scans) <= most or direct < 100
+    scans.clear()
+    assert np.allclose(stats.quantiles_of(df, {"even": (F.col("even"), [0.25, 0.5])}, 300)["even"], np.percentile(layers["even"], [25, 50])) and len(scans) == 3
+
+
+def test_endmembers_want_all_scores_of_a_pixel(spark):
+    rows = [(0, x, float(x), 1.0, -1.0 * x, float(x)) for x in range(100)] + [(1, x, 1000.0, None, 5.0, 9e9) for x in range(40)]
+    px = spark.createDataFrame(rows, "y int, x int, a double, b double, c double, band double")
+    found = {r["name"]: r.band for r in unmixing.endmembers(px, ["band"], {k: F.col(k) for k in "abc"}).collect()}
+    assert found == {"a": np.mean([95, 96, 97, 98, 99]), "b": 2.0, "c": 2.0}
+    few = px.where("y = 1 OR x < 3")
+    assert {r["name"]: r.band for r in unmixing.endmembers(few, ["band"], {k: F.col(k) for k in "abc"}).collect()} == {"a": 9e9, "b": 1.0, "c": 9e9}
+
+
+def cut(values, mode, reach):
+    return np.pad(values, reach, mode=mode)
+
+
+def plain_lineaments(coherence, limit=0.3, length=9, directions=6, share=90, sigma=0.8):
+    known = np.isfinite(coherence)
+    low = np.maximum(limit - np.clip(np.where(known, coherence, 1.0), 0, 1), 0)
+    w = np.exp(-0.5 * (np.arange(-3, 4) / sigma) ** 2)
+    w /= w.sum()
+    height, width = low.shape
+    wide = cut(low, "symmetric", 3)
+    smooth = sum(w[i] * w[j] * wide[i : i + height, j : j + width] for i in range(7) for j in range(7))
+    wide, reach = cut(smooth, "edge", length // 2), length // 2
+    means = []
+    for k in range(directions):
+        cells = {(round(reach + t * np.sin(np.pi * k / directions)), round(reach + t * np.cos(np.pi * k / directions))) for t in range(-reach, reach + 1)}
+        means.append(sum(wide[int(i) : int(i) + height, int(j) : int(j) + width] for i, j in cells) / len(cells))
+    strength = np.max(means, axis=0)
+    own = strength[known]
+    if own.size and own.max() - own.min() > 1e-9:
+        a, b = np.percentile(own, [2, 98])
+        strength = np.clip((strength - a) / (b - a + 1e-9), 0, 1)
+    over = np.percentile(strength[known], share)
+    return np.where(known, strength, np.nan), known & (strength >= over - 1e-9) & (strength > 1e-4) & (over > 1e-4)
+
+
+def test_lineaments_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(spatial.tiled, "__defaults__", ("value", 16))
+    own = np.random.default_rng(13)
+    coherence = own.random((37, 45))
+    coherence[12, 5:40] = 0.02
+    coherence[20:23, 7:9] = np.nan
+    coherence[0, 0] = np.nan
+    strength, line = plain_lineaments(coherence)
+    for r in deformation.lineaments(image(spark, {"c": coherence}), F.col("c")).collect():
+        if np.isnan(strength[r.y, r.x]):
+            assert r.strength is None and not r.lineament
+        else:
+            assert r.strength == pytest.approx(strength[r.y, r.x], abs=1e-6) and r.lineament == line[r.y, r.x]
+    assert line[12].sum() > 25
+    calm = deformation.lineaments(image(spark, {"c": np.full((12, 12), 0.9)}), F.col("c"))
+    assert calm.agg(F.max("strength"), F.count_if("lineament")).first() == (0, 0)
+
+
+def test_a_pixel_without_coherence_counts_only_in_pairs_without_a_layer(spark):
+    schema = "y int, x int, pair string, ref_date date, sec_date date, disp double, coherence double"
+    rows = [(0, 0, "a", "2024-01-01", "2024-12-31", 10.0, None), (0, 1, "a", "2024-01-01", "2024-12-31", 10.0, 0.9), (0, 0, "b", "2024-01-01", "2024-12-31", 30.0, None), (0, 1, "b", "2024-01-01", "2024-12-31", 30.0, None)]
+    seen = spark.createDataFrame([(y, x, p, a, b, d, c) for y, x, p, a, b, d, c in rows], schema.replace("date date", "date string")).withColumns({c: F.to_date(c) for c in ("ref_date", "sec_date")})
+    for observations in (seen, deformation.stack(seen.drop("coherence"), seen.where("pair = 'a'").select("pair", "y", "x", "coherence"))):
+        found = {(r.y, r.x): (r.velocity, r.n_valid) for r in deformation.velocity(deformation.rates(observations)).collect()}
+        assert found == {(0, 0): (pytest.approx(30 * 365.25 / 365), 1), (0, 1): (pytest.approx(20 * 365.25 / 365), 2)}
+    places = deformation.first_pair_places(spark.createDataFrame([("a", 10, 20), ("b", 19, 39), ("c", 1, 20)], "pair string, height int, width int"))
+    assert {r.pair: (r.row_scale, r.column_scale) for r in places.collect()} == {"a": (1, 1), "b": (2, 2), "c": (0, 1)}
+
+
+def test_library_mode_takes_all_targets_and_only_methods_that_apply(spark):
+    px = spark.createDataFrame([(1.0, 2.0)] * 9 + [(9.0, 1.0)], "B1 double, B2 double")
+    targets = [batch.Target("rare", 3, ratio="B1/B2"), batch.Target("other", 1, pca=(["B1", "B2"], ["B1"], []))]
+    assert [(r.mineral, r.method) for r in batch.analyze(px, targets, mode="library").results.collect()] == [("rare", "ratio"), ("other", "pca")]
+    assert [(r.mineral, r.method) for r in batch.analyze(px, targets).results.collect()] == [("other", "pca")]
+    with pytest.raises(ValueError):
+        batch.alteration(px, "Sentinel2", "carbonate")
+    with pytest.raises(ValueError):
+        batch.alteration(px, "Sentinel2", "gold")
+    near = batch.analyze(px.withColumn("near", F.lit(0.5)), targets[:1], ["ratio"], mode="library", near=F.col("near"), prior_weight=0.4).layers
+    assert near.agg(F.max("score")).first()[0] == pytest.approx(0.25 * (1 - 0.4 + 0.4 * 0.5))
+    found = batch.associations(batch.analyze(px.withColumn("d", F.col("B1") * 100), targets, mode="library"), F.col("d")).where("mineral = 'rare'").first()
+    assert (found.n_near, found.median_dist_m, found.frac_within_buffer) == (1, 900, 0)
+
+
+def test_candidates_of_equal_confidence_come_by_their_place(spark):
+    candidates = spark.createDataFrame([("r", 0, "t1", 0.7, "first"), ("r", 1, "t2", 0.7, "second"), ("r", 2, "t3", 0.5, "far")], "region string, pos int, structure_type string, confidence double, evidence string")
+    mapping = spark.createDataFrame([("t1", 0, "zinc"), ("t2", 0, "alpha"), ("t2", 1, "zinc"), ("t3", 0, "beta")], "structure_type string, map_pos int, deposit string")
+    known = spark.createDataFrame([("zinc",), ("alpha",), ("beta",)], "deposit string")
+    assert [(r.deposit, r.evidence) for r in knowledge.structural_candidates(candidates, mapping, known).orderBy("rank").collect()] == [("zinc", "first"), ("alpha", "second")]
+    regions = spark.createDataFrame([("r",), ("none",), ("oil",)], "region string")
+    more = candidates.unionByName(spark.createDataFrame([("oil", 0, "t9", 0.91234, "x")], candidates.schema))
+    states = {r.region: (r.status, r.primary_model, r.primary_confidence) for r in knowledge.structural_states(regions, more, mapping, known).collect()}
+    assert states == {"r": ("ok", "t1", 0.7), "none": ("no_product", None, None), "oil": ("non_alteration", "t9", 0.912)}
+    close = spark.createDataFrame([("r", 0, "b", "x", 0.70004), ("r", 1, "a", "x", 0.70044)], "region string, pos int, deposit string, commodity string, confidence double")
+    nearby = spark.createDataFrame([("r", "y")], "region string, commodity string")
+    assert [r.deposit for r in knowledge.corroborated(close, nearby).orderBy("rank").collect()] == ["b", "a"]
+
+
+def test_distinct_crossings(spark):
+    points = [(1, 0, 0.0, 0.0), (1, 1, 2.0, 2.0), (2, 0, 0.0, 2.0), (2, 1, 2.0, 0.0), (3, 0, 1.0, 0.0), (3, 1, 1.0, 2.0)]
+    found = grid.crossings(grid.segments(spark.createDataFrame(points, "line_id int, seq int, lon double, lat double")), 1.0)
+    assert found.count() == 3 and [tuple(r) for r in grid.crossing_points(found).collect()] == [(1.0, 1.0, 3)]
+
+
+def test_boxes_meet_once(spark):
+    own = np.random.default_rng(14)
+    boxes = []
+    for k in range(2):
+        low = np.round(own.random((60, 2)) * 20, 1)
+        boxes.append([(int(i), *map(float, (*a, *(a + s)))) for i, (a, s) in enumerate(zip(low, np.round(own.random((60, 2)) * 5, 1), strict=True))] + [(100, -3.0, 2.0, -3.0, 9.0), (101, 4.0, 4.0, 6.0, 6.0), (102, 6.0, 1.0, 8.0, 4.0)])
+    a, b = (spark.createDataFrame(x, f"{n} int, west double, south double, east double, north double") for n, x in zip(("i", "j"), boxes, strict=True))
+    wanted = sorted((i, j) for i, w, s, e, n in boxes[0] for j, w2, s2, e2, n2 in boxes[1] if w <= e2 and e >= w2 and s <= n2 and n >= s2)
+    for cell in (1.0, 7.0):
+        assert sorted((r.i, r.j) for r in grid.overlaps(a, b, cell).collect()) == wanted
+
+
+def test_cells_on_the_outline(spark):
+    cells = spark.createDataFrame([(float(x), float(y)) for x in range(9) for y in range(9)], "x double, y double")
+    ring = [[(1, 1), (6, 1), (6, 4), (1, 4)]]
+    assert {(r.x, r.y) for r in cells.where(grid.inside_cells(F.col("x"), F.col("y"), ring)).collect()} == {(x, y) for x in range(1, 7) for y in range(1, 5)}
+    line = [[(0, 0), (8, 4)]]
+    assert {(r.x, r.y) for r in cells.where(grid.on_outline(F.col("x"), F.col("y"), line)).collect()} >= {(0, 0), (2, 1), (4, 2), (8, 4)}
+
+
+def test_the_store_is_confined_and_manifests_gather(spark):
+    assert runs.confined("/data/runs", "p/r1") == "/data/runs/p/r1" and runs.confined("/data/runs/", ".") == "/data/runs"
+    assert runs.confined("/data/runs", "../other") is None and runs.confined("/data/runs", "/etc/passwd") is None and runs.confined("/data/runs", "../runs2/x") is None
+    df = spark.createDataFrame([([1, 2, 3, 4, 5, 6, 7],), ([1, 2],), ([1, None, 3, 4, 5, 6],), (None,)], "t array<int>")
+    assert [r[0] for r in df.select(runs.affine_list(df.t)).collect()] == [[1, 2, 3, 4, 5, 6], None, None, None]
+    own = spark.createDataFrame([("r1", "p", "d", "2024"), ("r2", "p", "d", "2025")], "run_id string, project string, deposit string, created_at string")
+    results = spark.createDataFrame([("r1", "B", "clay", "ratio", 5), ("r1", "A", "iron", "pca", 3)], "run_id string, sensor string, mineral string, method string, n int")
+    composites = spark.createDataFrame([("r1", "A", 7), ("r1", "B", 8)], "run_id string, sensor string, high_pixels int")
+    found = runs.manifests(own, results, composites)
+    rows = {r.run_id: r for r in found.collect()}
+    assert [(x.sensor, x.mineral, x.n) for x in rows["r1"].results] == [("A", "iron", 3), ("B", "clay", 5)] and rows["r1"].high_pixels == 15
+    assert (rows["r2"].results, rows["r2"].n_results, rows["r2"].high_pixels) == ([], 0, 0)
+    assert [tuple(r) for r in runs.summaries(found).collect()] == [("r2", "p", "d", "2025", 0, 0), ("r1", "p", "d", "2024", 2, 15)]
+
+
+def test_vegetation_targets_are_for_red_edge_sensors():
+    assert knowledge.vegetation_target("Sentinel2_L2").stress == ("B4", "B5", "B6", "B7", "B8") and knowledge.vegetation_target("ASTER") is None
+
+
+def test_unmixing_meets_its_conditions_on_a_query(spark):
+    path = "/root/testdata/sf0.001"
+    names = ["B1", "B2", "B3", "B4"]
+    rows = catalog.QUERIES["endmembers"](spark, path).orderBy("name").collect()
+    members = np.array([[r[c] for r in rows] for c in names])
+    from regolith.plans import views
+
+    px = {(r.y, r.x): np.array([r[c] for c in names]) for r in views.raster(spark, path).collect()}
+    out = unmixing.unmix(views.raster(spark, path), names, members, [r["name"] for r in rows], sum_to_one=False).collect()
+    assert len(out) == len(px)
+    for r in out:
+        a = np.array([r[x["name"]] for x in rows])
+        slope = members.T @ (px[r.y, r.x] - members @ a)
+        assert (a >= 0).all() and (slope <= 1e-6 * np.abs(members.T @ px[r.y, r.x])).all() and np.abs(slope * a).max() <= 1e-6 * (px[r.y, r.x] ** 2).sum()

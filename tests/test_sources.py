@@ -114,3 +114,39 @@ def test_calibration_and_synthetic_scene(spark):
     scene = projects.synthetic_scene(spark, 3, 20, 30)
     assert scene.count() == 600 and scene.agg(F.min("B1"), F.max("B3")).first()[0] >= 100 and scene.where("y = 7 AND x = 10").first().B2 == 2800
     assert scene.orderBy("y", "x").collect() == projects.synthetic_scene(spark, 3, 20, 30).orderBy("y", "x").collect()
+
+
+def test_types_and_extra_commodities(spark, tmp_path):
+    base = [{"commodity": "gold", "commodity_en": "Gold", "deposit_types": [{"type_name": "vein", "type_en": "Vein", "ore_elements": ["Au"]}]}, {"commodity": "empty"}, {"commodity": "gold", "deposit_types": [{"type_name": "late"}]}]
+    more = [{"commodity": "oil", "category": "energy", "deposit_types": [{"type_name": "seep", "alterations": [{"mineral": "clay", "sensor_ratio": {"ASTER": "B5/B6"}}]}, {"type_name": "vein"}]}]
+    (tmp_path / "kb.json").write_text(json.dumps({"commodities": base}))
+    (tmp_path / "oil.json").write_text(json.dumps(more))
+    types = projects.read_types(spark, str(tmp_path / "kb.json"), str(tmp_path / "oil.json"))
+    assert [(r.commodity, r.commodity_en, r.category) for r in knowledge.commodities(types).collect()] == [("gold", "Gold", ""), ("empty", "", ""), ("gold", "", ""), ("oil", "", "energy")]
+    assert [r.type_name for r in knowledge.deposit_types(types, "gold").collect()] == ["vein"]
+    assert knowledge.deposit_types(types, "empty").count() == 0 and knowledge.deposit_types(types, "none").count() == 0
+    meta = {r.type_name: (r.commodity, r.type_en, r.ore_elements, r.host_rocks) for r in knowledge.deposit_meta(types).collect()}
+    assert meta["vein"] == ("gold", "Vein", ["Au"], []) and set(meta) == {"vein", "late", "seep"}
+    assert [(r.deposit, r.mineral) for r in projects.read_knowledge(spark, str(tmp_path / "kb.json"), str(tmp_path / "oil.json")).collect()] == [("seep", "clay")]
+
+
+def test_sensor_folders_and_areas(spark, tmp_path):
+    root = tmp_path / "delivery"
+    for name in ("p1/Sentinel-2_a/B02.tif", "p1/Sentinel-2_b/B02.tif", "p1/Sentinel-2_b/B03.tif", "p1/Landsat 8/B4.tif", "p1/notes/readme.txt", "p2/aster l1t/B1.tif"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"II*")
+    found = projects.sensor_folders(spark, str(root), {"Sentinel2": ["sentinel 2"], "Landsat8": ["landsat 8"], "ASTER": ["aster"]})
+    assert {(r.project, r.sensor, r.folder, r.bands) for r in found.collect()} == {("p1", "Sentinel2", "Sentinel-2_b", 2), ("p1", "Landsat8", "Landsat 8", 1), ("p2", "ASTER", "aster l1t", 1)}
+    for name in ("aoi1/sentinel1_insar/a_b", "aoi1/sentinel1_insar/b_c", "aoi2/sentinel1_insar/a_b", "aoi3/other/a_b"):
+        (tmp_path / "stacks" / name).mkdir(parents=True)
+        (tmp_path / "stacks" / name / "metadata.json").write_text("{}")
+    assert [tuple(r) for r in projects.areas_with_stacks(spark, str(tmp_path / "stacks")).collect()] == [("aoi1", 2), ("aoi2", 1)]
+
+
+def test_projects_are_resolved_by_rank(spark):
+    box = "west double, south double, east double, north double"
+    known = spark.createDataFrame([("7", "North Ridge", 0.0, 0.0, 2.0, 2.0), ("8", "north_ridge", 5.0, 5.0, 9.0, 9.0), ("9", "south", 1.0, 1.0, 4.0, 4.0)], f"id string, project string, {box}")
+    wanted = spark.createDataFrame([("8", None, None, None, None), ("North Ridge", None, None, None, None), ("NORTH-RIDGE", None, None, None, None), ("renamed", 1.5, 1.5, 5.5, 5.5), ("gone", 50.0, 50.0, 51.0, 51.0), ("nothing", None, None, None, None)], f"name string, {box}")
+    assert {r.name: (r.project, r.how) for r in projects.resolve_projects(wanted, known).collect()} == {
+        "8": ("north_ridge", "id"), "North Ridge": ("North Ridge", "exact"), "NORTH-RIDGE": ("North Ridge", "normalized"), "renamed": ("south", "spatial"), "gone": (None, "none"), "nothing": (None, "none"),
+    }
