@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from regolith.llm.bpe import Remembered
 from regolith.llm.common import Workspace, slices
+from regolith.llm.textscan import ragged
 
 MAGIC = b"PFORIDS1"
 BLOCK = 4096
@@ -106,8 +107,8 @@ def _library(definition: str, special: bool) -> tuple[object, Remembered | None,
     tokenize, letters = tokenizer.model.tokenize, _byte_letters()
 
     def fresh(data, starts, lengths, hashes):
-        text = data.tobytes().decode("latin-1").translate(letters)
-        found = [[t.id for t in tokenize(text[s : s + n])] for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+        text = data[ragged(starts, lengths)].tobytes().decode("latin-1").translate(letters)
+        found = [[t.id for t in tokenize(text[end - n : end])] for end, n in zip(np.cumsum(lengths).tolist(), lengths.tolist(), strict=True)]
         return np.array([x for ids in found for x in ids], np.int32), np.array([len(ids) for ids in found], np.int64)
 
     return tokenizer, Remembered(fresh), added
