@@ -135,3 +135,21 @@ def coverage(scenes: DataFrame, west: float, south: float, east: float, north: f
     """scenes (with a box each) and usable: whether they touch the region. Only metadata is read, so scans can be pruned by it."""
     apart = (F.col("east") < west) | (F.col("west") > east) | (F.col("north") < south) | (F.col("south") > north)
     return scenes.withColumn("usable", F.coalesce(~apart, F.lit(False)))
+
+
+def layers_on_grid(products: DataFrame, pixels: DataFrame, target: DataFrame, box: tuple[float, float, float, float], names: Sequence[str] = ("distance", "density", "hillshade", "slope")) -> DataFrame | None:
+    """The target's cells (scene, y, x and world coordinates lon, lat) with the layers of the first product (product, pos, a box, its
+    transform) that touches the box, as columns `names`, null where the product lacks them; None without such a product.
+
+    pixels: product, layer, y, x, value. Product and target share a coordinate system; values are interpolated between cells.
+    """
+    first = coverage(products, *box).where("usable").orderBy("pos").first()
+    if first is None:
+        return None
+    column, row = to_pixel(first["transform"], F.col("lon"), F.col("lat"))
+    cells, out = target.select("scene", "y", "x", "lon", "lat"), target
+    for name in names:
+        own = pixels.where((F.col("product") == first["product"]) & (F.col("layer") == name)).withColumn("scene", F.lit(""))
+        found = resample(own, cells.withColumnRenamed("scene", "_of").withColumn("scene", F.lit("")), row, column)
+        out = out.join(found.select(F.col("_of").alias("scene"), "y", "x", F.col("value").alias(name)), ["scene", "y", "x"], "left")
+    return out

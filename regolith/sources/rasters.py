@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import math
+import operator
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -121,12 +123,41 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
 
 
 def band_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """idx, wavelength_um, gain, offset of each band from a scene's XML, in document order, in any namespace."""
+    """idx, wavelength_um, gain, offset, fwhm_um of each band from a scene's XML, in document order, in any namespace."""
     own = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("xml"))
 
     def values(tag: str):
         found = F.xpath("xml", F.lit(f"//*[local-name()='{tag}']/text()"))
         return F.filter(F.transform(found, lambda v: F.trim(v).try_cast("double")), lambda v: v.isNotNull())
 
-    lists = own.select(values("wavelengthCenterOfBand").alias("w"), values("GainOfBand").alias("g"), values("OffsetOfBand").alias("o"))
-    return lists.select(F.posexplode("w").alias("idx", "nm"), "g", "o").select("idx", (F.col("nm") / 1000).alias("wavelength_um"), F.get("g", F.col("idx")).alias("gain"), F.get("o", F.col("idx")).alias("offset"))
+    lists = own.select(values("wavelengthCenterOfBand").alias("w"), values("GainOfBand").alias("g"), values("OffsetOfBand").alias("o"), values("FWHMOfBand").alias("f"))
+    at = F.col("idx")
+    return lists.select(F.posexplode("w").alias("idx", "nm"), "g", "o", "f").select("idx", (F.col("nm") / 1000).alias("wavelength_um"), F.get("g", at).alias("gain"), F.get("o", at).alias("offset"), (F.get("f", at) / 1000).alias("fwhm_um"))
+
+
+def finite_wavelengths(wavelengths: Sequence[float | None], bands: int) -> list[float]:
+    """The wavelengths of so many bands; ValueError if their number differs or one is not finite."""
+    if len(wavelengths) != bands or any(w is None or not math.isfinite(w) for w in wavelengths):
+        raise ValueError(f"{bands} bands need as many finite wavelengths, not {len(wavelengths)}")
+    return [float(w) for w in wavelengths]
+
+
+def reflectance(pixels: DataFrame, metadata: DataFrame, bands: int, nodata: float | None = None) -> tuple[DataFrame, list[float]]:
+    """Digital numbers (scene, band, y, x, value) of a scene with so many bands as reflectance, and its wavelengths in micrometres.
+    metadata: as band_metadata gives it, a row for each band. nodata becomes null; gains and offsets count only if every band has
+    one. ValueError without a finite wavelength for every band."""
+    rows = metadata.orderBy("idx").limit(bands + 1).collect()
+    wavelengths = finite_wavelengths([r.wavelength_um for r in rows], bands)
+    value = F.col("value") if nodata is None else F.when(F.col("value") != nodata, F.col("value"))
+    for name, apply in (("gain", operator.mul), ("offset", operator.add)):
+        own = [r[name] for r in rows]
+        if all(v is not None for v in own):
+            value = apply(value, F.element_at(F.array(*[F.lit(float(v)) for v in own]), F.col("band")))
+    return pixels.withColumn("value", value), wavelengths
+
+
+def joined_cubes(first: DataFrame, second: DataFrame, bands: tuple[int, int], wavelengths: tuple[Sequence[float], Sequence[float]]) -> tuple[DataFrame, list[float]]:
+    """Two cubes of one scene (scene, band, y, x, value), visible and shortwave, as one: the second's bands come behind the first's. With
+    the wavelengths of both, which must be finite. Scenes keep the first one's name."""
+    own = [*finite_wavelengths(wavelengths[0], bands[0]), *finite_wavelengths(wavelengths[1], bands[1])]
+    return first.unionByName(second.withColumn("band", F.col("band") + bands[0])), own

@@ -8,7 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from regolith.operators import knowledge
+from regolith.operators import knowledge, spatial
 from regolith.sources import projects, rasters
 from regolith.streaming import coherence
 
@@ -65,8 +65,8 @@ def test_geojson(spark, tmp_path):
 
 
 def test_band_metadata(spark, tmp_path):
-    (tmp_path / "m.xml").write_text('<a:r xmlns:a="urn:x"><a:b><a:wavelengthCenterOfBand>420.5</a:wavelengthCenterOfBand><a:GainOfBand>2</a:GainOfBand></a:b><b><wavelengthCenterOfBand> 990 </wavelengthCenterOfBand><wavelengthCenterOfBand>none</wavelengthCenterOfBand><GainOfBand>3</GainOfBand></b></a:r>')
-    assert [tuple(r) for r in rasters.band_metadata(spark, str(tmp_path / "m.xml")).collect()] == [(0, 0.4205, 2.0, None), (1, 0.99, 3.0, None)]
+    (tmp_path / "m.xml").write_text('<a:r xmlns:a="urn:x"><a:b><a:wavelengthCenterOfBand>420.5</a:wavelengthCenterOfBand><a:GainOfBand>2</a:GainOfBand><a:FWHMOfBand>6.5</a:FWHMOfBand></a:b><b><wavelengthCenterOfBand> 990 </wavelengthCenterOfBand><wavelengthCenterOfBand>none</wavelengthCenterOfBand><GainOfBand>3</GainOfBand></b></a:r>')
+    assert [tuple(r) for r in rasters.band_metadata(spark, str(tmp_path / "m.xml")).collect()] == [(0, 0.4205, 2.0, None, 0.0065), (1, 0.99, 3.0, None, None)]
 
 
 def test_stream_of_pairs(spark, tmp_path):
@@ -150,3 +150,26 @@ def test_projects_are_resolved_by_rank(spark):
     assert {r.name: (r.project, r.how) for r in projects.resolve_projects(wanted, known).collect()} == {
         "8": ("north_ridge", "id"), "North Ridge": ("North Ridge", "exact"), "NORTH-RIDGE": ("North Ridge", "normalized"), "renamed": ("south", "spatial"), "gone": (None, "none"), "nothing": (None, "none"),
     }
+
+
+def test_reflectance_and_joined_cubes(spark):
+    px = spark.createDataFrame([("s", 1, 0, 0, 100.0), ("s", 2, 0, 0, -9.0)], "scene string, band int, y int, x int, value double")
+    meta = "idx int, wavelength_um double, gain double, offset double"
+    own, w = rasters.reflectance(px, spark.createDataFrame([(0, 0.4, 0.01, 1.0), (1, 0.5, 0.02, None)], meta), 2, -9.0)
+    assert w == [0.4, 0.5] and {r.band: r.value for r in own.collect()} == {1: 1.0, 2: None}
+    for rows, bands in (([(0, 0.4, 1.0, 0.0)], 2), ([(0, 0.4, 1.0, 0.0), (1, None, 1.0, 0.0)], 2), ([(0, 0.4, 1.0, 0.0), (1, float("nan"), 1.0, 0.0)], 2)):
+        with pytest.raises(ValueError):
+            rasters.reflectance(px, spark.createDataFrame(rows, meta), bands)
+    both, w = rasters.joined_cubes(px, px, (2, 2), ([0.4, 0.5], [1.4, 1.5]))
+    assert w == [0.4, 0.5, 1.4, 1.5] and sorted(r.band for r in both.collect()) == [1, 2, 3, 4]
+    with pytest.raises(ValueError):
+        rasters.joined_cubes(px, px, (2, 2), ([0.4, 0.5], [1.4, float("inf")]))
+
+
+def test_layers_of_the_first_product_on_a_grid(spark):
+    products = spark.createDataFrame([("far", 0, 50.0, 50.0, 60.0, 60.0, [1.0, 0.0, 50.0, 0.0, -1.0, 60.0]), ("near", 1, 0.0, 0.0, 4.0, 4.0, [1.0, 0.0, 0.0, 0.0, -1.0, 4.0]), ("late", 2, 0.0, 0.0, 4.0, 4.0, [1.0, 0.0, 0.0, 0.0, -1.0, 4.0])], "product string, pos int, west double, south double, east double, north double, transform array<double>")
+    px = spark.createDataFrame([(p, layer, y, x, float(10 * y + x) + k) for p in ("near", "late") for k, layer in enumerate(("distance", "slope")) for y in range(4) for x in range(4)], "product string, layer string, y int, x int, value double")
+    target = spark.createDataFrame([("s", 0, 0, 1.0, 2.0), ("s", 0, 1, 1.5, 2.5), ("s", 0, 2, 99.0, 2.0)], "scene string, y int, x int, lon double, lat double")
+    found = {r.x: (r.distance, r.density, r.slope) for r in spatial.layers_on_grid(products, px, target, (1.0, 1.0, 2.0, 3.0)).collect()}
+    assert found == {0: (21.0, None, 22.0), 1: (16.5, None, 17.5), 2: (None, None, None)}
+    assert spatial.layers_on_grid(products, px, target, (-9.0, -9.0, -8.0, -8.0)) is None
