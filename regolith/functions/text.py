@@ -57,11 +57,41 @@ def tile_y(lat: Column, zoom: Column) -> Column:
     return (1 - F.log(F.tan(r) + 1 / F.cos(r)) / math.pi) / 2 * F.pow(F.lit(2.0), zoom)
 
 
+def tile_lon(x: Column, zoom: Column) -> Column:
+    """The longitude of a place on the tiles, the inverse of tile_x."""
+    return x / F.pow(F.lit(2.0), zoom) * 360 - 180
+
+
+def tile_lat(y: Column, zoom: Column) -> Column:
+    """The latitude of a place on the tiles, the inverse of tile_y."""
+    return F.degrees(F.atan(F.sinh(math.pi * (1 - 2 * y / F.pow(F.lit(2.0), zoom)))))
+
+
+#: Fixed: tiles that one map may take.
+MOST_TILES = 64
+
+
+def few_tiles(west: Column, south: Column, east: Column, north: Column, zoom: Column, most: int = MOST_TILES) -> Column:
+    """Whether a box takes no more tiles than a map may."""
+    wide, high = F.floor(tile_x(east, zoom)) - F.floor(tile_x(west, zoom)) + 1, F.floor(tile_y(south, zoom)) - F.floor(tile_y(north, zoom)) + 1
+    return wide * high <= most
+
+
+def code_list(text: Column) -> Column:
+    """The codes of a text that blanks part, in upper case; none of null."""
+    return F.filter(F.split(F.upper(F.trim(F.coalesce(text, F.lit("")))), r"\s+"), lambda c: c != "")
+
+
+def run_id(project: Column, deposit: Column, at: Column) -> Column:
+    """The name of a run in the store: project/deposit_yyyyMMdd-HHmmss, with safe names."""
+    return F.concat(safe_name(project), F.lit("/"), safe_name(deposit), F.lit("_"), F.date_format(at, "yyyyMMdd-HHmmss"))
+
+
 def tile_zoom(west: Column, south: Column, east: Column, north: Column, target: int = 16) -> Column:
     """The first zoom of 2 to 19 at which the box covers the target number of tiles, else 18."""
 
     def tiles(z: Column) -> Column:
-        wide = F.floor(tile_x(east, z)) - F.floor(tile_x(west, z)) + 1
-        return wide * (F.floor(tile_y(south, z)) - F.floor(tile_y(north, z)) + 1)
+        wide, high = (F.greatest(F.ceil(last) - F.floor(first), F.lit(1)) for last, first in ((tile_x(east, z), tile_x(west, z)), (tile_y(south, z), tile_y(north, z))))
+        return wide * high
 
     return F.coalesce(F.get(F.filter(F.sequence(F.lit(2), F.lit(19)), lambda z: tiles(z) >= target), F.lit(0)), F.lit(18))

@@ -62,6 +62,18 @@ def fuse(df: DataFrame, layers: Mapping[str, Column], method: str = "weighted_su
     return clip(reduce(lambda a, b: a + b, [share[n] * c for n, c in own.items()])), share
 
 
+def prospectivity(df: DataFrame, layers: Mapping[str, Column], method: str = "weighted_sum", weights: Mapping[str, float] | None = None, gamma: float = 0.9, roi: Column | None = None, share: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """df with the fused score (null outside the region) and high (over the score's quantile), and one row: threshold, high_ratio (of
+    the pixels with a score) and score_mean. Without an informative layer the score is 0, nothing is high and the threshold is null."""
+    score, used = fuse(df, layers, method, weights, gamma)
+    scored = df.withColumn("score", score if roi is None else F.when(roi, score))
+    limit = quantiles(scored, F.col("score"), [share])[0] if used else None
+    high = F.lit(False) if limit is None else F.coalesce(F.col("score") >= limit, F.lit(False))
+    scored = scored.withColumn("high", high)
+    ratio = F.count_if("high") / F.greatest(F.count("score"), F.lit(1))
+    return scored, scored.agg(F.lit(limit).cast("double").alias("threshold"), ratio.alias("high_ratio"), F.coalesce(F.avg("score"), F.lit(0.0)).alias("score_mean"))
+
+
 def priority_weight(priority: Column) -> Column:
     return F.when(priority == 1, 1.0).when(priority == 2, 0.5).otherwise(0.25)
 

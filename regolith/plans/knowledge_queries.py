@@ -277,8 +277,8 @@ _TY = f"((1 - ln(tan(radians({_LAT})) + 1 / cos(radians({_LAT}))) / {math.pi}) /
 
 
 @query("tile_math", f"""WITH c AS (SELECT *, {_LON} AS west, {_LON} + 0.5 AS east, {_LAT} AS south, {_LAT} + 0.4 AS north FROM customer), z AS (SELECT c.*, unnest(range(2, 20)) AS z FROM c),
- t AS (SELECT *, (floor((east + 180) / 360 * pow(2, z)) - floor((west + 180) / 360 * pow(2, z)) + 1) * (floor((1 - ln(tan(radians(south)) + 1 / cos(radians(south))) / {math.pi}) / 2 * pow(2, z))
-   - floor((1 - ln(tan(radians(north)) + 1 / cos(radians(north))) / {math.pi}) / 2 * pow(2, z)) + 1) AS tiles FROM z), b AS (SELECT c_custkey, min(CASE WHEN tiles >= 16 THEN z END) AS z FROM t GROUP BY c_custkey)
+ t AS (SELECT *, greatest(ceil((east + 180) / 360 * pow(2, z)) - floor((west + 180) / 360 * pow(2, z)), 1) * greatest(ceil((1 - ln(tan(radians(south)) + 1 / cos(radians(south))) / {math.pi}) / 2 * pow(2, z))
+   - floor((1 - ln(tan(radians(north)) + 1 / cos(radians(north))) / {math.pi}) / 2 * pow(2, z)), 1) AS tiles FROM z), b AS (SELECT c_custkey, min(CASE WHEN tiles >= 16 THEN z END) AS z FROM t GROUP BY c_custkey)
 SELECT b.c_custkey, floor((west + 180) / 360 * 512)::BIGINT AS tile_x, floor({_TY})::BIGINT AS tile_y, coalesce(b.z, 18)::INT AS zoom FROM b JOIN c ON b.c_custkey = c.c_custkey""")
 def tile_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     lon, lat = F.col("c_custkey") % 340 - 170.5, F.col("c_nationkey") * 5 - 60.25
@@ -288,6 +288,25 @@ def tile_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("tile_inverse", "SELECT c_custkey, round((c_custkey % 512) / 512.0 * 360 - 180, 6)::DOUBLE AS lon, round(degrees(atan(sinh(pi() * (1 - 2 * (c_nationkey * 20) / 512.0)))), 6)::DOUBLE AS lat FROM customer")
+def tile_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nine = F.lit(9)
+    found = {"lon": text.tile_lon(F.col("c_custkey") % 512, nine), "lat": text.tile_lat(F.col("c_nationkey") * 20, nine)}
+    return views.read(spark, sf_dir, "customer").select("c_custkey", *[F.round(c, 6).alias(n) for n, c in found.items()])
+
+
+@query("run_ids", r"SELECT o_orderkey, 'p_' || o_custkey || '/' || replace(o_orderpriority, ' ', '_') || '_' || strftime(o_orderdate, '%Y%m%d-%H%M%S') AS run_id FROM orders")
+def run_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    project = F.concat(F.lit("p "), F.col("o_custkey"))
+    return views.read(spark, sf_dir, "orders").select("o_orderkey", text.run_id(project, F.col("o_orderpriority"), F.col("o_orderdate")).alias("run_id"))
+
+
+@query("code_lists", "SELECT p_partkey, upper(p_type) AS codes, len(string_split(p_type, ' '))::BIGINT AS n_codes FROM part")
+def code_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = text.code_list(F.concat(F.lit(" "), F.regexp_replace("p_type", " ", "\t "), F.lit(" ")))
+    return views.read(spark, sf_dir, "part").select("p_partkey", F.array_join(codes, " ").alias("codes"), F.size(codes).cast("long").alias("n_codes"))
+
+
 @query("dominant_resolution", """WITH b AS (SELECT p_brand AS scene, p_partkey AS number, 10.0 * (p_size % 3 + 1) AS r FROM part), g AS (SELECT scene, r, count(*) AS n, min(number) AS f FROM b GROUP BY scene, r),
  k AS (SELECT scene, r, row_number() OVER (PARTITION BY scene ORDER BY n DESC, f) AS k FROM g) SELECT b.scene, b.number, b.r::DOUBLE AS resolution FROM b JOIN k ON b.scene = k.scene AND b.r = k.r WHERE k.k = 1""")
 def dominant_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:

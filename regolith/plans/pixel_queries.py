@@ -440,3 +440,13 @@ def roi_cells_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A polygon of cells whose outline is inside."""
     cells = views.raster(spark, sf_dir).where(grid.inside_cells(F.col("x").cast("double"), F.col("y").cast("double"), CELLS))
     return cells.groupBy("y").agg(F.count("*").alias("n_inside"), F.min("x").alias("first_x"), F.max("x").alias("last_x"))
+
+
+@query("prospectivity_summary", f"""WITH {views.RASTER}, g AS (SELECT CASE WHEN {_inside_sql()} THEN (0.3 * greatest(least((B2 - q.l) / (q.h - q.l), 1.0), 0.0) + 0.2 * (CASE WHEN B4 > 50 THEN 1.0 ELSE 0.0 END)) / 0.5 END AS score FROM px, (SELECT quantile_cont(B2, 0.02) AS l, quantile_cont(B2, 0.98) AS h FROM px) q),
+ t AS (SELECT quantile_cont(score, 0.9) AS thr FROM g)
+SELECT round(max(thr), 6) AS threshold, round(avg(score), 6) AS score_mean FROM g, t""")
+def prospectivity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two layers within a region: light, and whether the soil index is high."""
+    layers = {"alteration": F.col("B2"), "structure": F.when(F.col("B4") > 50, 1.0).otherwise(0.0)}
+    _, summary = evidence.prospectivity(views.raster(spark, sf_dir), layers, roi=_region())
+    return summary.select(F.round("threshold", 6).alias("threshold"), F.round("score_mean", 6).alias("score_mean"))

@@ -459,3 +459,20 @@ def test_unmixing_meets_its_conditions_on_a_query(spark):
         a = np.array([r[x["name"]] for x in rows])
         slope = members.T @ (px[r.y, r.x] - members @ a)
         assert (a >= 0).all() and (slope <= 1e-6 * np.abs(members.T @ px[r.y, r.x])).all() and np.abs(slope * a).max() <= 1e-6 * (px[r.y, r.x] ** 2).sum()
+
+
+def test_prospectivity_of_a_region(spark):
+    rows = [(i, float(i), i < 100) for i in range(120)]
+    df = spark.createDataFrame(rows, "i int, v double, roi boolean")
+    scored, summary = evidence.prospectivity(df, {"alteration": F.col("v"), "flat": F.lit(1.0)}, roi=F.col("roi"))
+    score = np.clip((np.arange(120) - 2.38) / (116.62 - 2.38), 0, 1)[:100]
+    limit = np.percentile(score, 90)
+    assert tuple(summary.first()) == pytest.approx((limit, (score >= limit).mean(), score.mean()))
+    assert scored.where("NOT roi AND (score IS NOT NULL OR high)").count() == 0 and scored.where("high").count() == (score >= limit).sum()
+    _, nothing = evidence.prospectivity(df, {"flat": F.lit(1.0)})
+    assert tuple(nothing.first()) == (None, 0, 0)
+
+
+def test_tiles_go_both_ways(spark):
+    row = spark.range(1).select(text.tile_lon(text.tile_x(F.lit(12.5), F.lit(7)), F.lit(7)), text.tile_lat(text.tile_y(F.lit(-41.25), F.lit(7)), F.lit(7)), *[text.few_tiles(F.lit(0.0), F.lit(0.0), F.lit(10.0), F.lit(10.0), F.lit(z)) for z in (7, 9)]).first()
+    assert tuple(row) == (pytest.approx(12.5), pytest.approx(-41.25), True, False)
