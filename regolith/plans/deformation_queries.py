@@ -164,11 +164,12 @@ def _lineaments_sql() -> str:
         return f"CASE WHEN {i} < 0 THEN -1 - ({i}) WHEN {i} >= {n} THEN 2 * {n} - 1 - ({i}) ELSE {i} END"
 
     return f"""WITH {views.RASTER}, c AS (SELECT y, x, {_COHERENCE} AS coh FROM px), n AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM c),
- low AS (SELECT y, x, greatest(0.3 - least(greatest(coalesce(coh, 1.0), 0.0), 1.0), 0.0)::DOUBLE AS v FROM c), g(d, wt) AS (VALUES {weights}), o(k, dy, dx, wt) AS (VALUES {lines}),
- gx AS (SELECT l.y, l.x, sum(s.v * g.wt) AS v FROM low l CROSS JOIN n CROSS JOIN g JOIN low s ON s.y = l.y AND s.x = {mirrored('l.x + g.d', 'n.w')} GROUP BY l.y, l.x),
- gy AS (SELECT l.y, l.x, sum(s.v * g.wt) AS v FROM gx l CROSS JOIN n CROSS JOIN g JOIN gx s ON s.x = l.x AND s.y = {mirrored('l.y + g.d', 'n.h')} GROUP BY l.y, l.x),
- r AS (SELECT l.y, l.x, o.k, sum(s.v * o.wt) AS v FROM gy l CROSS JOIN n CROSS JOIN o JOIN gy s ON s.y = least(greatest(l.y + o.dy, 0), n.h - 1) AND s.x = least(greatest(l.x + o.dx, 0), n.w - 1) GROUP BY l.y, l.x, o.k),
- m AS (SELECT y, x, round(max(v), 12)::DOUBLE AS v FROM r GROUP BY y, x), f AS (SELECT m.y, m.x, CASE WHEN coh IS NOT NULL THEN v END AS v FROM m JOIN c ON m.y = c.y AND m.x = c.x),
+ low AS MATERIALIZED (SELECT y, x, greatest(0.3 - least(greatest(coalesce(coh, 1.0), 0.0), 1.0), 0.0)::DOUBLE AS v FROM c), g(d, wt) AS (VALUES {weights}), o(k, dy, dx, wt) AS (VALUES {lines}),
+ gx AS MATERIALIZED (SELECT l.y, l.x, sum(s.v * g.wt) AS v FROM low l CROSS JOIN n CROSS JOIN g JOIN low s ON s.y = l.y AND s.x = {mirrored('l.x + g.d', 'n.w')} GROUP BY l.y, l.x),
+ gy AS MATERIALIZED (SELECT l.y, l.x, sum(s.v * g.wt) AS v FROM gx l CROSS JOIN n CROSS JOIN g JOIN gx s ON s.x = l.x AND s.y = {mirrored('l.y + g.d', 'n.h')} GROUP BY l.y, l.x),
+ p AS MATERIALIZED (SELECT l.y, l.x, o.k, o.wt, least(greatest(l.y + o.dy, 0), n.h - 1) AS sy, least(greatest(l.x + o.dx, 0), n.w - 1) AS sx FROM c l CROSS JOIN n CROSS JOIN o),
+ r AS (SELECT p.y, p.x, p.k, sum(s.v * p.wt) AS v FROM p JOIN gy s ON s.y = p.sy AND s.x = p.sx GROUP BY p.y, p.x, p.k),
+ m AS (SELECT y, x, round(max(v), 12)::DOUBLE AS v FROM r GROUP BY y, x), f AS MATERIALIZED (SELECT m.y, m.x, CASE WHEN coh IS NOT NULL THEN v END AS v FROM m JOIN c ON m.y = c.y AND m.x = c.x),
  q AS (SELECT quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM f), st AS (SELECT y, x, CASE WHEN v IS NOT NULL THEN greatest(least((v - lo) / (hi - lo + 1e-9), 1.0), 0.0) END AS v FROM f, q),
  t AS (SELECT quantile_cont(v, 0.9) AS thr FROM st)
 SELECT y, x, round(v, 6)::DOUBLE AS strength, coalesce(thr > 1e-4 AND v >= thr - 1e-9 AND v > 1e-4, FALSE) AS lineament FROM st, t"""

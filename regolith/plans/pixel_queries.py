@@ -335,12 +335,43 @@ def endmembers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("name", *[F.round(c, 4).alias(c) for c in names])
 
 
-@query("unmix_nnls")
+def _unmix_sql() -> str:
+    """The least residual of the non-negative solutions for every set of members: each by Cramer's rule on the normal equations."""
+    members = f"{_member('vegetation', 'ndvi')} UNION ALL {_member('rock_soil', 'bsi')} UNION ALL {_member('shade', '(-(B1 + B2 + B3 + B4) / 4)')}"
+    names, bands = ("rock_soil", "shade", "vegetation"), range(1, 5)
+    wide = ", ".join(f"max(CASE WHEN name = '{n}' THEN B{i} END) AS e{k}{i}" for k, n in enumerate(names) for i in bands)
+
+    def dot(a: str, b: str) -> str:
+        return "(" + " + ".join(f"{a}{i} * {b}{i}" for i in bands) + ")"
+
+    products = ", ".join([f"{dot(f'e{j}', f'e{k}')} AS g{j}{k}" for j in range(3) for k in range(3)] + [f"{dot(f'e{k}', 'B')} AS h{k}" for k in range(3)] + [f"{dot('B', 'B')} AS xx"])
+
+    def det(m: list[list[str]]) -> str:
+        if len(m) == 1:
+            return m[0][0]
+        return "(" + " + ".join(f"{'-' if k % 2 else ''}({m[0][k]}) * {det([[v for c, v in enumerate(row) if c != k] for row in m[1:]])}" for k in range(len(m))) + ")"
+
+    sets = []
+    for own in [(0,), (1,), (2,), (0, 1), (0, 2), (1, 2), (0, 1, 2)]:
+        whole = det([[f"g{j}{k}" for k in own] for j in own])
+        found = {k: f"{det([[f'h{j}' if c == k else f'g{j}{c}' for c in own] for j in own])} / {whole}" for k in own}
+        sets.append("{" + ", ".join(f"a{k}: {found.get(k, '0.0::DOUBLE')}" for k in range(3)) + "}")
+    best = "xx - 2 * (a.a0 * h0 + a.a1 * h1 + a.a2 * h2) + " + " + ".join(f"a.a{j} * a.a{k} * g{j}{k}" for j in range(3) for k in range(3))
+    rmse = "sqrt((" + " + ".join(f"pow(n0 * e0{i} + n1 * e1{i} + n2 * e2{i} - B{i}, 2)" for i in bands) + ") / 4)"
+    return f"""{_IDX}, m AS ({members}), w AS (SELECT {wide} FROM m), p AS (SELECT y, x, B1, B2, B3, B4, w.*, {products} FROM px, w),
+ s AS (SELECT *, unnest([{", ".join(sets)}]) AS a FROM p), r AS (SELECT *, {best} AS rest FROM s WHERE a.a0 >= 0 AND a.a1 >= 0 AND a.a2 >= 0),
+ o AS (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY rest) AS k FROM r), t AS (SELECT *, CASE WHEN a.a0 + a.a1 + a.a2 > 1e-9 THEN a.a0 + a.a1 + a.a2 ELSE 1 END AS total FROM o WHERE k = 1),
+ n AS (SELECT *, a.a0 / total AS n0, a.a1 / total AS n1, a.a2 / total AS n2 FROM t)
+SELECT y, x, round(n0, 4) AS rock_soil, round(n1, 4) AS shade, round(n2, 4) AS vegetation, round({rmse}, 4) AS rmse FROM n"""
+
+
+@query("unmix_nnls", _unmix_sql())
 def unmix_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = endmembers(spark, sf_dir).orderBy("name").collect()
     names = ["B1", "B2", "B3", "B4"]
     members = np.array([[r[c] for r in rows] for c in names])
-    return unmixing.unmix(views.raster(spark, sf_dir), names, members, [r["name"] for r in rows])
+    found = unmixing.unmix(views.raster(spark, sf_dir), names, members, [r["name"] for r in rows])
+    return found.select("y", "x", *[F.round(c, 4).alias(c) for c in ("rock_soil", "shade", "vegetation", "rmse")])
 
 
 #: Minerals for the batch queries: two with both methods' worth of formulas, one of low priority that is left out, one that cannot work.
