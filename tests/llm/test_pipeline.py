@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -77,3 +78,17 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         step = stage(spark, step, PATH)
     assert step.count() == 0
+
+
+def test_a_run_keeps_the_last_stage_alone(spark):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.iterdir()) if shared.exists() else set()
+    assert corpus_pipeline.run(spark, PATH).count() > 0
+    (own,) = set(shared.iterdir()) - before
+    assert own.name.startswith("pipeline-") and [p.name.partition("-")[0] for p in own.iterdir()] == ["decontamination"]
+
+
+def test_repeated_ids_keep_one_row_by_a_rule(spark):
+    rows = [(1, "first text with some words in it here", "en", "a", 1), (1, "second text with other words in it there", "en", "b", 2), (2, "third", "en", "c", 3)]
+    kept = [sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(own, SCHEMA), PATH).collect()) for own in (rows, rows[::-1])]
+    assert kept[0] == kept[1] and [i for i, _ in kept[0]] == [1, 2]
