@@ -1,52 +1,158 @@
-"""Raster and vector files as tables. Files are read by Spark's binary source, so any store that Spark reads will do."""
+"""Raster and vector files as tables, and tables as raster files."""
 
 from __future__ import annotations
 
-import io
 import math
 import operator
-import re
+import zlib
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from regolith.functions.text import band_name, kml_ring
+from regolith.session import checkpointed
+from regolith.sources.layouts import BLOCK_BYTES, created, envi_header, opened, rows_of, tiff_head
 
 _PIXEL = "scene string, band int, y int, x int, value double"
-#: Fixed: ENVI's data types as numpy's.
-ENVI_TYPES = {1: "u1", 2: "i2", 3: "i4", 4: "f4", 5: "f8", 12: "u2", 13: "u4", 14: "i8", 15: "u8"}
+#: Bytes of files, about, for each task that reads them.
+TASK_BYTES = 1 << 25
 
 
-def _batches(scene: str, cube: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of a (bands, rows, columns) cube, one band at a time; what is not finite is null."""
-    height, width = cube.shape[1:]
-    y, x = np.divmod(np.arange(height * width, dtype=np.int32), np.int32(max(1, width)))
-    for k, band in enumerate(cube):
-        values = band.ravel().astype(float)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([scene] * len(values)), pa.array(np.full(len(values), k + 1, np.int32)), pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(values, mask=~np.isfinite(values))],
-            names=["scene", "band", "y", "x", "value"],
-        )
+def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """path, stem and length of the files whose names fit, from their listing alone."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where(F.regexp_extract("path", r"[^/]+$", 0).rlike(pattern))
+    return files.withColumn("stem", F.regexp_replace("path", r"\.[^./]+$", ""))
 
 
-def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """scene (file name), band (from 1), y, x, value of .npy files, which hold two or three dimensions; never pickled objects."""
+def _pixels(files: DataFrame) -> DataFrame:
+    """The pixels of files (scene, path, header or null, length). Runs of blocks are planned by the files' heads and spread over the
+    tasks, each of which reads its own ranges: no file is held whole."""
+    size = files.agg(F.sum("length")).first()[0] or 0
+
+    def plan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own in batch.to_pylist():
+                raster, _ = opened(own["path"], own["header"])
+                held = raster.bands * raster.height * raster.width * np.dtype(raster.dtype).itemsize / max(1, raster.blocks)
+                step = max(1, int(2 * BLOCK_BYTES // max(1, held)))
+                first = list(range(0, raster.blocks, step))
+                yield pa.RecordBatch.from_pylist([{**own, "first": k, "stop": min(k + step, raster.blocks)} for k in first], schema=pa.schema([*batch.schema, ("first", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple = ()
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                cube = np.load(io.BytesIO(data), allow_pickle=False)
-                yield from _batches(name.rpartition("/")[2].removesuffix(".npy"), cube[None] if cube.ndim == 2 else cube)
+            for own in batch.to_pylist():
+                if at[:2] != (own["path"], own["header"]):
+                    at = (own["path"], own["header"], *opened(own["path"], own["header"]))
+                for k in range(own["first"], own["stop"]):
+                    yield from rows_of(own["scene"], *at[2].block(at[3], k))
+
+    named = files.select("scene", "path", "header")
+    planned = named.mapInArrow(plan, "scene string, path string, header string, first long, stop long")
+    # A number of its own, as the planner would merge partitions of so few bytes.
+    return planned.repartition(max(1, -(-size // TASK_BYTES)), "path", "first").mapInArrow(run, _PIXEL)
+
+
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    """scene (file name), band (from 1), y, x, value of .npy files, which hold two or three dimensions; never pickled objects."""
+    files = _files(spark, path, r"\.npy$")
+    return _pixels(files.select(F.regexp_extract("stem", r"[^/]+$", 0).alias("scene"), "path", F.lit(None).cast("string").alias("header"), "length"))
+
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content").mapInArrow(run, _PIXEL)
+def tiff_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """path, scene (file name), length and bands, height, width, dtype, nodata, transform (a, b, c, d, e, f as in
+    operators.spatial.to_world), epsg and resolution (the width of a pixel) of .tif and .tiff files; null where a file does not say."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("bands", "height", "width", "dtype", "nodata", "transform", "epsg")
+        types = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.list_(pa.float64()), pa.int32())
+        for batch in batches:
+            rows = [{**own, **{n: getattr(opened(own["path"])[0], n) for n in names}} for own in batch.to_pylist()]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([*batch.schema, *zip(names, types, strict=True)]))
+
+    files = _files(spark, path, r"(?i)\.tiff?$").select("path", F.regexp_extract("stem", r"[^/]+$", 0).alias("scene"), "length")
+    found = files.mapInArrow(run, "path string, scene string, length long, bands int, height int, width int, dtype string, nodata double, transform array<double>, epsg int")
+    return found.withColumn("resolution", F.abs(F.col("transform")[0]))
+
+
+def read_tiff(spark: SparkSession, path: str) -> DataFrame:
+    """scene (file name), band (from 1), y, x, value of .tif and .tiff files (layouts.tiff says which); nodata stays as it is."""
+    files = _files(spark, path, r"(?i)\.tiff?$")
+    return _pixels(files.select(F.regexp_extract("stem", r"[^/]+$", 0).alias("scene"), "path", F.lit(None).cast("string").alias("header"), "length"))
+
+
+def read_sensor(spark: SparkSession, path: str, scene: str) -> tuple[DataFrame, list[str]]:
+    """A folder of single-band images such as B04.tif as one scene: a row for each pixel with a column for each band of the most populous
+    resolution, on the smallest common grid, and the bands' names in order. Values that are not finite are null."""
+    sized = band_files(spark, path).join(tiff_profiles(spark, path).select("path", "length", F.coalesce("resolution", F.lit(1.0)).alias("resolution")), "path").withColumn("scene", F.lit(scene))
+    chosen = dominant_resolution(sized)
+    rows = sorted(chosen.select("number", "suffix", "band").collect())
+    names = [r.band for r in rows]
+    cells = _pixels(chosen.select(F.col("band").alias("scene"), "path", F.lit(None).cast("string").alias("header"), "length"))
+    own = cells.where("band = 1").select(F.lit(scene).alias("scene"), F.col("scene").alias("band"), "y", "x", "value")
+    return stacked(own, names), names
+
+
+def write_tiff(cells: DataFrame, folder: str, height: int, width: int, dtype: str = "f4", transform: Sequence[float] | None = None, epsg: int | None = None, nodata: float | None = None) -> int:
+    """Writes the cells (scene, y, x, value) of each scene as a single-band deflate GeoTIFF <scene>.tif in an existing folder, and
+    returns the number of files.
+
+    Strips are compressed wherever their cells are, and one task for each scene puts them in one file, strip by strip. Of repeated
+    cells the greatest value counts; cells that are absent or null, and null scenes' cells, are nodata (else not a number, or 0 in
+    files of integers); cells beyond the grid fall away. A rerun task writes the same file anew.
+    """
+    kind = np.dtype(dtype).newbyteorder("<")
+    rows = max(1, (1 << 20) // max(1, width))
+    count = -(-height // rows)
+    empty = nodata if nodata is not None else (np.nan if kind.kind == "f" else 0)
+
+    def strip(own: pa.Table) -> pa.Table:
+        y, x, value = (own.column(c).to_numpy() for c in ("y", "x", "value"))
+        number = int(own.column("strip")[0].as_py())
+        out = np.full((min(rows, height - number * rows), width), empty, kind)
+        known = np.flatnonzero(~np.isnan(value))
+        known = known[np.argsort(value[known], kind="stable")]
+        out[y[known] - number * rows, x[known]] = value[known]
+        return pa.table({"scene": own.column("scene").slice(0, 1), "strip": [number], "data": [zlib.compress(out.tobytes(), 6)]})
+
+    inside = cells.where("scene IS NOT NULL").where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
+    keyed = inside.select("scene", F.floor(F.col("y") / rows).cast("long").alias("strip"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.coalesce(F.col("value").cast("double"), F.lit(float("nan"))).alias("value"))
+    strips = checkpointed(keyed.groupBy("scene", "strip").applyInArrow(strip, "scene string, strip long, data binary"))
+    sizes = strips.groupBy("scene").agg(F.map_from_entries(F.collect_list(F.struct("strip", F.length("data")))).alias("sizes"))
+
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blank = {n: zlib.compress(np.full((n, width), empty, kind).tobytes(), 6) for n in {min(rows, height), height - (count - 1) * rows}}
+        tall = [min(rows, height - k * rows) for k in range(count)]
+        out, finish, scene, done = None, None, None, 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if out is not None:
+                for n in tall[done:]:
+                    out.write(blank[n])
+                finish()
+                yield pa.RecordBatch.from_pydict({"scene": [scene]})
 
-def envi_header(text: str) -> dict[str, str]:
-    """The entries of an ENVI header; braces may span lines."""
-    return {k.strip().lower(): v.strip() for k, v in re.findall(r"(?m)^([^=\n;]+)=\s*(\{[^}]*\}|[^\n]*)", text)}
+        for batch in batches:
+            for own in batch.to_pylist():
+                if own["scene"] != scene:
+                    yield from close()
+                    scene, done = own["scene"], 0
+                    known = dict(own["sizes"])
+                    out, finish = created(f"{folder}/{scene}.tif")
+                    out.write(tiff_head(height, width, kind.str, rows, [known.get(k, len(blank[n])) for k, n in enumerate(tall)], transform, epsg, nodata))
+                for n in tall[done : own["strip"]]:
+                    out.write(blank[n])
+                out.write(own["data"])
+                done = own["strip"] + 1
+        yield from close()
+
+    # The sizes go with a scene's first strip alone.
+    first = F.row_number().over(Window.partitionBy("scene").orderBy("strip")) == 1
+    whole = strips.join(sizes, "scene").withColumn("sizes", F.when(first, F.col("sizes")))
+    return whole.mapInArrow(write, "scene string").count()
 
 
 def envi_wavelengths(header: dict[str, str]) -> list[float]:
@@ -58,22 +164,10 @@ def envi_wavelengths(header: dict[str, str]) -> list[float]:
 
 def read_envi(spark: SparkSession, path: str) -> DataFrame:
     """scene, band, y, x, value of ENVI cubes: each .hdr with the file of the same name beside it (.img, .dat, .bil, .bsq, .bip)."""
-    files = spark.read.format("binaryFile").load(path).withColumn("stem", F.regexp_replace("path", r"\.[^./]+$", ""))
-    headers = files.where(F.lower("path").endswith(".hdr")).select("stem", F.decode("content", "UTF-8").alias("header"))
-    cubes = files.where(F.lower("path").rlike(r"\.(img|dat|bil|bsq|bip)$")).select("stem", "content")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for stem, text, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = envi_header(text)
-                bands, lines, samples = (int(own[k]) for k in ("bands", "lines", "samples"))
-                kind = np.dtype((">" if own.get("byte order") == "1" else "<") + ENVI_TYPES[int(own["data type"])])
-                flat = np.frombuffer(data, kind, bands * lines * samples, int(own.get("header offset", 0)))
-                order = own.get("interleave", "bsq").lower()
-                cube = {"bsq": lambda: flat.reshape(bands, lines, samples), "bil": lambda: flat.reshape(lines, bands, samples).transpose(1, 0, 2), "bip": lambda: flat.reshape(lines, samples, bands).transpose(2, 0, 1)}[order]()
-                yield from _batches(stem.rpartition("/")[2], cube)
-
-    return cubes.join(headers, "stem").select("stem", "header", "content").mapInArrow(run, _PIXEL)
+    heads = spark.read.format("binaryFile").option("pathGlobFilter", "*.{hdr,HDR}").load(path)
+    headers = heads.select(F.regexp_replace("path", r"\.[^./]+$", "").alias("stem"), F.decode("content", "UTF-8").alias("header"))
+    cubes = _files(spark, path, r"(?i)\.(img|dat|bil|bsq|bip)$").join(headers, "stem")
+    return _pixels(cubes.select(F.regexp_extract("stem", r"[^/]+$", 0).alias("scene"), "path", "header", "length"))
 
 
 def band_files(spark: SparkSession, path: str) -> DataFrame:

@@ -2,14 +2,18 @@
 
 import datetime
 import json
+import re
+import struct
+import zlib
 
 import numpy as np
 import pytest
+import zstandard
 
 from pyspark.sql import functions as F
 
 from regolith.operators import knowledge, spatial
-from regolith.sources import projects, rasters
+from regolith.sources import layouts, projects, rasters
 from regolith.streaming import coherence
 
 
@@ -40,6 +44,160 @@ def test_envi(spark, tmp_path, order, axes):
     assert rasters.envi_wavelengths(rasters.envi_header((tmp_path / "v.hdr").read_text())) == [0.4505, 2.2]
 
 
+@pytest.mark.parametrize("cut", [64, 1 << 10, 1 << 22])
+@pytest.mark.parametrize("order", ["C", "F"])
+def test_npy_blocks(monkeypatch, tmp_path, cut, order):
+    """Whatever the size of a block, the blocks together are the cube, each value once."""
+    monkeypatch.setattr(layouts, "BLOCK_BYTES", cut)
+    cube = np.random.default_rng(1).integers(0, 9999, (3, 17, 11)).astype("<i4")
+    np.save(tmp_path / "a.npy", np.asarray(cube, order=order))
+    assert (whole(str(tmp_path / "a.npy")) == cube).all()
+
+
+def whole(path):
+    raster, read = layouts.opened(path)
+    out = np.full((raster.bands, raster.height, raster.width), np.nan)
+    for k in range(raster.blocks):
+        own, band, y, x = raster.block(read, k)
+        place = out[band : band + own.shape[0], y : y + own.shape[1], x : x + own.shape[2]]
+        assert np.isnan(place).all()
+        place[:] = own
+    return out
+
+
+def tiff_bytes(cube, order="<", compression=1, predictor=1, planes=False, tile=None, rows=4, extra=()):
+    """A TIFF file of a (bands, rows, columns) cube, written plainly, block by block."""
+    bands, height, width = cube.shape
+    kind = cube.dtype.newbyteorder(order)
+    blocks = []
+    for group in [cube[k : k + 1] for k in range(bands)] if planes else [cube]:
+        for y in range(0, height, tile or rows):
+            for x in range(0, width, tile or width):
+                own = group[:, y : y + (tile or rows), x : x + (tile or width)].transpose(1, 2, 0)
+                if tile:
+                    own = np.pad(own, [(0, tile - own.shape[0]), (0, tile - own.shape[1]), (0, 0)])
+                if predictor == 2:
+                    own = np.concatenate([own[:, :1], np.diff(own, axis=1)], axis=1)
+                data = own.astype(kind).tobytes()
+                if predictor == 3:
+                    lines = own.astype(own.dtype.newbyteorder(">")).reshape(own.shape[0], -1)
+                    apart = lines.view(np.uint8).reshape(*lines.shape, -1).transpose(0, 2, 1).reshape(own.shape[0], -1, own.shape[2])
+                    data = np.concatenate([apart[:, :1], np.diff(apart, axis=1)], axis=1).astype(np.uint8).tobytes()
+                blocks.append({1: bytes, 8: zlib.compress, 5: lzw, 32773: packbits, 50000: zstandard.ZstdCompressor().compress}[compression](data))
+    fields = {256: ("H", [width]), 257: ("H", [height]), 258: ("H", [kind.itemsize * 8] * bands), 259: ("H", [compression]), 277: ("H", [bands]), 284: ("H", [2 if planes else 1]), 317: ("H", [predictor]), 339: ("H", [{"u": 1, "i": 2, "f": 3}[kind.kind]] * bands), **dict(extra)}
+    fields |= {322: ("H", [tile]), 323: ("H", [tile])} if tile else {278: ("H", [rows])}
+    places = np.cumsum([8, *map(len, blocks)])
+    fields |= {324 if tile else 273: ("I", places[:-1].tolist()), 325 if tile else 279: ("I", [len(b) for b in blocks])}
+    start = int(places[-1])
+    beyond = start + 2 + 12 * len(fields) + 4
+    entries, tail = b"", b""
+    for tag, (code, values) in sorted(fields.items()):
+        value = struct.pack(f"{order}{len(values)}{code}", *values)
+        if len(value) > 4:
+            here, tail = struct.pack(order + "I", beyond + len(tail)), tail + value
+        else:
+            here = value.ljust(4, b"\0")
+        entries += struct.pack(order + "HHI", tag, {"B": 1, "H": 3, "I": 4, "d": 12}[code], len(values)) + here
+    return struct.pack(order + "2sHI", b"II" if order == "<" else b"MM", 42, start) + b"".join(blocks) + struct.pack(order + "H", len(fields)) + entries + bytes(4) + tail
+
+
+def lzw(data):
+    """Codes with the encoder's own rule for widths: a code more once 511, 1023 or 2047 are taken; a clear code before 4095."""
+    bits, table, word = "", {}, b""
+
+    def fresh():
+        return {bytes([i]): i for i in range(256)}
+
+    table, used, width = fresh(), 258, 9
+    bits = f"{256:09b}"
+    for byte in data:
+        if word + bytes([byte]) in table:
+            word += bytes([byte])
+            continue
+        bits += f"{table[word]:0{width}b}"
+        table[word + bytes([byte])] = used
+        used += 1
+        width = 9 + (used > 511) + (used > 1023) + (used > 2047)
+        if used == 4094:
+            bits += f"{256:0{width}b}"
+            table, used, width = fresh(), 258, 9
+        word = bytes([byte])
+    if word:
+        bits += f"{table[word]:0{width}b}"
+        used += 1
+        width = 9 + (used > 511) + (used > 1023) + (used > 2047)
+    bits += f"{257:0{width}b}"
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+def packbits(data):
+    """Runs of 3 and more as such, the rest as it is."""
+    out = b""
+    for run in re.finditer(rb"(.)\1{2,127}|(?:(.)(?!\2\2)){1,128}", data, re.S):
+        own = run.group()
+        out += bytes([257 - len(own), own[0]]) if run.group(1) else bytes([len(own) - 1]) + own
+    return out
+
+
+@pytest.mark.parametrize("kind", ["u1", "i2", "u4", "f4", "f8"])
+@pytest.mark.parametrize(("order", "compression", "predictor", "planes", "tile"), [("<", 1, 1, False, None), (">", 8, 2, True, None), ("<", 5, 2, False, None), (">", 32773, 1, False, 16), ("<", 50000, 3, False, 16), (">", 8, 3, True, 16), ("<", 8, 2, False, 16), (">", 5, 1, True, 16)])
+def test_tiff_layouts(tmp_path, kind, order, compression, predictor, planes, tile):
+    if (predictor == 3 and kind[0] != "f") or (predictor == 2 and kind[0] == "f"):
+        predictor = 1
+    cube = (np.random.default_rng(2).integers(0, 40, (3, 37, 21)) * 3).astype(kind)
+    cube[:, 5:30, 3:15] = 7
+    (tmp_path / "a.tif").write_bytes(tiff_bytes(cube, order, compression, predictor, planes, tile))
+    assert (whole(str(tmp_path / "a.tif")) == cube).all()
+
+
+def test_lzw_of_long_data(tmp_path):
+    cube = np.random.default_rng(3).integers(0, 255, (1, 200, 200)).astype("u1")
+    (tmp_path / "a.tif").write_bytes(tiff_bytes(cube, compression=5, rows=200))
+    assert (whole(str(tmp_path / "a.tif")) == cube).all()
+
+
+def test_tiff_profiles_and_sensor(spark, tmp_path):
+    """Bands of the most populous resolution on their common grid; places of corners, of middles, and by a matrix."""
+    cubes = {k: np.arange(12 + n, dtype="i2").reshape(1, 3, -1)[..., :4] * n if n % 3 == 0 else np.full((1, 3, 4), n, "i2") for n, k in enumerate(("B02", "B03", "B8A", "B10"), 2)}
+    keys = (1, 1, 0, 2, 1025, 0, 1, 2, 3072, 0, 1, 32647)
+    for n, (name, cube) in enumerate(cubes.items()):
+        size = 60.0 if name == "B10" else 10.0
+        places = [(33550, ("d", [size, size, 0.0])), (33922, ("d", [0.0, 0.0, 0.0, 500.0, 900.0, 0.0]))]
+        (tmp_path / f"{name}.tif").write_bytes(tiff_bytes(cube, "<>"[n % 2], 8, extra=[*places, (34735, ("H", keys)), (42113, ("B", list(b"-9999\0")))] if name == "B03" else places))
+    (tmp_path / "m.tiff").write_bytes(tiff_bytes(cubes["B02"], extra=[(34264, ("d", [2.0, 0.5, 0, 7, 0.25, -2.0, 0, 8, 0, 0, 0, 0, 0, 0, 0, 1]))]))
+    found = {r.scene: r for r in rasters.tiff_profiles(spark, str(tmp_path)).collect()}
+    assert found["B02"].transform == [10, 0, 500, 0, -10, 900] and found["B02"].epsg is None and found["B02"].nodata is None and found["B10"].resolution == 60
+    assert found["B03"].transform == [10, 0, 495, 0, -10, 905] and found["B03"].epsg == 32647 and found["B03"].nodata == -9999
+    assert found["m"].transform == [2, 0.5, 7, 0.25, -2, 8] and (found["m"].bands, found["m"].height, found["m"].width, found["m"].dtype) == (1, 3, 4, "<i2")
+    pixels, names = rasters.read_sensor(spark, str(tmp_path), "s")
+    assert names == ["B2", "B3", "B8A"]
+    rows = {(r.y, r.x): (r.B2, r.B3, r.B8A) for r in pixels.collect()}
+    assert rows == {(y, x): tuple(float(cubes[k][0, y, x]) for k in ("B02", "B03", "B8A")) for y in range(3) for x in range(4)}
+
+
+@pytest.mark.parametrize("dtype", ["f4", "i2"])
+def test_write_tiff(spark, tmp_path, dtype):
+    """Strips in several tasks, gaps, cells beyond the grid, repeated and null ones, scenes side by side."""
+    cells = [("a", 0, 0, 5.0), ("a", 0, 0, 3.0), ("a", 599, 1999, 9.0), ("a", 600, 0, 1.0), ("a", 1, 1, None), (None, 0, 0, 1.0), ("b", 530, 7, -2.0)]
+    df = spark.createDataFrame(cells, "scene string, y int, x int, value double").repartition(3)
+    assert rasters.write_tiff(df, str(tmp_path), 600, 2000, dtype, (10.0, 0.0, 500.0, 0.0, -10.0, 900.0), 32647, -1.0) == 2
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.tif", "b.tif"]
+    wanted = {k: np.full((1, 600, 2000), -1.0) for k in "ab"}
+    wanted["a"][0, 0, 0], wanted["a"][0, 599, 1999], wanted["b"][0, 530, 7] = 5, 9, -2
+    for k in "ab":
+        assert (whole(str(tmp_path / f"{k}.tif")) == wanted[k]).all()
+    found = rasters.tiff_profiles(spark, str(tmp_path)).orderBy("scene").first()
+    assert found.transform == [10, 0, 500, 0, -10, 900] and found.epsg == 32647 and found.nodata == -1 and found.dtype == f"<{dtype}"
+    got = rasters.read_tiff(spark, str(tmp_path))
+    assert got.where("value <> -1").count() == 3 and got.count() == 2 * 600 * 2000
+
+
+def test_tiff_head_of_large_files():
+    head = layouts.tiff_head(3000, 10, "f4", 1000, [1 << 31] * 3)
+    raster = layouts.tiff(lambda at, n: head[at : at + n])
+    assert (raster.height, raster.width, raster.blocks) == (3000, 10, 3) and head[2] == 43
+
+
 def test_band_files(spark, tmp_path):
     for name in ("B10.tif", "B02.TIF", "band8a.tiff", "B8.tif", "QA.tif", "B01.tif"):
         (tmp_path / name).write_bytes(b"II*")
