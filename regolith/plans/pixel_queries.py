@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from regolith.functions import bands as b
 from regolith.operators import batch, evidence, grid, pca, stats, unmixing
 from regolith.plans import views
 from regolith.plans.catalog import query
+from regolith.session import shared_folder
+from regolith.sources import rasters
 
 
 def _bands() -> dict:
@@ -481,3 +485,13 @@ def prospectivity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     layers = {"alteration": F.col("B2"), "structure": F.when(F.col("B4") > 50, 1.0).otherwise(0.0)}
     _, summary = evidence.prospectivity(views.raster(spark, sf_dir), layers, roi=_region())
     return summary.select(F.round("threshold", 6).alias("threshold"), F.round("score_mean", 6).alias("score_mean"))
+
+
+@query("tiff_round_trip", f"WITH {views.RASTER} SELECT event_type AS scene, y, x, B1 AS value FROM px WHERE B1 IS NOT NULL")
+def tiff_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event type's cells written as a GeoTIFF file of one band and read back."""
+    cells = views.raster(spark, sf_dir).select(F.col("event_type").alias("scene"), "y", "x", F.col("B1").alias("value"))
+    folder = f"{shared_folder(spark)}/tiff-{uuid.uuid4().hex}"
+    height = (cells.agg(F.max("y")).first()[0] or 0) + 1
+    rasters.write_tiff(cells, folder, height, views.WIDTH, "f8")
+    return rasters.read_tiff(spark, folder).where("value IS NOT NULL").select("scene", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "value")

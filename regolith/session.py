@@ -20,15 +20,20 @@ def session(name: str = "regolith", master: str | None = None, shuffle_partition
     return builder.config(map=conf).getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which the driver and all executors share. Where that is unset, a local session has one
+    in its warehouse, and any other is told to name one."""
+    own = spark.conf.get("spark.checkpoint.dir", None)
+    if not own and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return own or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, its lineage cut at a checkpoint in the folder that spark.checkpoint.dir names. Where that is unset, a local session has one in
-    its warehouse, and any other is told to name one."""
+    """df, its lineage cut at a checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not own and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(own or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -59,6 +59,11 @@ def reader(path: str) -> Read:
     return lambda offset, length: file.read_at(length, offset)
 
 
+def folder_made(path: str) -> None:
+    store, name = _store(path)
+    store.create_dir(name, recursive=True)
+
+
 def created(path: str) -> tuple[pa.NativeFile, Callable[[], None]]:
     """A new file, and what closes it and puts it at the path in place of any that is there; an attempt that ends before leaves the
     path alone."""

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regolith.functions.text import band_name, directory_name
+from regolith.operators import deformation
 from regolith.operators.grid import overlaps
+from regolith.operators.spatial import resample
+from regolith.sources import rasters
 
 ALTERATION = (
     "struct<mineral:string,zone:string,priority:int,anomaly_type:string,sensor_ratio:map<string,string>,"
@@ -64,6 +67,35 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     return named.select("pair_id", "ref_date", "sec_date", F.coalesce("temporal_baseline_days", F.datediff("sec_date", "ref_date")).alias("baseline"))
 
 
+def _on_grid(cells: DataFrame, profiles: DataFrame, height: int, width: int) -> DataFrame:
+    """Cells (scene, y, x, value) of rasters (scene, height, width), those of other sizes interpolated on a grid of this one, first and
+    last cells falling together."""
+    fits = (F.col("height") == height) & (F.col("width") == width)
+    same = cells.join(profiles.where(fits).select("scene"), "scene", "left_semi")
+    places = profiles.where(~fits).select("*", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y"))
+    places = places.select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
+    scaled = [F.col(at) * ((F.col(size) - 1) / max(1, own - 1)) for at, size, own in (("y", "height", height), ("x", "width", width))]
+    placed = places.select("scene", "y", "x", scaled[0].alias("row"), scaled[1].alias("column"))
+    return same.unionByName(resample(cells, placed, F.col("row"), F.col("column")).select("scene", "y", "x", "value"))
+
+
+def read_stack(spark: SparkSession, path: str) -> DataFrame | None:
+    """The radar pairs of an area's folder as operators.deformation.stack gives them (pair, ref_date, sec_date, baseline, y, x, disp,
+    coherence, layered): pairs with a metadata.json and los_displacement.tif, with coherence.tif or without, on the grid of the first
+    pair by name. None where there is no pair. Interpolation leaves unknown neighbours out."""
+    pairs = read_pairs(spark, path)
+    layers, sizes = {}, {}
+    for name in ("los_displacement", "coherence"):
+        sizes[name] = rasters.tiff_profiles(spark, path, f"{name}.tif").select("scene", "height", "width")
+        layers[name] = rasters.read_tiff(spark, path, f"{name}.tif").where("band = 1").select("scene", "y", "x", "value")
+    first = sizes["los_displacement"].join(pairs.select(F.col("pair_id").alias("scene")), "scene").agg(F.min(F.struct("scene", "height", "width"))).first()[0]
+    if first is None:
+        return None
+    own = {n: _on_grid(layers[n], sizes[n], first.height, first.width).withColumnRenamed("scene", "pair") for n in layers}
+    moved = pairs.withColumnRenamed("pair_id", "pair").join(own["los_displacement"].withColumnRenamed("value", "disp"), "pair")
+    return deformation.stack(moved, own["coherence"].withColumnRenamed("value", "coherence"))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """line_id (file, feature, part), seq, lon, lat of the LineStrings and MultiLineStrings in GeoJSON feature collections."""
     whole = spark.read.option("wholetext", "true").text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"), F.get_json_object("value", "$.features").alias("json"))

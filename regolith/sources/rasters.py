@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import operator
+import re
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -14,17 +16,24 @@ from pyspark.sql import functions as F
 
 from regolith.functions.text import band_name, kml_ring
 from regolith.session import checkpointed
-from regolith.sources.layouts import BLOCK_BYTES, created, envi_header, opened, rows_of, tiff_head
+from regolith.sources.layouts import BLOCK_BYTES, created, envi_header, folder_made, opened, rows_of, tiff_head
 
 _PIXEL = "scene string, band int, y int, x int, value double"
 #: Bytes of files, about, for each task that reads them.
 TASK_BYTES = 1 << 25
+#: Names of TIFF files.
+TIFF = r"(?i)\.tiff?$"
 
 
-def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """path, stem and length of the files whose names fit, from their listing alone."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length").where(F.regexp_extract("path", r"[^/]+$", 0).rlike(pattern))
-    return files.withColumn("stem", F.regexp_replace("path", r"\.[^./]+$", ""))
+def _files(spark: SparkSession, path: str, pattern: str, name: str | None = None) -> DataFrame:
+    """path, length, stem, scene (the file's name) and a null header of the files whose names fit, from their listing alone. name: only
+    files of this name, in any folder below, whose own name is then the scene."""
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", str(name is not None).lower())
+    file = F.regexp_extract("path", r"[^/]+$", 0)
+    files = source.load(path).select("path", "length").where(file.rlike(pattern) if name is None else file == name)
+    stem = F.regexp_replace("path", r"\.[^./]+$", "")
+    scene = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1) if name else F.regexp_extract(stem, r"[^/]+$", 0)
+    return files.select("path", "length", stem.alias("stem"), scene.alias("scene"), F.lit(None).cast("string").alias("header"))
 
 
 def _pixels(files: DataFrame) -> DataFrame:
@@ -58,12 +67,11 @@ def _pixels(files: DataFrame) -> DataFrame:
 
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
     """scene (file name), band (from 1), y, x, value of .npy files, which hold two or three dimensions; never pickled objects."""
-    files = _files(spark, path, r"\.npy$")
-    return _pixels(files.select(F.regexp_extract("stem", r"[^/]+$", 0).alias("scene"), "path", F.lit(None).cast("string").alias("header"), "length"))
+    return _pixels(_files(spark, path, r"\.npy$"))
 
 
-def tiff_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """path, scene (file name), length and bands, height, width, dtype, nodata, transform (a, b, c, d, e, f as in
+def tiff_profiles(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    """path, scene (see read_tiff), length and bands, height, width, dtype, nodata, transform (a, b, c, d, e, f as in
     operators.spatial.to_world), epsg and resolution (the width of a pixel) of .tif and .tiff files; null where a file does not say."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,15 +81,15 @@ def tiff_profiles(spark: SparkSession, path: str) -> DataFrame:
             rows = [{**own, **{n: getattr(opened(own["path"])[0], n) for n in names}} for own in batch.to_pylist()]
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([*batch.schema, *zip(names, types, strict=True)]))
 
-    files = _files(spark, path, r"(?i)\.tiff?$").select("path", F.regexp_extract("stem", r"[^/]+$", 0).alias("scene"), "length")
+    files = _files(spark, path, TIFF, name).select("path", "scene", "length")
     found = files.mapInArrow(run, "path string, scene string, length long, bands int, height int, width int, dtype string, nodata double, transform array<double>, epsg int")
     return found.withColumn("resolution", F.abs(F.col("transform")[0]))
 
 
-def read_tiff(spark: SparkSession, path: str) -> DataFrame:
-    """scene (file name), band (from 1), y, x, value of .tif and .tiff files (layouts.tiff says which); nodata stays as it is."""
-    files = _files(spark, path, r"(?i)\.tiff?$")
-    return _pixels(files.select(F.regexp_extract("stem", r"[^/]+$", 0).alias("scene"), "path", F.lit(None).cast("string").alias("header"), "length"))
+def read_tiff(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    """scene (the file's name), band (from 1), y, x, value of .tif and .tiff files (layouts.tiff says which); nodata stays as it is. name:
+    only files of this name, in any folder below path, which is then the scene."""
+    return _pixels(_files(spark, path, TIFF, name))
 
 
 def read_sensor(spark: SparkSession, path: str, scene: str) -> tuple[DataFrame, list[str]]:
@@ -97,13 +105,14 @@ def read_sensor(spark: SparkSession, path: str, scene: str) -> tuple[DataFrame,
 
 
 def write_tiff(cells: DataFrame, folder: str, height: int, width: int, dtype: str = "f4", transform: Sequence[float] | None = None, epsg: int | None = None, nodata: float | None = None) -> int:
-    """Writes the cells (scene, y, x, value) of each scene as a single-band deflate GeoTIFF <scene>.tif in an existing folder, and
-    returns the number of files.
+    """Writes the cells (scene, y, x, value) of each scene as a single-band deflate GeoTIFF <scene>.tif in a folder, and returns the
+    number of files.
 
     Strips are compressed wherever their cells are, and one task for each scene puts them in one file, strip by strip. Of repeated
     cells the greatest value counts; cells that are absent or null, and null scenes' cells, are nodata (else not a number, or 0 in
     files of integers); cells beyond the grid fall away. A rerun task writes the same file anew.
     """
+    folder_made(folder)
     kind = np.dtype(dtype).newbyteorder("<")
     rows = max(1, (1 << 20) // max(1, width))
     count = -(-height // rows)
@@ -166,8 +175,7 @@ def read_envi(spark: SparkSession, path: str) -> DataFrame:
     """scene, band, y, x, value of ENVI cubes: each .hdr with the file of the same name beside it (.img, .dat, .bil, .bsq, .bip)."""
     heads = spark.read.format("binaryFile").option("pathGlobFilter", "*.{hdr,HDR}").load(path)
     headers = heads.select(F.regexp_replace("path", r"\.[^./]+$", "").alias("stem"), F.decode("content", "UTF-8").alias("header"))
-    cubes = _files(spark, path, r"(?i)\.(img|dat|bil|bsq|bip)$").join(headers, "stem")
-    return _pixels(cubes.select(F.regexp_extract("stem", r"[^/]+$", 0).alias("scene"), "path", "header", "length"))
+    return _pixels(_files(spark, path, r"(?i)\.(img|dat|bil|bsq|bip)$").drop("header").join(headers, "stem"))
 
 
 def band_files(spark: SparkSession, path: str) -> DataFrame:
@@ -255,3 +263,31 @@ def joined_cubes(first: DataFrame, second: DataFrame, bands: tuple[int, int], wa
     the wavelengths of both, which must be finite. Scenes keep the first one's name."""
     own = [*finite_wavelengths(wavelengths[0], bands[0]), *finite_wavelengths(wavelengths[1], bands[1])]
     return first.unionByName(second.withColumn("band", F.col("band") + bands[0])), own
+
+
+def read_scene(spark: SparkSession, image: str, metadata: str) -> tuple[DataFrame, list[float]]:
+    """A scene of digital numbers (a TIFF file) as reflectance by its XML metadata, and its wavelengths in micrometres (see reflectance);
+    the file says which value is nodata."""
+    profile = tiff_profiles(spark, image).first()
+    if profile is None:
+        raise FileNotFoundError(image)
+    return reflectance(read_tiff(spark, image), band_metadata(spark, metadata), profile.bands, profile.nodata)
+
+
+def read_cubes(spark: SparkSession, headers: Sequence[str], scene: str) -> tuple[DataFrame, list[float]]:
+    """ENVI cubes of one scene, visible first, as one cube (scene, band, y, x, value) on their smallest common grid, and its wavelengths
+    in micrometres. headers: the .hdr files; what a header names as its ignored value becomes null."""
+    parts, wavelengths, sizes = [], [], []
+    for path in headers:
+        own = envi_header(spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8")).first()[0])
+        cells = read_envi(spark, re.sub(r"\.[^./]+$", ".*", path))
+        ignored = own.get("data ignore value")
+        parts.append(cells if ignored is None else cells.withColumn("value", F.when(F.col("value") != float(ignored), F.col("value"))))
+        wavelengths += finite_wavelengths(envi_wavelengths(own), int(own["bands"]))
+        sizes.append([int(own[k]) for k in ("bands", "lines", "samples")])
+    if not parts:
+        raise FileNotFoundError("no cube")
+    inside = (F.col("y") < min(s[1] for s in sizes)) & (F.col("x") < min(s[2] for s in sizes))
+    before = [sum(s[0] for s in sizes[:k]) for k in range(len(sizes))]
+    moved = [p.where(inside).select(F.lit(scene).alias("scene"), (F.col("band") + n).alias("band"), "y", "x", "value") for p, n in zip(parts, before, strict=True)]
+    return functools.reduce(DataFrame.unionByName, moved), wavelengths

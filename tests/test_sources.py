@@ -192,6 +192,56 @@ def test_write_tiff(spark, tmp_path, dtype):
     assert got.where("value <> -1").count() == 3 and got.count() == 2 * 600 * 2000
 
 
+def test_read_stack(spark, tmp_path):
+    """A pair of the first one's size, one of another size, one without coherence, one without metadata, one without displacement."""
+    def pair(name, disp=None, coherence=None, meta=True):
+        folder = tmp_path / "area" / "sentinel1_insar" / name
+        folder.mkdir(parents=True)
+        if meta:
+            (folder / "metadata.json").write_text(json.dumps({"master_date": name[:10], "slave_date": name[11:21], "temporal_baseline_days": 12}))
+        for file, cube in (("los_displacement", disp), ("coherence", coherence)):
+            if cube is not None:
+                (folder / f"{file}.tif").write_bytes(tiff_bytes(np.asarray(cube, "f4")[None], compression=8))
+
+    big = np.arange(15.0).reshape(3, 5)
+    big[1, 1] = np.nan
+    pair("2024-01-01_2024-01-13", big, np.full((3, 5), 0.5))
+    pair("2024-01-13_2024-01-25", [[0, 8], [4, 12]], [[0.1, 0.9], [0.1, 0.9]])
+    pair("2024-01-25_2024-02-06", big)
+    pair("2023-01-01_2023-01-13", big, meta=False)
+    pair("2023-02-01_2023-02-13", coherence=big)
+    found = projects.read_stack(spark, str(tmp_path / "area"))
+    rows = {(r.pair, r.y, r.x): r for r in found.collect()}
+    assert len(rows) == 45 and {k[0] for k in rows} == {"2024-01-01_2024-01-13", "2024-01-13_2024-01-25", "2024-01-25_2024-02-06"}
+    assert rows["2024-01-01_2024-01-13", 1, 1].disp is None and rows["2024-01-01_2024-01-13", 2, 4].disp == 14
+    mid = rows["2024-01-13_2024-01-25", 1, 2]
+    assert mid.disp == 6 and mid.coherence == pytest.approx(0.5) and mid.layered and mid.baseline == 12 and mid.sec_date == datetime.date(2024, 1, 25)
+    assert rows["2024-01-25_2024-02-06", 0, 1].coherence is None and not rows["2024-01-25_2024-02-06", 0, 1].layered
+    (tmp_path / "none").mkdir()
+    assert projects.read_stack(spark, str(tmp_path / "none")) is None
+
+
+def test_read_scene(spark, tmp_path):
+    cube = np.arange(24, dtype="i2").reshape(2, 3, 4)
+    (tmp_path / "s.tif").write_bytes(tiff_bytes(cube, compression=8, extra=[(42113, ("B", list(b"5\0")))]))
+    tags = "".join(f"<{t}>{v}</{t}>" for t, own in (("wavelengthCenterOfBand", (420, 2200)), ("GainOfBand", (2, 3)), ("OffsetOfBand", (1,))) for v in own)
+    (tmp_path / "m.xml").write_text(f"<r>{tags}</r>")
+    cells, wavelengths = rasters.read_scene(spark, str(tmp_path / "s.tif"), str(tmp_path / "m.xml"))
+    got = cube_of(cells)
+    assert wavelengths == [0.42, 2.2] and got["s", 1, 1, 1] is None and got["s", 1, 0, 3] == 6 and got["s", 2, 2, 3] == 69
+
+
+def test_read_cubes(spark, tmp_path):
+    """Two cubes of different sizes: the common grid, the second's bands behind the first's, ignored values null."""
+    for name, (bands, lines, samples), waves in (("vnir", (2, 3, 4), "450, 900"), ("swir", (1, 2, 5), "2200")):
+        (tmp_path / f"{name}.bsq").write_bytes(np.arange(bands * lines * samples).astype("<f4").tobytes())
+        (tmp_path / f"{name}.hdr").write_text(f"ENVI\nsamples = {samples}\nlines = {lines}\nbands = {bands}\ndata type = 4\ninterleave = bsq\nbyte order = 0\ndata ignore value = 6\nwavelength = {{{waves}}}\n")
+    cells, wavelengths = rasters.read_cubes(spark, [str(tmp_path / "vnir.hdr"), str(tmp_path / "swir.hdr")], "p")
+    got = cube_of(cells)
+    assert wavelengths == [0.45, 0.9, 2.2] and len(got) == 24
+    assert got["p", 1, 1, 2] is None and got["p", 2, 1, 3] == 19 and got["p", 3, 1, 3] == 8 and got["p", 3, 1, 1] is None
+
+
 def test_tiff_head_of_large_files():
     head = layouts.tiff_head(3000, 10, "f4", 1000, [1 << 31] * 3)
     raster = layouts.tiff(lambda at, n: head[at : at + n])
