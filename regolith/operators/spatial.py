@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regolith.functions import coordinates
+
 Affine = Sequence[float]  # a, b, c, d, e, f: x = a * column + b * row + c, y = d * column + e * row + f
 
 
@@ -52,6 +54,43 @@ def resample(pixels: DataFrame, target: DataFrame, row: Column, column: Column,
     return met.groupBy(*keys).agg((F.sum(F.col("_v") * F.col("_w")) / known).alias(value))
 
 
+def warped(pixels: DataFrame, source: Affine, source_epsg: int, target: DataFrame, grid: Affine, epsg: int, value: str = "value", method: str = "bilinear") -> DataFrame:
+    """The target's cells (scene, y, x and more, with `value`) with the pixels (scene, y, x) of a raster in another grid and coordinate
+    system (see functions.coordinates): the middle of each cell is looked up among the middles of the pixels. As resample says, cells
+    beyond the source are null. Use nearest for masks, bilinear for what is continuous."""
+    def columns(pair: tuple[Column, Column], names: tuple[str, str]) -> dict[str, Column]:
+        return dict(zip(names, pair, strict=True))
+
+    placed = target.withColumns(columns(to_world(grid, F.col("x") + 0.5, F.col("y") + 0.5), ("_x1", "_y1")))
+    if epsg != source_epsg:
+        placed = placed.withColumns(columns(coordinates.to_lonlat(epsg, F.col("_x1"), F.col("_y1")), ("_lon", "_lat")))
+        placed = placed.withColumns(columns(coordinates.from_lonlat(source_epsg, F.col("_lon"), F.col("_lat")), ("_x1", "_y1")))
+    column, row = to_pixel(source, F.col("_x1"), F.col("_y1"))
+    return resample(pixels, placed, row - 0.5, column - 0.5, value, method).select(*target.columns, value)
+
+
+def lonlat_boxes(profiles: DataFrame, parts: int = 22) -> DataFrame:
+    """profiles (height, width, transform, epsg) with west, south, east, north in degrees: of so many points on each side, as a straight
+    side of a projected raster is none in degrees. Null without a transform or in an unknown coordinate system."""
+    wide, high = F.col("width") / parts, F.col("height") / parts
+    at = F.sequence(F.lit(0), F.lit(parts))
+    sides = (
+        F.transform(at, lambda k: F.struct((k * wide).alias("c"), F.lit(0.0).alias("r"))),
+        F.transform(at, lambda k: F.struct((k * wide).alias("c"), F.col("height").cast("double").alias("r"))),
+        F.transform(at, lambda k: F.struct(F.lit(0.0).alias("c"), (k * high).alias("r"))),
+        F.transform(at, lambda k: F.struct(F.col("width").cast("double").alias("c"), (k * high).alias("r"))),
+    )
+    affine = [F.col("transform")[k] for k in range(6)]
+
+    def place(p: Column) -> Column:
+        lon, lat = coordinates.to_lonlat(F.col("epsg"), *to_world(affine, p.c, p.r))
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
+
+    placed = profiles.withColumn("_p", F.transform(F.concat(*sides), place))
+    boxes = {"west": F.array_min("_p.lon"), "south": F.array_min("_p.lat"), "east": F.array_max("_p.lon"), "north": F.array_max("_p.lat")}
+    return placed.withColumns(boxes).drop("_p")
+
+
 def zoom_place(index: Column, size_in: int, size_out: int) -> Column:
     """Where a cell of a zoomed axis lies on the source's axis; first and last cells fall together."""
     return index * ((size_in - 1) / (size_out - 1)) if size_out > 1 else F.lit(0.0)
@@ -141,12 +180,15 @@ def layers_on_grid(products: DataFrame, pixels: DataFrame, target: DataFrame, bo
     """The target's cells (scene, y, x and world coordinates lon, lat) with the layers of the first product (product, pos, a box, its
     transform) that touches the box, as columns `names`, null where the product lacks them; None without such a product.
 
-    pixels: product, layer, y, x, value. Product and target share a coordinate system; values are interpolated between cells.
+    pixels: product, layer, y, x, value. Where products have an epsg code (see functions.coordinates), the target's lon and lat are
+    degrees; without one both share a coordinate system. Values are interpolated between cells.
     """
     first = coverage(products, *box).where("usable").orderBy("pos").first()
     if first is None:
         return None
-    column, row = to_pixel(first["transform"], F.col("lon"), F.col("lat"))
+    code = first["epsg"] if "epsg" in products.columns else None
+    world = coordinates.from_lonlat(code, F.col("lon"), F.col("lat")) if code is not None else (F.col("lon"), F.col("lat"))
+    column, row = to_pixel(first["transform"], *world)
     cells, out = target.select("scene", "y", "x", "lon", "lat"), target
     for name in names:
         own = pixels.where((F.col("product") == first["product"]) & (F.col("layer") == name)).withColumn("scene", F.lit(""))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from regolith.functions import text
+from regolith.functions import coordinates, text
 from regolith.operators import knowledge, runs
 from regolith.operators.grid import overlap_area, overlaps
 from regolith.plans import views
@@ -329,3 +329,34 @@ def spectrum_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = own.select("vec_id", F.slice("embedding", 41, 24).alias("swir"))
     both = first.join(second, "vec_id").select("vec_id", F.concat("vnir", "swir").alias("s"))
     return both.select("vec_id", F.size("s").cast("long").alias("n_bands"), F.round(F.col("s")[44].cast("double"), 6).alias("band45"))
+
+
+def _sums(terms: tuple[float, ...], sign: int) -> tuple[str, str]:
+    """Krueger's sums over n + i e as SQL, added to n and e or taken from them."""
+    parts = [(sign * c, 2 * (j + 1)) for j, c in enumerate(terms)]
+    north = "".join(f" + ({c!r}) * sin({k} * n) * cosh({k} * e)" for c, k in parts)
+    east = "".join(f" + ({c!r}) * cos({k} * n) * sinh({k} * e)" for c, k in parts)
+    return f"n{north}", f"e{east}"
+
+
+_THERE, _BACK = _sums(coordinates.ALPHA, 1), _sums(coordinates.BETA, -1)
+_GEOGRAPHIC = "".join(f" + ({c!r}) * sin({2 * (j + 1)} * c)" for j, c in enumerate(coordinates.DELTA))
+_R, _E = coordinates.RADIUS, coordinates.ECCENTRICITY
+
+
+@query("utm_there_and_back", f"""WITH p AS (SELECT c_custkey AS k, c_custkey % 60 + 1 AS zone, (c_custkey % 60) * 6 - 177 + (c_custkey % 101 - 50) * 0.06 AS lon, (c_custkey % 161 - 80) * 1.0 AS lat FROM customer),
+ q AS (SELECT *, radians(lon - (zone * 6 - 183)) AS l, atanh(sin(radians(lat))) - {_E!r} * atanh({_E!r} * sin(radians(lat))) AS psi FROM p),
+ r AS (SELECT k, zone, lat < 0 AS south, atan2(sinh(psi), cos(l)) AS n, atanh(sin(l) / sqrt(1 + sinh(psi) * sinh(psi))) AS e FROM q),
+ u AS (SELECT k, zone, south, 500000 + {_R!r} * ({_THERE[1]}) AS x, CASE WHEN south THEN 10000000 ELSE 0 END + {_R!r} * ({_THERE[0]}) AS y FROM r),
+ v AS (SELECT k, zone, x, y, (y - CASE WHEN south THEN 10000000 ELSE 0 END) / {_R!r} AS n, (x - 500000) / {_R!r} AS e FROM u),
+ w AS (SELECT k, zone, x, y, {_BACK[0]} AS n, {_BACK[1]} AS e FROM v), g AS (SELECT *, asin(sin(n) / cosh(e)) AS c FROM w)
+SELECT k AS c_custkey, round(x, 3) AS x, round(y, 3) AS y, round(zone * 6 - 183 + degrees(atan2(sinh(e), cos(n))), 7) AS lon, round(degrees(c{_GEOGRAPHIC}), 7) + 0 AS lat FROM g""")
+def utm_there_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in all UTM zones, north and south, projected and back in degrees."""
+    key, zone = F.col("c_custkey"), F.col("c_custkey") % 60 + 1
+    lon, lat = (key % 60) * 6 - 177 + (key % 101 - 50) * 0.06, (key % 161 - 80) * 1.0
+    code = F.when(lat < 0, 32700 + zone).otherwise(32600 + zone)
+    x, y = coordinates.from_lonlat(code, lon, lat)
+    placed = views.read(spark, sf_dir, "customer").select("c_custkey", code.alias("code"), x.alias("x"), y.alias("y"))
+    back = coordinates.to_lonlat(F.col("code"), F.col("x"), F.col("y"))
+    return placed.select("c_custkey", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round(back[0], 7).alias("lon"), (F.round(back[1], 7) + 0).alias("lat"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from regolith.functions import bands, text
+from regolith.functions import bands, coordinates, text
 from regolith.operators import batch, deformation, evidence, grid, knowledge, pca, runs, spatial, stats, unmixing
 from regolith.plans import catalog
 
@@ -476,3 +476,54 @@ def test_prospectivity_of_a_region(spark):
 def test_tiles_go_both_ways(spark):
     row = spark.range(1).select(text.tile_lon(text.tile_x(F.lit(12.5), F.lit(7)), F.lit(7)), text.tile_lat(text.tile_y(F.lit(-41.25), F.lit(7)), F.lit(7)), *[text.few_tiles(F.lit(0.0), F.lit(0.0), F.lit(10.0), F.lit(10.0), F.lit(z)) for z in (7, 9)]).first()
     assert tuple(row) == (pytest.approx(12.5), pytest.approx(-41.25), True, False)
+
+
+def _snyder(lon, lat, middle):
+    """Transverse Mercator by series in the distance from the meridian, another way than Krueger's."""
+    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
+    e2 = f * (2 - f)
+    p, q = np.radians(lat), e2 / (1 - e2)
+    n, t, c, d = a / np.sqrt(1 - e2 * np.sin(p) ** 2), np.tan(p) ** 2, q * np.cos(p) ** 2, np.radians(lon - middle) * np.cos(p)
+    steps = np.linspace(0, p, 200_001)
+    m = np.trapezoid(a * (1 - e2) / (1 - e2 * np.sin(steps) ** 2) ** 1.5, steps)
+    x = k0 * n * (d + (1 - t + c) * d**3 / 6 + (5 - 18 * t + t**2 + 72 * c - 58 * q) * d**5 / 120)
+    y = k0 * (m + n * np.tan(p) * (d**2 / 2 + (5 - t + 9 * c + 4 * c**2) * d**4 / 24 + (61 - 58 * t + t**2 + 600 * c - 330 * q) * d**6 / 720))
+    return 500000 + x, y
+
+
+def test_coordinates(spark):
+    places = [(32647, 99.0, 0.0), (32647, 101.5, 18.75), (32747, 97.25, -33.5), (32601, -177.5, 79.0), (3857, 12.5, 45.0), (3857, -179.0, -60.0), (4326, 1.0, 2.0), (27700, 1.0, 2.0)]
+    df = spark.createDataFrame(places, "code int, lon double, lat double")
+    x, y = coordinates.from_lonlat(F.col("code"), F.col("lon"), F.col("lat"))
+    rows = df.select("*", x.alias("x"), y.alias("y")).select("*", *[c.alias(n) for c, n in zip(coordinates.to_lonlat(F.col("code"), F.col("x"), F.col("y")), ("u", "v"), strict=True)]).collect()
+    assert len(rows) == len(places)
+    for r in rows:
+        if r.code == 27700:
+            assert r.x is None and r.v is None
+            continue
+        assert (r.u, r.v) == pytest.approx((r.lon, r.lat), abs=1e-9)
+        if r.code > 32000:
+            wanted = _snyder(r.lon, r.lat, r.code % 100 * 6 - 183)
+            assert (r.x, r.y) == pytest.approx((wanted[0], wanted[1] + (1e7 if r.code > 32700 else 0)), abs=0.005)
+        elif r.code == 3857:
+            assert (r.x, r.y) == pytest.approx((r.lon * 20037508.342789244 / 180, 6378137 * np.arcsinh(np.tan(np.radians(r.lat)))), abs=1e-6)
+
+
+def test_warped(spark):
+    """A plane of a UTM raster seen in degrees, and its box."""
+    source, grid = (10.0, 0.0, 500000.0, 0.0, -10.0, 2000000.0), (1e-4, 0.0, 99.0005, 0.0, -1e-4, 18.0875)
+    cells = spark.range(80 * 80).select(F.lit("s").alias("scene"), F.floor(F.col("id") / 80).alias("y"), (F.col("id") % 80).alias("x"))
+    pixels = cells.withColumn("value", F.col("x") * 2.0 + F.col("y"))
+    found = spatial.warped(pixels, source, 32647, cells.where("y < 20 AND x < 30"), grid, 4326).collect()
+    assert len(found) == 600
+    at = spark.createDataFrame([(99.0005 + 1e-4 * (r.x + 0.5), 18.0875 - 1e-4 * (r.y + 0.5), r.value) for r in found], "lon double, lat double, value double")
+    x, y = coordinates.from_lonlat(32647, F.col("lon"), F.col("lat"))
+    column, row = (x - 500000) / 10 - 0.5, (2000000 - y) / 10 - 0.5
+    inside = column.between(0, 79) & row.between(0, 79)
+    told = at.select(inside.alias("inside"), "value", (column * 2 + row).alias("plane")).collect()
+    assert sum(t.inside for t in told) > 300 and all(t.value == pytest.approx(t.plane, abs=1e-6) for t in told if t.inside)
+    near = {(r.y, r.x): r.value for r in spatial.warped(pixels, source, 32647, cells.where("y < 2"), source, 32647, method="nearest").collect()}
+    assert near[1, 7] == 15
+    profile = spark.createDataFrame([(80, 80, list(source), 32647), (80, 80, None, 32647)], "height int, width int, transform array<double>, epsg int")
+    box, none = sorted(spatial.lonlat_boxes(profile).collect(), key=lambda r: r.west is None)
+    assert box.west == pytest.approx(99, abs=1e-9) and box.east == pytest.approx(99.00756, abs=1e-4) and box.south < box.north and none.west is None
