@@ -115,6 +115,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pathlib import Path
+
+    import public_tokenizers
+
+    from regolith.llm import transducer
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    definition = Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
+    found = transducer.encode(docs, definition, transducer.lexicon(docs, definition), decoded=True, digest=True)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", "decoded_sha256")
+
+
 #: All pairs that share a shingle, then all that can be reached: for small tables only.
 OP2_SQL = """
 WITH RECURSIVE words AS (
@@ -209,6 +222,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
+    "op11_word_bpe": op11_word_bpe,
     "quality_of_pages": quality_of_pages,
 }
 SQL: dict[str, str] = {"op2_near_dedup": OP2_SQL, "op10_line_dedup": OP10_SQL}
