@@ -128,6 +128,24 @@ def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", "decoded_sha256")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regolith.llm import whitening
+
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = whitening.fit(rows)
+    shares = F.lit([float(x) for x in found.explained]) if found.explained else F.array().cast("array<double>")
+    each = whitening.whiten(rows, found).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(found.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.element_at(shares, F.col("at") + 1).alias("explained"),
+        F.lit(found.identity_error).alias("identity_error"),
+    )
+
+
 #: All pairs that share a shingle, then all that can be reached: for small tables only.
 OP2_SQL = """
 WITH RECURSIVE words AS (
@@ -223,6 +241,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
     "op11_word_bpe": op11_word_bpe,
+    "op12_whitening": op12_whitening,
     "quality_of_pages": quality_of_pages,
 }
 SQL: dict[str, str] = {"op2_near_dedup": OP2_SQL, "op10_line_dedup": OP10_SQL}
