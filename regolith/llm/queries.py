@@ -146,6 +146,16 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regolith.llm import merkle
+
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = read(spark, sf_dir, "documents").select(*columns)
+    now = merkle.leaf(*[merkle.lowered(F.col(c)) if c == "text" else F.col(c) for c in columns])
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.manifest(docs, columns, "source", "doc_id", F.when(touched, now))
+
+
 #: All pairs that share a shingle, then all that can be reached: for small tables only.
 OP2_SQL = """
 WITH RECURSIVE words AS (
@@ -229,6 +239,45 @@ SELECT t.doc_id, count(CASE WHEN kind = 'assign' THEN 1 END)::BIGINT AS n_assign
 FROM t LEFT JOIN spans s ON t.doc_id = s.doc_id GROUP BY t.doc_id
 """
 
+def _op13_sql(depth: int = 6) -> str:
+    """Trees of at most 16 ** depth leaves, level by level: those of each source, and that of the sources."""
+
+    def fields(text: str) -> str:
+        return " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END" for c in ("doc_id", "source", "lang", "n_chars", text))
+
+    # The remainder of a bit more of a checksum's division; 3988292384 is its fixed divisor.
+    bits = "list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384))"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    tables = [
+        f"given AS MATERIALIZED (SELECT doc_id, source, sha256({fields('text')}) AS leaf, CASE WHEN xor({bits}, 4294967295) % 5 = 0 THEN sha256({fields(low)}) END AS changed FROM documents)",
+        "i0 AS MATERIALIZED (SELECT doc_id, source AS g, leaf AS digest, coalesce(changed, leaf) AS h, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS many FROM given)",
+    ]
+
+    def climb(name: str) -> None:
+        for k in range(1, depth + 1):
+            tables.append(f"{name}r{k} AS MATERIALIZED (SELECT g, pos // 16 AS pos, string_agg(digest, '' ORDER BY pos) AS run, (max(many) + 15) // 16 AS many FROM {name}{k - 1} WHERE many > 1 GROUP BY g, pos // 16)")
+            tables.append(f"{name}{k} AS MATERIALIZED (SELECT g, pos, many, sha256(run) AS digest FROM {name}r{k})")
+        tables.append(f"{name}top AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT g, digest FROM {name}{k} WHERE many = 1" for k in range(depth + 1)) + ")")
+
+    climb("i")
+    tables.append("o0 AS MATERIALIZED (SELECT 0 AS g, g AS source, digest, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos, count(*) OVER () AS many FROM itop)")
+    climb("o")
+    tables.append("s0 AS (SELECT i0.doc_id, i0.digest AS leaf, i0.h, i0.pos AS ipos, i0.g AS ig, o0.pos AS opos, 0 AS og, o0.digest AS subroot, '' AS beside FROM i0 JOIN o0 ON i0.g IS NOT DISTINCT FROM o0.source)")
+    n = 0
+    for name in "io":
+        for k in range(1, depth + 1):
+            at = f"64 * (s.{name}pos // {16 ** (k - 1)} % 16)"
+            left, right = f"substr(r.run, 1, {at})", f"substr(r.run, {at} + 65)"
+            tables.append(
+                f"s{n + 1} AS MATERIALIZED (SELECT s.* EXCLUDE (h, beside), CASE WHEN r.run IS NULL THEN s.h ELSE sha256({left} || s.h || {right}) END AS h, s.beside || coalesce({left} || {right}, '') AS beside "
+                f"FROM s{n} s LEFT JOIN {name}r{k} r ON r.g IS NOT DISTINCT FROM s.{name}g AND r.pos = s.{name}pos // {16**k})"
+            )
+            n += 1
+    return f"WITH {', '.join(tables)} SELECT doc_id, leaf, subroot, otop.digest AS root, sha256(beside) AS proof_sha256, h AS folded_root, h = otop.digest AS verified FROM s{n}, otop"
+
+
+OP13_SQL = _op13_sql()
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_near_dedup": op2_near_dedup,
@@ -242,6 +291,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_word_bpe": op11_word_bpe,
     "op12_whitening": op12_whitening,
+    "op13_merkle": op13_merkle,
     "quality_of_pages": quality_of_pages,
 }
-SQL: dict[str, str] = {"op2_near_dedup": OP2_SQL, "op10_line_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op2_near_dedup": OP2_SQL, "op10_line_dedup": OP10_SQL, "op13_merkle": OP13_SQL}
