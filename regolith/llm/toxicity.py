@@ -42,6 +42,8 @@ PHRASES = (
 ADDRESS = "you your du dich dein ihr tu te toi vous tú usted eres sois"
 #: Words of address stand at most so far before a hit; two hits make a pair and three a run within so many words.
 BEFORE, PAIR, RUN = 3, 3, 8
+#: Words before a word that any pattern which ends with it can need.
+REACH = max(BEFORE, PAIR, RUN, 2) + 3
 #: How far an annotation is believed.
 SURE = 0.99
 _LETTERS = np.ones(256, bool)
@@ -186,6 +188,14 @@ class Sums:
         return Sums(*parts, *[np.maximum.reduceat(x, texts) for x in (self.top, self.shards, self.groups, self.patterns)])
 
 
+@dataclass
+class Tail:
+    """Hashes of words, and which are hits."""
+
+    words: np.ndarray
+    hit: np.ndarray
+
+
 class Voters:
     """Votes and features of texts by a lexicon."""
 
@@ -217,7 +227,8 @@ class Voters:
             out[text[first[(last - first <= reach) & (text[first] == text[last])]], len(PHRASES) + column] = True
         return out
 
-    def _sums(self, data: np.ndarray, places: np.ndarray) -> Sums:
+    def _sums(self, data: np.ndarray, places: np.ndarray, before: Tail | None = None) -> Sums:
+        """before: the last words of the text's pieces before this one, which patterns reach back to; it takes this one's."""
         entries, text, words = _entries(data, places)
         n = len(words)
         found = self.mined.get(entries.ravel()).reshape(entries.shape)
@@ -234,7 +245,12 @@ class Voters:
         mined = which >= 0
         shards[text[mined], self.shard[which[mined]]] = True
         groups[text[group >= 0], group[group >= 0]] = True
-        patterns = self._patterns(entries[:, 0], text, hit, n)
+        if before is None:
+            patterns = self._patterns(entries[:, 0], text, hit, n)
+        else:
+            before.words, before.hit = np.concatenate([before.words, entries[:, 0]]), np.concatenate([before.hit, hit])
+            patterns = self._patterns(before.words, np.zeros(len(before.words), np.int64), before.hit, n)
+            before.words, before.hit = before.words[-REACH:], before.hit[-REACH:]
         return Sums(words, np.bincount(text[hit], minlength=n), np.bincount(text[group >= 0], minlength=n), np.bincount(text, strength, minlength=n), top, shards, groups, patterns)
 
     def look(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -243,9 +259,14 @@ class Voters:
         cuts = _cuts(data, places)
         if len(cuts) == len(places):
             return self._judged(self._sums(data, places))
-        parts = [self._sums(data[a:b], np.array([0, b - a])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        parts, whole = [], set(places.tolist())
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if a in whole:
+                before = Tail(np.zeros(0, U64), np.zeros(0, bool))
+            parts.append(self._sums(data[a:b], np.array([0, b - a]), before))
         joined = Sums(*(np.concatenate(x) for x in zip(*(vars(p).values() for p in parts), strict=True)))
-        return self._judged(joined.at(np.searchsorted(cuts, places[:-1], "right") - 1))
+        inner = np.searchsorted(cuts, places[:-1]) - np.searchsorted(places, places[:-1])
+        return self._judged(joined.at(np.arange(len(places) - 1) + inner))
 
     def _judged(self, s: Sums) -> tuple[np.ndarray, np.ndarray]:
         words, hits, known, power, length = s.words, s.hits, s.known, s.power, np.maximum(s.words, 1)
@@ -358,7 +379,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The toxicity of every whole text: id_col and score (double, 0 to 1), by the text alone. Null and empty texts have the
     score of a text without words. A row for each row of docs; null ids stay null; other columns do not pass. A long text is looked
-    at in pieces, cut between words; a pattern over a cut does not count."""
+    at in pieces, cut between words; each piece sees the last words of the one before, so that patterns over a cut count as others do."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
+from regolith.llm.textscan import buffer_of
 from regolith.llm import language_id, queries, toxicity
 
 
@@ -141,10 +142,26 @@ def test_votes_and_features_against_plain_loops(monkeypatch):
     assert votes.tolist() == [v for v, _ in wanted] and np.allclose(features, [f for _, f in wanted])
     assert (votes > 0).any(0).sum() >= 15
     monkeypatch.setattr(toxicity, "PIECE", 40)
-    calm = ["plain words and then some " * 30 + t for t in ("", "vile", "zorgon")] + texts[:3]
-    votes, features = own.look(pa.array(calm))
-    wanted = [plain_look(t, ODDS, shard) for t in calm[:3]]
-    assert votes[:3].tolist() == [v for v, _ in wanted] and np.allclose(features[:3], [f for _, f in wanted])
+    long = ["plain words and then some " * 30 + t for t in ("", "vile", "zorgon")] + texts
+    votes, features = own.look(pa.array(long))
+    wanted = [plain_look(t, ODDS, shard) for t in long]
+    assert votes.tolist() == [v for v, _ in wanted] and np.allclose(features, [f for _, f in wanted])
+
+
+def test_a_phrase_counts_wherever_a_long_text_is_cut():
+    lexicon, shard = lexicon_of(ODDS)
+    own = toxicity.Voters(lexicon)
+    for shift in range(0, 24, 3):
+        text = "plain " * ((toxicity.PIECE - shift) // 6) + "shut up you vile thing " + "plain " * (2 * toxicity.PIECE // 6)
+        assert len(text) > 2 * toxicity.PIECE
+        pieces = toxicity._cuts(*buffer_of(pa.array([text])))
+        assert len(pieces) > 2
+        parts = own._sums(*buffer_of(pa.array([text]))).patterns[0]
+        before, found = toxicity.Tail(np.zeros(0, np.uint64), np.zeros(0, bool)), []
+        data, _ = buffer_of(pa.array([text]))
+        for a, b in zip(pieces[:-1].tolist(), pieces[1:].tolist(), strict=True):
+            found.append(own._sums(data[a:b], np.array([0, b - a]), before).patterns[0])
+        assert (np.any(found, 0) == parts).all() and parts[0]
 
 
 def test_label_model_against_plain_loops():
