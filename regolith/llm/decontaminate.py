@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +23,10 @@ SHORT_SEEDS = ((0,), (0, 1))
 LEAST_BITS = 22.0
 #: Of an item's seeds of each form the rarest share that is looked up in any case.
 KEPT_SEEDS = 0.25
-#: Seeds of more items do not tell items apart: an item that has others is not looked up by them.
+#: Seeds of more items do not tell items apart: they are looked up once for all items that share the same words in the same places.
 MOST_ITEMS = 16
+#: Stands for an item's own words where only those that it shares count; no word has this hash but by chance.
+OWN_WORD = U64(0)
 #: Alignment scores; an item aligned word for word has MATCH for each of its words.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least alignment score of a leak, as a share of the item's highest.
@@ -50,16 +52,19 @@ def _grams(words: np.ndarray, first: np.ndarray, offsets: tuple[int, ...]) -> tu
 
 @dataclass(eq=False)
 class Items:
-    """Benchmark items: ids, words with where each item's start, and the seeds: gram hash, item, place in the item. forms: which
-    grams of a document can be seeds."""
+    """Benchmark items and behind them classes of items: ids (of a class its smallest), members (1 for an item), words with where each
+    one's start, and the seeds: gram hash, item or class, place in it. forms: which grams of a document can be seeds. of: each item's
+    class (its number among all), -1 for none."""
 
     ids: np.ndarray
+    members: np.ndarray
     words: np.ndarray
     first: np.ndarray
     seeds: np.ndarray
     item: np.ndarray
     place: np.ndarray
     forms: tuple[tuple[int, ...], ...]
+    of: np.ndarray
 
 
 def vocabulary_counts(docs: DataFrame, vocabulary: np.ndarray, text_col: str = "text") -> tuple[np.ndarray, int]:
@@ -86,20 +91,37 @@ def vocabulary_counts(docs: DataFrame, vocabulary: np.ndarray, text_col: str = "
     return out, total
 
 
-def prepare(items: pa.Table, vocabulary: np.ndarray, counts: np.ndarray, total: int) -> Items:
+def _alone(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which items are the first ones of their words."""
+    seen: dict[bytes, int] = {}
+    return np.array([seen.setdefault(words[a:b].tobytes(), i) == i for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))], bool)
+
+
+def _chosen(gram: np.ndarray, worth: np.ndarray, own: np.ndarray, quota: np.ndarray) -> np.ndarray:
+    """Of the grams of each `own` the rarest `quota` of them, and all with LEAST_BITS."""
+    order = np.lexsort((-worth, own))
+    rank = np.empty(len(own), np.int64)
+    rank[order] = np.arange(len(own)) - np.searchsorted(own[order], own[order])
+    return np.flatnonzero((rank < quota) | (worth >= LEAST_BITS))
+
+
+def prepare(items: pa.Table, vocabulary: np.ndarray, counts: np.ndarray, total: int, least_score: float = LEAST_SCORE) -> Items:
     """The seeds of benchmark items (item_id, text, in order of item_id), chosen by how rare their words are in the corpus, by the
-    counts of a vocabulary that holds them, and by how few items have them. Of items of the same words the first one counts."""
+    counts of a vocabulary that holds them. Of items of the same words the first one counts.
+
+    A gram of at most MOST_ITEMS items is a seed of each. A more common one covers its words in the items that hold it: items with
+    the same covered words in the same places are a class, whose words are the covered ones, with OWN_WORD between, and whose seeds
+    are the common grams. What a class's words score is the least that each member scores. Classes whose covered words are too few
+    to reach least_score are left out, as they cannot."""
     words, first = word_hashes(items.column("text").combine_chunks())
-    size = np.diff(first)
-    seen: dict[bytes, int] = {}
-    alone = [seen.setdefault(words[a:b].tobytes(), i) == i for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))]
+    size, alone = np.diff(first), _alone(words, first)
     bits = -np.log2((counts[np.searchsorted(vocabulary, words)] + 1) / (total + len(vocabulary) + 1))
     forms = [f for n, f in enumerate(SHORT_SEEDS, 1) if (size == n).any()] + list(SEEDS)
     grams, places, worth = [], [], []
     for form in forms:
         hashes, at = _grams(words, first, form)
         of = np.searchsorted(first, at, "right") - 1
-        use = np.array(alone, bool)[of] & ((size[of] == len(form)) | (form in SEEDS))
+        use = alone[of] & ((size[of] == len(form)) | (form in SEEDS))
         grams.append(hashes[use])
         places.append(at[use])
         worth.append(sum(bits[at[use] + k] for k in form))
@@ -108,18 +130,36 @@ def prepare(items: pa.Table, vocabulary: np.ndarray, counts: np.ndarray, total:
     item = np.searchsorted(first, at, "right") - 1
     _, back = np.unique(gram, return_inverse=True)
     one = np.unique(np.column_stack([back, item]), axis=0)[:, 0] if len(item) else back
-    shared = np.bincount(one, minlength=1)[back]
-    common = shared > MOST_ITEMS
-    distinct = np.bincount(item[~common], minlength=len(size)) > 0
-    useless = common & distinct[item]
+    common = np.bincount(one, minlength=1)[back] > MOST_ITEMS
+    # Classes: the shared words of each item, and which items have the same ones.
+    covered = np.zeros(len(words), bool)
+    for n, offsets in enumerate(forms):
+        for k in offsets:
+            covered[at[common & (form == n)] + k] = True
+    shared = np.where(covered, words, OWN_WORD)
+    classes: dict[bytes, list[int]] = {}
+    of = np.full(len(size), -1, np.int64)
+    for i in np.unique(item[common]).tolist():
+        if covered[first[i] : first[i + 1]].sum() >= least_score * size[i]:
+            classes.setdefault(shared[first[i] : first[i + 1]].tobytes(), []).append(i)
+    heads = np.array([own[0] for own in classes.values()], np.int64)
+    for number, own in enumerate(classes.values()):
+        of[own] = len(size) + number
+    head = np.full(len(size), -1, np.int64)
+    head[heads] = of[heads]
+    quota = np.ceil(KEPT_SEEDS * np.bincount(item * len(forms) + form, minlength=len(size) * len(forms)))
     own = item * len(forms) + form
-    order = np.lexsort((-worth, np.where(common, shared, 0), useless, own))
-    rank = np.empty(len(item), np.int64)
-    rank[order] = np.arange(len(item)) - np.searchsorted(own[order], own[order])
-    quota = np.ceil(KEPT_SEEDS * np.bincount(own))
-    keep = np.flatnonzero(~useless & ((rank < quota[own]) | ((worth >= LEAST_BITS) & ~common)))
-    keep = keep[np.argsort(gram[keep], kind="stable")]
-    return Items(np.array(items.column("item_id").to_pylist(), np.int64), words, first, gram[keep], item[keep], at[keep] - first[item[keep]], tuple(forms))
+    alone_rows, class_rows = np.flatnonzero(~common), np.flatnonzero(common & (head[item] >= 0))
+    kept = [some[_chosen(gram[some], worth[some], own[some], quota[own[some]])] for some in (alone_rows, class_rows)]
+    rows = np.concatenate(kept)
+    whose = np.concatenate([item[kept[0]], head[item[kept[1]]]])
+    place = at[rows] - first[item[rows]]
+    order = np.argsort(gram[rows], kind="stable")
+    ids = np.array(items.column("item_id").to_pylist(), np.int64)
+    lengths = np.concatenate([size, size[heads]])
+    every = np.concatenate([words, *[shared[first[i] : first[i + 1]] for i in heads.tolist()]])
+    members = np.concatenate([np.ones(len(size), np.int64), np.array([len(own) for own in classes.values()], np.int64)])
+    return Items(np.concatenate([ids, ids[heads]]), members, every, np.concatenate([[0], np.cumsum(lengths)]), gram[rows][order], whose[order], place[order], tuple(forms), of)
 
 
 def align(window: np.ndarray, length: np.ndarray, item: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -201,32 +241,51 @@ def _seed_table(items: Items) -> HashTable:
     return table
 
 
+def _parts(benchmark: DataFrame, item_col: str) -> tuple[int, Callable[[int], pa.Table]]:
+    """In how many parts a benchmark is searched, and what gives each; items of the same words are in one part."""
+    known = benchmark.where(F.col("text").isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), "text")
+    size = known.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = int(size // (5 * WORDS_AT_ONCE)) + 1
+    bare = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\p{M}]+", " "))
+    return parts, lambda number: known.where(F.pmod(F.xxhash64(bare), F.lit(parts)) == number).toArrow().sort_by("item_id")
+
+
+def classes(benchmark: DataFrame, least_score: float = LEAST_SCORE, item_col: str = "item_id") -> DataFrame:
+    """Which class of leaks() each item is in: item_col and class_id, the smallest id of the class; a row for each item in a class."""
+    parts, part = _parts(benchmark, item_col)
+    found = []
+    for number in range(parts):
+        own = part(number)
+        if own.num_rows:
+            words = np.unique(word_hashes(own.column("text").combine_chunks())[0])
+            items = prepare(own, words, np.zeros(len(words), np.int64), 0, least_score)
+            some = np.flatnonzero(items.of >= 0)
+            found += zip(items.ids[some].tolist(), items.ids[items.of[some]].tolist(), strict=True)
+    return benchmark.sparkSession.createDataFrame(found, f"{item_col} long, class_id long")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Which documents hold which benchmark items, as they are or edited: id_col, item_col, score (share of the highest alignment
-    score) and n_seeds, a row for each document and item with a score of at least `least_score`.
+    score), n_seeds and n_items, a row for each document and item, or class of items, with a score of at least `least_score`.
 
     Words are runs of letters and digits, in lower case; in scripts without blanks between words each character is one. Seeds are
-    grams of three words (SEEDS) that are rare by their words' frequencies in all documents and that few items have; a leak does
+    grams of three words (SEEDS) that are rare by their words' frequencies in all documents; a leak does
     not make its own words common enough to lose its seeds, and the rarest share of every item's seeds is kept in any case. An
     item of one or two words is its own seed, so it is found word for word. Where a document has an item's seed, the words around
     it are aligned with the whole item (Smith-Waterman). The benchmark goes out to the tasks in parts of WORDS_AT_ONCE words, so no
     document is shuffled.
 
-    Items of a template, which share most seeds, are looked up by those that tell them apart. Items of the same words are one: it
-    has the smallest of their ids. Null texts and items, and items without words, have no leak; null ids are reported as null; of
+    Items of a template share seeds that do not tell them apart. Such seeds are looked up once for a class of items, which have the
+    same shared words in the same places, and those words are aligned once: where they reach least_score, each of the class does,
+    and one row has the class's smallest id, its score by the shared words and its number of items in n_items (classes() tells which
+    items they are). Seeds with an item's own words find it besides, with n_items 1; where both fall on one id the row has the higher
+    score and the class's n_items. Items of the same words are one: it has the smallest of their ids. Null texts and items, and items without words, have no leak; null ids are reported as null; of
     repeated rows the best score counts; an empty table gives no rows; other columns do not pass. A text is held whole in its
     task, with about 20 times its bytes beside it.
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    known = benchmark.where(F.col("text").isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), "text")
-    size = known.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = int(size // (5 * WORDS_AT_ONCE)) + 1
-    # Items of the same words are in one part.
-    bare = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\p{M}]+", " "))
-
-    def part(number: int) -> pa.Table:
-        return known.where(F.pmod(F.xxhash64(bare), F.lit(parts)) == number).toArrow().sort_by("item_id")
-
+    schema = f"id {kind}, item_id long, score double, n_seeds long, n_items long"
+    parts, part = _parts(benchmark, item_col)
     vocabulary = np.zeros(0, U64)
     for number in range(parts):
         vocabulary = np.union1d(vocabulary, word_hashes(part(number).column("text").combine_chunks())[0])
@@ -236,16 +295,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCOR
         own = part(number)
         if not own.num_rows:
             continue
-        sent = spark.sparkContext.broadcast(prepare(own, vocabulary, counts, total))
+        sent = spark.sparkContext.broadcast(prepare(own, vocabulary, counts, total, least_score))
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = sent.value
             for batch in slices(batches, "text"):
                 text, item, score, seeds = search(batch.column(1), items, _seed_table(items))
                 good = score >= least_score
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text[good])), pa.array(items.ids[item[good]]), pa.array(score[good]), pa.array(seeds[good])], names=["id", "item_id", "score", "n_seeds"])
+                values = [batch.column(0).take(pa.array(text[good])), *[pa.array(x[good]) for x in (items.ids[item], score, seeds, items.members[item])]]
+                yield pa.RecordBatch.from_arrays(values, names=["id", "item_id", "score", "n_seeds", "n_items"])
 
-        found.append(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, item_id long, score double, n_seeds long"))
-    schema = f"id {kind}, item_id long, score double, n_seeds long"
+        found.append(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema))
     both = functools.reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
-    return both.groupBy("id", "item_id").agg(F.max("score").alias("score"), F.sum("n_seeds").alias("n_seeds")).withColumnsRenamed({"id": id_col, "item_id": item_col})
+    best = both.groupBy("id", "item_id").agg(F.max("score").alias("score"), F.sum("n_seeds").alias("n_seeds"), F.max("n_items").alias("n_items"))
+    return best.withColumnsRenamed({"id": id_col, "item_id": item_col})

@@ -110,8 +110,27 @@ def test_short_and_unspaced_items_and_every_third_word_replaced(spark):
     assert set(found) == {(10, 1), (11, 2), (12, 3), (13, 4)} and found[10, 1] == found[11, 2] == found[12, 3] == 1
 
 
-def test_a_sentence_of_a_template_is_no_leak_of_all_its_items(spark):
+def test_a_template_is_found_as_a_class_and_its_items_by_their_own_words(spark):
     items = [(k, f"What is the capital of land{k} and who rules there today") for k in range(3000)]
     bench = spark.createDataFrame([*items, (9000, items[5][1])], "item_id long, text string")
     docs = spark.createDataFrame([(1, "so " + items[7][1] + " they asked"), (2, items[5][1]), (3, "what is the capital of elsewhere and who rules there today")] + [(100 + k, "other words entirely %d" % k) for k in range(50)], "doc_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == {(1, 7), (2, 5)}
+    found = {(r.doc_id, r.item_id): (round(r.score, 3), r.n_items) for r in decontaminate.leaks(docs, bench).collect()}
+    own = round(textbook(plain_words("what is the capital of elsewhere and who rules there today"), plain_words(items[0][1].lower())) / 22, 3)
+    assert found == {(1, 7): (1, 1), (2, 5): (1, 1), (1, 0): (own, 3000), (2, 0): (own, 3000), (3, 0): (own, 3000)}
+    members = decontaminate.classes(bench).collect()
+    assert sorted(r.item_id for r in members) == list(range(3000)) and {r.class_id for r in members} == {0}
+
+
+def test_forty_items_of_a_template_and_a_document_with_another_own_word(spark):
+    words = "seven brave sailors carried the heavy golden chest across {} frozen northern harbour".split()
+    items = [(k, " ".join(words).format(f"own{k}")) for k in range(40)]
+    bench = spark.createDataFrame([*items, (50, "unrelated little question about the moons of distant planets"), (51, "seven brave sailors went home")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "they say " + " ".join(words).format("another") + " last year"), (2, "they say " + items[3][1]), (3, "seven brave sailors sang"), (4, None)], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.score, r.n_items) for r in decontaminate.leaks(docs, bench).collect()}
+    lowest = textbook(" ".join(words).format("another").split(), items[0][1].split()) / (2 * len(words))
+    assert found[1, 0] == (lowest, 40) and lowest > 0.8
+    assert found[2, 3] == (1, 1) and found[2, 0] == (lowest, 40)
+    assert {d for d, _ in found} <= {1, 2, 3} and (3, 0) not in found
+    # The class stands for its members: each one's own alignment is no lower.
+    for r in decontaminate.classes(bench).where("class_id = 0").collect():
+        assert textbook(" ".join(words).format("another").split(), items[r.item_id][1].split()) / (2 * len(words)) >= lowest
