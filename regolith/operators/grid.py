@@ -96,6 +96,17 @@ def inside(x: Column, y: Column, rings: Sequence[Sequence[tuple[float, float]]])
     return sum((c.cast("int") for c in crossings), F.lit(0)) % 2 == 1
 
 
+def near_edge(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Whether a cell is on the drawn line between two places: along its longer axis, at most half a cell off it."""
+    wide = F.abs(x2 - x1) >= F.abs(y2 - y1)
+
+    def along(a: Column, b: Column, a1: Column, b1: Column, a2: Column, b2: Column) -> Column:
+        slope = F.when(a2 != a1, (b2 - b1) / (a2 - a1)).otherwise(0.0)
+        return a.between(F.least(a1, a2), F.greatest(a1, a2)) & (F.abs(b - (b1 + (a - a1) * slope)) <= 0.5)
+
+    return F.when(wide, along(x, y, x1, y1, x2, y2)).otherwise(along(y, x, y1, x1, y2, x2))
+
+
 def on_outline(x: Column, y: Column, rings: Sequence[Sequence[tuple[float, float]]]) -> Column:
     """Whether a cell is on the drawn outline of a polygon of cells: along the longer axis of an edge, at most half a cell off it."""
     out = F.lit(False)
