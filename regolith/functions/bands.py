@@ -15,6 +15,11 @@ RATIO_EPS, CONTINUUM_FLOOR = 1e-6, 1e-4
 BAND_NAME = re.compile(r"B\d+A?")
 
 
+def finite(x: Column) -> Column:
+    """x where it is a finite number, null where it is NaN or infinite: Spark puts NaN above all numbers, and one makes a mean NaN."""
+    return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
+
+
 def safe_ratio(a: Column, b: Column, eps: float = RATIO_EPS) -> Column:
     """a / b, null where |b| is not over eps."""
     return F.when(F.abs(b) > eps, a / b)

@@ -94,7 +94,7 @@ def analyze(
     A method that a target has nothing for does not apply: no result. One that fails (a band is missing, say) is a warning and a
     result without anomalies, found when the plan is made, so it cannot stop the job. near: proximity to structures (0 to 1),
     which weights the score (evidence.structural_weight).
-    With mean_std all thresholds come from one aggregate; the masks' counts from another. score: the sum over minerals of the
+    All thresholds come together (stats.thresholds); the masks' counts from one aggregate. score: the sum over minerals of the
     weighted share of methods that see an anomaly (mode as in evidence.mineral_score; veg_stress does not count); high: all
     methods of some mineral see one.
     """
@@ -114,11 +114,7 @@ def analyze(
                 found[i, method] = index if roi is None else F.when(roi, index)
     name = {key: f"index_{key[0]}_{key[1]}" for key in found}
     layers = pixels.withColumns({name[key]: index for key, index in found.items()}) if found else pixels
-    if threshold == "mean_std" and found:
-        one = layers.agg(*[(F.avg(name[key]) + k * F.stddev_pop(name[key])).alias(name[key]) for key in found]).first()
-        limits = {key: one[name[key]] for key in found}
-    else:
-        limits = {key: stats.threshold(layers, F.col(name[key]), threshold, k) for key in found}
+    limits = stats.thresholds(layers, {key: F.col(name[key]) for key in found}, threshold, k)
     masks = {key: stats.over(F.col(name[key]), limits[key]) for key in found}
     scores, every = [F.lit(0.0)], [F.lit(False)]
     for i, target in enumerate(chosen):

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regolith.functions.bands import clip
-from regolith.operators import grid, spatial
-from regolith.operators.stats import between_quantiles, quantiles, quantiles_of
+from regolith.functions.bands import clip, finite
+from regolith.operators import grid, scenes, spatial
+from regolith.operators.stats import between_quantiles, quantiles
 from regolith.session import checkpointed
 
 #: Fixed: the middle coherence, below which a pixel counts as unstable.
@@ -39,8 +39,8 @@ def rates(observations: DataFrame, least_coherence: float = COHERENCE_MID) -> Da
         known = observations.groupBy("pair").agg((F.count("coherence") > 0).alias("layered"))
         observations = observations.join(known, "pair")
     days = F.datediff("sec_date", "ref_date")
-    seen = ~F.col("layered") | F.coalesce(F.col("coherence") >= least_coherence, F.lit(False))
-    return observations.where(days > 0).withColumn("rate", F.when(seen, F.col("disp") * DAYS / days)).drop("layered")
+    seen = ~F.col("layered") | F.coalesce(finite(F.col("coherence").cast("double")) >= least_coherence, F.lit(False))
+    return observations.where(days > 0).withColumn("rate", F.when(seen, finite((F.col("disp") * DAYS / days).cast("double")))).drop("layered")
 
 
 def velocity(rated: DataFrame) -> DataFrame:
@@ -55,19 +55,20 @@ def velocity_summary(pixels: DataFrame) -> DataFrame:
 
 def strict_median_coherence(observations: DataFrame) -> DataFrame:
     """y, x, coherence: the median over all pairs, null where one of them is."""
-    return observations.groupBy("y", "x").agg(F.when(~F.bool_or(F.col("coherence").isNull()), F.median("coherence")).alias("coherence"))
+    own = finite(F.col("coherence").cast("double"))
+    return observations.groupBy("y", "x").agg(F.when(~F.bool_or(own.isNull()), F.median(own)).alias("coherence"))
 
 
 def stability(pixels: DataFrame, coherence: str = "coherence", limit: float = COHERENCE_MID) -> DataFrame:
     """Mean and median of the coherence as a score of 0 to 1, and the share of all pixels below the limit."""
-    c = clip(F.col(coherence))
+    c = clip(finite(F.col(coherence).cast("double")))
     return pixels.agg(F.avg(c).alias("mean"), F.lit(quantiles(pixels, c, [0.5])[0]).cast("double").alias("median"), (F.count_if(c < limit) / F.count("*")).alias("low_coherence_ratio"))
 
 
 def decay(pairs: DataFrame) -> DataFrame:
     """tau_days and samples: exp(-baseline / tau) fitted to the pairs' mean coherence (columns baseline and coherence), by least
     squares on logarithms; tau is null for fewer than three pairs or coherence that does not fall."""
-    used = pairs.where("baseline > 0 AND coherence > 0")
+    used = pairs.where("baseline > 0 AND coherence > 0 AND NOT isnan(baseline) AND NOT isnan(coherence)")
     y = F.log(F.greatest(F.least("coherence", F.lit(1.0)), F.lit(1e-6)))
     fit = used.agg(F.regr_slope(y, F.col("baseline").cast("double")).alias("slope"), F.count("*").alias("samples"))
     return fit.select(F.when((F.col("samples") >= 3) & (F.col("slope") < 0), -1 / F.col("slope")).alias("tau_days"), "samples")
@@ -77,12 +78,14 @@ def fusion(df: DataFrame, velocity: Column, mineral: Column, coherence: Column |
     """The joint anomaly of |velocity| and a mineral index, each between its 2nd and 98th percentile; 0 where incoherent."""
     parts = between_quantiles(df, {"velocity": F.abs(velocity), "mineral": mineral})
     both = weight_v * parts["velocity"] + weight_m * parts["mineral"]
-    return both if coherence is None else F.when(coherence >= limit, both).otherwise(F.lit(0.0))
+    return both if coherence is None else F.when(finite(coherence.cast("double")) >= limit, both).otherwise(F.lit(0.0))
 
 
 def active(velocity: Column, coherence: Column | None = None, least: float = 5.0, limit: float = COHERENCE_MID) -> Column:
-    moving = F.abs(velocity) >= least
-    return F.coalesce(moving if coherence is None else moving & (coherence >= limit), F.lit(False))
+    """Whether a pixel moves: |velocity| of at least `least` and, if there is one, a coherence of at least `limit`; false where either
+    is unknown (null, NaN, infinite)."""
+    moving = F.abs(finite(velocity.cast("double"))) >= least
+    return F.coalesce(moving if coherence is None else moving & (finite(coherence.cast("double")) >= limit), F.lit(False))
 
 
 def clusters(pixels: DataFrame, velocity: Column, coherence: Column | None = None, least: float = 5.0, limit: float = COHERENCE_MID, size: int = 5, least_pixels: int = 50) -> tuple[DataFrame, DataFrame]:
@@ -106,8 +109,10 @@ def lineaments(pixels: DataFrame, coherence: Column, limit: float = COHERENCE_MI
     """scene, y, x, strength (0 to 1, null where the coherence is unknown) and lineament: lines of low coherence.
 
     How far the coherence is under the limit (an unknown one counts as whole) is smoothed, averaged along lines of several
-    directions of which the largest counts, and set between its 2nd and 98th percentile; lineaments are the strongest pixels.
+    directions of which the largest counts, and set between the 2nd and 98th percentile of its scene; lineaments are the strongest pixels
+    of each scene.
     """
+    coherence = finite(coherence.cast("double"))
     low = F.greatest(F.lit(limit) - clip(F.coalesce(coherence, F.lit(1.0))), F.lit(0.0))
 
     def lines(values):
@@ -117,14 +122,23 @@ def lineaments(pixels: DataFrame, coherence: Column, limit: float = COHERENCE_MI
     known = pixels.select("scene", "y", "x", coherence.isNotNull().alias("known"))
     # Rounded, so that equal neighbourhoods are equal in whatever order they are summed.
     found = checkpointed(raw.join(known, ["scene", "y", "x"]).select("scene", "y", "x", F.when(F.col("known"), F.round("raw", 12)).alias("raw")))
-    least, first, last, most = quantiles_of(found, {"raw": (F.col("raw"), [0.0, 0.02, 0.98, 1.0])})["raw"]
-    strength = F.col("raw")
-    if least is not None and most - least > 1e-9:
-        strength = clip((strength - first) / (last - first + 1e-9))
-    scaled = found.select("scene", "y", "x", strength.alias("strength"))
-    over = quantiles(scaled, F.col("strength"), [share])[0]
-    line = F.lit(False) if over is None or over <= 1e-4 else F.coalesce((F.col("strength") >= over) & (F.col("strength") > 1e-4), F.lit(False))
-    return scaled.withColumn("lineament", line)
+    ends = scenes.quantiles_by(found, ["scene"], {"ends": (F.col("raw"), [0.0, 0.02, 0.98, 1.0])}).select("scene", "ends")
+    least, first, last, most = (F.col("ends")[k] for k in range(4))
+    strength = F.when(most - least > 1e-9, clip((F.col("raw") - first) / (last - first + 1e-9))).otherwise(F.col("raw"))
+    scaled = checkpointed(scenes.joined(found, ends, ["scene"]).select("scene", "y", "x", strength.alias("strength")))
+    limits = scenes.quantiles_by(scaled, ["scene"], {"over": (F.col("strength"), [share])}).select("scene", F.col("over")[0].alias("over"))
+    line = F.coalesce((F.col("over") > 1e-4) & (F.col("strength") >= F.col("over")) & (F.col("strength") > 1e-4), F.lit(False))
+    return scenes.joined(scaled, limits, ["scene"]).select("scene", "y", "x", "strength", line.alias("lineament"))
+
+
+def lineament_shares(found: DataFrame) -> DataFrame:
+    """scene and lineament_pixel_ratio: the share of lineament pixels among the scene's pixels of a known strength."""
+    return found.groupBy("scene").agg((F.count_if("lineament") / F.greatest(F.count("strength"), F.lit(1))).alias("lineament_pixel_ratio"))
+
+
+def high_shares(scored: DataFrame) -> DataFrame:
+    """high_anomaly_pixel_ratio of a fused score: the share of all pixels that is high."""
+    return scored.agg((F.count_if("high") / F.greatest(F.count("*"), F.lit(1))).alias("high_anomaly_pixel_ratio"))
 
 
 MODES = ("coherence_stability", "velocity_cluster", "fusion_mineral", "structural_attribution")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regolith.functions.bands import clip
+from regolith.functions.bands import clip, finite
 
 #: Values of a column up to which one exact percentile aggregate is used.
 DIRECT_ROWS = 2_000_000
@@ -27,7 +27,8 @@ def quantiles(df: DataFrame, column: Column, probabilities: Sequence[float], dir
 
 
 def quantiles_of(df: DataFrame, wanted: Mapping[str, tuple[Column, Sequence[float]]], direct_rows: int | None = None) -> dict[str, list[float | None]]:
-    """Exact quantiles with linear interpolation of many columns together; nulls are left out, None for an empty sample.
+    """Exact quantiles with linear interpolation of many columns together; unknown values (null, NaN, infinite) are left out, None for an
+    empty sample.
 
     percentile() keeps each distinct value in one task. The first scan counts, and brackets each wanted rank by
     percentile_approx. Up to DIRECT_ROWS rows one percentile() of each column follows: two scans in all. Over that the second scan
@@ -39,7 +40,7 @@ def quantiles_of(df: DataFrame, wanted: Mapping[str, tuple[Column, Sequence[floa
     if not wanted:
         return {}
     names = {name: f"v{k}" for k, name in enumerate(wanted)}
-    values = df.select(*[wanted[name][0].cast("double").alias(v) for name, v in names.items()])
+    values = df.select(*[finite(wanted[name][0].cast("double")).alias(v) for name, v in names.items()])
     bounds = {name: F.array(*[F.lit(min(1.0, max(0.0, p + d))) for p in wanted[name][1] for d in (-width, width)]) for name in names}
     one = values.agg(*[F.count(v).alias(f"n{v}") for v in names.values()], *[F.percentile_approx(v, bounds[name], ACCURACY).alias(f"b{v}") for name, v in names.items()]).first()
     out: dict[str, list[float | None]] = {name: [None] * len(wanted[name][1]) for name in names}
@@ -112,25 +113,35 @@ def with_row(df: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def threshold(df: DataFrame, index: Column, method: str = "mean_std", k: float = 2.0) -> float | None:
-    """The anomaly threshold of an index: mean_std (population deviation), median_mad or percentile (95); None without values."""
+    """The anomaly threshold of an index over a whole table, see thresholds; scene by scene: operators.scenes."""
+    return thresholds(df, {"t": index}, method, k)["t"]
+
+
+def thresholds(df: DataFrame, layers: Mapping[str, Column], method: str = "mean_std", k: float = 2.0) -> dict[str, float | None]:
+    """The anomaly thresholds of many indices together: mean_std (population deviation), median_mad or percentile (95); None without
+    values. Of any number of layers mean_std takes one scan, and all medians come from one quantiles_of, all deviations from another."""
     if method == "percentile":
-        return quantiles(df, index, [0.95])[0]
+        return {name: found[0] for name, found in quantiles_of(df, {name: (c, [0.95]) for name, c in layers.items()}).items()}
     if method == "median_mad":
-        middle = quantiles(df, index, [0.5])[0]
-        return None if middle is None else middle + k * MAD_SCALE * quantiles(df, F.abs(index - middle), [0.5])[0]
+        middle = {name: found[0] for name, found in quantiles_of(df, {name: (c, [0.5]) for name, c in layers.items()}).items()}
+        apart = quantiles_of(df, {name: (F.abs(finite(layers[name].cast("double")) - m), [0.5]) for name, m in middle.items() if m is not None})
+        return {name: None if m is None else m + k * MAD_SCALE * apart[name][0] for name, m in middle.items()}
     if method != "mean_std":
         raise ValueError(f"unknown threshold method: {method}")
-    return df.agg((F.avg(index) + k * F.stddev_pop(index)).alias("t")).first().t
+    if not layers:
+        return {}
+    own = {f"t{i}": finite(c.cast("double")) for i, c in enumerate(layers.values())}
+    return dict(zip(layers, df.agg(*[(F.avg(c) + k * F.stddev_pop(c)).alias(t) for t, c in own.items()]).first(), strict=True))
 
 
 def over(index: Column, limit: float | None) -> Column:
-    """Whether an index is strictly over its threshold; false for null and without a threshold."""
-    return F.coalesce(index > limit, F.lit(False)) if limit is not None else F.lit(False)
+    """Whether an index is strictly over its threshold; false where it is unknown (null, NaN, infinite) and without a threshold."""
+    return F.coalesce(finite(index.cast("double")) > limit, F.lit(False)) if limit is not None else F.lit(False)
 
 
 def anomaly_ratio(mask: Column, index: Column, roi: Column | None = None) -> Column:
     """The share of anomalies: of all pixels of the region with one, else of the pixels with a value."""
-    base = F.count_if(roi) if roi is not None else F.count(index)
+    base = F.count_if(roi) if roi is not None else F.count(finite(index.cast("double")))
     hits = F.count_if(mask & roi) if roi is not None else F.count_if(mask)
     return hits / F.greatest(base, F.lit(1))
 
@@ -145,7 +156,7 @@ def normalized(x: Column, low: float | None, high: float | None, null_as: float
     """x between two of its quantiles as 0 to 1; zeros for an empty or constant layer. null_as: what null becomes, if anything."""
     if low is None or high - low < 1e-9:
         return F.lit(0.0)
-    out = clip((x - low) / (high - low))
+    out = clip((finite(x.cast("double")) - low) / (high - low))
     return out if null_as is None else F.coalesce(out, F.lit(null_as))
 
 
@@ -156,7 +167,8 @@ def stretched(df: DataFrame, layers: Mapping[str, Column], low: float = 0.02, hi
     out = {}
     for name, c in layers.items():
         a, b = found[name]
-        value = F.when(c.isNotNull(), F.lit(0.0)) if a is None else clip((c - a) / max(b - a, 1e-6))
+        own = finite(c.cast("double"))
+        value = F.when(own.isNotNull(), F.lit(0.0)) if a is None else clip((own - a) / max(b - a, 1e-6))
         out[name] = value if gamma is None else F.coalesce(F.pow(value, F.lit(gamma)), F.lit(0.0))
     return out
 
@@ -164,7 +176,7 @@ def stretched(df: DataFrame, layers: Mapping[str, Column], low: float = 0.02, hi
 def soft_over(df: DataFrame, index: Column, limit: float, roi: Column | None = None, share: float = 0.95) -> Column:
     """How far an index is over its threshold, as 0 to 1, for display: 1 at the 95th percentile of what is over it (or, if nothing is,
     at the largest value); 0 outside the region and where unknown."""
-    own = index if roi is None else F.when(roi, index)
+    own = finite((index if roi is None else F.when(roi, index)).cast("double"))
     found = quantiles_of(df, {"over": (F.when(own > limit, own), [share]), "all": (own, [1.0])})
     top = found["over"][0] if found["over"][0] is not None else found["all"][0]
     if top is None:
