@@ -1,4 +1,4 @@
-"""Principal components of bands: covariance in one aggregate, the small eigenproblem on the driver, projection as a column."""
+"""Principal components of bands: covariance in one scan, the small eigenproblem on the driver, projection as a column."""
 
 from __future__ import annotations
 
@@ -9,6 +9,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regolith.functions.bands import finite
+from regolith.operators import moments
+
+#: Bands up to which one aggregate in the JVM gives all covariances; more would make a plan of their number squared.
+FEW_BANDS = 8
+
 
 @dataclass
 class Component:
@@ -19,9 +25,14 @@ class Component:
 
 
 def covariance(df: DataFrame, bands: Sequence[str], sample: Column | None = None) -> tuple[int, list[float], np.ndarray]:
-    """Rows, means and sample covariances over rows where all bands are known."""
-    rows = df.where(" AND ".join(f"{b} IS NOT NULL" for b in bands))
-    rows = rows if sample is None else rows.where(sample)
+    """Rows, means and sample covariances over rows where all bands are known: by one aggregate for up to FEW_BANDS bands, by blocks of
+    moments (see operators.moments) for more."""
+    rows = df if sample is None else df.where(sample)
+    rows = rows.select(*[finite(F.col(b).cast("double")).alias(b) for b in bands])
+    if len(bands) > FEW_BANDS:
+        n, mean, out = moments.covariance(rows)
+        return (n, mean.tolist(), out) if n else (0, [0.0] * len(bands), np.zeros((len(bands), len(bands))))
+    rows = rows.dropna()
     pairs = [(i, j) for i in range(len(bands)) for j in range(i, len(bands))]
     got = rows.agg(F.count("*").alias("n"), *[F.avg(b) for b in bands], *[F.covar_samp(bands[i], bands[j]) for i, j in pairs]).first()
     out = np.zeros((len(bands), len(bands)))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regolith.functions import bands as b
-from regolith.operators import batch, evidence, grid, pca, stats, unmixing
+from regolith.operators import batch, evidence, grid, moments, pca, stats, unmixing
 from regolith.plans import views
 from regolith.plans.catalog import query
 from regolith.session import shared_folder
@@ -162,6 +162,44 @@ def pca_k4_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, own.index + 1, own.sign, *map(float, row)) for n, row in zip(names, own.loadings, strict=True)], "band string, pc int, sign int, pc1 double, pc2 double, pc3 double, pc4 double")
 
 
+@query("pca_k4_equations", f"""WITH {views.RASTER}, c AS (SELECT {', '.join(f'covar_samp(B{i}, B{j}) AS c{i}{j}' for i in range(1, 5) for j in range(1, 5))} FROM px)
+SELECT * FROM ({' UNION ALL '.join(f'SELECT {i} AS i, {j} AS j, round(c{i}{j}, 4) AS covariance, {int(i == j)}::DOUBLE AS unit FROM c' for i in range(1, 5) for j in range(1, 5))})""")
+def pca_k4_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the components' equations give back: the covariances from variances and loadings, and the products of loadings."""
+    names = ["B1", "B2", "B3", "B4"]
+    px = views.raster(spark, sf_dir)
+    own = pca.crosta(px, names, ["B4"], ["B2"]).loadings
+    variances = np.diag(own.T @ pca.covariance(px, names)[2] @ own)
+    back, unit = own @ np.diag(variances) @ own.T, own @ own.T
+    rows = [(i + 1, j + 1, float(back[i, j]), float(unit[i, j])) for i in range(4) for j in range(4)]
+    found = spark.createDataFrame(rows, "i int, j int, covariance double, unit double")
+    return found.select("i", "j", F.round("covariance", 4).alias("covariance"), F.round(F.abs("unit"), 6).alias("unit"))
+
+
+_PAIRS = f"""WITH {views.SPECTRA}, v AS (SELECT vec_id, unnest(s) AS x, unnest(range(1, 65)) AS i FROM cube), m AS (SELECT i, avg(x) AS mean FROM v GROUP BY i),
+ d AS (SELECT vec_id, v.i, x - mean AS x FROM v JOIN m ON v.i = m.i), c AS (SELECT a.i, b.i AS j, sum(a.x * b.x) / (count(*) - 1) AS c FROM d a JOIN d b ON a.vec_id = b.vec_id GROUP BY a.i, b.i)"""
+
+
+@query("spectrum_covariance", f"{_PAIRS} SELECT i::INT AS i, j::INT AS j, round(c, 8) AS covariance FROM c")
+def spectrum_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All covariances of the 64 bands of the spectra, by one scan."""
+    _, _, found = moments.covariance(views.spectra(spark, sf_dir).select("spectrum"))
+    rows = [(i + 1, j + 1, float(found[i, j])) for i in range(len(found)) for j in range(len(found))]
+    return spark.createDataFrame(rows, "i int, j int, covariance double").withColumn("covariance", F.round("covariance", 8))
+
+
+@query("spectrum_components", f"{_PAIRS} SELECT round(sum(CASE WHEN i = j THEN c END), 6) AS variance, round(sum(c * c), 6) AS squares, (SELECT count(*) FROM cube) AS n FROM c")
+def spectrum_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spectra on all their components: the variances of the scores add up to the covariance's trace, their squares to the sum of its
+    squared entries, and scores of different components go apart."""
+    spectra = views.spectra(spark, sf_dir)
+    _, mean, found = moments.covariance(spectra.select("spectrum"))
+    loadings = np.linalg.eigh(found)[1][:, ::-1]
+    scores = moments.projected(spectra, "spectrum", mean, loadings)
+    by = scores.select(F.posexplode("scores").alias("k", "score")).groupBy("k").agg(F.var_samp("score").alias("variance"), F.count("*").alias("n"))
+    return by.agg(F.round(F.sum("variance"), 6).alias("variance"), F.round(F.sum(F.col("variance") ** 2), 6).alias("squares"), F.max("n").alias("n"))
+
+
 def _safe(a: str, c: str) -> str:
     return f"CASE WHEN abs({c}) > 1e-6 THEN ({a}) / ({c}) END"
 
