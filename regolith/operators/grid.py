@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regolith.functions.bands import finite
 from regolith.session import checkpointed
 
 
@@ -137,18 +139,69 @@ def segments(vertices: DataFrame, line: str = "line_id", order: str = "seq") ->
     return pairs.where("x2 IS NOT NULL")
 
 
-def crossings(lines: DataFrame, cell: float) -> DataFrame:
-    """seg_a, seg_b, x, y of each pair of segments that cross. Segments meet in the cells of a grid that their boxes touch, so
-    that far ones are never compared; parallel ones are left out."""
-    cells = [F.explode(F.sequence(F.floor(F.least(a, b) / cell), F.floor(F.greatest(a, b) / cell))) for a, b in (("x1", "x2"), ("y1", "y2"))]
-    placed = lines.withColumn("cx", cells[0]).withColumn("cy", cells[1])
-    a = placed.select(*[F.col(c).alias(f"a_{c}") for c in lines.columns], "cx", "cy")
-    b = placed.select(*[F.col(c).alias(f"b_{c}") for c in lines.columns], "cx", "cy")
-    both = a.join(b, ["cx", "cy"]).where("a_seg < b_seg")
+def levels_of(*tables: DataFrame) -> list[int]:
+    """The levels (column _level) of tables of placed shapes, ascending: a power of two is a level, so there are few."""
+    own = functools.reduce(DataFrame.unionByName, [t.select("_level").distinct() for t in tables]).distinct()
+    return sorted(r[0] for r in own.collect() if r[0] is not None)
+
+
+def _level(size: Column, share: float) -> Column:
+    """The level whose cells (2 ** level wide) are at least `share` of a shape's size; null for a shape without size."""
+    return F.when(size > 0, F.ceil(F.log2(size * F.lit(share))).cast("int"))
+
+
+#: A segment lies in about so many cells of its own level; a box in four at most.
+ALONG = 16
+
+
+def _cells_along(segments: DataFrame, level: Column) -> DataFrame:
+    """The segments (x1, y1, x2, y2) with each cell (_l, _cx, _cy) of a level that they touch, a millionth of a cell around them included:
+    columns of cells first, then in each the cells that the segment passes there."""
+    width, pad = F.pow(F.lit(2.0), level), 1e-6
+    x1, y1, x2, y2 = (F.col(c) / width for c in ("x1", "y1", "x2", "y2"))
+    low, high = F.least(x1, x2), F.greatest(x1, x2)
+    columns = segments.withColumn("_l", level).withColumn("_cx", F.explode(F.sequence(F.floor(low - pad), F.floor(high + pad))))
+    slope = F.when(x1 != x2, (y2 - y1) / (x2 - x1))
+
+    def at(x: Column) -> Column:
+        return y1 + (x - x1) * slope
+
+    first, last = F.greatest(low, F.least(high, F.col("_cx") - pad)), F.least(high, F.greatest(low, F.col("_cx") + 1 + pad))
+    a, b = F.coalesce(at(first), y1), F.coalesce(at(last), y2)
+    return columns.withColumn("_cy", F.explode(F.sequence(F.floor(F.least(a, b) - pad), F.floor(F.greatest(a, b) + pad))))
+
+
+def _met(homes: DataFrame, visits: DataFrame) -> DataFrame:
+    """Shapes in the same cell. Exploded tables are never sent whole to all tasks, whatever their size seemed before."""
+    return homes.join(visits.hint("merge"), ["_l", "_cx", "_cy"])
+
+
+def crossings(lines: DataFrame) -> DataFrame:
+    """seg_a, seg_b, x, y of each pair of segments (seg, x1, y1, x2, y2) that cross, a shared end included; parallel ones are left out.
+
+    Segments of any lengths meet in cells of several levels: each is at home in the cells along it of a level by its own size, about
+    ALONG of them, and visits the cells that it touches of each higher level that is in use. A pair meets at the higher of its two
+    levels, so a long segment meets only short ones near it, and cells are as small as what is in them. Segments with a coordinate that
+    is unknown or infinite are left out.
+    """
+    sides = ("x1", "y1", "x2", "y2")
+    known = lines.select("seg", *[finite(F.col(c).cast("double")).alias(c) for c in sides]).dropna(subset=list(sides))
+    size = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
+    placed = known.withColumn("_level", _level(size, 1 / ALONG)).where("_level IS NOT NULL")
+    levels = levels_of(placed)
+    if not levels:
+        levels = [0]
+    homes = _cells_along(placed, F.col("_level")).select("_l", "_cx", "_cy", F.struct("seg", *sides).alias("h"))
+    above = placed.withColumn("_l", F.explode(F.filter(F.lit(levels), lambda l: l >= F.col("_level"))))
+    visits = _cells_along(above, F.col("_l")).select("_l", "_cx", "_cy", "_level", F.struct("seg", *sides).alias("v"))
+    both = _met(homes, visits).where((F.col("_level") < F.col("_l")) | (F.col("h.seg") < F.col("v.seg")))
+    first = F.col("h.seg") < F.col("v.seg")
+    pair = both.select(F.when(first, F.col("h")).otherwise(F.col("v")).alias("a"), F.when(first, F.col("v")).otherwise(F.col("h")).alias("b"))
+    pair = pair.select(*[F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "ab" for c in ("seg", *sides)])
     d = F.expr("(a_x2 - a_x1) * (b_y2 - b_y1) - (a_y2 - a_y1) * (b_x2 - b_x1)")
     t = F.expr("((b_x1 - a_x1) * (b_y2 - b_y1) - (b_y1 - a_y1) * (b_x2 - b_x1)) / d")
     u = F.expr("((b_x1 - a_x1) * (a_y2 - a_y1) - (b_y1 - a_y1) * (a_x2 - a_x1)) / d")
-    met = both.withColumn("d", d).where("abs(d) >= 1e-12").withColumn("t", t).withColumn("u", u).where("t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1")
+    met = pair.withColumn("d", d).where("abs(d) >= 1e-12").withColumn("t", t).withColumn("u", u).where("t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1")
     return met.select(F.col("a_seg").alias("seg_a"), F.col("b_seg").alias("seg_b"), F.expr("a_x1 + t * (a_x2 - a_x1)").alias("x"), F.expr("a_y1 + t * (a_y2 - a_y1)").alias("y")).distinct()
 
 
@@ -159,19 +212,42 @@ def crossing_points(found: DataFrame, digits: int = 9) -> DataFrame:
     return near.agg(F.count("*").alias("crossings"))
 
 
-def overlaps(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
-    """a joined to b where their boxes (west, south, east, north) touch. Boxes meet in the cells of a grid, and each pair counts only
-    in the cell of the corner where both begin, so no pair comes twice and far boxes are never compared. Columns of a and b must
-    differ but for the sides, of which a's and b's come as a_west, b_west, ...; cell: about the size of a box."""
+def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a joined to b where their boxes (west, south, east, north) touch, of any sizes.
+
+    Boxes meet in cells of several levels: each is at home in at most four cells of a level by its own size, and visits the cells that it
+    touches of each higher level that is in use. A pair meets at the higher of its two levels and counts only in the cell of the corner
+    where both begin, so no pair comes twice, and boxes are compared with near ones alone. Columns of a and b must differ but for the
+    sides, of which a's and b's come as a_west, b_west, ...; boxes with an unknown or infinite side, or whose sides are the wrong way
+    round, touch nothing.
+    """
     sides = ("west", "south", "east", "north")
 
     def placed(boxes: DataFrame, prefix: str) -> DataFrame:
-        own = boxes.withColumnsRenamed({s: f"{prefix}_{s}" for s in sides})
-        for side, low, high in (("cx", "west", "east"), ("cy", "south", "north")):
-            own = own.withColumn(side, F.explode(F.sequence(F.floor(F.col(f"{prefix}_{low}") / cell), F.floor(F.col(f"{prefix}_{high}") / cell))))
-        return own
+        own = boxes.withColumnsRenamed({s: f"{prefix}_{s}" for s in sides}).withColumns({f"_{prefix}_{s}": finite(F.col(f"{prefix}_{s}").cast("double")) for s in sides})
+        own = own.where(f"_{prefix}_west <= _{prefix}_east AND _{prefix}_south <= _{prefix}_north").drop(*[f"_{prefix}_{s}" for s in sides])
+        return own.withColumn("_level", _level(F.greatest(F.col(f"{prefix}_east") - F.col(f"{prefix}_west"), F.col(f"{prefix}_north") - F.col(f"{prefix}_south")).cast("double"), 1.0))
+
+    def in_cells(boxes: DataFrame, prefix: str) -> DataFrame:
+        for side, low, high in (("_cx", "west", "east"), ("_cy", "south", "north")):
+            width = F.pow(F.lit(2.0), F.col("_l"))
+            boxes = boxes.withColumn(side, F.explode(F.sequence(F.floor(F.col(f"{prefix}_{low}") / width), F.floor(F.col(f"{prefix}_{high}") / width))))
+        return boxes
+
+    left, right = placed(a, "a"), placed(b, "b")
+    levels = levels_of(left, right) or [0]
+    # Boxes without a size are at home in the smallest cells in use.
+    left, right = (t.withColumn("_level", F.coalesce("_level", F.lit(levels[0]))) for t in (left, right))
+
+    def homes(boxes: DataFrame, prefix: str) -> DataFrame:
+        return in_cells(boxes.withColumn("_l", F.col("_level")), prefix).drop("_level")
+
+    def visits(boxes: DataFrame, prefix: str, same: bool) -> DataFrame:
+        higher = F.filter(F.lit(levels), lambda l: (l >= F.col("_level")) if same else (l > F.col("_level")))
+        return in_cells(boxes.withColumn("_l", F.explode(higher)), prefix).drop("_level")
 
-    met = placed(a, "a").join(placed(b, "b"), ["cx", "cy"])
+    met = _met(homes(left, "a"), visits(right, "b", True)).unionByName(_met(homes(right, "b"), visits(left, "a", False)))
     touch = "a_east >= b_west AND a_west <= b_east AND a_north >= b_south AND a_south <= b_north"
-    first = (F.floor(F.greatest("a_west", "b_west") / cell) == F.col("cx")) & (F.floor(F.greatest("a_south", "b_south") / cell) == F.col("cy"))
-    return met.where(touch).where(first).drop("cx", "cy")
+    width = F.pow(F.lit(2.0), F.col("_l"))
+    first = (F.floor(F.greatest("a_west", "b_west") / width) == F.col("_cx")) & (F.floor(F.greatest("a_south", "b_south") / width) == F.col("_cy"))
+    return met.where(touch).where(first).drop("_l", "_cx", "_cy")

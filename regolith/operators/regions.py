@@ -109,11 +109,11 @@ def in_pixels(vertices: DataFrame, profiles: DataFrame) -> DataFrame:
     return world.withColumns({"x": column, "y": row}).where("x IS NOT NULL AND y IS NOT NULL").select("scene", "region", "part", "ring", "seq", "x", "y")
 
 
-def meeting(vertices: DataFrame, boxes: DataFrame, size: float = 1.0) -> DataFrame:
+def meeting(vertices: DataFrame, boxes: DataFrame) -> DataFrame:
     """vertices (region, part, ring, seq, lon, lat) with the `scene` of each raster whose box (scene, west, south, east, north in degrees)
     their region's box meets."""
     own = vertices.groupBy("region").agg(F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"))
-    pairs = grid.overlaps(own, boxes.select("scene", "west", "south", "east", "north").where("west IS NOT NULL"), cell=size).select("region", "scene")
+    pairs = grid.overlaps(own, boxes.select("scene", "west", "south", "east", "north")).select("region", "scene")
     return vertices.join(pairs, "region").select("scene", "region", "part", "ring", "seq", "lon", "lat")
 
 

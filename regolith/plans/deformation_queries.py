@@ -132,7 +132,7 @@ def _crossed(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = views.read(spark, sf_dir, "orders").select(
         site.alias("line_id"), key.alias("seq"), (site % SITES + F.pmod(F.col("o_totalprice") * 100, F.lit(997)) * 1.2 / 997).alias("lon"), (F.floor(site / SITES) + key * 37 % 1009 * 1.2 / 1009).alias("lat")
     )
-    return grid.crossings(grid.segments(points), cell=1.0)
+    return grid.crossings(grid.segments(points))
 
 
 @query("segment_intersections", f"{_CROSSED} SELECT x, y, count(*) AS crossings FROM c GROUP BY x, y")

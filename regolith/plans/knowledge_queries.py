@@ -185,7 +185,7 @@ def overlap_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     rois = views.read(spark, sf_dir, "supplier").select(s.alias("roi"), (s % 50).alias("west"), (s % 50 + 6.5).alias("east"), F.col("s_nationkey").alias("south"), (F.col("s_nationkey") + 5.25).alias("north"))
     products = views.read(spark, sf_dir, "nation").select(n.alias("product"), (n * 2).alias("west"), (n * 2 + 9).alias("east"), n.alias("south"), (n + 7).alias("north"))
     area = overlap_area(*({k: F.col(f"{t}_{k}").cast("double") for k in ("west", "south", "east", "north")} for t in ("a", "b")))
-    return knowledge.best_by_overlap(overlaps(rois, products, cell=8.0).select("roi", "product", area.alias("area")), "roi", "product").select("roi", "product", F.round("area", 4).alias("area"))
+    return knowledge.best_by_overlap(overlaps(rois, products).select("roi", "product", area.alias("area")), "roi", "product").select("roi", "product", F.round("area", 4).alias("area"))
 
 
 @query("kb_semi", "SELECT p_partkey, p_brand FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size > 48)")

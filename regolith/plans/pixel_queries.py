@@ -134,7 +134,7 @@ def bbox_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rois = px.groupBy(F.col("B3").alias("roi")).agg(*sides)
     products = px.groupBy(F.floor(F.col("y") / 7).alias("product")).agg(*sides)
     area = grid.overlap_area(*({k: F.col(f"{t}_{k}").cast("double") for k in ("west", "south", "east", "north")} for t in ("a", "b")))
-    return grid.overlaps(rois, products, cell=50.0).groupBy("roi").agg(F.count("*").alias("n_products"), F.round(F.max(area), 4).alias("best_area"))
+    return grid.overlaps(rois, products).groupBy("roi").agg(F.count("*").alias("n_products"), F.round(F.max(area), 4).alias("best_area"))
 
 
 @query("pca_cov_matrix", f"""WITH {views.RASTER} SELECT round(covar_samp(B1, B1), 4) AS c11, round(covar_samp(B1, B2), 4) AS c12, round(covar_samp(B1, B3), 4) AS c13,

@@ -151,17 +151,17 @@ def areas_with_stacks(spark: SparkSession, path: str) -> DataFrame:
     return meta.select(area.alias("area")).where("area <> ''").groupBy("area").agg(F.count("*").alias("pairs")).orderBy("area")
 
 
-def resolve_projects(wanted: DataFrame, projects: DataFrame, cell: float = 1.0) -> DataFrame:
+def resolve_projects(wanted: DataFrame, projects: DataFrame) -> DataFrame:
     """wanted (name, and west, south, east, north or nulls) with the project that it means and how that was found: the same id, the
     same name, the same normalised name, else the one whose box it overlaps most; null and none where there is none. projects
-    (id, project, and a box or nulls); of equals the first by id. cell: as in grid.overlaps."""
+    (id, project, and a box or nulls); of equals the first by id."""
     own = projects.select("id", "project")
     by = {"id": F.col("id").cast("string"), "exact": F.col("project"), "normalized": directory_name(F.col("project"))}
     keyed = own.select("id", "project", F.explode(F.array(*[F.struct(F.lit(r).alias("rank"), F.lit(k).alias("how"), c.alias("key")) for r, (k, c) in enumerate(by.items())])).alias("k")).select("id", "project", "k.*")
     names = wanted.select("name").distinct().select("name", F.explode(F.array(*[F.struct(F.lit(r).alias("rank"), (directory_name(F.col("name")) if k == "normalized" else F.col("name")).alias("key")) for r, k in enumerate(by)])).alias("n")).select("name", "n.*")
     named = names.join(keyed, ["rank", "key"]).groupBy("name").agg(F.min_by(F.struct("project", "how"), F.struct("rank", "id")).alias("n"))
     sides = ["west", "south", "east", "north"]
-    rest = overlaps(wanted.join(named, "name", "left_anti").where("west IS NOT NULL").select("name", *sides), projects.where("west IS NOT NULL").select("id", "project", *sides), cell)
+    rest = overlaps(wanted.join(named, "name", "left_anti").where("west IS NOT NULL").select("name", *sides), projects.where("west IS NOT NULL").select("id", "project", *sides))
     area = (F.least("a_east", "b_east") - F.greatest("a_west", "b_west")) * (F.least("a_north", "b_north") - F.greatest("a_south", "b_south"))
     near = rest.where(area > 0).groupBy("name").agg(F.min_by(F.struct(F.col("project"), F.lit("spatial").alias("how")), F.struct(-area, F.col("id"))).alias("n"))
     return wanted.join(named.unionByName(near), "name", "left").select(*wanted.columns, F.col("n.project").alias("project"), F.coalesce("n.how", F.lit("none")).alias("how"))

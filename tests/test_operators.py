@@ -124,7 +124,7 @@ def test_closing_ends_at_the_edge(spark):
 
 def test_crossings_include_shared_vertices(spark):
     points = [(1, 0, 0.0, 0.0), (1, 1, 2.0, 2.0), (1, 2, 4.0, 0.0), (2, 0, 0.0, 2.0), (2, 1, 2.5, 0.0), (3, 0, 9.0, 9.0), (3, 1, 9.0, 8.0)]
-    found = grid.crossings(grid.segments(spark.createDataFrame(points, "line_id int, seq int, lon double, lat double")), 1.0).collect()
+    found = grid.crossings(grid.segments(spark.createDataFrame(points, "line_id int, seq int, lon double, lat double"))).collect()
     assert sorted((round(r.x, 4), round(r.y, 4)) for r in found) == [(1.1111, 1.1111), (2.0, 2.0)]
 
 
@@ -402,7 +402,7 @@ def test_candidates_of_equal_confidence_come_by_their_place(spark):
 
 def test_distinct_crossings(spark):
     points = [(1, 0, 0.0, 0.0), (1, 1, 2.0, 2.0), (2, 0, 0.0, 2.0), (2, 1, 2.0, 0.0), (3, 0, 1.0, 0.0), (3, 1, 1.0, 2.0)]
-    found = grid.crossings(grid.segments(spark.createDataFrame(points, "line_id int, seq int, lon double, lat double")), 1.0)
+    found = grid.crossings(grid.segments(spark.createDataFrame(points, "line_id int, seq int, lon double, lat double")))
     assert found.count() == 3 and [tuple(r) for r in grid.crossing_points(found).collect()] == [(1.0, 1.0, 3)]
 
 
@@ -414,8 +414,7 @@ def test_boxes_meet_once(spark):
         boxes.append([(int(i), *map(float, (*a, *(a + s)))) for i, (a, s) in enumerate(zip(low, np.round(own.random((60, 2)) * 5, 1), strict=True))] + [(100, -3.0, 2.0, -3.0, 9.0), (101, 4.0, 4.0, 6.0, 6.0), (102, 6.0, 1.0, 8.0, 4.0)])
     a, b = (spark.createDataFrame(x, f"{n} int, west double, south double, east double, north double") for n, x in zip(("i", "j"), boxes, strict=True))
     wanted = sorted((i, j) for i, w, s, e, n in boxes[0] for j, w2, s2, e2, n2 in boxes[1] if w <= e2 and e >= w2 and s <= n2 and n >= s2)
-    for cell in (1.0, 7.0):
-        assert sorted((r.i, r.j) for r in grid.overlaps(a, b, cell).collect()) == wanted
+    assert sorted((r.i, r.j) for r in grid.overlaps(a, b).collect()) == wanted
 
 
 def test_cells_on_the_outline(spark):
