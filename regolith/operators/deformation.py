@@ -48,6 +48,11 @@ def velocity(rated: DataFrame) -> DataFrame:
     return rated.groupBy("y", "x").agg(F.median("rate").alias("velocity"), F.count("rate").alias("n_valid"))
 
 
+def pairs_used(rated: DataFrame) -> int:
+    """How many pairs the rates come from: those that go forward in time."""
+    return rated.select("pair").distinct().count()
+
+
 def velocity_summary(pixels: DataFrame) -> DataFrame:
     v = F.col("velocity")
     return pixels.agg(F.avg(v).alias("mean_velocity"), F.lit(quantiles(pixels, v, [0.5])[0]).cast("double").alias("median_velocity"), F.min(v).alias("subsidence_max"), F.max(v).alias("uplift_max"))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regolith.functions.bands import clip
+from regolith.functions.bands import clip, finite
 from regolith.operators.stats import normalized, quantiles, quantiles_of
 
 #: Fixed: default weights of evidence layers, and that of a layer without one.
@@ -21,6 +21,12 @@ def proximity(distance: Column, scale: float | None) -> Column:
     return F.coalesce(F.exp(-distance / ((scale or 1.0) + 1e-9)), F.lit(0.0))
 
 
+def mean_light(df: DataFrame, hillshade: Column) -> float | None:
+    """The mean of what a relief's light is over 0, by which terrain_normalized measures it; None where nothing is lit."""
+    own = finite(hillshade.cast("double"))
+    return df.agg(F.avg(F.when(own > 0, own)).alias("light")).first().light
+
+
 def terrain_normalized(index: Column, hillshade: Column, mean_light: float | None) -> Column:
     """The index over the relative light, which is bounded by 0.3 and 3; unchanged without any light."""
     return index if mean_light is None else index / clip(hillshade / (mean_light + 1e-6), 0.3, 3.0)

@@ -85,6 +85,11 @@ def unmix(pixels: DataFrame, bands: Sequence[str], members: np.ndarray, names: S
     return rows.mapInArrow(run, schema)
 
 
+def summary(unmixed: DataFrame) -> DataFrame:
+    """n_unmixed and mean_rmse (null for none) of unmix()'s pixels."""
+    return unmixed.agg(F.count("*").alias("n_unmixed"), F.avg("rmse").alias("mean_rmse"))
+
+
 def exposure(ndvi: Column, bsi: Column, ndvi_max: float = 0.25, bsi_min: float = 0.0) -> Column:
     """Whether a pixel is bare ground; false where an index is unknown."""
     return F.coalesce((ndvi < ndvi_max) & (bsi > bsi_min), F.lit(False))

@@ -60,12 +60,10 @@ def coherence_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
  q AS (SELECT quantile_cont(v, 0.02) vl, quantile_cont(v, 0.98) vh, quantile_cont(m, 0.02) ml, quantile_cont(m, 0.98) mh FROM s),
  f AS (SELECT y, x, CASE WHEN coh >= 0.3 THEN 0.5 * greatest(least((v - vl) / (vh - vl), 1), 0) + 0.5 * greatest(least((m - ml) / (mh - ml), 1), 0) ELSE 0 END AS score FROM s, q),
  t AS (SELECT quantile_cont(score, 0.95) AS thr FROM f)
-SELECT y, x, round(score, 6)::DOUBLE AS score, score >= thr - 1e-9 AS high FROM f, t""")
+SELECT y, x, round(score, 6)::DOUBLE AS score, score >= thr AS high FROM f, t""")
 def deformation_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = views.raster(spark, sf_dir)
-    scored = px.select("y", "x", deformation.fusion(px, F.col("B1") - 80, F.col("B4"), F.col("B2") / 24).alias("score"))
-    limit = stats.quantiles(scored, F.col("score"), [0.95])[0]
-    return scored.select("y", "x", F.round("score", 6).alias("score"), (F.col("score") >= limit - 1e-9).alias("high"))
+    px = views.raster(spark, sf_dir).withColumns({"velocity": F.col("B1") - 80, "mineral": F.col("B4"), "coherence": F.col("B2") / 24})
+    return deformation.analyze(px, "fusion_mineral").select("y", "x", F.round("score", 6).alias("score"), "high")
 
 
 def _along(by: str, along: str, reach: int = 2) -> str:

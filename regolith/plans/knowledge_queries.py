@@ -118,7 +118,7 @@ def distinct_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CAND = """WITH cand AS (SELECT s_nationkey AS region, s_suppkey AS pos, 'T' || (s_suppkey % 8) AS structure_type, 0.5 + (s_suppkey * 7 % 50) / 100.0 AS confidence FROM supplier),
- map AS (SELECT 'T' || (p_size % 6) AS structure_type, min(p_partkey) AS map_pos, p_brand AS deposit FROM part WHERE p_size < 12 GROUP BY ALL), known AS (SELECT DISTINCT p_brand AS deposit FROM part WHERE p_size % 5 <> 0 AND p_size < 8)"""
+ map AS (SELECT 'T' || (p_size % 6) AS structure_type, min(p_partkey) AS map_pos, p_brand AS deposit FROM part GROUP BY 'T' || (p_size % 6), p_brand HAVING sum(p_size) % 4 = 0), known AS (SELECT p_brand AS deposit FROM part GROUP BY p_brand HAVING sum(p_size) % 3 <> 0)"""
 
 
 @query("structural_candidates", f"""{_CAND}, named AS (SELECT * FROM map WHERE deposit IN (SELECT deposit FROM known)),
@@ -145,14 +145,14 @@ def evidence_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.read(spark, sf_dir, "part").select("p_partkey", knowledge.evidence_text(parts, model, F.lit("summary")).alias("evidence"))
 
 
-@query("nearby_context", """WITH s AS (SELECT c_nationkey AS region, c_custkey AS pos, 'site' || (c_custkey % 40) AS name, 'K' || (c_custkey % 30) AS code FROM customer WHERE c_acctbal > 9000),
- k AS (SELECT DISTINCT 'K' || p_size AS code, 'metal' || (p_size % 5) AS commodity FROM part WHERE p_size < 20), c AS (SELECT region, string_agg(DISTINCT commodity, ',' ORDER BY commodity) AS commodities FROM s JOIN k ON s.code = k.code GROUP BY region),
+@query("nearby_context", """WITH s AS (SELECT c_nationkey AS region, c_custkey AS pos, 'site' || (c_custkey % 40) AS name, 'K' || (c_custkey % 30) AS code FROM customer),
+ k AS (SELECT DISTINCT 'K' || p_size AS code, 'metal' || (p_size % 5) AS commodity FROM part), c AS (SELECT region, string_agg(DISTINCT commodity, ',' ORDER BY commodity) AS commodities FROM s JOIN k ON s.code = k.code GROUP BY region),
  n AS (SELECT region, name, min(pos) AS pos FROM s GROUP BY region, name), r AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY pos) AS i FROM n), g AS (SELECT region, string_agg(name, ',' ORDER BY i) AS sample_sites FROM r WHERE i <= 8 GROUP BY region)
 SELECT g.region, coalesce(commodities, '') AS commodities, sample_sites FROM g LEFT JOIN c ON g.region = c.region""")
 def nearby_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
-    sites = views.read(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("region"), key.alias("pos"), F.concat(F.lit("site"), key % 40).alias("name"), F.array(F.concat(F.lit("K"), key % 30)).alias("codes"))
-    codes = views.read(spark, sf_dir, "part").where("p_size < 20").select(F.concat(F.lit("K"), F.col("p_size")).alias("code"), F.concat(F.lit("metal"), F.col("p_size") % 5).alias("commodity"))
+    sites = views.read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("region"), key.alias("pos"), F.concat(F.lit("site"), key % 40).alias("name"), F.array(F.concat(F.lit("K"), key % 30)).alias("codes"))
+    codes = views.read(spark, sf_dir, "part").select(F.concat(F.lit("K"), F.col("p_size")).alias("code"), F.concat(F.lit("metal"), F.col("p_size") % 5).alias("commodity"))
     found = knowledge.nearby_context(sites, codes)
     return found.select("region", *[F.array_join(c, ",").alias(c) for c in ("commodities", "sample_sites")])
 
@@ -160,18 +160,18 @@ def nearby_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _structures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     candidates = views.read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("region"), F.col("s_suppkey").alias("pos"), F.concat(F.lit("T"), F.col("s_suppkey") % 8).alias("structure_type"), (0.5 + F.col("s_suppkey") * 7 % 50 / 100.0).alias("confidence"))
     part = views.read(spark, sf_dir, "part")
-    mapping = part.where("p_size < 12").groupBy(F.concat(F.lit("T"), F.col("p_size") % 6).alias("structure_type"), F.col("p_brand").alias("deposit")).agg(F.min("p_partkey").alias("map_pos"))
-    known = part.where("p_size % 5 <> 0 AND p_size < 8").select(F.col("p_brand").alias("deposit"))
+    mapping = part.groupBy(F.concat(F.lit("T"), F.col("p_size") % 6).alias("structure_type"), F.col("p_brand").alias("deposit")).agg(F.min("p_partkey").alias("map_pos"), F.sum("p_size").alias("n")).where("n % 4 = 0").drop("n")
+    known = part.groupBy(F.col("p_brand").alias("deposit")).agg(F.sum("p_size").alias("n")).where("n % 3 <> 0").select("deposit")
     return candidates, mapping, known
 
 
 @query("corroboration_bonus", """WITH cand AS (SELECT s_nationkey AS region, s_suppkey AS pos, s_name AS deposit, s_suppkey % 9 AS commodity, s_acctbal / 9000 AS confidence FROM supplier),
- near AS (SELECT DISTINCT c_nationkey AS region, c_custkey % 9 AS commodity FROM customer WHERE c_acctbal > 9000),
+ near AS (SELECT c_nationkey AS region, c_custkey % 9 AS commodity FROM customer GROUP BY c_nationkey, c_custkey % 9 HAVING count(*) % 2 = 0),
  r AS (SELECT c.region, pos, deposit, round(least(greatest(least(confidence, 1.0), 0.0) + CASE WHEN n.region IS NULL THEN 0.0 ELSE 0.1 END, 1.0), 3) AS confidence FROM cand c LEFT JOIN near n ON c.region = n.region AND c.commodity = n.commodity)
 SELECT region, deposit, confidence::DOUBLE AS confidence, rank FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY confidence DESC, pos)::INT AS rank FROM r) WHERE rank <= 3""")
 def corroboration_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates = views.read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("region"), F.col("s_suppkey").alias("pos"), F.col("s_name").alias("deposit"), (F.col("s_suppkey") % 9).alias("commodity"), (F.col("s_acctbal") / 9000).alias("confidence"))
-    nearby = views.read(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("region"), (F.col("c_custkey") % 9).alias("commodity"))
+    nearby = views.read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("region"), (F.col("c_custkey") % 9).alias("commodity")).agg(F.count("*").alias("n")).where("n % 2 = 0").drop("n")
     return knowledge.corroborated(candidates, nearby).select("region", "deposit", "confidence", "rank")
 
 
@@ -307,11 +307,11 @@ def code_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.read(spark, sf_dir, "part").select("p_partkey", F.array_join(codes, " ").alias("codes"), F.size(codes).cast("long").alias("n_codes"))
 
 
-@query("dominant_resolution", """WITH b AS (SELECT p_brand AS scene, p_partkey AS number, 10.0 * (p_size % 3 + 1) AS r FROM part), g AS (SELECT scene, r, count(*) AS n, min(number) AS f FROM b GROUP BY scene, r),
- k AS (SELECT scene, r, row_number() OVER (PARTITION BY scene ORDER BY n DESC, f) AS k FROM g) SELECT b.scene, b.number, b.r::DOUBLE AS resolution FROM b JOIN k ON b.scene = k.scene AND b.r = k.r WHERE k.k = 1""")
+@query("dominant_resolution", """WITH b AS (SELECT p_brand AS scene, p_partkey AS number, 10.0 * (p_size % 3 + 1) + (p_size % 7 - 3) * 0.01 AS res, round(res) AS r FROM part), g AS (SELECT scene, r, count(*) AS n, min(number) AS f FROM b GROUP BY scene, r),
+ k AS (SELECT scene, r, row_number() OVER (PARTITION BY scene ORDER BY n DESC, f) AS k FROM g) SELECT b.scene, b.number, round(b.res, 2)::DOUBLE AS resolution FROM b JOIN k ON b.scene = k.scene AND b.r = k.r WHERE k.k = 1""")
 def dominant_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = views.read(spark, sf_dir, "part").select(F.col("p_brand").alias("scene"), F.col("p_partkey").alias("number"), F.lit("").alias("suffix"), (10.0 * (F.col("p_size") % 3 + 1)).alias("resolution"))
-    return dominant(part).select("scene", "number", F.col("resolution").cast("double").alias("resolution"))
+    part = views.read(spark, sf_dir, "part").select(F.col("p_brand").alias("scene"), F.col("p_partkey").alias("number"), F.lit("").alias("suffix"), (10.0 * (F.col("p_size") % 3 + 1) + (F.col("p_size") % 7 - 3) * 0.01).alias("resolution"))
+    return dominant(part).select("scene", "number", F.round(F.col("resolution").cast("double"), 2).alias("resolution"))
 
 
 @query("band_pivot_stack", f"WITH {views.RASTER} SELECT y, x, B1, B2 FROM px WHERE x < 90")

@@ -34,9 +34,10 @@ FROM ix, t GROUP BY event_type""")
 def anomaly_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formula, threshold and anomaly counts of each mineral: two scans of the bands that the formula names."""
     ix = _index(spark, sf_dir)
-    limit = stats.with_row(ix, ix.agg((F.avg("v") + 2 * F.stddev_pop("v")).alias("thr")))
-    hit = F.count_if(F.col("v") > F.col("thr"))
-    return limit.groupBy(F.col("event_type").alias("mineral")).agg(F.count("v").alias("n_pixels"), hit.alias("n_anomaly"), F.round(hit / F.greatest(F.count("v"), F.lit(1)), 6).alias("anomaly_ratio"), F.round(F.max("thr"), 6).alias("threshold"))
+    limit = stats.threshold(ix, F.col("v"))
+    hit = stats.over(F.col("v"), limit)
+    ratio = stats.anomaly_ratio(hit, F.col("v"))
+    return ix.groupBy(F.col("event_type").alias("mineral")).agg(F.count("v").alias("n_pixels"), F.count_if(hit).alias("n_anomaly"), F.round(ratio, 6).alias("anomaly_ratio"), F.round(F.lit(limit), 6).alias("threshold"))
 
 
 @query("ratio_safe", f"""WITH {views.SAMPLES}
@@ -54,13 +55,13 @@ def ratio_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _threshold_sql(value: str, extra: str = "") -> str:
-    return f"{_V}{extra}, t AS (SELECT {value} AS thr FROM ix) SELECT round(max(thr), 6) AS threshold, count(CASE WHEN v > thr + 1e-9 THEN 1 END) AS n_anomaly FROM ix, t"
+    return f"{_V}{extra}, t AS (SELECT {value} AS thr FROM ix) SELECT round(max(thr), 6) AS threshold, count(CASE WHEN v > thr THEN 1 END) AS n_anomaly FROM ix, t"
 
 
 def _thresholded(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
     ix = _index(spark, sf_dir)
     limit = stats.threshold(ix, F.col("v"), method)
-    return ix.agg(F.round(F.lit(limit), 6).alias("threshold"), F.count_if(stats.over(F.col("v"), limit + 1e-9)).alias("n_anomaly"))
+    return ix.agg(F.round(F.lit(limit), 6).alias("threshold"), F.count_if(stats.over(F.col("v"), limit)).alias("n_anomaly"))
 
 
 @query("threshold_mean_std", _threshold_sql("avg(v) + 2 * stddev_pop(v)"))
@@ -74,7 +75,7 @@ def threshold_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("threshold_median_mad", f"""{_V}, m AS (SELECT median(v) AS med FROM ix), t AS (SELECT max(med) + 2 * 1.4826 * median(abs(v - med)) AS thr FROM ix, m)
-SELECT round(max(thr), 6) AS threshold, count(CASE WHEN v > thr + 1e-9 THEN 1 END) AS n_anomaly FROM ix, t""")
+SELECT round(max(thr), 6) AS threshold, count(CASE WHEN v > thr THEN 1 END) AS n_anomaly FROM ix, t""")
 def threshold_median_mad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _thresholded(spark, sf_dir, "median_mad")
 
@@ -116,10 +117,8 @@ def anomaly_ratio_noroi(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("dn_scaling", f"""WITH {views.RASTER}, m AS (SELECT greatest(max(B1), max(B2), max(B3), max(B4)) > 10 AS scale FROM px)
 SELECT event_type, round(avg(CASE WHEN scale THEN B1 / 10000 ELSE B1 END), 8) AS b1, round(avg(CASE WHEN scale THEN B4 / 10000 ELSE B4 END), 8) AS b4 FROM px, m GROUP BY event_type""")
 def dn_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = views.raster(spark, sf_dir)
-    top = px.agg((F.greatest(*[F.max(f"B{i}") for i in range(1, 5)]) > 10).alias("scale"))
-    scaled = [F.round(F.avg(F.when(F.col("scale"), F.col(c) / 10000).otherwise(F.col(c))), 8).alias(c.lower()) for c in ("B1", "B4")]
-    return stats.with_row(px, top).groupBy("event_type").agg(*scaled)
+    px = batch.scaled(views.raster(spark, sf_dir), ["B1", "B2", "B3", "B4"])
+    return px.groupBy("event_type").agg(*[F.round(F.avg(c), 8).alias(c.lower()) for c in ("B1", "B4")])
 
 
 _BOX = "max(x) AS east, min(x) AS west, max(y) AS north, min(y) AS south"
@@ -265,11 +264,10 @@ def score_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _masks(spark, sf_dir).groupBy("priority").agg(F.round(F.sum(score), 4).alias("score"))
 
 
-@query("score_hyper", f"""{_MASKS} SELECT priority, round(sum({_WEIGHT} * depth::INT), 4)::DOUBLE AS score, count(CASE WHEN ratio::INT + pca::INT + depth::INT >= 2 THEN 1 END) AS high_confidence FROM m GROUP BY priority""")
+@query("score_hyper", f"""{_MASKS} SELECT priority, round(sum(ratio::INT * 1.0 + pca::INT * 0.5 + depth::INT * 0.25), 4)::DOUBLE AS score, count(CASE WHEN ratio::INT + pca::INT + depth::INT >= 2 THEN 1 END) AS high_confidence FROM m GROUP BY priority""")
 def score_hyper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = evidence.mineral_score({"band_depth": F.col("depth")}, F.col("priority"), "hyper")
-    overlap = sum((F.col(c).cast("int") for c in ("ratio", "pca", "depth")), F.lit(0))
-    return _masks(spark, sf_dir).groupBy("priority").agg(F.round(F.sum(score), 4).alias("score"), F.count_if(overlap >= 2).alias("high_confidence"))
+    found = batch.spectral_composite(_masks(spark, sf_dir), [("ratio", 1), ("pca", 2), ("depth", 3)])
+    return found.groupBy("priority").agg(F.round(F.sum("score"), 4).alias("score"), F.count_if("high").alias("high_confidence"))
 
 
 @query("mask_intersection", f"{_MASKS} SELECT l_returnflag, count(CASE WHEN ratio AND pca THEN 1 END) AS n_both, bool_or(ratio AND pca) AS any_both FROM m GROUP BY l_returnflag")
@@ -330,7 +328,7 @@ def proximity_exp(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("terrain_norm", f"WITH {views.RASTER}, m AS (SELECT avg(CASE WHEN B2 > 0 THEN B2 END) AS hs FROM px) SELECT y, x, round(B1 / greatest(least(B2 / (hs + 1e-6), 3.0), 0.3), 4) AS value FROM px, m")
 def terrain_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = views.raster(spark, sf_dir)
-    light = px.agg(F.avg(F.when(F.col("B2") > 0, F.col("B2"))).alias("l")).first().l
+    light = evidence.mean_light(px, F.col("B2"))
     return px.select("y", "x", F.round(evidence.terrain_normalized(F.col("B1"), F.col("B2"), light), 4).alias("value"))
 
 

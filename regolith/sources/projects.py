@@ -61,10 +61,11 @@ def read_knowledge(spark: SparkSession, path: str, extra: str | None = None) ->
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """pair_id (folder), ref_date, sec_date and baseline of the metadata.json of each radar pair under a folder."""
+    """pair_id (folder), ref_date, sec_date and baseline of the metadata.json of each radar pair under a folder; the baseline is null where
+    the file has none, so the pair is left out of a decay fit (operators.deformation.decay) but not of the rates."""
     meta = spark.read.schema("master_date string, slave_date string, temporal_baseline_days int").option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "metadata.json").json(path)
     named = meta.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/metadata\.json$", 1).alias("pair_id"), F.to_date("master_date").alias("ref_date"), F.to_date("slave_date").alias("sec_date"), "temporal_baseline_days")
-    return named.select("pair_id", "ref_date", "sec_date", F.coalesce("temporal_baseline_days", F.datediff("sec_date", "ref_date")).alias("baseline"))
+    return named.select("pair_id", "ref_date", "sec_date", F.col("temporal_baseline_days").alias("baseline"))
 
 
 def _on_grid(cells: DataFrame, profiles: DataFrame, height: int, width: int) -> DataFrame:

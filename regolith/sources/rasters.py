@@ -7,7 +7,7 @@ import math
 import operator
 import re
 import zlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -94,14 +94,16 @@ def read_tiff(spark: SparkSession, path: str, name: str | None = None) -> DataFr
 
 def read_sensor(spark: SparkSession, path: str, scene: str) -> tuple[DataFrame, list[str]]:
     """A folder of single-band images such as B04.tif as one scene: a row for each pixel with a column for each band of the most populous
-    resolution, on the smallest common grid, and the bands' names in order. Values that are not finite are null."""
+    resolution, on the smallest common grid, and the bands' names in order. Values that are not finite are null. Other names of bands (see
+    band_aliases) are columns too."""
     sized = band_files(spark, path).join(tiff_profiles(spark, path).select("path", "length", F.coalesce("resolution", F.lit(1.0)).alias("resolution")), "path").withColumn("scene", F.lit(scene))
     chosen = dominant_resolution(sized)
-    rows = sorted(chosen.select("number", "suffix", "band").collect())
-    names = [r.band for r in rows]
+    rows = sorted(chosen.select("number", "suffix", "band", "stem").collect())
+    names = list(dict.fromkeys(r.band for r in rows))
+    others = band_aliases({r.band: r.stem for r in rows})
     cells = _pixels(chosen.select(F.col("band").alias("scene"), "path", F.lit(None).cast("string").alias("header"), "length"))
     own = cells.where("band = 1").select(F.lit(scene).alias("scene"), F.col("scene").alias("band"), "y", "x", "value")
-    return stacked(own, names), names
+    return stacked(own, names).withColumns({other: F.col(band) for other, band in others.items()}), names
 
 
 def write_tiff(cells: DataFrame, folder: str, height: int, width: int, dtype: str = "f4", transform: Sequence[float] | None = None, epsg: int | None = None, nodata: float | None = None) -> int:
@@ -182,13 +184,25 @@ def band_files(spark: SparkSession, path: str) -> DataFrame:
     """path, band and its sort key of single-band image files such as B04.tif, in band order."""
     names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.regexp_extract("path", r"(?i)([^/]+)\.tiff?$", 1).alias("stem"))
     bands = names.withColumn("band", band_name(F.col("stem"))).where("band IS NOT NULL")
-    return bands.select("path", "band", F.regexp_extract("band", r"\d+", 0).cast("int").alias("number"), F.regexp_extract("band", r"\d+(.*)", 1).alias("suffix")).orderBy("number", "suffix")
+    return bands.select("path", "stem", "band", F.regexp_extract("band", r"\d+", 0).cast("int").alias("number"), F.regexp_extract("band", r"\d+(.*)", 1).alias("suffix")).orderBy("number", "suffix")
+
+
+def band_aliases(stems: Mapping[str, str]) -> dict[str, str]:
+    """Other names of bands, given each band's file name without its ending: B01 for B1 where the file is called so, and B3 for B3N, the
+    view from above, where no band has that name. A view to the back (B3B) has none."""
+    out = {}
+    for band, stem in stems.items():
+        if band[1:].isdigit() and stem[:2].upper() == "B0":
+            out[stem.upper()] = band
+        if band.endswith("N") and (bare := band[:-1]) not in stems:
+            out[bare] = band
+    return out
 
 
 def dominant_resolution(bands: DataFrame) -> DataFrame:
-    """Of each scene the bands (scene, band, number, suffix, resolution) in the most populous resolution, of equals that with the
-    first band."""
-    sized = bands.withColumn("r", F.round(F.abs("resolution"), 3))
+    """Of each scene the bands (scene, band, number, suffix, resolution) in the most populous resolution in whole units, of equals that
+    with the first band."""
+    sized = bands.withColumn("r", F.bround(F.abs("resolution"), 0))
     groups = sized.groupBy("scene", "r").agg(F.count("*").alias("n"), F.min(F.struct("number", "suffix")).alias("first"))
     best = groups.groupBy("scene").agg(F.min_by("r", F.struct(-F.col("n"), "first")).alias("r"))
     return sized.join(best, ["scene", "r"]).drop("r")

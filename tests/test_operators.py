@@ -1,5 +1,7 @@
 """Operators against plain numpy, on made-up arrays with gaps."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -526,3 +528,43 @@ def test_warped(spark):
     profile = spark.createDataFrame([(80, 80, list(source), 32647), (80, 80, None, 32647)], "height int, width int, transform array<double>, epsg int")
     box, none = sorted(spatial.lonlat_boxes(profile).collect(), key=lambda r: r.west is None)
     assert box.west == pytest.approx(99, abs=1e-9) and box.east == pytest.approx(99.00756, abs=1e-4) and box.south < box.north and none.west is None
+
+
+def test_unknown_values_are_null_nan_and_infinite(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, nan, 0.9), (1, inf, 0.9), (2, None, 0.9), (3, 9.0, nan), (4, 9.0, 0.9), (5, -9.0, 0.1), (6, 1.0, 0.9)]
+    df = spark.createDataFrame(rows, "k int, v double, c double")
+    assert [r.k for r in df.where(deformation.active(F.col("v"), F.col("c"))).collect()] == [4]
+    assert sorted(r.k for r in df.where(deformation.active(F.col("v"))).collect()) == [3, 4, 5]
+    known = [9.0, 9.0, -9.0, 1.0]
+    assert math.isclose(stats.threshold(df, F.col("v")), np.mean(known) + 2 * np.std(known))
+    assert stats.threshold(df, F.col("v"), "percentile") == np.percentile(known, 95)
+    assert stats.threshold(df, F.col("v"), "median_mad") == np.median(known) + 2 * stats.MAD_SCALE * np.median(np.abs(np.array(known) - np.median(known)))
+    assert sorted(r.k for r in df.where(stats.over(F.col("v"), 2.0)).collect()) == [3, 4]
+    assert df.agg(stats.anomaly_ratio(stats.over(F.col("v"), 2.0), F.col("v"))).first()[0] == 0.5
+    own = [r[0] for r in df.orderBy("k").select(stats.normalized(F.col("v"), 0.0, 10.0)).collect()]
+    assert own == [None, None, None, 0.9, 0.9, 0.0, 0.1]
+    both = stats.thresholds(df, {"v": F.col("v"), "c": F.col("c"), "none": F.lit(None).cast("double")}, "median_mad")
+    assert both["none"] is None and both["c"] == pytest.approx(0.9)
+    assert deformation.stability(df, "c").first()["mean"] == pytest.approx(np.mean([0.9, 0.9, 0.9, 0.9, 0.1, 0.9]))
+
+
+def test_shares_of_results(spark):
+    scored = spark.createDataFrame([(1, 0.9, True), (2, 0.1, False), (3, None, False), (4, 0.8, True)], "k int, score double, high boolean")
+    assert deformation.high_shares(scored).first()[0] == 0.5
+    lines = spark.createDataFrame([("a", 0.9, True), ("a", 0.1, False), ("a", None, False), ("b", None, False)], "scene string, strength double, lineament boolean")
+    assert {tuple(r) for r in deformation.lineament_shares(lines).collect()} == {("a", 0.5), ("b", 0.0)}
+    rated = spark.createDataFrame([("p", 1, 3.0), ("p", 2, None), ("q", 1, None)], "pair string, x int, rate double")
+    assert deformation.pairs_used(rated) == 2
+    unmixed = spark.createDataFrame([(1, 0.2), (2, 0.4)], "x int, rmse double")
+    assert [tuple(r) for r in unmixing.summary(unmixed).collect()] == [(2, pytest.approx(0.3))]
+
+
+def test_lines_are_strong_within_their_own_scene(spark):
+    """A scene of weak lines beside one of strong ones keeps its own scale."""
+    rows = [(s, y, x, 0.9 - (0.7 * k if x == 10 else 0.0)) for k, s in ((1.0, "strong"), (0.9, "weak")) for y in range(30) for x in range(30)]
+    df = spark.createDataFrame(rows, "scene string, y int, x int, c double")
+    together = {(r.scene, r.y, r.x): (r.strength, r.lineament) for r in deformation.lineaments(df, F.col("c")).collect()}
+    for scene in ("strong", "weak"):
+        alone = {(r.scene, r.y, r.x): (r.strength, r.lineament) for r in deformation.lineaments(df.where(F.col("scene") == scene), F.col("c")).collect()}
+        assert alone == {k: v for k, v in together.items() if k[0] == scene} and any(line for _, line in alone.values())

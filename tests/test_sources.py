@@ -308,7 +308,7 @@ def test_pairs_lines_projects(spark, tmp_path):
     for name, meta in (("p1", {"master_date": "2024-01-01", "slave_date": "2024-01-13", "temporal_baseline_days": 12}), ("p2", {"master_date": "2024-01-01", "slave_date": "2024-02-01"})):
         (tmp_path / "aoi" / name).mkdir(parents=True)
         (tmp_path / "aoi" / name / "metadata.json").write_text(json.dumps(meta, indent=1))
-    assert sorted((r.pair_id, r.baseline) for r in projects.read_pairs(spark, str(tmp_path / "aoi")).collect()) == [("p1", 12), ("p2", 31)]
+    assert sorted((r.pair_id, r.baseline) for r in projects.read_pairs(spark, str(tmp_path / "aoi")).collect()) == [("p1", 12), ("p2", None)]
     assert [tuple(r) for r in projects.list_projects(spark, str(tmp_path / "aoi")).collect()] == [("p1", 1), ("p2", 1)]
     features = [{"geometry": {"type": "LineString", "coordinates": [[0, 1], [2, 3]]}}, {"geometry": None}, {"geometry": {"type": "MultiLineString", "coordinates": [[[5, 5], [6, 6]], [[7, 7], [8, 8]]]}}, {"geometry": {"type": "Point", "coordinates": [1, 1]}}]
     (tmp_path / "l.geojson").write_text(json.dumps({"features": features}))
@@ -381,3 +381,25 @@ def test_layers_of_the_first_product_on_a_grid(spark):
     found = {r.x: (r.distance, r.density, r.slope) for r in spatial.layers_on_grid(products, px, target, (1.0, 1.0, 2.0, 3.0)).collect()}
     assert found == {0: (21.0, None, 22.0), 1: (16.5, None, 17.5), 2: (None, None, None)}
     assert spatial.layers_on_grid(products, px, target, (-9.0, -9.0, -8.0, -8.0)) is None
+
+
+def test_other_names_of_bands(spark, tmp_path):
+    assert rasters.band_aliases({"B1": "B01", "B2": "b02", "B3N": "B3N", "B8A": "B08A", "B10": "B10"}) == {"B01": "B1", "B02": "B2", "B3": "B3N"}
+    assert rasters.band_aliases({"B3": "B3", "B3N": "B3N", "B3B": "B3B"}) == {}
+    for name, value in (("B01", 1.0), ("B3N", 3.0), ("B3B", 4.0)):
+        cells = spark.createDataFrame([(name, y, x, value) for y in range(2) for x in range(2)], "scene string, y int, x int, value double")
+        rasters.write_tiff(cells, str(tmp_path), 2, 2, "f8")
+    pixels, names = rasters.read_sensor(spark, str(tmp_path), "s")
+    assert names == ["B1", "B3B", "B3N"] and {tuple(r) for r in pixels.select("B1", "B01", "B3", "B3N", "B3B").collect()} == {(1.0, 1.0, 3.0, 3.0, 4.0)}
+
+
+def test_resolutions_in_whole_units(spark):
+    bands = spark.createDataFrame([("s", 1, "", 10.0), ("s", 2, "", 29.99), ("s", 3, "", 30.01), ("s", 4, "", 15.0)], "scene string, number int, suffix string, resolution double")
+    assert sorted(r.number for r in rasters.dominant_resolution(bands).collect()) == [2, 3]
+
+
+def test_a_pair_without_a_baseline_is_left_out_of_the_decay(spark):
+    from regolith.operators import deformation
+
+    pairs = spark.createDataFrame([(12, 0.9), (24, 0.8), (36, 0.7), (None, 0.1)], "baseline int, coherence double")
+    assert deformation.decay(pairs).first() == deformation.decay(pairs.where("baseline IS NOT NULL")).first()
