@@ -5,65 +5,132 @@ from __future__ import annotations
 import functools
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regolith.functions.bands import finite
+from regolith.operators import spatial
 from regolith.session import checkpointed
 
 
-def _pass(df: DataFrame, value: str, by: str, along: str, reach: int, shrink: bool) -> DataFrame:
-    """One direction of a dilation, or of an erosion in which cells outside the grid are off."""
-    w = Window.partitionBy("scene", by).orderBy(along).rangeBetween(-reach, reach)
-    if shrink:
-        new = (F.min(value).over(w) == 1) & (F.count(F.lit(1)).over(w) == 2 * reach + 1)
-        return df.withColumn(value, new.cast("int"))
-    return df.withColumn(value, F.max(value).over(w))
-
-
-def closing(pixels: DataFrame, mask: Column, size: int = 5) -> DataFrame:
-    """scene, y, x, closed (int): binary closing with a square of ones. Rows and columns are separate passes, so a task holds a
-    row or a column of a scene, never a scene. pixels: a row for every cell of each scene's grid."""
-    out = pixels.select("scene", "y", "x", F.coalesce(mask, F.lit(False)).cast("int").alias("closed"))
-    reach = size // 2
-    for shrink in (False, True):
-        out = _pass(_pass(out, "closed", "y", "x", reach, shrink), "closed", "x", "y", reach, shrink)
+def _counts(on: np.ndarray, reach: tuple[int, int]) -> np.ndarray:
+    """How many of the cells around each, so far along each axis, are on; by running sums, whatever the reach."""
+    out = on.astype(np.int64)
+    for axis, r in enumerate(reach):
+        size = out.shape[axis]
+        ends = np.cumsum(np.concatenate([np.zeros_like(out.take([0], axis)), out], axis), axis)
+        at = np.arange(size)
+        out = ends.take(np.minimum(at + r + 1, size), axis) - ends.take(np.maximum(at - r, 0), axis)
     return out
 
 
-def runs_of(cells: DataFrame) -> DataFrame:
-    """Runs of neighbouring cells (scene, y, x) in a row: scene, y, x0, x1, run."""
-    w = Window.partitionBy("scene", "y").orderBy("x")
-    islands = cells.withColumn("island", F.col("x") - F.row_number().over(w))
-    runs = islands.groupBy("scene", "y", "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("island")
-    return runs.withColumn("run", F.struct("y", "x0"))
+def closing(pixels: DataFrame, mask: Column, size: int | tuple[int, int] = 5) -> DataFrame:
+    """scene, y, x, closed (int): binary closing with a square of ones, or a rectangle of (rows, columns), of odd sides. Cells outside the
+    grid are off, and are not grown into. pixels: a row for every cell of each scene's grid.
+
+    Each tile gets what surrounds it in one shuffle, and grows and shrinks it as a bitmap, so a task holds a tile, never a scene."""
+    down, right = (size, size) if isinstance(size, int) else size
+    reach = (down // 2, right // 2)
+    whole = (2 * reach[0] + 1) * (2 * reach[1] + 1)
+
+    def close(values: np.ndarray) -> np.ndarray:
+        there = ~np.isnan(values)
+        grown = there & (_counts(values > 0, reach) > 0)
+        return np.where(there, _counts(grown, reach) == whole, np.nan)
+
+    found = spatial.tiled(pixels, F.coalesce(mask, F.lit(False)).cast("int"), 2 * max(reach), close, "closed")
+    return found.withColumn("closed", F.col("closed").cast("int"))
+
+
+def _tile_labels(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each of a tile's cells the number of the cell, the first in scan order, that its component in the tile has: cells make runs,
+    runs that touch are joined, and trees of runs are flattened until all edges are within one."""
+    order = np.lexsort((x, y))
+    height, width = int(np.ptp(y)) + 1, int(np.ptp(x)) + 1
+    runs = np.full((height, width), -1, np.int64)
+    sy, sx = y[order] - y.min(), x[order] - x.min()
+    new = np.ones(len(order), bool)
+    new[1:] = (sy[1:] != sy[:-1]) | (sx[1:] > sx[:-1] + 1)
+    run = np.cumsum(new) - 1
+    runs[sy, sx] = run
+    touch = (runs[:-1] >= 0) & (runs[1:] >= 0)
+    a, b = runs[:-1][touch], runs[1:][touch]
+    parent = np.arange(int(run[-1]) + 1)
+    while True:
+        pa_, pb_ = parent[a], parent[b]
+        apart = pa_ != pb_
+        if not apart.any():
+            break
+        a, b, pa_, pb_ = a[apart], b[apart], pa_[apart], pb_[apart]
+        np.minimum.at(parent, np.maximum(pa_, pb_), np.minimum(pa_, pb_))
+        while (parent != parent[parent]).any():
+            parent = parent[parent]
+    out = np.empty(len(order), np.int64)
+    out[order] = order[np.flatnonzero(new)[parent[run]]]
+    return out
 
 
-def components(cells: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """scene, y, x, label: cells connected by their sides; the label is the component's first (y, x) in scan order.
+def _settled(edges: DataFrame, most_rounds: int) -> DataFrame:
+    """scene, node, label of the nodes of edges (scene, a, b; both ways): the least node that each can reach.
 
-    Cells become runs, runs of adjacent rows that overlap become edges, and labels spread: each round takes the least label of
-    the neighbours and then the label of the label (pointer jumping), so rounds grow with the logarithm of a component's
-    length. Each round is checkpointed, as lineage would double otherwise.
-    """
-    runs = checkpointed(runs_of(cells))
-    upper = runs.select("scene", (F.col("y") + 1).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("run").alias("ra"))
-    lower = runs.select("scene", "y", F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("run").alias("rb"))
-    down = upper.join(lower, ["scene", "y"]).where("b0 <= a1 AND b1 >= a0").select("scene", "ra", "rb")
-    edges = checkpointed(down.unionByName(down.select("scene", F.col("rb").alias("ra"), F.col("ra").alias("rb"))))
-    labels = runs.select("scene", "run", F.col("run").alias("label"))
+    Each round hooks every node to the neighbour that is least by a hash, if that is less than its own, follows the hooks two steps on, and
+    contracts the graph: what is left are edges between what the nodes are hooked to. By a hash chains of hooks are short whatever the
+    shape is, so a few in ten nodes remain, rounds grow with the logarithm of their number, and the tables, which are checkpointed, as
+    lineage would double otherwise, get ever smaller."""
+    nodes = {side: F.struct(F.xxhash64(side).alias("h"), F.col(side).alias("node")).alias(side) for side in "ab"}
+    edges, hooks = edges.select("scene", *nodes.values()), []
     for _ in range(most_rounds):
-        near = edges.join(labels.withColumnRenamed("run", "rb"), ["scene", "rb"]).groupBy("scene", F.col("ra").alias("run")).agg(F.min("label").alias("near"))
-        least = labels.join(near, ["scene", "run"], "left").select("scene", "run", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        up = least.select("scene", F.col("run").alias("label"), F.col("label").alias("top"))
-        new = checkpointed(least.join(up, ["scene", "label"]).select("scene", "run", "old", F.col("top").alias("label")))
-        labels = new.select("scene", "run", "label")
-        if new.where("old <> label").isEmpty():
+        if edges.isEmpty():
             break
+        up = edges.groupBy("scene", F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("up"))
+        for _step in range(2):
+            up = up.join(up.select("scene", F.col("node").alias("up"), F.col("up").alias("top")), ["scene", "up"]).select("scene", "node", F.col("top").alias("up"))
+        up = checkpointed(up)
+        hooks.append(up)
+        ends = [up.select("scene", F.col("node").alias(side), F.col("up").alias(f"up_{side}")) for side in "ab"]
+        edges = checkpointed(edges.join(ends[0], ["scene", "a"]).join(ends[1], ["scene", "b"]).where("up_a <> up_b").select("scene", F.col("up_a").alias("a"), F.col("up_b").alias("b")).distinct())
     else:
         raise RuntimeError("labels did not settle")
-    spans = runs.join(labels, ["scene", "run"]).select("scene", "y", "label", F.explode(F.sequence("x0", "x1")).alias("x"))
-    return spans.select("scene", "y", "x", "label")
+    if not hooks:
+        return edges.select("scene", F.col("a.node").alias("node"), F.col("a.node").alias("label"))
+    labels = hooks[0].withColumnRenamed("up", "label")
+    for up in hooks[1:]:
+        labels = labels.join(up.withColumnRenamed("node", "label"), ["scene", "label"], "left").select("scene", "node", F.coalesce("up", "label").alias("label"))
+    labels = checkpointed(labels.select("scene", "node.node", F.col("label.node").alias("top")))
+    least = labels.groupBy("scene", "top").agg(F.min("node").alias("label"))
+    return labels.join(least, ["scene", "top"]).select("scene", "node", "label")
+
+
+def components(cells: DataFrame, most_rounds: int = 60, tile: int = 512) -> DataFrame:
+    """scene, y, x, label: cells (scene, y, x) connected by their sides; the label is the component's first (y, x0) in scan order.
+
+    Each tile is labelled by itself, in one shuffle. Only where labels meet across the borders of tiles are they joined to each other,
+    a graph of labels at borders that is far smaller than the cells, and rounds are few for a component that spans many tiles.
+    """
+    kinds = {c: cells.schema[c].dataType for c in ("scene", "y", "x")}
+    placed = cells.select("scene", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).distinct()
+
+    def run(table: pa.Table) -> pa.Table:
+        y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
+        first = _tile_labels(y, x)
+        return table.append_column("ly", pa.array(y[first])).append_column("lx", pa.array(x[first]))
+
+    keyed = placed.groupBy("scene", F.floor(F.col("y") / tile), F.floor(F.col("x") / tile))
+    found = checkpointed(keyed.applyInArrow(run, f"scene {kinds['scene'].simpleString()}, y long, x long, ly long, lx long"))
+    node = F.struct(F.col("ly").alias("y"), F.col("lx").alias("x0"))
+    meets = []
+    for along, across in (("x", "y"), ("y", "x")):
+        last = found.where(F.pmod(F.col(along), F.lit(tile)) == tile - 1).select("scene", across, (F.col(along) + 1).alias(along), node.alias("a"))
+        first = found.where(F.pmod(F.col(along), F.lit(tile)) == 0).select("scene", across, along, node.alias("b"))
+        meets.append(last.join(first, ["scene", "y", "x"]).select("scene", "a", "b"))
+    joined = meets[0].unionByName(meets[1]).distinct()
+    edges = checkpointed(joined.unionByName(joined.select("scene", F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = _settled(edges, most_rounds).select("scene", F.col("node.y").alias("ly"), F.col("node.x0").alias("lx"), F.col("label").alias("joined"))
+    out = found.join(labels, ["scene", "ly", "lx"], "left")
+    label = F.coalesce("joined", node).cast(f"struct<y: {kinds['y'].simpleString()}, x0: {kinds['x'].simpleString()}>")
+    return out.select("scene", F.col("y").cast(kinds["y"]).alias("y"), F.col("x").cast(kinds["x"]).alias("x"), label.alias("label"))
 
 
 #: Fixed: codes of the kinds of clusters.

@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regolith.functions import coordinates
+from regolith.functions.bands import finite
 
 Affine = Sequence[float]  # a, b, c, d, e, f: x = a * column + b * row + c, y = d * column + e * row + f
 
@@ -26,38 +28,97 @@ def to_pixel(transform: Affine, x: Column, y: Column) -> tuple[Column, Column]:
     return ((x - c) * e - (y - f) * b) / det, ((y - f) * a - (x - c) * d) / det
 
 
-def resample(pixels: DataFrame, target: DataFrame, row: Column, column: Column, value: str = "value", method: str = "bilinear") -> DataFrame:
-    """The target's cells (their columns, with `value`): row and column give each cell's place in the source grid (scene, y, x).
+#: Rows and columns of a block of source pixels that a task holds.
+WINDOW = 256
+#: How far beyond its own cell each method looks.
+HALO = {"nearest": 1, "bilinear": 1, "cubic": 2}
+
+
+def _bilinear(window: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """The mean of the four neighbours by nearness; unknown ones (nan) are left out, and all four unknown give nan."""
+    y, x = np.floor(row).astype(int), np.floor(column).astype(int)
+    down, right = row - y, column - x
+    total, known = np.zeros(len(row)), np.zeros(len(row))
+    for i, wy in enumerate((1 - down, down)):
+        for j, wx in enumerate((1 - right, right)):
+            v, w = window[y + i, x + j], wy * wx
+            seen = ~np.isnan(v) & (w > 0)
+            total[seen] += (v * w)[seen]
+            known[seen] += w[seen]
+    return np.where(known > 0, total / np.where(known > 0, known, 1), np.nan)
+
+
+def _cubic(window: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Cubic convolution (-1/2) of the 16 neighbours; bilinear where one of them that counts is unknown."""
+    y, x = np.floor(row).astype(int), np.floor(column).astype(int)
+
+    def weights(t: np.ndarray) -> list[np.ndarray]:
+        return [((-0.5 * t + 1) * t - 0.5) * t, (1.5 * t - 2.5) * t * t + 1, ((-1.5 * t + 2) * t + 0.5) * t, (0.5 * t - 0.5) * t * t]
+
+    out, whole = np.zeros(len(row)), np.ones(len(row), bool)
+    for i, wy in enumerate(weights(row - y)):
+        for j, wx in enumerate(weights(column - x)):
+            v, w = window[y + i - 1, x + j - 1], wy * wx
+            counts = w != 0
+            whole &= ~counts | ~np.isnan(v)
+            out += np.where(counts, np.nan_to_num(v) * w, 0)
+    return np.where(whole, out, _bilinear(window, row, column))
+
 
-    Each cell looks up its nearest pixel, or its four neighbours with weights, by an equi-join; cells beyond the source, or with
-    no known neighbour, are null. Weights of unknown neighbours are left out.
+def _nearest(window: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    return window[np.floor(row + 0.5).astype(int), np.floor(column + 0.5).astype(int)]
+
+
+def resample_layers(pixels: DataFrame, target: DataFrame, row: Column, column: Column, layers: Sequence[str], method: str = "bilinear", of: Column | None = None, window: int = WINDOW) -> DataFrame:
+    """The target's rows with a column for each layer: row and column give each one's place in the source grid.
+
+    pixels: scene, layer, y, x, value. of: the source's scene that a target's row is looked up in, its own `scene` by default. method:
+    nearest, bilinear or cubic. Rows beyond the source, of an unknown place, or with no known neighbour have nulls; weights of unknown
+    neighbours are left out (null, NaN and infinite values are unknown).
+
+    Source pixels go to their block of window * window pixels, those near its sides to the next ones too; each row of the target goes to
+    the block that its place is in. So either side is shuffled once, whatever the number of layers, and a task holds a block.
     """
-    keys = target.columns
-    placed = target.withColumns({"_r": row, "_c": column})
-    if method == "nearest":
-        near = F.array(F.struct(F.floor(F.col("_r") + 0.5).alias("y"), F.floor(F.col("_c") + 0.5).alias("x"), F.lit(1.0).alias("w")))
-    elif method == "bilinear":
-        down, right = F.col("_r") - F.floor("_r"), F.col("_c") - F.floor("_c")
-        near = F.array(
-            *[
-                F.struct((F.floor("_r") + i).alias("y"), (F.floor("_c") + j).alias("x"), ((down if i else 1 - down) * (right if j else 1 - right)).alias("w"))
-                for i in (0, 1)
-                for j in (0, 1)
-            ]
-        )
-    else:
+    if method not in HALO:
         raise ValueError(f"unknown method: {method}")
-    wanted = placed.withColumn("_n", F.explode(F.filter(near, lambda n: n.w > 0))).select(*keys, F.col("_n.y").cast("long").alias("_y"), F.col("_n.x").cast("long").alias("_x"), F.col("_n.w").alias("_w"))
-    source = pixels.where(F.col(value).isNotNull()).select("scene", F.col("y").cast("long").alias("_y"), F.col("x").cast("long").alias("_x"), F.col(value).alias("_v"))
-    met = wanted.join(source, ["scene", "_y", "_x"], "left")
-    known = F.sum(F.when(F.col("_v").isNotNull(), F.col("_w")))
-    return met.groupBy(*keys).agg((F.sum(F.col("_v") * F.col("_w")) / known).alias(value))
+    look, halo, names, columns = {"nearest": _nearest, "bilinear": _bilinear, "cubic": _cubic}[method], HALO[method], list(layers), target.columns
+    near = [F.explode(F.sequence(F.floor((F.col(c) - halo) / window), F.floor((F.col(c) + halo) / window))).alias(f"_b{c}") for c in ("y", "x")]
+    source = pixels.where(F.col("layer").isin(names)).select(F.col("scene").alias("_of"), "layer", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), finite(F.col("value").cast("double")).alias("value")).where("value IS NOT NULL")
+    source = source.select("*", near[0]).select("*", near[1])
+    placed = target.withColumns({"_r": finite(row.cast("double")), "_c": finite(column.cast("double")), "_of": F.col("scene") if of is None else of})
+    known = placed.where("_r IS NOT NULL AND _c IS NOT NULL AND abs(_r) < 1e15 AND abs(_c) < 1e15").withColumns({"_by": F.floor(F.col("_r") / window), "_bx": F.floor(F.col("_c") / window)})
+    schema = T.StructType([*target.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+
+    def run(key: tuple[pa.Scalar, ...], cells: pa.Table, block: pa.Table) -> pa.Table:
+        top, left = key[1].as_py() * window - halo, key[2].as_py() * window - halo
+        r, c = cells.column("_r").to_numpy() - top, cells.column("_c").to_numpy() - left
+        y, x, v, which = (block.column(n).to_numpy(zero_copy_only=False) for n in ("y", "x", "value", "layer"))
+        out = cells.select(columns)
+        for name in names:
+            # One more row and column than the halo needs, for places right at the block's end.
+            values = np.full((window + 2 * halo + 1, window + 2 * halo + 1), np.nan)
+            own = which == name
+            values[y[own] - top, x[own] - left] = v[own]
+            found = look(values, r, c)
+            out = out.append_column(name, pa.array(found, mask=np.isnan(found)))
+        return out
+
+    keys = ("_of", "_by", "_bx")
+    found = known.groupBy(*keys).cogroup(source.groupBy(*keys)).applyInArrow(run, schema)
+    lost = placed.where("_r IS NULL OR _c IS NULL OR abs(_r) >= 1e15 OR abs(_c) >= 1e15")
+    return found.unionByName(lost.select(*target.columns, *[F.lit(None).cast("double").alias(n) for n in names]))
+
+
+def resample(pixels: DataFrame, target: DataFrame, row: Column, column: Column, value: str = "value", method: str = "bilinear") -> DataFrame:
+    """The target's rows with `value` of the source grid (scene, y, x), see resample_layers."""
+    own = pixels.select("scene", F.lit(value).alias("layer"), "y", "x", F.col(value).alias("value"))
+    return resample_layers(own, target, row, column, [value], method)
 
 
 def warped(pixels: DataFrame, source: Affine, source_epsg: int, target: DataFrame, grid: Affine, epsg: int, value: str = "value", method: str = "bilinear") -> DataFrame:
     """The target's cells (scene, y, x and more, with `value`) with the pixels (scene, y, x) of a raster in another grid and coordinate
     system (see functions.coordinates): the middle of each cell is looked up among the middles of the pixels. As resample says, cells
-    beyond the source are null. Use nearest for masks, bilinear for what is continuous."""
+    beyond the source are null. Use nearest for masks, bilinear or cubic for what is continuous."""
     def columns(pair: tuple[Column, Column], names: tuple[str, str]) -> dict[str, Column]:
         return dict(zip(names, pair, strict=True))
 
@@ -176,12 +237,12 @@ def coverage(scenes: DataFrame, west: float, south: float, east: float, north: f
     return scenes.withColumn("usable", F.coalesce(~apart, F.lit(False)))
 
 
-def layers_on_grid(products: DataFrame, pixels: DataFrame, target: DataFrame, box: tuple[float, float, float, float], names: Sequence[str] = ("distance", "density", "hillshade", "slope")) -> DataFrame | None:
+def layers_on_grid(products: DataFrame, pixels: DataFrame, target: DataFrame, box: tuple[float, float, float, float], names: Sequence[str] = ("distance", "density", "hillshade", "slope"), method: str = "bilinear") -> DataFrame | None:
     """The target's cells (scene, y, x and world coordinates lon, lat) with the layers of the first product (product, pos, a box, its
     transform) that touches the box, as columns `names`, null where the product lacks them; None without such a product.
 
     pixels: product, layer, y, x, value. Where products have an epsg code (see functions.coordinates), the target's lon and lat are
-    degrees; without one both share a coordinate system. Values are interpolated between cells.
+    degrees; without one both share a coordinate system. All layers are looked up together.
     """
     first = coverage(products, *box).where("usable").orderBy("pos").first()
     if first is None:
@@ -189,9 +250,5 @@ def layers_on_grid(products: DataFrame, pixels: DataFrame, target: DataFrame, bo
     code = first["epsg"] if "epsg" in products.columns else None
     world = coordinates.from_lonlat(code, F.col("lon"), F.col("lat")) if code is not None else (F.col("lon"), F.col("lat"))
     column, row = to_pixel(first["transform"], *world)
-    cells, out = target.select("scene", "y", "x", "lon", "lat"), target
-    for name in names:
-        own = pixels.where((F.col("product") == first["product"]) & (F.col("layer") == name)).withColumn("scene", F.lit(""))
-        found = resample(own, cells.withColumnRenamed("scene", "_of").withColumn("scene", F.lit("")), row, column)
-        out = out.join(found.select(F.col("_of").alias("scene"), "y", "x", F.col("value").alias(name)), ["scene", "y", "x"], "left")
-    return out
+    own = pixels.where(F.col("product") == first["product"]).select(F.lit("").alias("scene"), "layer", "y", "x", "value")
+    return resample_layers(own, target, row, column, names, method, of=F.lit(""))
