@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regolith.functions.bands import clip, finite
+from regolith.operators import spatial
 from regolith.operators.stats import normalized, quantiles, quantiles_of
+from regolith.session import checkpointed
 
 #: Fixed: default weights of evidence layers, and that of a layer without one.
 WEIGHTS = {"alteration": 0.30, "veg_stress": 0.25, "structure": 0.20, "deformation": 0.15, "terrain": 0.10}
@@ -80,6 +82,34 @@ def prospectivity(df: DataFrame, layers: Mapping[str, Column], method: str = "we
     return scored, scored.agg(F.lit(limit).cast("double").alias("threshold"), ratio.alias("high_ratio"), F.coalesce(F.avg("score"), F.lit(0.0)).alias("score_mean"))
 
 
+def prospectivity_at(
+    target: DataFrame,
+    layers: Mapping[str, Column],
+    box: tuple[float, float, float, float],
+    structure: tuple[DataFrame, DataFrame] | None = None,
+    deformed: tuple[DataFrame, DataFrame] | None = None,
+    **options,
+) -> tuple[DataFrame, DataFrame]:
+    """prospectivity() of the target's layers with what products of the same place add: the nearness to structures from the `distance`
+    layer of the first structural product that touches the box, and the `deformation` layer of the first product of deformation.
+
+    target: scene, y, x, lon, lat and what the layers need. structure and deformed: products and their pixels, as
+    spatial.layers_on_grid takes them. Evidence that no product has is left out, and the weights of the others count for it."""
+    found, own = target, dict(layers)
+    for products, name, column in ((structure, "distance", "_distance"), (deformed, "deformation", "_deformation")):
+        placed = spatial.layers_on_grid(*products, found, box, (name,)) if products else None
+        if placed is not None:
+            found = placed.withColumnRenamed(name, column)
+    if "_distance" in found.columns:
+        found = checkpointed(found)
+        scale = quantiles(found, F.col("_distance"), [0.5])[0]
+        if scale is not None:
+            own["structure"] = proximity(F.col("_distance"), scale)
+    if "_deformation" in found.columns:
+        own["deformation"] = F.col("_deformation")
+    return prospectivity(found, own, **options)
+
+
 def priority_weight(priority: Column) -> Column:
     return F.when(priority == 1, 1.0).when(priority == 2, 0.5).otherwise(0.25)
 

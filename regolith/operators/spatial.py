@@ -152,9 +152,10 @@ def lonlat_boxes(profiles: DataFrame, parts: int = 22) -> DataFrame:
     return placed.withColumns(boxes).drop("_p")
 
 
-def zoom_place(index: Column, size_in: int, size_out: int) -> Column:
-    """Where a cell of a zoomed axis lies on the source's axis; first and last cells fall together."""
-    return index * ((size_in - 1) / (size_out - 1)) if size_out > 1 else F.lit(0.0)
+def zoom_place(index: Column, size_in: Column | int, size_out: Column | int) -> Column:
+    """Where a cell of a zoomed axis lies on the source's axis; first and last cells fall together, and an axis of one cell is the first."""
+    size_in, size_out = (F.lit(s) if isinstance(s, int) else s for s in (size_in, size_out))
+    return F.when(size_out > 1, index * ((size_in - 1) / (size_out - 1))).otherwise(F.lit(0.0))
 
 
 #: Rows and columns of a tile.
