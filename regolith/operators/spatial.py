@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regolith.functions import coordinates
+from regolith.functions import coordinates, projections
 from regolith.functions.bands import finite
 
 Affine = Sequence[float]  # a, b, c, d, e, f: x = a * column + b * row + c, y = d * column + e * row + f
@@ -115,17 +115,29 @@ def resample(pixels: DataFrame, target: DataFrame, row: Column, column: Column,
     return resample_layers(own, target, row, column, [value], method)
 
 
-def warped(pixels: DataFrame, source: Affine, source_epsg: int, target: DataFrame, grid: Affine, epsg: int, value: str = "value", method: str = "bilinear") -> DataFrame:
+System = int | projections.Projection
+
+
+def _degrees(system: System, x: Column, y: Column) -> tuple[Column, Column]:
+    return coordinates.to_lonlat(system, x, y) if isinstance(system, int) else projections.inverse_columns(system, x, y)
+
+
+def _places(system: System, lon: Column, lat: Column) -> tuple[Column, Column]:
+    return coordinates.from_lonlat(system, lon, lat) if isinstance(system, int) else projections.forward_columns(system, lon, lat)
+
+
+def warped(pixels: DataFrame, source: Affine, source_system: System, target: DataFrame, grid: Affine, system: System, value: str = "value", method: str = "bilinear") -> DataFrame:
     """The target's cells (scene, y, x and more, with `value`) with the pixels (scene, y, x) of a raster in another grid and coordinate
-    system (see functions.coordinates): the middle of each cell is looked up among the middles of the pixels. As resample says, cells
-    beyond the source are null. Use nearest for masks, bilinear or cubic for what is continuous."""
+    system: the middle of each cell is looked up among the middles of the pixels. A system is an EPSG code that functions.coordinates
+    knows, or a functions.projections.Projection. As resample says, cells beyond the source are null. Use nearest for masks, bilinear or
+    cubic for what is continuous."""
     def columns(pair: tuple[Column, Column], names: tuple[str, str]) -> dict[str, Column]:
         return dict(zip(names, pair, strict=True))
 
     placed = target.withColumns(columns(to_world(grid, F.col("x") + 0.5, F.col("y") + 0.5), ("_x1", "_y1")))
-    if epsg != source_epsg:
-        placed = placed.withColumns(columns(coordinates.to_lonlat(epsg, F.col("_x1"), F.col("_y1")), ("_lon", "_lat")))
-        placed = placed.withColumns(columns(coordinates.from_lonlat(source_epsg, F.col("_lon"), F.col("_lat")), ("_x1", "_y1")))
+    if system != source_system:
+        placed = placed.withColumns(columns(_degrees(system, F.col("_x1"), F.col("_y1")), ("_lon", "_lat")))
+        placed = placed.withColumns(columns(_places(source_system, F.col("_lon"), F.col("_lat")), ("_x1", "_y1")))
     column, row = to_pixel(source, F.col("_x1"), F.col("_y1"))
     return resample(pixels, placed, row - 0.5, column - 0.5, value, method).select(*target.columns, value)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regolith.functions import projections
 from regolith.operators import evidence, spatial
 from regolith.plans import views
 from regolith.plans.catalog import query
@@ -59,6 +60,23 @@ def affine_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return world.select("y", "x", *[F.round(c, 6).alias(n) for n, c in (("wx", F.col("wx")), ("wy", F.col("wy")), ("col", column), ("row", row))])
 
 
+#: A conformal cone over the Atlantic, on the sphere that web maps use, so that SQL's own formulas stay short.
+_CONE = projections.Projection("lambert_conformal", axis=6378137.0, inverse_flattening=0.0, lon0=-20.0, lat0=30.0, lat1=20.0, lat2=50.0, x0=1000.0, y0=-500.0)
+
+
+@query("conical_places", """WITH c AS (SELECT ln(cos(radians(20)) / cos(radians(50))) / ln(tan(radians(70)) / tan(radians(55))) AS n), k AS (SELECT n, 6378137.0 * cos(radians(20)) * pow(tan(radians(55)), n) / n AS f FROM c),
+ p AS (SELECT c_custkey, (c_custkey * 37 % 1600) / 10.0 - 100 AS lon, (c_custkey * 53 % 1300) / 10.0 - 50 AS lat FROM customer), q AS (SELECT *, f / pow(tan(radians(45 + lat / 2)), n) AS r, n * radians(lon + 20) AS a, f / pow(tan(radians(60)), n) AS r0 FROM p, k)
+SELECT c_custkey, round(1000 + r * sin(a), 3) AS x, round(-500 + r0 - r * cos(a), 3) AS y, round(lon, 6)::DOUBLE AS lon, round(lat, 6)::DOUBLE AS lat FROM q""")
+def conical_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in a projection given by parameters, and back in degrees."""
+    key = F.col("c_custkey")
+    places = views.read(spark, sf_dir, "customer").select("c_custkey", ((key * 37 % 1600) / 10.0 - 100).alias("lon"), ((key * 53 % 1300) / 10.0 - 50).alias("lat"))
+    x, y = projections.forward_columns(_CONE, F.col("lon"), F.col("lat"))
+    placed = places.select("c_custkey", x.alias("x"), y.alias("y"))
+    lon, lat = projections.inverse_columns(_CONE, F.col("x"), F.col("y"))
+    return placed.select("c_custkey", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
 @query("region_boxes", "SELECT s_nationkey AS roi_id, min(s_acctbal) AS west, min(s_suppkey) AS south, max(s_acctbal) AS east, max(s_suppkey) AS north, max(s_acctbal) >= 0 AND min(s_acctbal) <= 2000 AND max(s_suppkey) >= 10 AND min(s_suppkey) <= 40 AS usable FROM supplier GROUP BY s_nationkey")
 def region_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The boxes of regions from their vertices, and which touch another box."""
