@@ -31,7 +31,8 @@ SAMPLE_KINDS = {1: "u", 2: "i", 3: "f"}
 @dataclass(frozen=True)
 class Raster:
     """A raster of bands, rows and columns in blocks. block(read, k) gives the k-th one as a (bands, rows, columns) cube with the band,
-    row and column of its first value; transform: x and y of a corner are a * column + b * row + c and d * column + e * row + f."""
+    row and column of its first value; extent(k) says where that is before anything is read: first and behind last band, row and column;
+    transform: x and y of a corner are a * column + b * row + c and d * column + e * row + f."""
 
     bands: int
     height: int
@@ -42,6 +43,7 @@ class Raster:
     nodata: float | None = None
     transform: tuple[float, ...] | None = None
     epsg: int | None = None
+    extent: Callable[[int], tuple[tuple[int, int], tuple[int, int], tuple[int, int]]] | None = None
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
@@ -64,6 +66,35 @@ def folder_made(path: str) -> None:
     store.create_dir(name, recursive=True)
 
 
+def listed(path: str) -> list[tuple[str, int]]:
+    """The files in a folder, or a file itself, with their sizes, by name."""
+    store, name = _store(path)
+    if store.get_file_info(name).type == fs.FileType.File:
+        return [(path, store.get_file_info(name).size)]
+    scheme, colon, _ = path.partition(":")
+    lead = "" if not colon else "file://" if scheme == "file" else f"{scheme}://"
+    found = store.get_file_info(fs.FileSelector(name, allow_not_found=True))
+    return sorted((lead + f.path, f.size) for f in found if f.type == fs.FileType.File)
+
+
+def moved(source: str, target: str) -> None:
+    store, name = _store(source)
+    place = _store(target)[1]
+    if not isinstance(store, fs.LocalFileSystem) and store.get_file_info(place).type == fs.FileType.File:
+        store.delete_file(place)
+    store.move(name, place)
+
+
+def removed(path: str) -> None:
+    """Removes a folder or a file, if it is there."""
+    store, name = _store(path)
+    kind = store.get_file_info(name).type
+    if kind == fs.FileType.Directory:
+        store.delete_dir(name)
+    elif kind == fs.FileType.File:
+        store.delete_file(name)
+
+
 def created(path: str) -> tuple[pa.NativeFile, Callable[[], None]]:
     """A new file, and what closes it and puts it at the path in place of any that is there; an attempt that ends before leaves the
     path alone."""
@@ -96,8 +127,13 @@ def _plain(kind: np.dtype, stored: tuple[int, int, int], axes: Sequence[int], of
         origin = (first, begin, 0)
         return np.frombuffer(data, kind).reshape(shape).transpose(back), *(origin[a] for a in back)
 
+    def extent(k: int) -> tuple[tuple[int, int], ...]:
+        first, begin = k // parts * group, k % parts * step
+        spans = ((first, min(first + group, outer)), (begin, min(begin + step, middle)), (0, inner))
+        return tuple(spans[a] for a in back)
+
     size = [stored[a] for a in back]
-    return Raster(*size, kind.str, -(-outer // group) * parts if inner else 0, block, **more)
+    return Raster(*size, kind.str, -(-outer // group) * parts if inner else 0, block, extent=extent, **more)
 
 
 def npy(read: Read) -> Raster:
@@ -259,10 +295,15 @@ def tiff(read: Read) -> Raster:
                     values = np.add.accumulate(values, axis=1, dtype=kind.newbyteorder("="))
         return values[: height - y, : width - x].transpose(2, 0, 1), band, y, x
 
+    def extent(k: int) -> tuple[tuple[int, int], ...]:
+        band, at = divmod(k, across * down)
+        y, x = at // across * h, at % across * w
+        return (band, band + depth), (y, min(y + h, height)), (x, min(x + w, width))
+
     text = fields[42113].tobytes().split(b"\0")[0].decode().strip() if 42113 in fields else ""
     nodata = float(text) if text else None
     transform, epsg = _place(fields)
-    return Raster(bands, height, width, kind.str, across * down * (bands if planes else 1), block, nodata, transform, epsg)
+    return Raster(bands, height, width, kind.str, across * down * (bands if planes else 1), block, nodata, transform, epsg, extent)
 
 
 def opened(path: str, header: str | None = None) -> tuple[Raster, Read]:
