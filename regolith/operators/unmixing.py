@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regolith.functions.bands import finite
 from regolith.operators.stats import between_quantiles, quantiles_of
 
 
@@ -50,9 +51,71 @@ def endmembers(pixels: DataFrame, bands: Sequence[str], scores: dict[str, Column
     return functools.reduce(DataFrame.unionByName, out)
 
 
+#: Members up to which every set of them is tried.
+FEW_MEMBERS = 4
+
+
 def solve(spectra: np.ndarray, members: np.ndarray) -> np.ndarray:
-    """Non-negative least squares for many spectra (rows) and few members (columns): every set of members is solved for all
-    rows at once, and each row takes the non-negative solution of least residual. Exact, with 2 ** members solves."""
+    """Non-negative least squares for many spectra (rows) and members (columns), exactly: by every set of members where they are few,
+    else by active sets."""
+    return _every_set(spectra, members) if members.shape[1] <= FEW_MEMBERS else _active_sets(spectra, members)
+
+
+def _together(products: np.ndarray, right: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """Least squares of each row over its own free members; rows with the same ones are solved together."""
+    out = np.zeros_like(right)
+    patterns, which = np.unique(free, axis=0, return_inverse=True)
+    which = which.ravel()
+    for k, pattern in enumerate(patterns):
+        own = np.flatnonzero(pattern)
+        if len(own):
+            rows = np.flatnonzero(which == k)
+            out[np.ix_(rows, own)] = right[np.ix_(rows, own)] @ np.linalg.pinv(products[np.ix_(own, own)], hermitian=True)
+    return out
+
+
+def _active_sets(spectra: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """Lawson and Hanson's active sets for all rows side by side: of each row the member that would lessen the residual most is freed;
+    where a free one turns negative, the row goes back to where the first of them meets zero and holds it there. A row is done when no
+    held member would help."""
+    products, right = members.T @ members, spectra @ members
+    n, k = right.shape
+    found, free = np.zeros((n, k)), np.zeros((n, k), bool)
+    least = 1e-12 * max(1.0, float(np.abs(products).max(initial=0))) * np.maximum(1.0, np.abs(spectra).max(1, initial=0))
+    open_ = np.arange(n)
+    for _ in range(30 * k):
+        gain = right[open_] - found[open_] @ products
+        gain[free[open_]] = -np.inf
+        best = gain.argmax(1)
+        helps = gain[np.arange(len(open_)), best] > least[open_]
+        open_, best = open_[helps], best[helps]
+        if not len(open_):
+            break
+        free[open_, best] = True
+        rows = open_
+        while len(rows):
+            new = _together(products, right[rows], free[rows])
+            below = free[rows] & (new <= 0)
+            good = ~below.any(1)
+            found[rows[good]] = new[good]
+            rows, new, below = rows[~good], new[~good], below[~good]
+            if not len(rows):
+                break
+            old = found[rows]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                step = np.where(below, old / (old - new), np.inf)
+            step = np.nan_to_num(step, nan=0.0, posinf=np.inf).min(1)
+            moved = old + step[:, None] * (new - old)
+            # What has met zero is held there: the members whose step was least, and whatever rounding left at or below zero.
+            ratio = np.where(below, old / np.where(below, old - new, 1), np.inf)
+            free[rows] &= ~(below & ((ratio <= step[:, None]) | (moved <= 0)))
+            found[rows] = np.where(free[rows], np.maximum(moved, 0), 0)
+    return found
+
+
+def _every_set(spectra: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """Every set of members is solved for all rows at once, and each row takes the non-negative solution of least residual, with
+    2 ** members solves."""
     n, k = len(spectra), members.shape[1]
     best, error = np.zeros((n, k)), (spectra**2).sum(1)
     for size in range(1, k + 1):
@@ -68,7 +131,8 @@ def solve(spectra: np.ndarray, members: np.ndarray) -> np.ndarray:
 
 
 def unmix(pixels: DataFrame, bands: Sequence[str], members: np.ndarray, names: Sequence[str], keys: Sequence[str] = ("y", "x"), sum_to_one: bool = True) -> DataFrame:
-    """keys, the abundance of each member and rmse, for pixels with all bands known. members: bands by members, a small matrix."""
+    """keys, the abundance of each member and rmse, for pixels with all bands known. members: bands by members, a matrix of any number of
+    members that goes out with the tasks."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,7 +144,7 @@ def unmix(pixels: DataFrame, bands: Sequence[str], members: np.ndarray, names: S
             rmse = np.sqrt(((a @ members.T - x) ** 2).mean(1))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *(pa.array(a[:, i].copy()) for i in range(a.shape[1])), pa.array(rmse)], names=[*keys, *names, "rmse"])
 
-    rows = pixels.where(" AND ".join(f"{b} IS NOT NULL" for b in bands)).select(*keys, *[F.col(b).cast("double") for b in bands])
+    rows = pixels.select(*keys, *[finite(F.col(b).cast("double")).alias(b) for b in bands]).dropna(subset=list(bands))
     schema = ", ".join([f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys] + [f"{n} double" for n in (*names, "rmse")])
     return rows.mapInArrow(run, schema)
 
