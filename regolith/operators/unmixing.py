@@ -11,7 +11,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regolith.functions.bands import finite
 from regolith.operators.stats import between_quantiles, quantiles_of
 
 
@@ -136,7 +135,9 @@ def unmix(pixels: DataFrame, bands: Sequence[str], members: np.ndarray, names: S
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.column_stack([batch.column(len(keys) + i).to_numpy(zero_copy_only=False) for i in range(len(bands))]).astype(float)
+            x = np.column_stack([batch.column(len(keys) + i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(bands))])
+            known = np.isfinite(x).all(1)
+            x, batch = x[known], batch.filter(pa.array(known))
             a = solve(x, members)
             total = a.sum(1, keepdims=True)
             if sum_to_one:
@@ -144,7 +145,7 @@ def unmix(pixels: DataFrame, bands: Sequence[str], members: np.ndarray, names: S
             rmse = np.sqrt(((a @ members.T - x) ** 2).mean(1))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *(pa.array(a[:, i].copy()) for i in range(a.shape[1])), pa.array(rmse)], names=[*keys, *names, "rmse"])
 
-    rows = pixels.select(*keys, *[finite(F.col(b).cast("double")).alias(b) for b in bands]).dropna(subset=list(bands))
+    rows = pixels.select(*keys, *[F.col(b).cast("double").alias(b) for b in bands])
     schema = ", ".join([f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys] + [f"{n} double" for n in (*names, "rmse")])
     return rows.mapInArrow(run, schema)
 

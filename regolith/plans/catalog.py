@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from regolith.plans import deformation_queries, grid_queries, knowledge_queries, pixel_queries, region_queries, scene_queries  # noqa: E402, F401  they register
+from regolith.plans import deformation_queries, file_queries, grid_queries, knowledge_queries, pixel_queries, region_queries, scene_queries  # noqa: E402, F401  they register

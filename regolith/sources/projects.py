@@ -120,12 +120,29 @@ def list_projects(spark: SparkSession, path: str) -> DataFrame:
     return files.select(name.alias("project")).where("project <> '' AND project NOT LIKE '.%'").groupBy("project").agg(F.count("*").alias("files")).orderBy("project")
 
 
-def synthetic_scene(spark: SparkSession, bands: int = 7, height: int = 256, width: int = 256, seed: int = 42) -> DataFrame:
-    """scene, y, x and bands of digital numbers from 100 to 3000 with a bright rectangle; a hash makes them the same on any cluster."""
+#: Fixed: what stands out in each kind of synthetic scene: first and last but one row and column of a square, and its bands' numbers.
+#: Mixed: plants, water, buildings; forest: plants; urban: buildings and roads everywhere.
+SCENES = {
+    "plain": [],
+    "mixed": [(50, 100, {"B5": 4500, "B4": 1000}), (120, 160, {"B3": 3000, "B5": 500}), (200, 240, {"B4": 3500, "B5": 2000})],
+    "forest": [(50, 200, {"B5": 5000, "B4": 800, "B3": 1500})],
+    "urban": [(0, 1 << 30, {"B6": 2500, "B5": 1500, "B4": 2800})],
+}
+
+
+def synthetic_scene(spark: SparkSession, bands: int = 7, height: int = 256, width: int = 256, seed: int = 42, kind: str = "plain") -> DataFrame:
+    """scene, y, x and bands of digital numbers from 100 to 3000 with, in a plain scene, a bright rectangle, in the others the squares of
+    SCENES; a hash makes them the same on any cluster."""
+    if kind not in SCENES:
+        raise ValueError(f"unknown kind of scene: {kind}")
     cells = spark.range(height * width).select(F.lit("synthetic").alias("scene"), F.floor(F.col("id") / width).cast("int").alias("y"), (F.col("id") % width).cast("int").alias("x"), "id")
     inside = F.col("y").between(height // 4, height // 2) & F.col("x").between(width // 4, width // 2)
     noise = [(100 + F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(2900))).cast("double") for k in range(1, bands + 1)]
-    return cells.select("scene", "y", "x", *[F.when(inside & F.lit(k % 2 == 0), 2800.0).otherwise(v).alias(f"B{k}") for k, v in enumerate(noise, 1)])
+    made = {f"B{k}": F.when(inside & F.lit(k % 2 == 0), 2800.0).otherwise(v) if kind == "plain" else v for k, v in enumerate(noise, 1)}
+    for first, stop, values in SCENES[kind]:
+        square = F.col("y").between(first, stop - 1) & F.col("x").between(first, stop - 1)
+        made |= {band: F.when(square, float(value)).otherwise(made[band]) for band, value in values.items() if band in made}
+    return cells.select("scene", "y", "x", *[c.alias(band) for band, c in made.items()])
 
 
 def sensor_folders(spark: SparkSession, path: str, prefixes: dict[str, list[str]]) -> DataFrame:
