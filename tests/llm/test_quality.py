@@ -207,3 +207,38 @@ def test_pages_are_judged_by_their_sites(spark):
     assert sorted(r.page_id for r in rows) == sorted(r.page_id for r in pages.select("page_id").collect())
     sizes = Counter((r.host, r.path) for r in rows)
     assert all(r.host for r in rows) and sum(n <= 2 for n in sizes.values()) > 10 and all(0 <= r.quality <= 1 for r in rows)
+
+
+def test_trees_against_a_plain_walk():
+    own = np.random.default_rng(21)
+    x = own.normal(size=(500, 5)).round(1)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float)
+    forest = boosting.fit(x, y, monotone={0: 1}, trees=15)
+
+    def walked(row):
+        total = forest.base
+        for root in forest.roots.tolist():
+            node = root
+            while forest.feature[node] >= 0:
+                node = int(forest.left[node] if row[forest.feature[node]] <= forest.threshold[node] else forest.right[node])
+            total += forest.value[node]
+        return 1 / (1 + math.exp(-total))
+
+    some = np.concatenate([x[:200], own.normal(size=(100, 5))])
+    assert np.allclose(forest.score(some), [walked(r) for r in some], atol=1e-12)
+    # No row's score falls as the constrained feature grows.
+    for r in some[:50]:
+        line = [walked([v, *r[1:]]) for v in np.linspace(-3, 3, 25)]
+        assert all(b >= a - 1e-12 for a, b in zip(line, line[1:], strict=False))
+
+
+def test_posteriors_of_pages_against_plain_loops(spark):
+    path = "/root/testdata/sf0.01"
+    rows = queries.quality_of_pages(spark, path).collect()
+    evidence = quality_bayes.train(spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{path}/labels.parquet"))
+    bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"<[^>]*>", " ")
+    texts = {r.page_id: r.text for r in spark.read.parquet(f"{path}/pages.parquet").select("page_id", bare.alias("text")).collect()}
+    logits = evidence.logits(statistics.features(statistics.count(pa.array([texts[r.page_id] for r in rows], pa.string()))))
+    wanted = plain_posteriors([(r.host, r.path, float(z)) for r, z in zip(rows, logits, strict=True)])
+    for r, (at_path, quality) in zip(rows, wanted, strict=True):
+        assert abs(r.path_posterior - at_path) < 1e-9 and abs(r.quality - quality) < 1e-9
