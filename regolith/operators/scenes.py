@@ -24,7 +24,8 @@ SENT_ROWS = 200_000
 
 
 def joined(df: DataFrame, found: DataFrame, key: Sequence[str]) -> DataFrame:
-    """df with the columns of `found`, which has a row for each scene; null keys meet."""
+    """df with the columns of `found`, which has a row for each scene; null keys meet. found is counted first, so it should be
+    checkpointed, or come from what is."""
     names = {k: f"_{i}_key" for i, k in enumerate(key)}
     right = found.withColumnsRenamed(names)
     if found.count() <= SENT_ROWS:
@@ -58,7 +59,7 @@ def quantiles_by(df: DataFrame, key: Sequence[str], wanted: Mapping[str, tuple[C
     def high(k: int, i: int) -> Column:
         return F.when(F.col(f"n{k}") <= SMALL, F.lit(float("inf"))).otherwise(F.col(f"b{k}")[2 * i + 1])
 
-    under = bounded.groupBy(*key).agg(*[F.count_if(F.col(f"v{k}") < low(k, i)).alias(f"u{k}_{i}") for k, i, _ in places])
+    under = checkpointed(bounded.groupBy(*key).agg(*[F.count_if(F.col(f"v{k}") < low(k, i)).alias(f"u{k}_{i}") for k, i, _ in places]))
     within = [F.when(F.col(f"v{k}").between(low(k, i), high(k, i)), F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.col(f"v{k}").alias("v"))) for k, i, _ in places]
     near = bounded.select(*key, F.explode(F.array_compact(F.array(*within))).alias("_at")).groupBy(*key, F.col("_at.k").alias("k"), F.col("_at.i").alias("i"), F.col("_at.v").alias("v")).agg(F.count("*").alias("times"))
     # Of each scene and wanted rank: how many values lie under its bracket, and the rank counted from 0, with a fraction.
@@ -74,7 +75,7 @@ def quantiles_by(df: DataFrame, key: Sequence[str], wanted: Mapping[str, tuple[C
         return F.max(F.when((last - F.col("times") < rank) & (rank <= last), F.col("v")))
 
     found = counted.groupBy(*key, "k", "i").agg(value_at(lower).alias("a"), value_at(upper).alias("b"), F.first(F.col("rank") - lower).alias("part"))
-    each = found.select(*key, F.struct("k", "i", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("q")).alias("q")).groupBy(*key).agg(F.collect_list("q").alias("qs"))
+    each = checkpointed(found.select(*key, F.struct("k", "i", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("q")).alias("q")).groupBy(*key).agg(F.collect_list("q").alias("qs")))
 
     def quantile(k: int, i: int) -> Column:
         return F.get(F.filter("qs", lambda q: (q.k == k) & (q.i == i)), F.lit(0)).q

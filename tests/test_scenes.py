@@ -125,6 +125,24 @@ def test_soft_over(table):
         assert math.isclose(r.soft, min(max((r.v - limit) / max(top - limit, 1e-6), 0), 1), rel_tol=1e-9, abs_tol=1e-12)
 
 
+def test_three_scans(spark, tmp_path):
+    """Whatever the number of scenes and layers, the table is read three times."""
+    log = str(tmp_path / "log")
+
+    def read(batches):
+        n = 0
+        for batch in batches:
+            n += batch.num_rows
+            yield batch
+        with open(log, "a") as file:
+            file.write(f"{n}\n")
+
+    rows = spark.range(3000).selectExpr("id % 50 AS scene", "id * 1.0D AS v", "id % 7 * 1.0D AS w").coalesce(2)
+    seen = rows.mapInArrow(read, "scene long, v double, w double")
+    found = scenes.quantiles_by(seen, ["scene"], {"v": (F.col("v"), [0.02, 0.98]), "w": (F.col("w"), [0.5])})
+    assert found.count() == 50 and sum(map(int, open(log).read().split())) == 3 * 3000
+
+
 def test_many_scenes_and_empty_tables(spark, tmp_path):
     many = spark.range(200_000).select((F.col("id") % 10_000).alias("scene"), F.col("id").cast("double").alias("v"))
     many.write.parquet(f"{tmp_path}/many")
