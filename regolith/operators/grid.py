@@ -218,7 +218,7 @@ def _level(size: Column, share: float) -> Column:
 
 
 #: A segment lies in about so many cells of its own level; a box in four at most.
-ALONG = 16
+ALONG = 4
 
 
 def _cells_along(segments: DataFrame, level: Column) -> DataFrame:

@@ -239,8 +239,8 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
 
 
 def band_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """idx, wavelength_um, gain, offset, fwhm_um of each band from a scene's XML, in document order, in any namespace. Gains, offsets and
-    widths of another number than the wavelengths are ignored."""
+    """idx, wavelength_um, gain, offset, fwhm_um of each band from a scene's XML, in document order, in any namespace. Gains or
+    offsets that are more than the wavelengths belong to something else and are ignored."""
     own = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("xml"))
 
     def values(tag: str):
@@ -248,7 +248,7 @@ def band_metadata(spark: SparkSession, path: str) -> DataFrame:
         return F.filter(F.transform(found, lambda v: F.trim(v).try_cast("double")), lambda v: v.isNotNull())
 
     lists = own.select(values("wavelengthCenterOfBand").alias("w"), values("GainOfBand").alias("g"), values("OffsetOfBand").alias("o"), values("FWHMOfBand").alias("f"))
-    own = {c: F.when(F.size(c) == F.size("w"), F.get(c, F.col("idx"))) for c in "gof"}
+    own = {c: F.when(F.size(c) <= F.size("w"), F.get(c, F.col("idx"))) for c in "go"} | {"f": F.get("f", F.col("idx"))}
     return lists.select(F.posexplode("w").alias("idx", "nm"), "w", "g", "o", "f").select("idx", (F.col("nm") / 1000).alias("wavelength_um"), own["g"].alias("gain"), own["o"].alias("offset"), (own["f"] / 1000).alias("fwhm_um"))
 
 
