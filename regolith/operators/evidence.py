@@ -93,7 +93,7 @@ def prospectivity_at(
     """prospectivity() of the target's layers with what products of the same place add: the nearness to structures from the `distance`
     layer of the first structural product that touches the box, and the `deformation` layer of the first product of deformation.
 
-    target: scene, y, x, lon, lat and what the layers need. structure and deformed: products and their pixels, as
+    target: scene, y, x, lon, lat and what the layers need, which name their columns (F.col). structure and deformed: products and their pixels, as
     spatial.layers_on_grid takes them. Evidence that no product has is left out, and the weights of the others count for it."""
     found, own = target, dict(layers)
     for products, name, column in ((structure, "distance", "_distance"), (deformed, "deformation", "_deformation")):

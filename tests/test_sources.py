@@ -403,3 +403,37 @@ def test_a_pair_without_a_baseline_is_left_out_of_the_decay(spark):
 
     pairs = spark.createDataFrame([(12, 0.9), (24, 0.8), (36, 0.7), (None, 0.1)], "baseline int, coherence double")
     assert deformation.decay(pairs).first() == deformation.decay(pairs.where("baseline IS NOT NULL")).first()
+
+
+def test_kinds_of_synthetic_scenes(spark):
+    def at(scene, y, x):
+        return scene.where((scene.y == y) & (scene.x == x)).first()
+
+    mixed, forest, urban = (projects.synthetic_scene(spark, kind=k) for k in ("mixed", "forest", "urban"))
+    plants, water, town = at(mixed, 60, 99), at(mixed, 120, 159), at(mixed, 239, 200)
+    assert (plants.B5, plants.B4) == (4500, 1000) and (water.B3, water.B5) == (3000, 500) and (town.B4, town.B5) == (3500, 2000)
+    assert (at(forest, 199, 50).B5, at(forest, 199, 50).B3) == (5000, 1500) and at(forest, 200, 50).B5 < 3000
+    assert urban.select("B6", "B5", "B4").distinct().collect() == [(2500.0, 1500.0, 2800.0)]
+    assert projects.synthetic_scene(spark, 3, 60, 60, kind="mixed").columns == ["scene", "y", "x", "B1", "B2", "B3"]
+    with pytest.raises(ValueError, match="unknown kind"):
+        projects.synthetic_scene(spark, kind="sea")
+
+
+def test_evidence_that_no_product_has_is_left_out(spark):
+    from regolith.operators import evidence
+
+    target = spark.range(100).selectExpr("'s' AS scene", "id div 10 AS y", "id % 10 AS x", "(id % 10) * 1.0D AS lon", "(id div 10) * 1.0D AS lat", "id * 1.0D AS a")
+    products = spark.createDataFrame([("p", 0, 0.0, 0.0, 9.0, 9.0, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0])], "product string, pos int, west double, south double, east double, north double, transform array<double>")
+    cells = spark.range(100).selectExpr("'p' AS product", "'deformation' AS layer", "id div 10 AS y", "id % 10 AS x", "(99 - id) * 1.0D AS value")
+    layers = {"alteration": F.col("a")}
+    alone, own = evidence.prospectivity(target, layers)
+    for box, other in (((50.0, 50.0, 60.0, 60.0), None), ((0.0, 0.0, 5.0, 5.0), 0.15)):
+        scored, summary = evidence.prospectivity_at(target, layers, box, structure=(products, cells), deformed=(products, cells))
+        if other is None:
+            assert summary.first() == own.first() and scored.orderBy("y", "x").select("score").collect() == alone.orderBy("y", "x").select("score").collect()
+        else:
+            # Deformation counts against alteration by its weight, and the structural layer, which the product lacks, for nothing.
+            low, high = np.quantile(np.arange(100.0), [0.02, 0.98])
+            up = np.clip((np.arange(100) - low) / (high - low), 0, 1)
+            wanted = (0.3 * up + other * up[::-1]) / (0.3 + other)
+            assert np.allclose([r.score for r in scored.orderBy("y", "x").collect()], wanted)
