@@ -151,6 +151,14 @@ def soft_over(df: DataFrame, key: Sequence[str], index: Column, limits: DataFram
     return out.withColumn(name, F.coalesce(soft, F.lit(0.0))).drop("_index", "_limit", "_top")
 
 
+def proximity(df: DataFrame, key: Sequence[str], distance: Column, name: str = "proximity") -> DataFrame:
+    """df with `name`: exp(-distance / scale) by the median distance of the scene (1 where that is 0 or unknown); 0 where the distance is
+    unknown."""
+    own = finite(distance.cast("double"))
+    found = quantiles_by(df, key, {"scale": (own, [0.5])}).select(*key, F.coalesce(F.nullif(F.col("scale")[0], F.lit(0.0)), F.lit(1.0)).alias("_scale"))
+    return joined(df, found, key).withColumn(name, F.coalesce(F.exp(-own / (F.col("_scale") + 1e-9)), F.lit(0.0))).drop("_scale")
+
+
 def anomaly_ratios(df: DataFrame, key: Sequence[str], masks: Mapping[str, tuple[Column, Column]], roi: Column | None = None) -> DataFrame:
     """key and, for each name, the share of anomalies (mask, index): of all pixels of the region with one, else of those with a value."""
     base = {name: F.count_if(roi) if roi is not None else F.count(finite(index.cast("double"))) for name, (_, index) in masks.items()}

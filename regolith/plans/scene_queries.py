@@ -74,3 +74,9 @@ def scene_soft_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     ix = _index(spark, sf_dir)
     limits = scenes.thresholds(ix, KEY, {"threshold": F.col("v")})
     return scenes.soft_over(ix, KEY, F.col("v"), limits).select("y", "x", F.round("soft", 6).alias("soft"))
+
+
+@query("scene_proximity", f"""WITH {views.RASTER}, m AS (SELECT event_type, coalesce(nullif(median(B4 * 6), 0), 1.0) AS s FROM px GROUP BY event_type)
+SELECT y, x, round(coalesce(exp(-B4 * 6 / (s + 1e-9)), 0.0), 6)::DOUBLE AS proximity FROM px JOIN m ON px.event_type = m.event_type""")
+def scene_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scenes.proximity(views.raster(spark, sf_dir), KEY, F.col("B4") * 6).select("y", "x", F.round("proximity", 6).alias("proximity"))

@@ -110,6 +110,15 @@ def test_stretches(table):
             assert math.isclose(r.out, min(max((r.w - low) / max(high - low, 1e-6), 0), 1) ** 0.5, rel_tol=1e-9, abs_tol=1e-12)
 
 
+def test_proximity(table):
+    rows, df = table
+    plain = groups(rows, 2)
+    for r in scenes.proximity(df, ["scene"], F.abs("v")).collect():
+        own = [abs(x) for x in plain[r.scene]]
+        scale = (np.median(own) if own else 0) or 1.0
+        assert math.isclose(r.proximity, math.exp(-abs(r.v) / (scale + 1e-9)) if r.v is not None and math.isfinite(r.v) else 0.0, rel_tol=1e-9, abs_tol=1e-300)
+
+
 def test_soft_over(table):
     rows, df = table
     limits = scenes.thresholds(df, ["scene"], {"threshold": F.col("v")}, "percentile")
