@@ -96,7 +96,7 @@ def _runs_sql() -> str:
     """Common tables: n0, the leaves of buckets k; for each level the runs (what each FAN nodes give, in order) and their digests."""
     out = ["n0 AS (SELECT k, levels, pos, digest FROM leaves)"]
     for level in range(1, LEVELS + 1):
-        out.append(f"r{level} AS (SELECT k, levels, pos // {FAN} AS pos, string_agg(digest, '' ORDER BY pos) AS run FROM n{level - 1} WHERE levels >= {level} GROUP BY k, levels, pos // {FAN})")
+        out.append(f"r{level} AS MATERIALIZED (SELECT k, levels, pos // {FAN} AS pos, string_agg(digest, '' ORDER BY pos) AS run FROM n{level - 1} WHERE levels >= {level} GROUP BY k, levels, pos // {FAN})")
         out.append(f"n{level} AS (SELECT k, levels, pos, sha256(run) AS digest FROM r{level})")
     return "WITH " + ", ".join(out)
 
@@ -107,23 +107,24 @@ def _roots_sql() -> str:
 
 def _proofs_sql(outer: int) -> str:
     """For each leaf, in order: the digest of all siblings on its way to the root, and what folding them to `start` gives. Digests are of
-    64 letters, so a node's siblings are what its run has before and behind it."""
-    joins, siblings = "", []
-    for level in range(1, LEVELS + 1):
-        joins += f" LEFT JOIN r{level} ON r{level}.k = l.k AND r{level}.pos = l.pos // {FAN**level}"
-        at = f"64 * (l.pos // {FAN ** (level - 1)} % {FAN})"
-        siblings += [f"coalesce(substr(r{level}.run, 1, {at}) || substr(r{level}.run, {at} + 65), '')"]
-    steps = []
+    64 letters, so a node's siblings are what its run has before and behind it. From step to step a leaf keeps its digest alone; runs
+    and ways, which many leaves share, are looked up, so that a statement takes the same memory however high the tree is."""
+
+    def met(level: int, leaves: str) -> str:
+        return f" LEFT JOIN r{level} ON r{level}.k = {leaves}.k AND r{level}.pos = {leaves}.pos // {FAN**level}"
+
+    sql, beside, joins = f"{_runs_sql()}, h0 AS (SELECT k, pos, start AS h FROM leaves)", [], ""
     for level in range(1, LEVELS + 1):
-        at = f"64 * (pos // {FAN ** (level - 1)} % {FAN})"
-        steps.append(f"CASE WHEN run{level} IS NULL THEN {{h}} ELSE sha256(substr(run{level}, 1, {at}) || {{h}} || substr(run{level}, {at} + 65)) END")
-    steps += [f"CASE WHEN len(lefts) < {j} THEN {{h}} ELSE sha256(lefts[{j}] || {{h}} || rights[{j}]) END" for j in range(1, outer + 1)]
-    runs = ", ".join(f"r{level}.run AS run{level}" for level in range(1, LEVELS + 1))
-    sql = f"{_runs_sql()}, h0 AS (SELECT l.k, l.pos, l.start AS h, {runs}, {' || '.join(siblings)} || o.beyond AS beside, o.lefts, o.rights FROM leaves l{joins} JOIN outers o ON o.k = l.k)"
-    kept = "k, pos, beside, lefts, rights, " + ", ".join(f"run{level}" for level in range(1, LEVELS + 1))
-    for j, step in enumerate(steps):
-        sql += f", h{j + 1} AS MATERIALIZED (SELECT {kept}, {step.format(h='h')} AS h FROM h{j})"
-    return f"{sql} SELECT sha256(beside) AS proof, h AS folded FROM h{len(steps)} ORDER BY k, pos"
+        at, run, last = f"64 * (l.pos // {FAN ** (level - 1)} % {FAN})", f"r{level}.run", f"h{level - 1}"
+        before, behind = f"substr({run}, 1, {at})", f"substr({run}, {at} + 65)"
+        beside.append(f"coalesce({before} || {behind}, '')")
+        joins += met(level, "l")
+        sql += f", h{level} AS MATERIALIZED (SELECT l.k, l.pos, CASE WHEN {run} IS NULL THEN h ELSE sha256({before} || h || {behind}) END AS h FROM {last} l{met(level, 'l')})"
+    for j in range(1, outer + 1):
+        last = f"h{LEVELS + j - 1}"
+        sql += f", h{LEVELS + j} AS MATERIALIZED (SELECT l.k, l.pos, CASE WHEN len(lefts) < {j} THEN h ELSE sha256(lefts[{j}] || h || rights[{j}]) END AS h FROM {last} l JOIN outers o ON o.k = l.k)"
+    sql += f", proofs AS MATERIALIZED (SELECT l.k, l.pos, sha256({' || '.join(beside)} || o.beyond) AS proof FROM leaves l{joins} JOIN outers o ON o.k = l.k)"
+    return f"{sql} SELECT proof, h AS folded FROM proofs JOIN h{LEVELS + outer} AS last ON last.k = proofs.k AND last.pos = proofs.pos ORDER BY proofs.k, proofs.pos"
 
 
 def _groups(lengths: np.ndarray) -> Iterator[tuple[int, int]]:

@@ -5,6 +5,8 @@ import random
 import zlib
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from regolith.llm import merkle, queries
@@ -129,3 +131,24 @@ def test_positions_of_keys_over_many_partitions(spark):
     for r in found:
         by.setdefault(r.key, []).append((r.id, r["at"]))
     assert all([at for _, at in sorted(own)] == list(range(len(own))) for own in by.values()) and len(found) == 5000
+
+
+def test_a_statements_memory_does_not_grow_with_the_height_of_the_tree():
+    n, outer, side = 2 * merkle.BUCKET, 6, h("side") * 7
+    digests = [h(str(i)) for i in range(n)]
+    numbers, at = np.repeat([0, 1], merkle.BUCKET), np.tile(np.arange(merkle.BUCKET), 2)
+    leaves = pa.table({"k": numbers, "levels": np.full(n, merkle.LEVELS), "pos": at, "digest": digests, "start": digests})
+    outers = pa.table({"k": [0, 1], "lefts": [[side] * outer] * 2, "rights": [[side] * outer] * 2, "beyond": [side * 2 * outer] * 2})
+    engine = duckdb.connect()
+    for setting in ("threads = 1", "temp_directory = ''", "memory_limit = '200MB'"):
+        engine.execute(f"SET {setting}")
+    engine.register("leaves", leaves)
+    engine.register("outers", outers)
+    found = engine.sql(merkle._proofs_sql(outer)).fetchall()
+    expected = []
+    for start in (0, merkle.BUCKET):
+        top, ways = climbed(digests[start : start + merkle.BUCKET])
+        for _ in range(outer):
+            top = h(side, top, side)
+        expected += [(h(*[a + b for a, b in way], side * 2 * outer), top) for way in ways]
+    assert found == expected
