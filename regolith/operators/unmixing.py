@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regolith.operators.stats import between_quantiles, quantiles_of
+from regolith.session import staged
 
 
 #: Pixels with all scores below which the last score's pixels are taken instead.
@@ -24,11 +25,12 @@ def endmembers(pixels: DataFrame, bands: Sequence[str], scores: dict[str, Column
     Valid are pixels (in the region) with all scores; where they are fewer than LEAST_VALID, all pixels with the last score, which
     is the brightness. A score that no valid pixel has gives the mean of all valid ones. The threshold of each score is its exact
     quantile, all found together, so pixels are filtered, not sorted in one task; of pixels that tie at the threshold those with
-    the smallest (y, x) count.
+    the smallest (y, x) count. Scores are worked out once and written, as each scan would take its formulas anew.
     """
-    scored = pixels.withColumns({f"s_{name}": score for name, score in scores.items()})
     inside = F.lit(True) if roi is None else F.coalesce(roi, F.lit(False))
-    every = functools.reduce(lambda a, b: a & b, [F.col(f"s_{name}").isNotNull() for name in scores], inside)
+    known = pixels.select("y", "x", *bands, inside.alias("_inside"), *[score.alias(f"s_{name}") for name, score in scores.items()])
+    scored = staged(known, "scored")
+    every = functools.reduce(lambda a, b: a & b, [F.col(f"s_{name}").isNotNull() for name in scores], F.col("_inside"))
     last = F.col(f"s_{list(scores)[-1]}").isNotNull()
     valid = scored.where(every)
     counted = scored.agg(F.count_if(every).alias("valid"), *[F.count_if(last & F.col(f"s_{name}").isNotNull()).alias(name) for name in scores]).first()

@@ -61,3 +61,10 @@ def test_unmix_with_twenty_members(spark):
     assert time.time() - began < 60 and len(found) == 500
     assert np.allclose([[r[n] for n in names] for r in found], true, atol=1e-6) and max(r.rmse for r in found) < 1e-6
     assert unmixing.summary(unmixing.unmix(df.where(F.col("k") > 900), bands, m, names, keys=["k"])).first().n_unmixed == 0
+
+
+def test_scores_of_endmembers_are_worked_out_once(spark):
+    from regolith.plans import pixel_queries
+
+    found = pixel_queries.endmembers(spark, "/root/testdata/sf0.001")
+    assert "get_json_object" not in found._jdf.queryExecution().toString()  # no scan after the first takes the bands' formulas again
