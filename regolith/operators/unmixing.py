@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import itertools
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -131,20 +131,58 @@ def _every_set(spectra: np.ndarray, members: np.ndarray) -> np.ndarray:
     return best
 
 
-def unmix(pixels: DataFrame, bands: Sequence[str], members: np.ndarray, names: Sequence[str], keys: Sequence[str] = ("y", "x"), sum_to_one: bool = True) -> DataFrame:
+def _dot(a: Sequence, b: Sequence):
+    """The products' sum from the first to the last, whatever the machine's own matrix routines do."""
+    return functools.reduce(lambda total, own: total + own[0] * own[1], zip(a[1:], b[1:], strict=True), a[0] * b[0])
+
+
+def _determinant(m: Sequence[Sequence]):
+    """By the first row, of numbers or of columns of them."""
+    if len(m) == 1:
+        return m[0][0]
+    parts = [(-m[0][k] if k % 2 else m[0][k]) * _determinant([[v for c, v in enumerate(row) if c != k] for row in m[1:]]) for k in range(len(m))]
+    return functools.reduce(lambda a, b: a + b, parts)
+
+
+def solve_by_products(spectra: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """What solve() finds for few members, from the products of members and spectra alone, by Cramer's rule: the arithmetic that a database
+    can do, operation for operation, so that both round alike. Where members are nearly dependent it keeps about half the digits."""
+    k, e, x = members.shape[1], members.T, spectra.T
+    g = [[_dot(e[i], e[j]) for j in range(k)] for i in range(k)]
+    h, square = [_dot(e[i], x) for i in range(k)], _dot(x, x)
+    best, least = np.zeros((len(spectra), k)), np.full(len(spectra), np.inf)
+    for size in range(1, k + 1):
+        for own in itertools.combinations(range(k), size):
+            whole, a = _determinant([[g[i][j] for j in own] for i in own]), np.zeros((k, len(spectra)))
+            for j in own:
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    a[j] = _determinant([[h[i] if c == j else g[i][c] for c in own] for i in own]) / whole
+            rest = square - 2 * _dot(a, h)
+            for i, j in itertools.product(range(k), repeat=2):
+                rest = rest + a[i] * a[j] * g[i][j]
+            good = (a >= 0).all(0) & (rest < least)
+            best[good], least[good] = a.T[good], rest[good]
+    return best
+
+
+Solver = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def unmix(pixels: DataFrame, bands: Sequence[str], members: np.ndarray, names: Sequence[str], keys: Sequence[str] = ("y", "x"), sum_to_one: bool = True, solver: Solver = solve) -> DataFrame:
     """keys, the abundance of each member and rmse, for pixels with all bands known. members: bands by members, a matrix of any number of
-    members that goes out with the tasks."""
+    members that goes out with the tasks. solver: solve, or solve_by_products for what SQL gives to the last digit."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.column_stack([batch.column(len(keys) + i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(bands))])
             known = np.isfinite(x).all(1)
             x, batch = x[known], batch.filter(pa.array(known))
-            a = solve(x, members)
-            total = a.sum(1, keepdims=True)
+            a = solver(x, members)
+            total = functools.reduce(np.add, a.T)[:, None]
             if sum_to_one:
                 a = np.where(total > 1e-9, a / np.where(total > 1e-9, total, 1), a)
-            rmse = np.sqrt(((a @ members.T - x) ** 2).mean(1))
+            off = [(_dot(a.T, own) - value) ** 2 for own, value in zip(members, x.T, strict=True)]
+            rmse = np.sqrt(functools.reduce(np.add, off) / len(off))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *(pa.array(a[:, i].copy()) for i in range(a.shape[1])), pa.array(rmse)], names=[*keys, *names, "rmse"])
 
     rows = pixels.select(*keys, *[F.col(b).cast("double").alias(b) for b in bands])

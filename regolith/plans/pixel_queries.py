@@ -410,7 +410,7 @@ def unmix_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = endmembers(spark, sf_dir).orderBy("name").collect()
     names = ["B1", "B2", "B3", "B4"]
     members = np.array([[r[c] for r in rows] for c in names])
-    found = unmixing.unmix(views.raster(spark, sf_dir), names, members, [r["name"] for r in rows])
+    found = unmixing.unmix(views.raster(spark, sf_dir), names, members, [r["name"] for r in rows], solver=unmixing.solve_by_products)
     return found.select("y", "x", *[F.round(c, 4).alias(c) for c in ("rock_soil", "shade", "vegetation", "rmse")])
 
 

@@ -68,3 +68,17 @@ def test_scores_of_endmembers_are_worked_out_once(spark):
 
     found = pixel_queries.endmembers(spark, "/root/testdata/sf0.001")
     assert "get_json_object" not in found._jdf.queryExecution().toString()  # no scan after the first takes the bands' formulas again
+
+
+def test_few_members_round_like_sql_where_bands_are_large(spark, tmp_path):
+    # 75,000 pixels: means of 1,500 members never lie midway between two rounded ones, where the order of addition would tell.
+    import duckdb
+
+    from regolith.plans import pixel_queries
+
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT e.* REPLACE (event_id + g * 10000 AS event_id, user_id + g * 1500 AS user_id) FROM '/root/testdata/sf0.01/events.parquet' e, range(8) r(g) WHERE event_id + g * 10000 < 75000) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'")
+    expected = con.execute(pixel_queries._unmix_sql()).fetchall()
+    found = [tuple(r) for r in pixel_queries.unmix_nnls(spark, str(tmp_path)).collect()]
+    assert sorted(found) == sorted(expected)
