@@ -98,6 +98,50 @@ def _kind(indexed: DataFrame) -> str:
     return indexed.schema["regions"].dataType.elementType["region"].dataType.simpleString()
 
 
+#: Columns that a tile of a row of pixels has; a tile's pixels are the bits of a number, so at most 62.
+TILE = 32
+
+
+def spans(vertices: DataFrame, at: float = 0.0) -> DataFrame:
+    """scene, region, y, lo, hi: the runs of columns, both ends included, that each region holds in each row of pixels.
+
+    at: as for index(). Each edge crosses each of its rows once, by the comparison that a ray from a pixel makes; between the first and the
+    second crossing of a row, the third and the fourth and so on is inside. So a region is worked out once, however many pixels it has,
+    and rows of one region meet in as many tasks as there are. Pixels at negative rows have regions too."""
+    e = edges_of(vertices)
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    rows = e.withColumn("y", F.explode(F.when(F.ceil(high - at) > F.ceil(low - at), F.sequence(F.ceil(low - at), F.ceil(high - at) - 1)).otherwise(F.array().cast("array<long>"))))
+    place = F.col("y").cast("double") + at
+    met = rows.where((F.col("y1") > place) != (F.col("y2") > place))
+    cut = (F.col("x2") - F.col("x1")) * (place - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    found = met.select("scene", "region", "y", F.ceil(cut - at).alias("cut")).groupBy("scene", "region", "y").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
+    each = found.select("scene", "region", "y", "cuts", F.explode(F.sequence(F.lit(0), F.size("cuts") - 2, F.lit(2))).alias("_k"))
+    return each.select("scene", "region", "y", F.col("cuts")[F.col("_k")].alias("lo"), (F.col("cuts")[F.col("_k") + 1] - 1).alias("hi")).where("lo <= hi")
+
+
+def _tiled(found: DataFrame) -> DataFrame:
+    return found.withColumn("_t", F.explode(F.sequence(F.floor(F.col("lo") / TILE), F.floor(F.col("hi") / TILE))))
+
+
+def pairs_at(pixels: DataFrame, found: DataFrame) -> DataFrame:
+    """pixels (scene, y, x and more) with `region`: a row for each of the regions' spans() that holds a pixel. Spans meet the pixels of
+    their tiles, and only a tile's few pixels are compared; they are never sent whole to all tasks, whatever their size seemed before."""
+    placed = pixels.withColumn("_t", F.floor(F.col("x") / TILE))
+    return _tiled(found).hint("merge").join(placed, ["scene", "y", "_t"]).where("x BETWEEN lo AND hi").select(*pixels.columns, "region")
+
+
+def covered(pixels: DataFrame, found: DataFrame, name: str = "covered") -> DataFrame:
+    """pixels with whether any region's spans() hold them. Spans become bits of their tiles, which are put together before they move, so
+    what meets the pixels does not grow with the regions."""
+    one, start = F.lit(1).cast("long"), F.col("_t") * TILE
+    first, stop = (F.col("lo") - start), (F.col("hi") - start + 1)
+    ends = F.call_function("shiftleft", one, F.least(stop, F.lit(TILE)).cast("int")) - F.call_function("shiftleft", one, F.greatest(first, F.lit(0)).cast("int"))
+    tiles = _tiled(found).groupBy("scene", "y", "_t").agg(F.bit_or(ends).alias("_bits"))
+    met = pixels.withColumn("_t", F.floor(F.col("x") / TILE)).join(tiles.hint("merge"), ["scene", "y", "_t"], "left")
+    bit = F.call_function("shiftright", F.col("_bits"), (F.col("x") - F.col("_t") * TILE).cast("int")).bitwiseAND(one) == 1
+    return met.withColumn(name, F.coalesce(bit, F.lit(False))).select(*pixels.columns, name)
+
+
 def in_pixels(vertices: DataFrame, profiles: DataFrame) -> DataFrame:
     """Vertices in degrees (scene, region, part, ring, seq, lon, lat) as vertices in the pixels of their scene's raster.
 
@@ -123,12 +167,16 @@ def region_mask(pixels: DataFrame, profiles: DataFrame, drawn: DataFrame | None
     index() takes them), whose outline is inside; else every pixel is."""
     geo = in_pixels(drawn, profiles) if drawn is not None else None
     out, conditions = pixels, []
-    for name, vertices, at, outline in (("_geo", geo, 0.5, False), ("_cells", cells, 0.0, True)):
+    for name, vertices in (("_geo", geo), ("_cells", cells)):
         if vertices is None:
             continue
         has = vertices.select("scene").distinct().withColumn(f"{name}_has", F.lit(True))
-        out = regions_at(out.join(F.broadcast(has), "scene", "left"), index(vertices, at), at, outline=outline).withColumnRenamed("regions", name)
-        conditions.append((F.coalesce(F.col(f"{name}_has"), F.lit(False)), F.size(name) > 0))
+        out = out.join(F.broadcast(has), "scene", "left")
+        if vertices is geo:
+            out = covered(out, spans(geo, 0.5), name)
+        else:
+            out = regions_at(out, index(vertices), outline=True).withColumn(name, F.size("regions") > 0).drop("regions")
+        conditions.append((F.coalesce(F.col(f"{name}_has"), F.lit(False)), F.col(name)))
     roi = F.lit(True)
     for has, inside in reversed(conditions):
         roi = F.when(has, inside).otherwise(roi)

@@ -122,3 +122,22 @@ def test_the_order_of_fallbacks(spark):
     assert out["cells"] == out["unknown"] == {(y, x) for y in (1, 2, 3, 4) for x in (1, 2, 3, 4)}
     assert len(out["none"]) == 100
     assert regions.region_mask(pixels, profiles).where("roi").count() == 400
+
+
+def test_spans_hold_what_the_index_holds_and_a_covered_pixel_is_one_row(spark):
+    points = [("s", r, p, 0, i, float(x), float(y)) for r, p, ring in [(1, 0, [(0, 0), (9.5, 0.5), (4, 8)]), (1, 1, [(20, 2), (90, 2), (90, 7), (20, 7)]), (2, 0, [(5, -3), (70.5, 4), (3, 9), (30, 4)])] for i, (x, y) in enumerate(ring)]
+    vertices = spark.createDataFrame(points, "scene string, region int, part int, ring int, seq int, x double, y double")
+    pixels = spark.range(1200).selectExpr("'s' AS scene", "id DIV 100 AS y", "id % 100 AS x")
+    for at in (0.0, 0.5):
+        found = regions.spans(vertices, at)
+        each = {(r.y, r.x, k) for r in regions.regions_at(pixels, regions.index(vertices, at), at).collect() for k in r.regions}
+        assert each and {(r.y, r.x, r.region) for r in regions.pairs_at(pixels, found).collect()} == each
+        marked = regions.covered(pixels, found).collect()
+        assert len(marked) == 1200 and {(r.y, r.x) for r in marked if r.covered} == {(y, x) for y, x, _ in each}
+
+
+def test_a_mask_gathers_no_regions(spark):
+    from regolith.plans import region_queries
+
+    plan = region_queries.regions_in_degrees(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "bit_or" in plan and "array_sort" not in plan  # what meets the pixels is bits, not a list of regions in each row
