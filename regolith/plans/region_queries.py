@@ -45,8 +45,7 @@ def _rays_sql(at: float) -> str:
 @query("regions_of_pixels", f"WITH {views.RASTER}, {_VERTICES}, {_edges_sql('verts')}, {_rays_sql(0.0)} SELECT region, count(*) AS n_inside, sum(x)::BIGINT AS sum_x, sum(y)::BIGINT AS sum_y FROM hits GROUP BY region")
 def regions_of_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which pixels each of many regions holds."""
-    found = regions.regions_at(views.raster(spark, sf_dir).select("scene", "y", "x"), regions.index(_vertices(spark, sf_dir), cell=8), cell=8)
-    each = found.select("y", "x", F.explode("regions").alias("region"))
+    each = regions.pairs_at(views.raster(spark, sf_dir).select("scene", "y", "x"), regions.spans(_vertices(spark, sf_dir)))
     return each.groupBy("region").agg(F.count("*").alias("n_inside"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
 
 
