@@ -243,6 +243,22 @@ def _met(homes: DataFrame, visits: DataFrame) -> DataFrame:
     return homes.join(visits.hint("merge"), ["_l", "_cx", "_cy"])
 
 
+#: Visitors of one cell that one task compares with the cell's own boxes.
+BLOCK = 1000
+
+
+def _met_in_blocks(homes: DataFrame, visits: DataFrame) -> DataFrame:
+    """As _met, for cells with any number of visitors: those of a cell are dealt over blocks of about BLOCK, each of which meets the boxes
+    that are at home there, so that one cell's pairs are spread over tasks."""
+    cell = ["_l", "_cx", "_cy"]
+    blocks = visits.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).alias("_n"))
+    dealt = visits.join(blocks.hint("merge"), cell).withColumn("_block", F.pmod(F.xxhash64(*visits.columns), "_n")).drop("_n")
+    each = homes.join(blocks.hint("merge"), cell).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).drop("_n")
+    # A number of partitions that is asked for stays: few bytes make many pairs, so small partitions are not to be put together.
+    parts, keys = int(homes.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*cell, "_block"]
+    return each.repartition(parts, *keys).join(dealt.repartition(parts, *keys).hint("merge"), keys).drop("_block")
+
+
 def crossings(lines: DataFrame) -> DataFrame:
     """seg_a, seg_b, x, y of each pair of segments (seg, x1, y1, x2, y2) that cross, a shared end included; parallel ones are left out.
 
@@ -313,7 +329,7 @@ def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
         higher = F.filter(F.lit(levels), lambda l: (l >= F.col("_level")) if same else (l > F.col("_level")))
         return in_cells(boxes.withColumn("_l", F.explode(higher)), prefix).drop("_level")
 
-    met = _met(homes(left, "a"), visits(right, "b", True)).unionByName(_met(homes(right, "b"), visits(left, "a", False)))
+    met = _met_in_blocks(homes(left, "a"), visits(right, "b", True)).unionByName(_met_in_blocks(homes(right, "b"), visits(left, "a", False)))
     touch = "a_east >= b_west AND a_west <= b_east AND a_north >= b_south AND a_south <= b_north"
     width = F.pow(F.lit(2.0), F.col("_l"))
     first = (F.floor(F.greatest("a_west", "b_west") / width) == F.col("_cx")) & (F.floor(F.greatest("a_south", "b_south") / width) == F.col("_cy"))
