@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regolith.functions.text import band_name, kml_ring
@@ -19,8 +19,8 @@ from regolith.session import checkpointed
 from regolith.sources.layouts import BLOCK_BYTES, created, envi_header, folder_made, opened, rows_of, tiff_head
 
 _PIXEL = "scene string, band int, y int, x int, value double"
-#: Bytes of files, about, for each task that reads them.
-TASK_BYTES = 1 << 25
+#: Cells, about, for each task that reads them, whatever bytes their files take: a step behind it may hold hundreds of bytes for each.
+TASK_CELLS = 1 << 20
 #: Names of TIFF files.
 TIFF = r"(?i)\.tiff?$"
 
@@ -38,15 +38,19 @@ def _files(spark: SparkSession, path: str, pattern: str, name: str | None = None
 
 def _pixels(files: DataFrame) -> DataFrame:
     """The pixels of files (scene, path, header or null, length). Runs of blocks are planned by the files' heads and spread over the
-    tasks, each of which reads its own ranges: no file is held whole."""
-    size = files.agg(F.sum("length")).first()[0] or 0
+    tasks, each of which reads its own ranges: no file is held whole, and a task has about TASK_CELLS however well files are compressed."""
+
+    def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rasters = [opened(own["path"], own["header"])[0] for own in batch.to_pylist()]
+            yield pa.RecordBatch.from_pydict({"cells": pa.array([r.bands * r.height * r.width for r in rasters], pa.int64())})
 
     def plan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own in batch.to_pylist():
                 raster, _ = opened(own["path"], own["header"])
-                held = raster.bands * raster.height * raster.width * np.dtype(raster.dtype).itemsize / max(1, raster.blocks)
-                step = max(1, int(2 * BLOCK_BYTES // max(1, held)))
+                held = max(1, raster.bands * raster.height * raster.width / max(1, raster.blocks))
+                step = max(1, int(min(2 * BLOCK_BYTES / np.dtype(raster.dtype).itemsize, TASK_CELLS) // held))
                 first = list(range(0, raster.blocks, step))
                 yield pa.RecordBatch.from_pylist([{**own, "first": k, "stop": min(k + step, raster.blocks)} for k in first], schema=pa.schema([*batch.schema, ("first", pa.int64()), ("stop", pa.int64())]))
 
@@ -60,9 +64,10 @@ def _pixels(files: DataFrame) -> DataFrame:
                     yield from rows_of(own["scene"], *at[2].block(at[3], k))
 
     named = files.select("scene", "path", "header")
+    cells = named.mapInArrow(weigh, "cells long").agg(F.sum("cells")).first()[0] or 0
     planned = named.mapInArrow(plan, "scene string, path string, header string, first long, stop long")
-    # A number of its own, as the planner would merge partitions of so few bytes.
-    return planned.repartition(max(1, -(-size // TASK_BYTES)), "path", "first").mapInArrow(run, _PIXEL)
+    # A number of its own, as the planner would merge partitions of so few bytes; by range, as hashes of so few runs fall together.
+    return planned.repartitionByRange(max(1, -(-cells // TASK_CELLS)), "path", "first").mapInArrow(run, _PIXEL)
 
 
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
@@ -132,7 +137,8 @@ def write_tiff(cells: DataFrame, folder: str, height: int, width: int, dtype: st
     inside = cells.where("scene IS NOT NULL").where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
     keyed = inside.select("scene", F.floor(F.col("y") / rows).cast("long").alias("strip"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.coalesce(F.col("value").cast("double"), F.lit(float("nan"))).alias("value"))
     strips = checkpointed(keyed.groupBy("scene", "strip").applyInArrow(strip, "scene string, strip long, data binary"))
-    sizes = strips.groupBy("scene").agg(F.map_from_entries(F.collect_list(F.struct("strip", F.length("data")))).alias("sizes"))
+    # The sizes go with a scene's first strip alone.
+    sizes = strips.groupBy("scene").agg(F.min("strip").alias("strip"), F.map_from_entries(F.collect_list(F.struct("strip", F.length("data")))).alias("sizes"))
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blank = {n: zlib.compress(np.full((n, width), empty, kind).tobytes(), 6) for n in {min(rows, height), height - (count - 1) * rows}}
@@ -160,9 +166,7 @@ def write_tiff(cells: DataFrame, folder: str, height: int, width: int, dtype: st
                 done = own["strip"] + 1
         yield from close()
 
-    # The sizes go with a scene's first strip alone.
-    first = F.row_number().over(Window.partitionBy("scene").orderBy("strip")) == 1
-    whole = strips.join(sizes, "scene").withColumn("sizes", F.when(first, F.col("sizes")))
+    whole = strips.join(sizes, ["scene", "strip"], "left").repartition("scene").sortWithinPartitions("scene", "strip")
     return whole.mapInArrow(write, "scene string").count()
 
 

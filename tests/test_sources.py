@@ -192,6 +192,16 @@ def test_write_tiff(spark, tmp_path, dtype):
     assert got.where("value <> -1").count() == 3 and got.count() == 2 * 600 * 2000
 
 
+def test_tasks_have_few_cells_however_small_the_files(spark, tmp_path):
+    """Two files of nothing but ones, which compress to some KB, are read by as many tasks as their cells need."""
+    height, width = 3000, 1000
+    cells = spark.range(height * width).select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("scene"), F.floor(F.col("id") / width).alias("y"), (F.col("id") % width).alias("x"), F.lit(1.0).alias("value"))
+    rasters.write_tiff(cells, str(tmp_path), height, width, "f8")
+    found = rasters.read_tiff(spark, str(tmp_path)).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in found) == 2 * height * width
+    assert max(r.n for r in found) <= 2 * rasters.TASK_CELLS and len(found) >= 4
+
+
 def test_read_stack(spark, tmp_path):
     """A pair of the first one's size, one of another size, one without coherence, one without metadata, one without displacement."""
     def pair(name, disp=None, coherence=None, meta=True):
