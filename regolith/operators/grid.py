@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from regolith.functions.bands import finite
 from regolith.operators import spatial
@@ -219,28 +220,68 @@ def _level(size: Column, share: float) -> Column:
 
 #: A segment lies in about so many cells of its own level; a box in four at most.
 ALONG = 4
+#: Cells of a batch, at most.
+ROWS = 100_000
 
 
 def _cells_along(segments: DataFrame, level: Column) -> DataFrame:
     """The segments (x1, y1, x2, y2) with each cell (_l, _cx, _cy) of a level that they touch, a millionth of a cell around them included:
     columns of cells first, then in each the cells that the segment passes there."""
-    width, pad = F.pow(F.lit(2.0), level), 1e-6
-    x1, y1, x2, y2 = (F.col(c) / width for c in ("x1", "y1", "x2", "y2"))
-    low, high = F.least(x1, x2), F.greatest(x1, x2)
-    columns = segments.withColumn("_l", level).withColumn("_cx", F.explode(F.sequence(F.floor(low - pad), F.floor(high + pad))))
-    slope = F.when(x1 != x2, (y2 - y1) / (x2 - x1))
-
-    def at(x: Column) -> Column:
-        return y1 + (x - x1) * slope
-
-    first, last = F.greatest(low, F.least(high, F.col("_cx") - pad)), F.least(high, F.greatest(low, F.col("_cx") + 1 + pad))
-    a, b = F.coalesce(at(first), y1), F.coalesce(at(last), y2)
-    return columns.withColumn("_cy", F.explode(F.sequence(F.floor(F.least(a, b) - pad), F.floor(F.greatest(a, b) + pad))))
+    own = segments.withColumn("_l", level)
+
+    def counted(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each number from first to last of each row its row and itself."""
+        n = (last - first + 1).astype(np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        return row, first[row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pad = 1e-6
+        for batch in batches:
+            width = np.exp2(batch.column("_l").to_numpy().astype(float))
+            x1, y1, x2, y2 = (batch.column(c).to_numpy().astype(float) / width for c in ("x1", "y1", "x2", "y2"))
+            low, high = np.minimum(x1, x2), np.maximum(x1, x2)
+            row, cx = counted(np.floor(low - pad), np.floor(high + pad))
+            x1, y1, x2, y2, low, high = (c[row] for c in (x1, y1, x2, y2, low, high))
+            with np.errstate(all="ignore"):
+                slope = (y2 - y1) / (x2 - x1)
+            ends = [np.where(x1 != x2, y1 + (x - x1) * slope, y) for x, y in ((np.maximum(low, np.minimum(high, cx - pad)), y1), (np.minimum(high, np.maximum(low, cx + 1 + pad)), y2))]
+            column, cy = counted(np.floor(np.minimum(*ends) - pad), np.floor(np.maximum(*ends) + pad))
+            for k in range(0, len(column), ROWS):
+                some = column[k : k + ROWS]
+                cells = [pa.array(c.astype(np.int64)) for c in (cx[some], cy[k : k + ROWS])]
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(row[some])).columns, *cells], names=[*batch.schema.names, "_cx", "_cy"])
+
+    return own.mapInArrow(run, StructType([*own.schema.fields, StructField("_cx", LongType()), StructField("_cy", LongType())]))
+
+
+def _cell() -> list:
+    """The columns of a cell, behind a hash of them by which sorts tell cells apart at once, as there are few levels."""
+    return [F.xxhash64("_l", "_cx", "_cy").alias("_key"), "_l", "_cx", "_cy"]
 
 
 def _met(homes: DataFrame, visits: DataFrame) -> DataFrame:
-    """Shapes in the same cell. Exploded tables are never sent whole to all tasks, whatever their size seemed before."""
-    return homes.join(visits.hint("merge"), ["_l", "_cx", "_cy"])
+    """Shapes in the same cell (see _cell). Exploded tables are never sent whole to all tasks, whatever their size seemed before."""
+    return homes.join(visits.hint("merge"), ["_key", "_l", "_cx", "_cy"])
+
+
+def _crossed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs of segments, of which `first` tells whether h is the smaller one, those that cross, and where: in numpy, as the planner puts
+    a condition of many terms into the join term by term."""
+    for batch in batches:
+        own = {n: batch.column(n) for n in batch.schema.names}
+        first = own["first"].to_numpy(zero_copy_only=False)
+        h, v = ([own[f"{t}_{c}"].to_numpy() for c in ("x1", "y1", "x2", "y2")] for t in "hv")
+        ax1, ay1, ax2, ay2 = (np.where(first, p, q) for p, q in zip(h, v, strict=True))
+        bx1, by1, bx2, by2 = (np.where(first, q, p) for p, q in zip(h, v, strict=True))
+        d = (ax2 - ax1) * (by2 - by1) - (ay2 - ay1) * (bx2 - bx1)
+        with np.errstate(all="ignore"):
+            t = ((bx1 - ax1) * (by2 - by1) - (by1 - ay1) * (bx2 - bx1)) / d
+            u = ((bx1 - ax1) * (ay2 - ay1) - (by1 - ay1) * (ax2 - ax1)) / d
+            at = np.flatnonzero((np.abs(d) >= 1e-12) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1))
+        ax1, ay1, ax2, ay2, t = (c[at] for c in (ax1, ay1, ax2, ay2, t))
+        kept = [own[n].take(pa.array(at)) for n in ("first", "h_seg", "v_seg")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(ax1 + t * (ax2 - ax1)), pa.array(ay1 + t * (ay2 - ay1))], names=["first", "h_seg", "v_seg", "x", "y"])
 
 
 #: Visitors of one cell that one task compares with the cell's own boxes.
@@ -274,18 +315,15 @@ def crossings(lines: DataFrame) -> DataFrame:
     levels = levels_of(placed)
     if not levels:
         levels = [0]
-    homes = _cells_along(placed, F.col("_level")).select("_l", "_cx", "_cy", F.struct("seg", *sides).alias("h"))
+    ends = {t: [F.col(c).alias(f"{t}_{c}") for c in ("seg", *sides)] for t in "hv"}
+    homes = _cells_along(placed, F.col("_level")).select(*_cell(), *ends["h"])
     above = placed.withColumn("_l", F.explode(F.filter(F.lit(levels), lambda l: l >= F.col("_level"))))
-    visits = _cells_along(above, F.col("_l")).select("_l", "_cx", "_cy", "_level", F.struct("seg", *sides).alias("v"))
-    both = _met(homes, visits).where((F.col("_level") < F.col("_l")) | (F.col("h.seg") < F.col("v.seg")))
-    first = F.col("h.seg") < F.col("v.seg")
-    pair = both.select(F.when(first, F.col("h")).otherwise(F.col("v")).alias("a"), F.when(first, F.col("v")).otherwise(F.col("h")).alias("b"))
-    pair = pair.select(*[F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "ab" for c in ("seg", *sides)])
-    d = F.expr("(a_x2 - a_x1) * (b_y2 - b_y1) - (a_y2 - a_y1) * (b_x2 - b_x1)")
-    t = F.expr("((b_x1 - a_x1) * (b_y2 - b_y1) - (b_y1 - a_y1) * (b_x2 - b_x1)) / d")
-    u = F.expr("((b_x1 - a_x1) * (a_y2 - a_y1) - (b_y1 - a_y1) * (a_x2 - a_x1)) / d")
-    met = pair.withColumn("d", d).where("abs(d) >= 1e-12").withColumn("t", t).withColumn("u", u).where("t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1")
-    return met.select(F.col("a_seg").alias("seg_a"), F.col("b_seg").alias("seg_b"), F.expr("a_x1 + t * (a_x2 - a_x1)").alias("x"), F.expr("a_y1 + t * (a_y2 - a_y1)").alias("y")).distinct()
+    visits = _cells_along(above, F.col("_l")).select(*_cell(), "_level", *ends["v"])
+    both = _met(homes, visits).where((F.col("_level") < F.col("_l")) | (F.col("h_seg") < F.col("v_seg")))
+    pair = both.select((F.col("h_seg") < F.col("v_seg")).alias("first"), *[f"{t}_{c}" for t in "hv" for c in ("seg", *sides)])
+    seg = lines.schema["seg"].dataType.simpleString()
+    met = pair.mapInArrow(_crossed, f"first boolean, h_seg {seg}, v_seg {seg}, x double, y double")
+    return met.select(F.when(F.col("first"), F.col("h_seg")).otherwise(F.col("v_seg")).alias("seg_a"), F.when(F.col("first"), F.col("v_seg")).otherwise(F.col("h_seg")).alias("seg_b"), "x", "y").distinct()
 
 
 def crossing_points(found: DataFrame, digits: int = 9) -> DataFrame:
