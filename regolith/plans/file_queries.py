@@ -96,17 +96,22 @@ def scene_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.round("b1", 6).alias("b1"), F.round("b2", 6).alias("b2"), F.lit(wavelengths[0] + bare).alias("w1"), F.lit(wavelengths[1]).alias("w2"))
 
 
+#: Keys of customers whose lines share a file: a file for each line makes as many files as customers.
+LINES = 1000
+
+
 @query("line_files", """WITH p AS (SELECT o_custkey AS line, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS seq, (o_orderkey % 3600) / 10.0 - 180 AS lon, (o_custkey % 1800) / 10.0 - 90 AS lat FROM orders)
 SELECT line, count(*) AS n, round(sum(lon * (seq + 1)), 4)::DOUBLE AS lon_sum, round(max(lat), 4)::DOUBLE AS lat FROM p GROUP BY line""")
 def line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each customer's line through their orders, as features of GeoJSON files."""
+    """Each customer's line through their orders, as features of GeoJSON files, in each those of LINES customer keys."""
     orders, folder = views.read(spark, sf_dir, "orders"), _folder(spark, "lines")
     point = F.struct("o_orderkey", F.array((F.col("o_orderkey") % 3600) / 10.0 - 180, (F.col("o_custkey") % 1800) / 10.0 - 90).alias("p"))
     lines = orders.groupBy("o_custkey").agg(F.transform(F.sort_array(F.collect_list(point)), lambda v: v.p).alias("coordinates"))
-    geometry = F.to_json(F.struct(F.lit("LineString").alias("type"), "coordinates"))
-    features = lines.select(F.concat(F.lit(f"{folder}/"), F.col("o_custkey"), F.lit(".geojson")).alias("path"), F.concat(F.lit('{"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": '), geometry, F.lit("}]}")).alias("content"))
-    texts_written(features)
-    found = projects.read_lines(spark, folder).withColumn("line", F.regexp_extract("line_id", r"^(\d+)\.", 1).cast("long"))
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.col("o_custkey").alias("line")).alias("properties"), F.struct(F.lit("LineString").alias("type"), "coordinates").alias("geometry")))
+    file = F.coalesce(F.floor(F.col("o_custkey") / LINES), F.lit(-1))
+    files = lines.select(file.alias("file"), feature.alias("feature")).groupBy("file").agg(F.array_join(F.collect_list("feature"), ", ").alias("features"))
+    texts_written(files.select(F.concat(F.lit(f"{folder}/"), "file", F.lit(".geojson")).alias("path"), F.concat(F.lit('{"type": "FeatureCollection", "features": ['), "features", F.lit("]}")).alias("content")))
+    found = projects.read_lines(spark, folder, "line").withColumn("line", F.col("line").cast("long"))
     return found.groupBy("line").agg(F.count("*").alias("n"), F.round(F.sum(F.col("lon") * (F.col("seq") + 1)), 4).alias("lon_sum"), F.round(F.max("lat"), 4).alias("lat"))
 
 

@@ -97,14 +97,16 @@ def read_stack(spark: SparkSession, path: str) -> DataFrame | None:
     return deformation.stack(moved, own["coherence"].withColumnRenamed("value", "coherence"))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_id (file, feature, part), seq, lon, lat of the LineStrings and MultiLineStrings in GeoJSON feature collections."""
+def read_lines(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    """line_id (file, feature, part), seq, lon, lat of the LineStrings and MultiLineStrings in GeoJSON feature collections. name: a property
+    of the features that is a column of texts too."""
     whole = spark.read.option("wholetext", "true").text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"), F.get_json_object("value", "$.features").alias("json"))
-    features = whole.select("file", F.posexplode(F.from_json("json", "array<struct<geometry:string>>")).alias("feature", "f")).select("file", "feature", F.col("f.geometry").alias("g"))
+    features = whole.select("file", F.posexplode(F.from_json("json", "array<struct<geometry:string,properties:string>>")).alias("feature", "f")).select("file", "feature", F.col("f.geometry").alias("g"), F.col("f.properties").alias("properties"))
     kind, raw = F.get_json_object("g", "$.type"), F.get_json_object("g", "$.coordinates")
     parts = F.when(kind == "LineString", F.array(F.from_json(raw, "array<array<double>>"))).when(kind == "MultiLineString", F.from_json(raw, "array<array<array<double>>>"))
-    lines = features.select("file", "feature", F.posexplode(parts).alias("part", "points"))
-    return lines.select(F.concat_ws("/", "file", "feature", "part").alias("line_id"), F.posexplode("points").alias("seq", "p")).select("line_id", "seq", F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat"))
+    named = {} if name is None else {name: F.get_json_object("properties", f"$.{name}")}
+    lines = features.select("file", "feature", *[c.alias(n) for n, c in named.items()], F.posexplode(parts).alias("part", "points"))
+    return lines.select(F.concat_ws("/", "file", "feature", "part").alias("line_id"), *named, F.posexplode("points").alias("seq", "p")).select("line_id", *named, "seq", F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat"))
 
 
 def calibrated(digital: Column, gains: Column, offsets: Column, nodata: float) -> Column:

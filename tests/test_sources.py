@@ -447,3 +447,26 @@ def test_evidence_that_no_product_has_is_left_out(spark):
             up = np.clip((np.arange(100) - low) / (high - low), 0, 1)
             wanted = (0.3 * up + other * up[::-1]) / (0.3 + other)
             assert np.allclose([r.score for r in scored.orderBy("y", "x").collect()], wanted)
+
+
+def test_lines_share_files(spark, tmp_path):
+    """The lines of 2,500 customers make three files, each line under its own key."""
+    from pathlib import Path
+
+    from regolith.plans import catalog
+    from regolith.session import shared_folder
+
+    spark.range(5000).selectExpr("id AS o_orderkey", "id % 2500 AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    shared = Path(shared_folder(spark).removeprefix("file://"))
+    before = set(shared.glob("lines-*"))
+    found = {r.line: r.n for r in catalog.QUERIES["line_files"](spark, str(tmp_path)).collect()}
+    assert found == dict.fromkeys(range(2500), 2)
+    (folder,) = set(shared.glob("lines-*")) - before
+    assert len(list(folder.glob("*.geojson"))) == 3
+
+
+def test_lines_have_a_property_as_name(spark, tmp_path):
+    line = {"type": "LineString", "coordinates": [[1, 2], [3, 4]]}
+    features = [{"type": "Feature", "properties": {"name": "f"}, "geometry": line}, {"type": "Feature", "geometry": line}]
+    (tmp_path / "x.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    assert {(r.line_id, r.name, r.seq) for r in projects.read_lines(spark, str(tmp_path), "name").collect()} == {(f"x.geojson/{k}/0", n, i) for k, n in enumerate(("f", None)) for i in (0, 1)}
