@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WIDTH = 100
+#: Rows, about, of a task that joins observations to their pairs.
+TASK_ROWS = 1 << 20
 #: Wavelengths of the 64 values of an embedding, in micrometres.
 WAVELENGTHS = [0.42 + 0.0325 * i for i in range(64)]
 
@@ -52,6 +54,10 @@ def radar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem and orders as observations of pixels in radar pairs."""
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_extendedprice", "l_discount", "l_shipdate")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    parts = -(-lines.count() // TASK_ROWS)
+    if parts > spark.sparkContext.defaultParallelism:
+        # So many tasks, each with as much to sort and to sum whatever the tables' size; below that the planner's own number has no more.
+        lines, orders = lines.repartition(parts, "l_orderkey"), orders.repartition(parts, "o_orderkey")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("l_suppkey").alias("y"), (F.col("l_partkey") % 20).alias("x"), F.col("l_orderkey").alias("pair"), F.to_date("o_orderdate").alias("ref_date"),
         F.to_date("l_shipdate").alias("sec_date"), (F.col("l_extendedprice") / 1000).alias("disp"), (1 - F.col("l_discount") * 8).alias("coherence"),

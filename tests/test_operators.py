@@ -568,3 +568,16 @@ def test_lines_are_strong_within_their_own_scene(spark):
     for scene in ("strong", "weak"):
         alone = {(r.scene, r.y, r.x): (r.strength, r.lineament) for r in deformation.lineaments(df.where(F.col("scene") == scene), F.col("c")).collect()}
         assert alone == {k: v for k, v in together.items() if k[0] == scene} and any(line for _, line in alone.values())
+
+
+def test_radar_joins_in_tasks_of_so_many_rows(spark, tmp_path, monkeypatch):
+    """A table of 100 rows with 10 of them a task takes 10 tasks, where the session's shuffles have 4."""
+    from regolith.plans import views
+
+    spark.range(20).selectExpr("id AS o_orderkey", "timestamp '2024-01-01' AS o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    columns = "id % 20 AS l_orderkey", "id AS l_suppkey", "id AS l_partkey", "1D AS l_extendedprice", "0D AS l_discount", "timestamp '2024-02-01' AS l_shipdate"
+    spark.range(100).selectExpr(*columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(views, "TASK_ROWS", 10)
+    found = views.radar(spark, str(tmp_path))
+    assert found.count() == 100
+    assert "hashpartitioning(l_orderkey" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 10), REPARTITION_BY_NUM" in plan
