@@ -36,6 +36,36 @@ def targets(alterations: DataFrame, sensor: Column) -> DataFrame:
     return out.where("ratio_expr IS NOT NULL OR pca_bands IS NOT NULL").orderBy("deposit", "priority", "mineral")
 
 
+def sensor_methods(alterations: DataFrame) -> Column:
+    """The methods of each mineral for every fixed sensor as an array of (rank, sensor, ratio_ok, pca_ok, depth_ok), as by_sensor gives them
+    in rows; whatever one mineral needs of them takes no grouping."""
+
+    def one(rank: int, name: str) -> Column:
+        sensor, many = F.lit(name), name in HYPERSPECTRAL
+        ratio, pca, depth = F.lit(False), F.lit(False), F.lit(False)
+        if many and "enmap_feature" in alterations.columns:
+            depth = F.col("enmap_feature").isNotNull()
+        if not many:
+            ratio = clean_ratio(F.try_element_at(F.col("sensor_ratio"), sensor)).isNotNull()
+            pca = pca_inputs(sensor, F.col("pca_sensor"), F.col("input_bands"), F.col("landsat_bands"), F.col("has_criterion")).isNotNull()
+        return F.struct(F.lit(rank).alias("rank"), sensor.alias("sensor"), ratio.alias("ratio_ok"), pca.alias("pca_ok"), depth.alias("depth_ok"))
+
+    return F.array(*[one(rank, name) for rank, name in enumerate((*SENSORS, *HYPERSPECTRAL))])
+
+
+def preferred_of(methods: Column, declared: Column) -> Column:
+    """preferred_sensor for one mineral, of its methods (see sensor_methods) and the sensor that its components are declared for."""
+    own = F.filter(methods, lambda m: m.pca_ok & (m.sensor == declared))
+    counted = F.transform(methods, lambda m: F.struct((m.ratio_ok.cast("int") + m.pca_ok.cast("int")).alias("n"), (-m["rank"]).alias("place"), m.sensor.alias("sensor")))
+    best = F.array_max(F.filter(counted, lambda m: m.n > 0))
+    return F.coalesce(F.get(own, 0).sensor, best.sensor)
+
+
+def able_of(methods: Column) -> Column:
+    """The multispectral sensors that have a method."""
+    return F.transform(F.filter(methods, lambda m: m.ratio_ok | m.pca_ok), lambda m: m.sensor)
+
+
 def by_sensor(alterations: DataFrame) -> DataFrame:
     """The methods of each mineral for every sensor: a row for each of the fixed sensors (rank, ratio_ok, pca_ok, depth_ok). The
     hyperspectral ones have the absorption feature (enmap_feature) alone."""
@@ -49,12 +79,13 @@ def by_sensor(alterations: DataFrame) -> DataFrame:
 
 
 def multi_sensor(alterations: DataFrame, key: list[str]) -> DataFrame:
-    """key, deposit, mineral, priority, sensors (map of sensor to its methods) and preferred of each mineral that some sensor shows, by
-    deposit, priority and mineral."""
-    rows = by_sensor(alterations)
-    methods = F.struct(F.col("sensor").alias("sensor"), F.struct("ratio_ok", "pca_ok", "depth_ok").alias("methods"))
-    own = rows.groupBy(*key, "deposit", "mineral", F.coalesce("priority", F.lit(2)).alias("priority")).agg(F.map_from_entries(F.collect_list(methods)).alias("sensors"), F.bool_or(F.col("ratio_ok") | F.col("pca_ok") | F.col("depth_ok")).alias("any"))
-    return own.where("any").drop("any").join(preferred_sensor(rows, key), key).orderBy("deposit", "priority", "mineral")
+    """key (which tells the rows apart), deposit, mineral, priority, sensors (map of sensor to its methods) and preferred of each mineral
+    that some sensor shows, by deposit, priority and mineral."""
+    # Spread first, as few files are few tasks; one row each by explode, past which no filter takes the methods' terms again.
+    own = alterations.repartition(*key).select("*", F.explode(F.array(sensor_methods(alterations))).alias("_m")).where(F.exists("_m", lambda m: m.ratio_ok | m.pca_ok | m.depth_ok))
+    sensors = F.map_from_entries(F.transform("_m", lambda m: F.struct(m.sensor.alias("sensor"), F.struct(m.ratio_ok.alias("ratio_ok"), m.pca_ok.alias("pca_ok"), m.depth_ok.alias("depth_ok")).alias("methods"))))
+    rows = own.select(*key, "deposit", "mineral", F.coalesce("priority", F.lit(2)).alias("priority"), sensors.alias("sensors"), preferred_of(F.col("_m"), F.col("pca_sensor")).alias("preferred"))
+    return rows.orderBy("deposit", "priority", "mineral")
 
 
 def present(sensors: Column, found: Column) -> Column:

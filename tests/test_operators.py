@@ -581,3 +581,20 @@ def test_radar_joins_in_tasks_of_so_many_rows(spark, tmp_path, monkeypatch):
     found = views.radar(spark, str(tmp_path))
     assert found.count() == 100
     assert "hashpartitioning(l_orderkey" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 10), REPARTITION_BY_NUM" in plan
+
+
+@pytest.mark.parametrize("name", ["preferred_sensor", "effective_sensor", "targets_catalogue"])
+def test_sensors_of_a_mineral_take_no_grouping(spark, name):
+    from regolith.plans import catalog
+
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+
+
+def test_sensors_by_rows_and_by_groups(spark):
+    from regolith.plans import views
+
+    rows = views.alterations(spark, "/root/testdata/sf0.001")
+    grouped = knowledge.preferred_sensor(knowledge.by_sensor(rows), ["pos"])
+    single = rows.select("pos", knowledge.preferred_of(knowledge.sensor_methods(rows), F.col("pca_sensor")).alias("preferred"))
+    assert sorted(map(tuple, grouped.collect())) == sorted(map(tuple, single.collect()))
