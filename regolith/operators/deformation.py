@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from regolith.functions.bands import clip, finite
 from regolith.operators import grid, scenes, spatial
 from regolith.operators.stats import between_quantiles, quantiles
-from regolith.session import checkpointed
+from regolith.session import checkpointed, staged
 
 #: Fixed: the middle coherence, below which a pixel counts as unstable.
 COHERENCE_MID = 0.3
@@ -44,8 +44,8 @@ def rates(observations: DataFrame, least_coherence: float = COHERENCE_MID) -> Da
 
 
 def velocity(rated: DataFrame) -> DataFrame:
-    """y, x, velocity (median rate) and n_valid of each pixel."""
-    return rated.groupBy("y", "x").agg(F.median("rate").alias("velocity"), F.count("rate").alias("n_valid"))
+    """y, x, velocity (median rate) and n_valid of each pixel. Rates are shuffled as they are: partial lists of them would take more bytes."""
+    return rated.select("y", "x", "rate").repartition("y", "x").groupBy("y", "x").agg(F.median("rate").alias("velocity"), F.count("rate").alias("n_valid"))
 
 
 def pairs_used(rated: DataFrame) -> int:
@@ -54,7 +54,8 @@ def pairs_used(rated: DataFrame) -> int:
 
 
 def velocity_summary(pixels: DataFrame) -> DataFrame:
-    v = F.col("velocity")
+    """The mean, median, least and greatest velocity of pixels (velocity), which are worked out once and written, as quantiles take scans."""
+    v, pixels = F.col("velocity"), staged(pixels.select("velocity"), "velocity")
     return pixels.agg(F.avg(v).alias("mean_velocity"), F.lit(quantiles(pixels, v, [0.5])[0]).cast("double").alias("median_velocity"), F.min(v).alias("subsidence_max"), F.max(v).alias("uplift_max"))
 
 

@@ -598,3 +598,17 @@ def test_sensors_by_rows_and_by_groups(spark):
     grouped = knowledge.preferred_sensor(knowledge.by_sensor(rows), ["pos"])
     single = rows.select("pos", knowledge.preferred_of(knowledge.sensor_methods(rows), F.col("pca_sensor")).alias("preferred"))
     assert sorted(map(tuple, grouped.collect())) == sorted(map(tuple, single.collect()))
+
+
+def test_velocities_are_worked_out_once(spark):
+    """Quantiles take several scans, none of which may work out the pixels' rates anew."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    pixels = spark.range(100).selectExpr("CAST(id AS double) AS velocity").mapInArrow(run, "velocity double")
+    (found,) = deformation.velocity_summary(pixels).collect()
+    assert tuple(found) == (49.5, 49.5, 0.0, 99.0) and seen.value == 100
